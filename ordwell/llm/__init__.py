@@ -1,7 +1,7 @@
 """Operators for training corpora. Nothing else in the library imports this subpackage."""
 
-from ordwell.llm import bpe_codec, decontaminate, token_counts
+from ordwell.llm import bpe_codec, decontaminate, line_dedup, simhash, token_counts
 
-MODULES = (token_counts, bpe_codec, decontaminate)
+MODULES = (simhash, token_counts, bpe_codec, decontaminate, line_dedup)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
