@@ -1,7 +1,7 @@
 """Operators for training corpora. Nothing else in the library imports this subpackage."""
 
-from ordwell.llm import bpe_codec, decontaminate, language_id, line_dedup, shards, simhash, token_counts
+from ordwell.llm import bpe_codec, decontaminate, language_id, line_dedup, quality, shards, simhash, token_counts, url_filter
 
-MODULES = (simhash, language_id, shards, token_counts, bpe_codec, decontaminate, line_dedup)
+MODULES = (simhash, quality, language_id, shards, token_counts, bpe_codec, decontaminate, url_filter, line_dedup)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
