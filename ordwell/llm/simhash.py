@@ -91,7 +91,7 @@ def join_tries(prints: np.ndarray, bounds: np.ndarray, budget: int = BUDGET) ->
     lo, hi = bounds[:-1], bounds[1:]
     own = hi - lo > 1
     pairs = np.stack([lo[own], hi[own], lo[own], hi[own], np.zeros(own.sum(), np.int64)])
-    for depth in reversed(range(BITS)):
+    for depth in reversed(range(-1, BITS)):
         a, b, c, d, _ = pairs
         leaf = (b - a == 1) & (d - c == 1)
         if leaf.any():
@@ -99,8 +99,8 @@ def join_tries(prints: np.ndarray, bounds: np.ndarray, budget: int = BUDGET) ->
             near = np.bitwise_count(prints[x] ^ prints[y]) <= budget
             found.append((x[near], y[near]))
             pairs = pairs[:, ~leaf]
-        if not pairs.shape[1]:
-            break
+        if depth < 0 or not pairs.shape[1]:
+            break  # no bit is left, or no pair
         ones = np.append(0, np.cumsum((prints >> np.uint64(depth)) & np.uint64(1)).astype(np.int64))
         a, b, c, d, err = pairs
         am, cm = b - (ones[b] - ones[a]), d - (ones[d] - ones[c])
