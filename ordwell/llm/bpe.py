@@ -28,7 +28,7 @@ import regex
 CHUNK = 1 << 20
 LONG = 48
 #: States a worker keeps between chunks.
-STATES = 400_000
+STATES = 300_000
 LETTER, NUMBER, BLANK, OTHER = 1, 2, 3, 4
 #: Whatever surrounds it, every pre-tokenization has a boundary inside this match.
 SURE = re.compile(rb"[\x21-\x7e][ \n]")
@@ -87,7 +87,7 @@ class Vocabulary:
             if len(raw) == 1 or a in self.reachable and b in self.reachable and not self.crossed(a, b, self.rank[a, b]):
                 self.reachable.add(raw)
         self.longest = max(map(len, self.reachable))
-        self.prefixes = {raw[:k] for raw in self.reachable for k in range(len(raw) + 1)}
+        self.prefixes = {p: p for raw in self.reachable for p in (raw[:k] for k in range(len(raw) + 1))}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.intern = {raw: raw for raw in self.reachable}
 
@@ -212,6 +212,7 @@ class Machine:
     def clear(self) -> None:
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
+        self.same: dict[tuple, tuple] = {}
         self.state((b"", (b"",), (0,)))
         self.table(18, np.empty(0, np.int64), np.empty((3, 0), np.int32))
 
@@ -251,7 +252,9 @@ class Machine:
         """The transition of state key >> 8 on byte key & 255."""
         suffix, last, behind = self.states[key >> 8]
         run, last, behind, change, token = advance(self.vocabulary, suffix, last, behind, key & 255)
-        return self.state((run, tuple(last), tuple(behind))), change, self.vocabulary.ids[token]
+        behind = tuple(behind)
+        key = (self.vocabulary.prefixes[run], tuple(last), self.same.setdefault(behind, behind))
+        return self.state(key), change, self.vocabulary.ids[token]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Slots of keys; transitions met for the first time are made."""

@@ -54,9 +54,25 @@ def decode_ids(df: DataFrame, ids: str = "ids", to: str = "decoded", path: str |
     return df.withColumn(to, decoded(F.col(ids), path))
 
 
+def round_trip(text: Column, path: str | None = None, rows: int = 500) -> Column:
+    """Struct (ids, decoded): what encoded() and decoded() give, encoding once; a few rows at a time."""
+
+    @F.arrow_udf("struct<ids: binary, decoded: string>")
+    def both(texts: pa.Array) -> pa.Array:
+        machine = bpe.tokenizer(path or vocabulary_path())
+        parts = [[pa.array([], pa.binary())], [pa.array([], pa.string())]]
+        for k in range(0, len(texts), rows):
+            ids = machine.encode(raw_texts(texts.slice(k, rows)))
+            parts[0].append(pa.array(ids, pa.binary()))
+            parts[1].append(pa.array(map(machine.decode, ids), pa.string()))
+        return pa.StructArray.from_arrays([pa.concat_arrays(x) for x in parts], ["ids", "decoded"])
+
+    return both(text)
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents."""
-    both = decode_ids(encode_texts(docs.select("doc_id", "text")))
+    both = docs.select("doc_id", round_trip(F.col("text")).alias("both")).select("doc_id", "both.*")
     return both.select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
