@@ -22,3 +22,11 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+def load() -> None:
+    """Import all modules that register queries."""
+    from ordwell.plans import dedup_queries  # noqa: F401
+
+
+load()
