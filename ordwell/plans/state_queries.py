@@ -237,9 +237,6 @@ def c16(spark, sf_dir):
     return pf(spark, sf_dir).groupBy("match_id", F.when(F.col("slot") < 6, 0).otherwise(1).alias("side")).agg(F.count("*").alias("n"))
 
 
-SPANS = "((2, 10), (15, 30))"
-
-
 @query("e16_charge_delta", f"WITH {PF} SELECT match_id, CAST(slot AS INTEGER) AS slot, CAST(max(ult_charge) FILTER (frame = 10) - max(ult_charge) FILTER (frame = 2) AS INTEGER) AS delta FROM pf WHERE frame IN (2, 10) GROUP BY match_id, slot HAVING count(*) = 2")
 def e16(spark, sf_dir):
     at = lambda f: F.max(F.when(F.col("frame") == f, F.col("ult_charge")))
