@@ -2,10 +2,10 @@
 
 For every prefix of a pre-token the last token of its encoding is unique, and a
 token u may follow a token t exactly if no merge joins the end of t to the start
-of u before both are complete. So the encoding of a growing prefix is a path of
+of u before either is complete. So the encoding of a growing prefix is a path of
 back-pointers, and what the future can still see of it is finite: the longest
-suffix that begins some token, the last token at each position in that suffix,
-and their counts relative to the newest. That is the state; reading a byte moves
+suffix that begins some token, at each position in it the parts of the last token
+that may yet join what follows, and their counts relative to the newest. That is the state; reading a byte moves
 to another state and adds to the number of tokens (the annotation of a transition
 may be negative, where tokens join). Transitions are made when first met.
 
@@ -88,7 +88,12 @@ class Vocabulary:
                 self.reachable.add(raw)
         self.longest = max(map(len, self.reachable))
         self.prefixes = {p: p for raw in self.reachable for p in (raw[:k] for k in range(len(raw) + 1))}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.partners: dict[bytes, list[bytes]] = {}
+        for a, b in self.rank:
+            self.partners.setdefault(a, []).append(b)
+        self.edges: list[tuple] = [()]  # edge 0: a start, or an end that nothing joins
+        self.edge_of: dict[tuple, int] = {(): 0}
+        self.known: tuple[dict, dict, dict] = ({}, {}, {})
         self.intern = {raw: raw for raw in self.reachable}
 
     def spine(self, raw: bytes, side: int) -> list[tuple[bytes, int]]:
@@ -111,22 +116,51 @@ class Vocabulary:
         It does if both of its parts are there when its turn comes: neither edge part has
         been taken up by then. At equal rank the merge further left comes first.
         """
-        for x, x_until in self.spine(left, 1):
+        return self.joined(self.spine(left, 1), right, until)
+
+    def joined(self, edge, right: bytes, until: int) -> bool:
+        for x, x_until in edge:
             for y, y_until in self.spine(right, 0):
                 r = self.rank.get((x, y))
                 if r is not None and r < until and r < x_until and r <= y_until:
                     return True
         return False
 
-    def adjoin(self, left: bytes, right: bytes) -> bool:
-        """Whether right may follow left in an encoding."""
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= STATES:
-                self.pairs.clear()
-            known = self.pairs[key] = not self.crossed(left, right)
-        return known
+    def edge(self, parts: tuple) -> int:
+        """The number of an edge: parts at the end of a token that may yet join what follows."""
+        found = self.edge_of.get(parts)
+        if found is None:
+            found = self.edge_of[parts] = len(self.edges)
+            self.edges.append(parts)
+        return found
+
+    def edge_after(self, token: bytes) -> int:
+        """The edge of a token."""
+        known = self.known[0]
+        if token not in known:
+            known[token] = self.edge(tuple(x for x in self.spine(token, 1) if x[0] in self.partners))
+        return known[token]
+
+    def narrowed(self, edge: int, ahead: bytes) -> int:
+        """The edge's parts that a token which goes on with ahead can still join: equal edges make equal states."""
+        known = self.known[1]
+        found = known.get((edge, ahead))
+        if found is None:
+            if len(known) > STATES:
+                known.clear()
+            parts = tuple(x for x in self.edges[edge] if any(y.startswith(ahead) or ahead.startswith(y) for y in self.partners[x[0]]))
+            found = known[edge, ahead] = self.edge(parts)
+        return found
+
+    def adjoins(self, edge: int, token: bytes) -> bool:
+        """Whether token may follow in an encoding: no merge joins a part of the edge to the token's start in time."""
+        known = self.known[2]
+        found = known.get((edge, token))
+        if found is None:
+            if len(known) > STATES:
+                known.clear()
+            found = known[edge, token] = not self.joined(self.edges[edge], token, 1 << 60)
+        return found
 
 
 def byte_kinds(data: np.ndarray) -> np.ndarray:
@@ -199,9 +233,10 @@ def pretokens(data: np.ndarray, parts: np.ndarray) -> np.ndarray:
 class Machine:
     """Deterministic transitions over bytes, each with the change of the token count and the newest token.
 
-    A state is (suffix, last, behind): the longest end of the input that begins a
-    token; at each position in it from which a token could go on, the last token of
-    the encoding up to there, and its count less the newest count. Transitions lie in
+    A state is (suffix, edges, behind): the longest end of the input that begins a
+    token; at each position in it from which a token could go on, the edge of the last
+    token of the encoding up to there (what of its end later bytes may still join), and
+    its count less the newest count. Transitions lie in
     an open hash table of arrays, so that many inputs can step at once.
     """
 
@@ -213,7 +248,7 @@ class Machine:
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
         self.same: dict[tuple, tuple] = {}
-        self.state((b"", (b"",), (0,)))
+        self.state((b"", (0,), (0,)))
         self.table(18, np.empty(0, np.int64), np.empty((3, 0), np.int32))
 
     def table(self, bits: int, keys: np.ndarray, values: np.ndarray) -> None:
@@ -250,10 +285,11 @@ class Machine:
 
     def step(self, key: int) -> tuple[int, int, int]:
         """The transition of state key >> 8 on byte key & 255."""
-        suffix, last, behind = self.states[key >> 8]
-        run, last, behind, change, token = advance(self.vocabulary, suffix, last, behind, key & 255)
+        suffix, edges, behind = self.states[key >> 8]
+        run, edges, behind, change, token = advance(self.vocabulary, suffix, edges, behind, key & 255)
         behind = tuple(behind)
-        key = (self.vocabulary.prefixes[run], tuple(last), self.same.setdefault(behind, behind))
+        edges = tuple(edges)
+        key = (self.vocabulary.prefixes[run], self.same.setdefault(edges, edges), self.same.setdefault(behind, behind))
         return self.state(key), change, self.vocabulary.ids[token]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -295,29 +331,28 @@ class Machine:
         return counts, token, np.flatnonzero(size > LONG)
 
 
-def advance(v: Vocabulary, suffix: bytes, last, behind, byte: int):
-    """One byte on: the new suffix, last tokens and counts, the change of the count, and the newest token."""
+def advance(v: Vocabulary, suffix: bytes, edges, behind, byte: int):
+    """One byte on: the new suffix, edges and counts, the change of the count, and the newest token."""
     run = suffix + bytes((byte,))
     for k in range(len(run)):  # longest candidate first; a single byte always fits
         token = run[k:]
-        if token in v.reachable and (not last[k] or v.adjoin(last[k], token)):
+        if token in v.reachable and v.adjoins(edges[k], token):
             break
     else:
         raise ValueError(f"the vocabulary has no token for byte {byte}")
     token, change = v.intern[token], behind[k] + 1
-    last, behind = [*last, token], [*behind, change]
+    edges, behind = [*edges, v.edge_after(token)], [*behind, change]
     while run not in v.prefixes:
         run = run[1:]
-    last, behind = last[-len(run) - 1 :], behind[-len(run) - 1 :]
-    for k in range(1, len(run)):
+    edges, behind = edges[-len(run) - 1 :], behind[-len(run) - 1 :]
+    for k in range(len(run)):
         if run[k:] in v.prefixes:
+            edges[k] = v.narrowed(edges[k], run[k:])
             behind[k] -= change
         else:
-            last[k], behind[k] = b"-", 0  # no token can go on from here
-    if run:
-        behind[0] -= change
+            edges[k], behind[k] = 0, 0  # no token can go on from here
     behind[-1] = 0
-    return run, last, behind, change, token
+    return run, edges, behind, change, token
 
 
 def stream(v: Vocabulary, raw: bytes):
@@ -330,11 +365,11 @@ def stream(v: Vocabulary, raw: bytes):
     held is bounded by the vocabulary's lookahead, not by the length of raw.
     """
     ask = 2 * v.longest
-    suffix, last, behind, base = b"", [b""], [0], 0
+    suffix, edges, behind, base = b"", [0], [0], 0
     tokens: list[bytes] = []  # the newest token at each position after base
     due = ask
     for byte in raw:
-        suffix, last, behind, _, token = advance(v, suffix, last, behind, byte)
+        suffix, edges, behind, _, token = advance(v, suffix, edges, behind, byte)
         tokens.append(token)
         if len(tokens) >= due:
             done = shared(tokens, len(suffix))

@@ -14,6 +14,8 @@ by the text itself and one chunk's tables. Ids are packed as little-endian unsig
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,31 +56,29 @@ def decode_ids(df: DataFrame, ids: str = "ids", to: str = "decoded", path: str |
     return df.withColumn(to, decoded(F.col(ids), path))
 
 
-def round_trip(text: Column, path: str | None = None, rows: int = 500) -> Column:
-    """Struct (ids, decoded): what encoded() and decoded() give, encoding once; a few rows at a time."""
+def round_trip(text: Column, path: str | None = None, rows: int = 200) -> Column:
+    """Struct (n_tokens, ids_sha256, decoded_sha256) of what encoded() and decoded() give.
+
+    A worker holds ids and decoded texts of a few rows at a time, and sends digests alone.
+    """
 
-    @F.arrow_udf("struct<ids: binary, decoded: string>")
+    @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
     def both(texts: pa.Array) -> pa.Array:
-        machine = bpe.tokenizer(path or vocabulary_path())
-        parts = [[pa.array([], pa.binary())], [pa.array([], pa.string())]]
+        machine, n, ids_sha, text_sha = bpe.tokenizer(path or vocabulary_path()), [], [], []
         for k in range(0, len(texts), rows):
-            ids = machine.encode(raw_texts(texts.slice(k, rows)))
-            parts[0].append(pa.array(ids, pa.binary()))
-            parts[1].append(pa.array(map(machine.decode, ids), pa.string()))
-        return pa.StructArray.from_arrays([pa.concat_arrays(x) for x in parts], ["ids", "decoded"])
+            for ids in machine.encode(raw_texts(texts.slice(k, rows))):
+                n.append(len(ids) // 4)
+                ids_sha.append(sha256(ids).hexdigest())
+                text_sha.append(sha256(machine.decode(ids).encode()).hexdigest())
+        pa.default_memory_pool().release_unused()
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return both(text)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents."""
-    both = docs.select("doc_id", round_trip(F.col("text")).alias("both")).select("doc_id", "both.*")
-    return both.select(
-        "doc_id",
-        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return docs.select("doc_id", round_trip(F.col("text")).alias("both")).select("doc_id", "both.*")
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

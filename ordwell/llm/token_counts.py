@@ -40,7 +40,9 @@ def token_count(text: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
-        return pa.array(bpe.tokenizer(path or vocabulary_path()).count(raw_texts(texts)), pa.int64())
+        machine = bpe.tokenizer(path or vocabulary_path())
+        counts = [n for k in range(0, len(texts), 1000) for n in machine.count(raw_texts(texts.slice(k, 1000))).tolist()]
+        return pa.array(counts, pa.int64())
 
     return count(text)
 
