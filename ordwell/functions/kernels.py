@@ -274,3 +274,8 @@ def first_fit_rows(centres: list[float], threshold: float) -> list[int]:
 def row_regions(centres: list[tuple[float, float]], width: int, height: int) -> list[tuple[int, int, int, int]]:
     """(x1, y1, x2, y2) around arrow centres, lowest first: 30 to 80 % of the width, a fixed share of the height."""
     return [(int(0.3 * width), int(max(0.1 * height, cy - 0.075 * height)), int(0.8 * width), int(min(height, cy + 0.075 * height))) for _, cy in sorted(centres, key=lambda c: -c[1])]
+
+
+def brightness(image: np.ndarray, frame: int) -> list[tuple[int, float]]:
+    """A job's function: the frame and its region's mean."""
+    return [(frame, float(image.mean()))]
