@@ -19,6 +19,7 @@ import codecs
 import gc
 import json
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +28,9 @@ import regex
 #: Bytes of text worked on at a time; pre-tokens longer than LONG are streamed one by one.
 CHUNK = 1 << 20
 LONG = 48
-#: States a worker keeps between chunks.
+#: States a worker keeps between chunks, and answers it keeps about edges.
 STATES = 300_000
+KNOWN = 50_000
 LETTER, NUMBER, BLANK, OTHER = 1, 2, 3, 4
 #: Whatever surrounds it, every pre-tokenization has a boundary inside this match.
 SURE = re.compile(rb"[\x21-\x7e][ \n]")
@@ -146,7 +148,8 @@ class Vocabulary:
         known = self.known[1]
         found = known.get((edge, ahead))
         if found is None:
-            if len(known) > STATES:
+            ahead = self.prefixes[ahead]
+            if len(known) > KNOWN:
                 known.clear()
             parts = tuple(x for x in self.edges[edge] if any(y.startswith(ahead) or ahead.startswith(y) for y in self.partners[x[0]]))
             found = known[edge, ahead] = self.edge(parts)
@@ -157,7 +160,8 @@ class Vocabulary:
         known = self.known[2]
         found = known.get((edge, token))
         if found is None:
-            if len(known) > STATES:
+            token = self.intern[token]
+            if len(known) > KNOWN:
                 known.clear()
             found = known[edge, token] = not self.joined(self.edges[edge], token, 1 << 60)
         return found
@@ -245,10 +249,9 @@ class Machine:
         self.clear()
 
     def clear(self) -> None:
-        self.states: list[tuple] = []
-        self.number: dict[tuple, int] = {}
-        self.same: dict[tuple, tuple] = {}
-        self.state((b"", (0,), (0,)))
+        self.states: list[bytes] = []
+        self.number: dict[bytes, int] = {}
+        self.state(b"", [0], [0])
         self.table(18, np.empty(0, np.int64), np.empty((3, 0), np.int32))
 
     def table(self, bits: int, keys: np.ndarray, values: np.ndarray) -> None:
@@ -276,7 +279,9 @@ class Machine:
     def hash(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def state(self, key: tuple) -> int:
+    def state(self, suffix: bytes, edges: list[int], behind: list[int]) -> int:
+        """The number of a state, which is kept packed."""
+        key = suffix + struct.pack(f"<{len(edges)}i{len(behind)}h", *edges, *behind)
         found = self.number.get(key)
         if found is None:
             found = self.number[key] = len(self.states)
@@ -285,12 +290,11 @@ class Machine:
 
     def step(self, key: int) -> tuple[int, int, int]:
         """The transition of state key >> 8 on byte key & 255."""
-        suffix, edges, behind = self.states[key >> 8]
-        run, edges, behind, change, token = advance(self.vocabulary, suffix, edges, behind, key & 255)
-        behind = tuple(behind)
-        edges = tuple(edges)
-        key = (self.vocabulary.prefixes[run], self.same.setdefault(edges, edges), self.same.setdefault(behind, behind))
-        return self.state(key), change, self.vocabulary.ids[token]
+        packed = self.states[key >> 8]
+        n = len(packed) // 7  # suffix of n bytes, n + 1 edges of 4, n + 1 counts of 2
+        both = struct.unpack_from(f"<{n + 1}i{n + 1}h", packed, n)
+        run, edges, behind, change, token = advance(self.vocabulary, packed[:n], both[: n + 1], both[n + 1 :], key & 255)
+        return self.state(run, edges, behind), change, self.vocabulary.ids[token]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Slots of keys; transitions met for the first time are made."""
