@@ -426,6 +426,12 @@ class Tokenizer:
         for i, raw in self.vocabulary.bytes_of.items():
             self.sizes[i] = len(raw)
 
+    def rest(self) -> None:
+        """Forget the states; they are made again when texts need them."""
+        self.machine.clear()
+        for known in self.vocabulary.known:
+            known.clear()
+
     def pieces(self, texts: list[bytes]):
         """Groups of (text's number, stretch, special id or None), about CHUNK bytes together."""
         group, held = [], 0

@@ -14,6 +14,7 @@ by the text itself and one chunk's tables. Ids are packed as little-endian unsig
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from hashlib import sha256
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordwell.llm import bpe
-from ordwell.llm.common import table
+from ordwell.llm.common import release, table
 from ordwell.llm.token_counts import raw_texts, vocabulary_path
 
 
@@ -63,15 +64,19 @@ def round_trip(text: Column, path: str | None = None, rows: int = 200) -> Column
     """
 
     @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
-    def both(texts: pa.Array) -> pa.Array:
-        machine, n, ids_sha, text_sha = bpe.tokenizer(path or vocabulary_path()), [], [], []
-        for k in range(0, len(texts), rows):
-            for ids in machine.encode(raw_texts(texts.slice(k, rows))):
-                n.append(len(ids) // 4)
-                ids_sha.append(sha256(ids).hexdigest())
-                text_sha.append(sha256(machine.decode(ids).encode()).hexdigest())
-        pa.default_memory_pool().release_unused()
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        machine = bpe.tokenizer(path or vocabulary_path())
+        for texts in batches:
+            n, ids_sha, text_sha = [], [], []
+            for k in range(0, len(texts), rows):
+                for ids in machine.encode(raw_texts(texts.slice(k, rows))):
+                    n.append(len(ids) // 4)
+                    ids_sha.append(sha256(ids).hexdigest())
+                    text_sha.append(sha256(machine.decode(ids).encode()).hexdigest())
+            release()
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+        machine.rest()
+        release()
 
     return both(text)
 

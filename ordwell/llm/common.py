@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,21 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's way to hand freed memory back, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda pad: 0
+
+
+def release() -> None:
+    """In a worker, after a batch: give freed memory back, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names close to names that df doesn't have, for operators' own columns."""
     taken = {c.lower() for c in df.columns}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordwell.llm.common import fresh, table
+from ordwell.llm.common import fresh, release, table
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -106,6 +106,7 @@ def hits(text: Column, items: list[tuple[str, bytes]], window: int = WINDOW) ->
         if not made:
             made.append(machines(items, window))
         rows = [scan(made[0], x) for x in texts.cast(pa.large_binary()).to_pylist()]
+        release()
         spans = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))
         return pa.StructArray.from_arrays(
             [

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ordwell.llm.common import fresh, settle, table
+from ordwell.llm.common import fresh, release, settle, table
 
 LEAST = 50
 LINES = "struct<at: array<int>, hash: array<long>, words: array<int>>"
@@ -41,7 +41,7 @@ def lines_of(text: Column) -> Column:
     @F.arrow_udf(LINES)
     def split(texts: pa.Array) -> pa.Array:
         rows = []
-        for one in texts.cast(pa.large_binary()).to_pylist():
+        for one in (x.as_py() for x in texts.cast(pa.large_binary())):
             at, hashes, words = [], [], []
             for i, line in enumerate((one or b"").lower().split(b"\n")):
                 if parts := line.split():
@@ -49,6 +49,7 @@ def lines_of(text: Column) -> Column:
                     hashes.append(signed(xxh64_intdigest(b" ".join(parts))))
                     words.append(len(parts))
             rows.append((at, hashes, words))
+        release()
         kinds = (pa.int32(), pa.int64(), pa.int32())
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.list_(t)) for k, t in enumerate(kinds)], ["at", "hash", "words"])
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from ordwell.llm.common import fresh, settle, table
+from ordwell.llm.common import fresh, release, settle, table
 from ordwell.llm.components import components
 
 BITS = 64
@@ -60,7 +60,8 @@ def simhash(text: Column) -> Column:
 
     @F.arrow_udf("long")
     def fingerprints(texts: pa.Array) -> pa.Array:
-        made = np.array([fingerprint_of(x or b"") for x in texts.cast(pa.large_binary()).to_pylist()], np.uint64)
+        made = np.array([fingerprint_of(x.as_py() or b"") for x in texts.cast(pa.large_binary())], np.uint64)
+        release()
         return pa.array(made.view(np.int64), pa.int64())
 
     return fingerprints(text)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordwell.llm import bpe
-from ordwell.llm.common import table
+from ordwell.llm.common import release, table
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -42,6 +42,7 @@ def token_count(text: Column, path: str | None = None) -> Column:
     def count(texts: pa.Array) -> pa.Array:
         machine = bpe.tokenizer(path or vocabulary_path())
         counts = [n for k in range(0, len(texts), 1000) for n in machine.count(raw_texts(texts.slice(k, 1000))).tolist()]
+        release()
         return pa.array(counts, pa.int64())
 
     return count(text)
