@@ -6,8 +6,8 @@ n-gram's slots. For a text the bits are counted for each language; a language wh
 slice is filled to a share p answers p^k of all n-grams falsely, so h hits among n
 n-grams stand for (h - n p^k) / (1 - p^k). The language with most of them is it.
 
-The filter is learned from a bounded sample of labelled rows (at most `per_language`
-rows each, chosen by a hash of their id); an n-gram belongs to a language if it makes
+The filter is learned from a bounded sample of labelled rows (`per_language` rows each,
+or all there are, chosen by a hash of their id); an n-gram belongs to a language if it makes
 up at least `share` of that language's n-grams in the sample. So at most 1/share
 n-grams of a language are fetched, however large the sample's texts.
 
@@ -19,6 +19,8 @@ where many texts meet. Repeated rows get a row each, other columns pass through.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -135,26 +137,42 @@ class Filters:
         return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters, strict=True)], [s if ok else 0.0 for s, ok in zip(score.tolist(), letters, strict=True)]
 
 
-def sample(df: DataFrame, doc_id: str, lang: str, per_language: int) -> DataFrame:
-    """At most per_language rows of each language, by a hash of their id; one pass over two columns decides."""
-    bucket = F.pmod(F.xxhash64(doc_id), F.lit(1024))
-    rows = df.groupBy(F.col(lang).alias("l"), bucket.alias("b")).count().orderBy("l", "b").collect()  # languages x 1024
-    upto: dict[str, int] = {}
-    total: dict[str, int] = {}
-    for r in rows:
-        total[r.l] = total.get(r.l, 0) + r["count"]
-        if total[r.l] <= per_language:
-            upto[r.l] = r.b
-    if not upto:
-        return df.limit(0)
-    limits = F.create_map(*(x for l, b in upto.items() for x in (F.lit(l), F.lit(b))))
-    return df.where(bucket <= F.coalesce(F.try_element_at(limits, F.col(lang)), F.lit(-1)))
+def sample(df: DataFrame, doc_id: str, lang: str, per_language: int, text: str = "text") -> DataFrame:
+    """per_language rows of each language, or all it has: those with the smallest hashes of their id.
+
+    A pass over two columns counts buckets of hashes. Each bucket that is more than what is still
+    to be taken is split by a finer hash of id and text; rows that no bit tells apart are the same.
+    """
+    fine = F.xxhash64(F.lit(1), F.col(doc_id), F.col(text))
+    digits = [F.pmod(F.xxhash64(doc_id), F.lit(1024)), *(F.shiftrightunsigned(fine, k).bitwiseAND(F.lit(1023)) for k in range(0, 64, 10))]
+    inside, taken = F.lit(True), F.lit(False)
+    need: dict = {}
+    for digit in digits:
+        rows = df.where(inside).groupBy(F.col(lang).alias("l"), digit.alias("b")).count().orderBy("l", "b").collect()  # languages x 1024
+        ends: dict = {}
+        for r in rows:
+            left = need.setdefault(r.l, per_language)
+            if r.l in ends:
+                continue
+            if r["count"] <= left:
+                need[r.l] = left - r["count"]
+            else:
+                ends[r.l] = r.b
+        if not ends:
+            return df.where(taken | inside)
+        end = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in ends.items() for x in pair)), F.col(lang)), F.lit(1024))
+        over = [x for x in ends if need[x]]
+        taken = taken | (inside & (digit < end))
+        if not over:
+            return df.where(taken)
+        inside = inside & (digit == end) & F.col(lang).isin(over)
+    return reduce(DataFrame.unionByName, (df.where(inside & (F.col(lang) == x)).limit(need[x]) for x in over), df.where(taken))
 
 
 def learn(spark: SparkSession, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, share: float = SHARE) -> Filters:
     """Filters from labelled rows; only text and lang are learned from."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
-    few = sample(rows, doc_id, lang, per_language).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    few = sample(rows, doc_id, lang, per_language, text).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches):
         for batch in batches:

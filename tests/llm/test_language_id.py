@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ordwell.llm import language_id as l
 
@@ -54,6 +55,27 @@ def test_sample_is_bounded(spark):
     assert all(0 < r["count"] <= 50 for r in counts) and len(counts) == 3
 
 
+def test_sample_is_full_beyond_one_bucket(spark):
+    many = spark.range(12000).select("id", F.concat(F.lit("t"), "id").alias("text"), F.when(F.col("id") < 4, "bb").otherwise("aa").alias("lang"))
+    one = spark.range(400).select(F.lit(-1).cast("long").alias("id"), F.concat(F.lit("u"), "id").alias("text"), F.lit("cc").alias("lang"))
+    same = spark.range(300).select(F.lit(-2).cast("long").alias("id"), F.lit("v").alias("text"), F.lit("dd").alias("lang"))
+    rare = spark.range(4000).select("id", F.lit("w").alias("text"), F.lit("dd").alias("lang"))
+    df = many.union(one).union(same).union(rare)
+    for per_language in (1, 5, 70):
+        rows = l.sample(df, "id", "lang", per_language).collect()
+        counts = {x: sum(r.lang == x for r in rows) for x in ("aa", "bb", "cc", "dd")}
+        assert counts == {"aa": per_language, "bb": min(4, per_language), "cc": per_language, "dd": per_language}
+        assert len({(r.id, r.text) for r in rows if r.lang in ("aa", "cc")}) == 2 * per_language
+        first = df.where("lang = 'aa'").select(F.pmod(F.xxhash64("id"), F.lit(1024)).alias("b")).orderBy("b").limit(per_language).collect()[-1].b
+        bucket = {r.id: r.b for r in df.where("lang = 'aa'").select("id", F.pmod(F.xxhash64("id"), F.lit(1024)).alias("b")).collect()}
+        assert all(bucket[r.id] <= first for r in rows if r.lang == "aa")
+
+
+def test_large_language_is_learned(spark):
+    df = spark.range(12000).select("id", F.lit("wasser und strom").alias("text"), F.lit("bb").alias("lang"))
+    assert l.learn(spark, df, "id", per_language=2).languages == ["bb"]
+
+
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert l.identify(spark, df).first().predicted.lang == "und"
