@@ -7,8 +7,14 @@ many words share a whole window, and so what it selects: a guaranteed fingerprin
 Fingerprints found at two places or more are joined by their hash. From there matches
 are extended both ways, window by window, over all windows around the place: a window
 is repeated if the same lines stand at an earlier place (by id, then text hash, then
-line). Lines under repeated windows, together the longest repeated runs, are deleted;
-the first place keeps them. A group needs its first place only, so no pairs are made.
+line). Lines under repeated windows are deleted; the first place keeps them. A group
+needs its first place only, so no pairs are made.
+
+These windows end before a repeated run does where fewer than `least` words follow its
+last window's first line. With `whole`, runs from each line to each line before the next
+window's end are compared too (as many as lines, at most, besides the windows), so all
+lines of the longest repeated runs go. Runs need no such care at their beginning, as a
+window starts at each line. The query op9, like its SQL, is defined by windows alone.
 
 Null texts and texts without words stay as they are. Null ids come first. Rows with
 the same id and text count as one document, so neither is later than the other. Very
@@ -82,7 +88,13 @@ def winnow(lines: Column, least: int) -> Column:
     return select(lines)
 
 
-def extend(lines: Column, places: Column, least: int) -> Column:
+def ends_of(windows: list[tuple[int, int, int, int]], lines: int, whole: bool) -> list[tuple[int, int, int]]:
+    """(place, first, last) of all windows; if whole, also of each longer run up to where the next window ends."""
+    stops = [last for *_, last in windows[1:]] + [lines]
+    return [(k, a, e) for (_, k, a, z), stop in zip(windows, stops, strict=False) for e in (range(z, max(z + 1, stop)) if whole else (z,))]
+
+
+def extend(lines: Column, places: Column, least: int, whole: bool = False) -> Column:
     """Column of the windows around the given places: first and last line and the hash of all their lines."""
 
     @F.arrow_udf("array<struct<first: int, last: int, run: long>>")
@@ -90,29 +102,29 @@ def extend(lines: Column, places: Column, least: int) -> Column:
         rows = []
         for x, own in zip(found.to_pylist(), at.to_pylist(), strict=True):
             hashes, own = x["hash"], set(own)
-            rows.append([{"first": a, "last": z, "run": signed(xxh64_intdigest(struct.pack(f"<{z - a + 1}q", *hashes[a : z + 1])))} for _, k, a, z in windows_of(hashes, x["words"], least) if k in own])
+            rows.append([{"first": a, "last": z, "run": signed(xxh64_intdigest(struct.pack(f"<{z - a + 1}q", *hashes[a : z + 1])))} for k, a, z in ends_of(windows_of(hashes, x["words"], least), len(hashes), whole) if k in own])
         return pa.array(rows, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("run", pa.int64())])))
 
     return around(lines, places)
 
 
-def repeated_lines(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def repeated_lines(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, whole: bool = False) -> DataFrame:
     """(key, gone): the numbers of the lines to delete, for texts that have any. key: struct of id and text hash."""
     key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
     lines = settle(spark, df.select(key.alias("key"), lines_of(F.col(text)).alias("lines")).where("size(lines.at) > 0"))
     picks = settle(spark, lines.select("key", F.explode(winnow(F.col("lines"), least)).alias("p")).select("p.pick", F.struct("key", "p.place").alias("where")))
     shared = picks.groupBy("pick").agg(F.min("where").alias("low"), F.max("where").alias("high")).where("low <> high").select("pick")
     places = picks.join(shared, "pick", "left_semi").groupBy("where.key").agg(F.collect_set("where.place").alias("places"))
-    around = lines.dropDuplicates(["key"]).join(places, "key").select("key", F.col("lines.at").alias("at"), F.explode(extend(F.col("lines"), F.col("places"), least)).alias("w"))
+    around = lines.dropDuplicates(["key"]).join(places, "key").select("key", F.col("lines.at").alias("at"), F.explode(extend(F.col("lines"), F.col("places"), least, whole)).alias("w"))
     around = settle(spark, around.select("key", F.expr("slice(at, w.first + 1, w.last - w.first + 1)").alias("at"), "w.run", F.struct("key", "w.first").alias("where")))
     first = around.groupBy("run").agg(F.min("where").alias("low"), F.max("where").alias("high")).where("low <> high").select("run", "low")
     later = around.join(first, "run").where("where <> low")
     return later.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))
 
 
-def drop_repeated_lines(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, removed: str | None = None) -> DataFrame:
-    """df without the lines of later repeated runs. removed: name of a column for their number."""
-    gone = repeated_lines(spark, df, doc_id, text, least)
+def drop_repeated_lines(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, removed: str | None = None, whole: bool = False) -> DataFrame:
+    """df without the lines of later repeated runs. removed: name of a column for their number; whole: also runs' ends."""
+    gone = repeated_lines(spark, df, doc_id, text, least, whole)
     key, k, g, n = fresh(df, "line_key", "gone_key", "gone", "n_gone")
     shown = df.withColumn(key, F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash")))
     gone = gone.select(F.col("key").alias(k), F.col("gone").alias(g))

@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 from ordwell.llm import line_dedup as d
 
 
@@ -42,6 +43,45 @@ def test_matches_brute_force(spark):
         assert {x[0::2] for x in want} == set(out)
 
 
+def slow_whole(rows, least):
+    """Texts after deletion, by comparing all runs of lines with at least `least` words."""
+    docs = []
+    for doc, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        docs.append((doc, text, [(i, " ".join(x.lower().split())) for i, x in enumerate((text or "").split("\n")) if x.split()]))
+    seen, gone = set(), {}
+    for doc, text, own in docs:
+        for a in range(len(own)):
+            for z in range(a, len(own)):
+                run = own[a : z + 1]
+                if sum(len(t.split()) for _, t in run) >= least:
+                    key = tuple(t for _, t in run)
+                    if key in seen:
+                        gone.setdefault((doc, text), set()).update(i for i, _ in run)
+                    seen.add(key)
+    return {(doc, None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone.get((doc, text), ()))) for doc, text in rows}
+
+
+def test_whole_runs_match_brute_force(spark):
+    rnd = random.Random(8)
+    pool = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.choice([0, 1, 2, 3, 5, 9, 14]))) for _ in range(10)]
+    rows = [(k, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 14)))) for k in range(80)]
+    rows += [(200, None), (201, ""), (202, rows[3][1]), (None, rows[4][1]), (203, "z z\n" * 40), (5, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (1, 7, 12):
+        assert {(r.doc_id, r.text) for r in d.drop_repeated_lines(spark, df, least=least, whole=True).collect()} == slow_whole(rows, least)
+
+
+def test_stage_deletes_ends_of_runs(spark):
+    line = lambda x, n: " ".join(f"{x}{i}" for i in range(n))
+    runs = {0: [line("a", 120), line("b", 10), line("c", 10)], 10: [line("d", 30), line("e", 25), line("f", 20)]}
+    # the run of 21 and 22 goes on past that of 20, where its first window stands first
+    more = [(20, [line("g", 60), line("h", 5)]), (21, [line("g", 60), line("i", 5)]), (22, ["own", line("g", 60), line("i", 5), "end"])]
+    rows = [(k + j, "\n".join(["top %d" % (k + j), *run, "tail %d" % (k + j)])) for k, run in runs.items() for j in (0, 1)] + [(k, "\n".join(x)) for k, x in more]
+    df = spark.createDataFrame([(a, b, "en", "s", 0) for a, b in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, df, "").collect()}
+    assert got == {**dict(rows), 1: "top 1\ntail 1", 11: "top 11\ntail 11", 21: line("i", 5), 22: "own\nend"}
+
+
 def test_windows():
     assert d.windows_of([5, 3, 9], [4, 4, 4], 8) == [(3, 1, 0, 1), (3, 1, 1, 2)]
     assert d.windows_of([5, 5], [9, 2], 8) == [(5, 0, 0, 0)]
