@@ -10,6 +10,8 @@ Null texts have no words; items without words match nothing; items that share wi
 are all named; ids are compared as strings; repeated items and rows change nothing.
 Benchmarks beyond block_bytes are searched in several blocks of items, each against
 all rows, so what a worker holds stays bounded; their hits are united afterwards.
+Items whose id is null are left out, as in op7's SQL; with `nameless` their windows
+count as hits too, only their names are missing from items.
 """
 
 from __future__ import annotations
@@ -94,7 +96,7 @@ def scan(searches: list[WuManber], text: bytes | None) -> tuple[int, list[tuple[
             spans[-1][1] = max(spans[-1][1], end)
         else:
             spans.append([start, end])
-    return len(words), [tuple(x) for x in spans], sorted(items)
+    return len(words), [tuple(x) for x in spans], sorted(items - {None})
 
 
 def hits(text: Column, items: list[tuple[str, bytes]], window: int = WINDOW) -> Column:
@@ -130,18 +132,18 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), zero, step, lambda acc: acc["n"]).cast("long")
 
 
-def blocks_of_items(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[list[tuple[str, bytes]]]:
+def blocks_of_items(benchmark: DataFrame, item: str, text: str, block_bytes: int, nameless: bool = False) -> list[list[tuple[str, bytes]]]:
     """The items in blocks of at most about block_bytes, each fetched alone."""
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.encode(F.col(text), "utf-8").alias("t")).where("i is not null and t is not null").distinct()
+    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.encode(F.col(text), "utf-8").alias("t")).where("t is not null" if nameless else "i is not null and t is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("t") + 32)).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    fetch = lambda df: sorted((r.i, bytes(r.t)) for r in df.toLocalIterator())
+    fetch = lambda df: sorted(((r.i, bytes(r.t)) for r in df.toLocalIterator()), key=lambda x: (x[0] or "", x[0] is not None, x[1]))
     return [fetch(rows if n == 1 else rows.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k)) for k in range(n)]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", to: str = "hits", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", to: str = "hits", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, nameless: bool = False) -> DataFrame:
     """docs with a struct column to: n_words, spans (word positions that items' windows cover), n_hit and items."""
-    blocks = blocks_of_items(benchmark, item, item_text, block_bytes)
+    blocks = blocks_of_items(benchmark, item, item_text, block_bytes, nameless)
     parts = fresh(docs, *(f"hits_{k}" for k in range(len(blocks))))
     for name, items in zip(parts, blocks, strict=True):
         docs = docs.withColumn(name, hits(F.col(text), items, window))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 from ordwell.llm import decontaminate as d
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -59,6 +60,17 @@ def test_blocks_of_items_give_the_same(spark):
             assert (r.hits.n_words, r.hits.n_hit, r.hits["items"]) == slow(r.text, items, 4)
 
 
+def test_items_without_an_id_are_hit(spark, tmp_path):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    docs = spark.createDataFrame([(1, f"x {passage} y"), (2, "another text"), (3, "solo")], "doc_id long, text string")
+    spark.createDataFrame([(None, passage), (None, "solo"), (7, "solo"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.doc_id for r in corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path)).collect()] == [2]
+    bench = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    for size in (16 << 20, 40):
+        found = {r.doc_id: r.hits for r in d.find_contamination(docs, bench, block_bytes=size, nameless=True).collect()}
+        assert {k: (h.n_hit, h["items"]) for k, h in found.items()} == {1: (14, []), 2: (0, []), 3: (1, ["7"])}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
