@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -21,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); where unset a temporary one, in a single JVM alone."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or getattr(spark, "_ordwell_dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = spark._ordwell_dir = f"file://{tempfile.mkdtemp(prefix='ordwell-')}"
     return found
 
@@ -41,11 +44,29 @@ def settle(spark: SparkSession, df: DataFrame) -> DataFrame:
     return back
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a settled result that nothing reads any more."""
+def forget(spark: SparkSession, *settled: DataFrame) -> None:
+    """Delete the files of settled results that nothing reads any more."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._ordwell_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for df in settled:
+        path = jvm.org.apache.hadoop.fs.Path(df._ordwell_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys with more than a thousandth of all rows count as hot: there are at most so many.
+HOT = 1000
+
+
+def join_by_weight(spark: SparkSession, rows: DataFrame, groups: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left_semi) with groups, which has each key once and in n how many rows have it.
+
+    Rows of hot keys aren't brought together: those keys, at most HOT of them whatever
+    the size of rows, are broadcast; all others meet in a shuffled join.
+    """
+    least = total // HOT
+    hot = settle(spark, groups.where(F.col(n) > least))
+    few = F.broadcast(hot)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(few, key, how).unionByName(others.join(groups.where(F.col(n) <= least), key, how))
 
 
 def ascii_lower(text: Column) -> Column:

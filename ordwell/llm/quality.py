@@ -2,15 +2,20 @@
 
 Base rules look at one text: words, symbols, repeated lines and repeated three-word
 windows. The method looks across texts: lines are normalised (A-Z lower-cased, white
-space collapsed) and hashed; for each host (the column source) the distinct texts that
-have a line are counted, exact copies once; lines above both limits, MIN_TEXTS texts and
-SHARE of the host's texts, are taken out, and a document of whose words less than LEFT
-remain is depleted and rejected. All of it is DataFrame expressions.
+space collapsed) and hashed; for each host (the column source) the distinct documents
+that have a line are counted. A line is taken out where more documents have it than the
+host's limit: SHARE of its documents, but FEWEST at least and MOST at most, so neither
+small hosts lose lines to chance nor large ones keep boilerplate. A document of whose
+words less than LEFT remain is depleted and rejected. Exact copies are one document, so
+copies of a clean text don't condemn it; with `copies` each row counts. All of it is
+DataFrame expressions.
 
 One pass over the texts writes counts and line hashes to the shared folder; everything
 after reads those. Null and empty texts have no words and fail the base rules. A null
 host is a host of its own. Rows may repeat and ids may be null: rows are told apart by
-a number written with them. A window is compared by a 64-bit hash of its three words.
+a number written with them. Lines and windows of three words are compared by 64-bit
+hashes. Very long texts are worked on whole. Columns of df pass through, but for those
+named like a result, which the result replaces; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,9 +26,10 @@ from pyspark.sql import functions as F
 from ordwell.llm.common import ascii_lower, fresh, settle, table
 
 MIN_WORDS = 50
-MIN_TEXTS = 20
+FEWEST = 5
+MOST = 20
 SHARE = 0.005
-LEFT = 0.3
+LEFT = 0.8
 WHITE = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -72,34 +78,41 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
-def judge(spark: SparkSession, df: DataFrame, text: str = "text", host: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE, left: float = LEFT) -> DataFrame:
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept")
+
+
+def judge(spark: SparkSession, df: DataFrame, text: str = "text", host: str = "source", fewest: int = FEWEST, most: int = MOST, share: float = SHARE, left: float = LEFT, copies: bool = False) -> DataFrame:
     """df (without text) with the base counts, n_removed_words, base_failed and kept."""
-    row, hashed, lines, own = fresh(df, "row", "text_hash", "lines", "host")
+    passed = [c for c in df.columns if c != text and c.lower() not in RESULTS]
+    own_names = ("row", "document", "lines", "host", "counted", "line", "host_name", "limit", "row_hit")
+    row, document, lines, own, counted, line, host_name, limit, row_hit = fresh(df.select(*passed).withColumns({c: F.lit(0) for c in RESULTS}), *own_names)
+    found = measures(F.col(text))
+    number = F.monotonically_increasing_id()
     m = df.select(
-        *(c for c in df.columns if c != text),
-        F.monotonically_increasing_id().alias(row),
-        F.xxhash64(text).alias(hashed),
+        *passed,
+        number.alias(row),
+        (number if copies else F.xxhash64(text)).alias(document),
         F.col(host).alias(own),
         F.coalesce(normal_lines(F.col(text), F.col(host)), F.array()).alias(lines),
-        *(c.alias(k) for k, c in measures(F.col(text)).items()),
+        found.pop("counted").alias(counted),
+        *(c.alias(k) for k, c in found.items()),
     )
     m = settle(spark, m)
-    each = m.select(row, hashed, own, F.explode(lines).alias("l")).select(row, hashed, own, "l.h", "l.n")
-    texts = each.groupBy("h", own, hashed).agg(F.lit(1).alias("one")).groupBy("h", own).agg(F.count("*").alias("texts"))
-    hosts = m.groupBy(own, hashed).agg(F.lit(1).alias("one")).groupBy(F.col(own).alias("host_name")).agg(F.count("*").alias("host_texts"))
-    often = texts.where(F.col("texts") > min_texts).join(hosts, F.col(own).eqNullSafe(F.col("host_name"))).where(F.col("texts") > share * F.col("host_texts")).select("h")
-    removed = each.select(row, "h", "n").join(often, "h").groupBy(row).agg(F.sum("n").cast("long").alias("n_removed_words"))
-    n, r = F.col("n_words"), F.col("n_repeat_words")
+    each = m.select(row, document, own, F.explode(lines).alias(line)).select(row, document, own, F.col(f"{line}.h").alias(line), F.col(f"{line}.n").alias("n"))
+    having = each.groupBy(line, own, document).agg(F.lit(1).alias("one")).groupBy(line, own).agg(F.count("*").alias("having"))
+    bound = F.greatest(F.lit(fewest), F.least(F.lit(most), share * F.count("*")))
+    hosts = m.groupBy(own, document).agg(F.lit(1).alias("one")).groupBy(F.col(own).alias(host_name)).agg(bound.alias(limit))
+    often = having.where(F.col("having") > fewest).join(hosts, F.col(own).eqNullSafe(F.col(host_name))).where(F.col("having") > F.col(limit)).select(line)
+    removed = each.select(row, line, "n").join(often, line).groupBy(F.col(row).alias(row_hit)).agg(F.sum("n").cast("long").alias("n_removed_words"))
+    n, r, gone = F.col("n_words"), F.col("n_repeat_words"), F.col("n_removed_words")
     failed = (n < MIN_WORDS) | (100 * r > 50 * n)
     return (
-        m.drop(lines, hashed, own)
-        .join(removed, row, "left")
-        .withColumn("n_words", F.col("counted.n").cast("long"))
-        .withColumn("n_repeat_words", F.col("counted.r").cast("long"))
-        .withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
+        m.drop(lines, document, own)
+        .join(removed, F.col(row) == F.col(row_hit), "left")
+        .withColumns({"n_words": F.col(f"{counted}.n").cast("long"), "n_repeat_words": F.col(f"{counted}.r").cast("long"), "n_removed_words": F.coalesce(gone, F.lit(0)).cast("long")})
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (n - F.col("n_removed_words") >= left * n))
-        .drop(row, "counted")
+        .withColumn("kept", ~F.col("base_failed") & (n - gone >= left * n))
+        .select(*passed, *RESULTS)
     )
 
 
@@ -123,7 +136,7 @@ k AS (
   FROM l JOIN d USING (r) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 h AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
 f AS (SELECT source, w, count(DISTINCT text) AS n FROM k GROUP BY source, w),
-o AS (SELECT f.source, f.w FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 20 AND f.n > 0.005 * h.n),
+o AS (SELECT f.source, f.w FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > greatest(5, least(20, 0.005 * h.n))),
 gone AS (SELECT k.r, sum(len(k.w)) AS n FROM k JOIN o ON k.w = o.w AND k.source IS NOT DISTINCT FROM o.source GROUP BY k.r),
 b AS (
   SELECT d.r, d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words,
@@ -134,7 +147,7 @@ b AS (
   FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 0.3 * n_words AS kept,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 0.8 * n_words AS kept,
   n_removed_words
 FROM b
 """
