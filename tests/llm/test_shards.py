@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 from ordwell.llm import shards as s
 
 
+def draw(name, weight):
+    u = (int(hashlib.md5(name.encode()).hexdigest()[: s.DIGITS], 16) + 0.5) / 16**s.DIGITS
+    return -math.log(u) / weight
+
+
 def slow(key, shape):
-    best = None
-    for region, racks in shape.items():
-        for rack, leaves in racks.items():
-            for shard, w in leaves.items():
-                name = f"{key}/region{region}/rack{rack}/shard{shard}"
-                u = (int(hashlib.md5(name.encode()).hexdigest()[: s.DIGITS], 16) + 0.5) / 16**s.DIGITS
-                best = min(best or (9e9, 0), (-math.log(u) / w, shard))
-    return best[1]
+    total = lambda node: node if isinstance(node, float) else sum(map(total, node.values()))
+    node = shape
+    for level in ("region", "rack", "shard"):
+        won = min((draw(f"{key}/{level}{k}", total(x)), k) for k, x in node.items())[1]
+        node = node[won]
+    return won
 
 
 def test_tree():
@@ -38,11 +41,26 @@ def test_assign(spark):
 
 
 def test_weights_move_only_the_changed_shard(spark):
-    df = spark.range(2000).select(F.col("id").cast("string").alias("k"))
-    heavy = s.tree(16, {3: 2.0})
-    got = df.select(s.descend(F.col("k"), s.tree(16)).alias("a"), s.descend(F.col("k"), heavy).alias("b")).collect()
-    assert all(r.a == r.b or r.b == 3 for r in got)
-    assert 1.5 < sum(r.b == 3 for r in got) / sum(r.a == 3 for r in got) < 2.5
+    df = spark.range(4000).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("region"), F.lit(2).alias("rack"))
+    heavy = s.tree(16, {3: 3.0})
+    got = s.descend(s.descend(df, F.col("k"), s.tree(16), "a"), F.col("k"), heavy, "b")
+    assert got.columns == ["k", "region", "rack", "a", "b"]
+    got = got.collect()
+    moved = [r for r in got if r.a != r.b]
+    # into the region that grew; inside it into the rack, and inside that into the shard that grew
+    assert moved and all(r.b < 8 for r in moved)
+    assert all(r.b < 4 for r in moved if r.a < 8) and all(r.b == 3 for r in moved if r.a < 4)
+    share = sum(r.b == 3 for r in got) / len(got)
+    assert abs(share - 3 / 18) < 0.03 and abs(sum(r.a == 3 for r in got) / len(got) - 1 / 16) < 0.02
+
+
+def test_hot_and_long(spark):
+    """A third of all rows without an id, one long text, exact repeats: slots stay gapless."""
+    rows = [(None, None)] * 700 + [(7, "x" * 300_000)] * 3 + [(k, "é") for k in range(1400)]
+    got = s.assign(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(7), grown=s.tree(17)).collect()
+    by = Counter(r.shard for r in got)
+    assert len(got) == len(rows) and all(sorted(r.slot for r in got if r.shard == x) == list(range(n)) for x, n in by.items())
+    assert {r.size for r in got} == {1, 3, 300_001} and len({r.shard for r in got if r.doc_id is None}) == 1
 
 
 def test_empty_and_files(spark, tmp_path):
