@@ -6,11 +6,14 @@ each key, PROBES bits in it) of the listed canonical URLs lets all listed URLs a
 few others pass as possible hits; those alone go to an exact hash join with the list,
 which removes the false ones. All of it is DataFrame expressions; the filter is
 broadcast while its size, known from the list's count, is below MOST_BYTES, and joined
-by its block's number beyond.
+by its block's number beyond. Urls that a rule judges, and null ones, aren't looked up.
 
 A URL that is null or has no `://` has an empty host and path, fits no rule and isn't
 listed, so it is allowed. Listed nulls and repeats change nothing. Repeated rows get a
-row each; other columns pass through; empty tables are fine.
+row each; a url that a third of all rows share is looked up by a join that adaptive
+execution may split, as the list has it once. Very long urls are compared whole. Columns
+pass through, but for those named like a result, which the result replaces; empty tables
+are fine.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Hosts whose pages are on the block list of the query.
-SPAM = r"(^|\.)(spam-farm|free-bets)\."
+#: The block list of the query: urls on these hosts, and those that a campaign brought in; other forms of them
+#: (scheme, www., last slash, fragment, without the campaign's mark) are listed by their canonical form too.
+SPAM = r"(^|\.)(spam-farm|free-bets|casino-win)\."
+CAMPAIGN = r"[?&]utm_source="
 BITS_PER_KEY = 12
 PROBES = 6
 MOST_BYTES = 64 << 20
@@ -84,25 +89,30 @@ def listed(spark: SparkSession, df: DataFrame, key: str, listing: DataFrame, to:
     probed = df.withColumn(block, block_of(F.col(key), blocks)).join(bloom, block, "left").withColumn(own, bits_of(F.col(key)))
     possible = F.col(key).isNotNull() & F.coalesce(F.col(mask).bitwiseAND(F.col(own)) == F.col(own), F.lit(False))
     hits = probed.where(possible).join(listing.select(F.col("key").alias(known)), F.col(key) == F.col(known), "left")
-    names = [*df.columns]
-    return hits.select(*names, F.col(known).isNotNull().alias(to)).union(probed.where(~possible).select(*names, F.lit(False).alias(to)))
+    # the url columns are read twice so that only possible hits are ever shuffled
+    return hits.select(*df.columns, F.col(known).isNotNull().alias(to)).union(probed.where(~possible).select(*df.columns, F.lit(False).alias(to)))
+
+
+RESULTS = ("host", "path", "rule", "verdict")
 
 
 def judge_urls(spark: SparkSession, df: DataFrame, listing: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """df with host, path, rule and verdict; listing: blocked URLs, one column url."""
-    key, hit, rule = fresh(df, "canonical_url", "is_listed", "fitting_rule")
-    h, p = host(F.col(url)), path(F.col(url))
-    shown = df.withColumns({"host": h, "path": p}).withColumn(key, canonical(F.col(url), F.col("host"), F.col("path"))).withColumn(rule, fitting(F.col("host"), F.col("path"), rules))
+    passed = [c for c in df.columns if c.lower() not in RESULTS or c == url]
+    key, hit, rule, h, p = fresh(df.withColumns({c: F.lit(0) for c in RESULTS}), "canonical_url", "is_listed", "fitting_rule", "own_host", "own_path")
+    shown = df.select(*passed).withColumns({h: host(F.col(url)), p: path(F.col(url))}).withColumn(rule, fitting(F.col(h), F.col(p), rules))
+    shown = shown.withColumn(key, F.when(F.col(rule).isNull(), canonical(F.col(url), F.col(h), F.col(p))))
     keys = listing.select(canonical(F.col("url"), host(F.col("url")), path(F.col("url"))).alias("key"))
     found = listed(spark, shown, key, keys, hit)
     verdict = F.coalesce(F.col(f"{rule}.verdict"), F.when(F.col(hit), "block").otherwise("allow"))
-    return found.withColumn("rule", F.col(f"{rule}.rule")).withColumn("verdict", verdict).drop(key, hit, rule)
+    results = {"host": F.col(h), "path": F.col(p), "rule": F.col(f"{rule}.rule"), "verdict": verdict}
+    return found.select(*(c for c in passed if c.lower() not in RESULTS), *(c.alias(k) for k, c in results.items()))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on every page; listed are the canonical URLs of pages on spam hosts."""
+    """Verdict on every page; listed are the canonical URLs of pages on spam hosts or brought in by a campaign."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listing = pages.where(host(F.col("url")).rlike(SPAM)).select("url")
+    listing = pages.where(host(F.col("url")).rlike(SPAM) | F.col("url").rlike(CAMPAIGN)).select("url")
     return judge_urls(spark, pages, listing).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -112,7 +122,7 @@ WITH u AS (
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 q AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '^[^?#]*\?([^#]*)', 1), '(^|&)utm_[^&]*', '', 'g'), '^&', '') AS query FROM u),
 k AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$', '') || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS key FROM q),
-l AS (SELECT DISTINCT key FROM k WHERE regexp_matches(host, '(^|\.)(spam-farm|free-bets)\.')),
+l AS (SELECT DISTINCT key FROM k WHERE regexp_matches(host, '(^|\.)(spam-farm|free-bets|casino-win)\.') OR regexp_matches(url, '[?&]utm_source=')),
 r AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS t(v, h, p)),
 j AS (
   SELECT page_id, host, path, key,

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from ordwell.llm import url_filter as u
 
 
@@ -7,9 +9,11 @@ def test_rules_and_list(spark):
         (6, "ftp://h.net/es/"), (7, "http://net/fr/x#y"), (8, "http://net/fr"), (9, None), (10, "no scheme/net/es/"), (11, "http://notexample.com/en/"), (12, "http://a.com"),
         (13, "http://www.bad.org/p/?utm_source=f"), (14, "https://bad.org/p"), (15, "http://bad.org/p?x=1"), (16, "http://bad.org/P"), (17, "://"), (17, "http://h.net/es/\n?"), (18, "a://b://c.com/d"),
     ]
-    df = spark.createDataFrame([(a, b, "k") for a, b in urls], "page_id long, url string, canonical_url string")
+    df = spark.createDataFrame([(a, b, "k") for a, b in urls], "page_id long, url string, canonical_url string").selectExpr("*", "9 AS rule", "8 AS Host", "7 AS key")
     listing = spark.createDataFrame([("http://bad.org/p/#top",), ("http://bad.org/p",), (None,), ("junk",)], "url string")
-    got = {(r.page_id, r.host): (r.path, r.rule, r.verdict) for r in u.judge_urls(spark, df, listing).collect()}
+    judged = u.judge_urls(spark, df, listing)
+    assert judged.columns == ["page_id", "url", "canonical_url", "key", "host", "path", "rule", "verdict"]
+    got = {(r.page_id, r.host): (r.path, r.rule, r.verdict) for r in judged.collect()}
     assert len(got) == len(urls)
     assert got[1, "a.com"] == ("/x", "com/", "allow")
     assert got[2, "com"] == ("/", "com/", "allow")
@@ -43,3 +47,27 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "url string")
     assert u.judge_urls(spark, pages, none).first().verdict == "allow"
     assert u.judge_urls(spark, pages.limit(0), none).count() == 0
+
+
+def test_filter_has_false_hits_that_the_join_removes(spark):
+    """Some keys pass the filter though they aren't listed; the exact join alone keeps them out."""
+    keys = spark.range(20000).selectExpr("concat('h', id) AS key")
+    blocks = -(-20000 * u.BITS_PER_KEY // 64)
+    bloom = keys.groupBy(u.block_of(F.col("key"), blocks).alias("b")).agg(F.bit_or(u.bits_of(F.col("key"))).alias("m"))
+    others = spark.range(20000, 60000).selectExpr("concat('h', id) AS key").select("key", u.block_of(F.col("key"), blocks).alias("b"), u.bits_of(F.col("key")).alias("o"))
+    falsely = others.join(bloom, "b").where(F.col("m").bitwiseAND(F.col("o")) == F.col("o")).select("key").collect()
+    assert 0 < len(falsely) < 0.03 * 40000
+    probe = spark.createDataFrame([(r.key,) for r in falsely], "k string")
+    assert not any(r.hit for r in u.listed(spark, probe, "k", keys, "hit").collect())
+
+
+def test_query_is_decided_by_rules_and_by_the_list(spark):
+    got = u.op8_url_filter(spark, "/root/testdata/sf0.01").groupBy(F.col("rule").isNull().alias("by_list"), "verdict").count().collect()
+    assert {(r[0], r.verdict) for r in got} == {(True, "allow"), (True, "block"), (False, "allow"), (False, "block")}
+
+
+def test_long_urls(spark):
+    long = "http://h.org/" + "a" * 200_000
+    pages = spark.createDataFrame([(1, long), (2, long + "b"), (None, long)], "page_id long, url string")
+    got = u.judge_urls(spark, pages, spark.createDataFrame([(long + "#x",)], "url string")).collect()
+    assert sorted((r.page_id or 0, r.verdict) for r in got) == [(0, "block"), (1, "block"), (2, "allow")]
