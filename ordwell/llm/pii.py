@@ -1,77 +1,119 @@
 """Operator 10: personal data replaced by keyed surrogates.
 
-Detected are e-mail addresses, telephone numbers, IPv4 addresses, payment cards (whose
-check digit is right), quoted secrets, and names after a title. Each entity has a
-normal form; its surrogate is drawn from a keyed hash of kind and normal form, so all
-mentions in all texts get the same one, also with other case or separators, and given
+Detected are e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, payment cards
+(whose check digit is right), quoted secrets, and names after a title or a phrase that
+introduces one, in Latin, Cyrillic and Greek script. Each entity has a normal form; its
+surrogate is drawn from a keyed hash of kind and normal form, so all mentions in all
+texts get the same one, also with other separators or, but for secrets, other case; given
 and family names are drawn each for itself. Surrogates keep the kind's format: digits
-stay digits, letters letters of the same script and case, names the title's gender and
-the script; addresses lie in reserved ranges, cards pass the check.
-
-All distinct entities then meet in two aggregations and joins: a surrogate that two
-entities drew, or that is itself an entity of the corpus, is drawn anew for all but the
-least of them, until none is left. Only what was drawn anew is joined back to its
-texts; all other surrogates are worked out where the text is.
-
-Null texts stay null, texts without entities as they are. Texts may be very long:
-patterns are bounded, so the search is linear. Rows with the same id and text get the
-same result; other columns pass through; an empty table gives none.
+stay digits, letters letters of the same script and case, a secret's signs signs, names
+the title's gender and the script; addresses lie in reserved ranges, cards pass the check.
+
+All distinct entities then meet in aggregations and joins: a surrogate that two entities
+drew, or that is itself an entity of the corpus, is drawn anew for all but the least of
+them, until none is left. From attempt WIDE on the range of draws grows by a character
+with each attempt, so it outgrows any corpus and the rounds end. A round reads and writes
+only what was drawn anew, and looks it up among the rest; only what was drawn anew is
+joined back to its texts; all other surrogates are worked out where the text is.
+
+The key comes from the caller or the session's setting spark.ordwell.pii.key; without
+either one is drawn for the run and forgotten, so nobody can work surrogates back.
+
+Null texts stay null, texts without entities as they are. Texts and secrets may be very
+long: patterns are bounded or can't be retried, so the search is linear. Rows with the
+same id and text get the same result; other columns pass through, whatever their names;
+an empty table gives none. A quoted value of blanks alone is no secret.
 """
 
 from __future__ import annotations
 
 import re
+import secrets
 from hashlib import blake2b
+from ipaddress import AddressValueError, IPv6Address
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordwell.llm.common import fresh, settle, table
+from ordwell.llm.common import forget, fresh, settle, table
 
-KEY = "ordwell"
+KEY = "spark.ordwell.pii.key"
 ENTITY = "struct<kind: string, norm: string>"
 DRAWN = "array<struct<kind: string, norm: string, attempt: int>>"
-WIDE = 8  # from this attempt on small ranges are left
+WIDE = 8  # from this attempt on surrogates grow, from twice as many on fixed formats do too
 
-EMAIL = re.compile(r"[A-Za-z0-9_%+\-][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,4}\.[A-Za-z]{2,24}")
+EMAIL = re.compile(r"[\w%+\-][\w.%+\-]{0,63}@[^\W_](?:[^\W_]|-){0,62}(?:\.(?:[^\W_]|-){1,63}){0,4}\.[^\W\d_]{2,24}")
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = re.compile(rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)")
-PHONE = re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .\-]\d{2,4}){2,5}(?!\d)")
+IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")
+PHONE = re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .\-]\d{2,4}){2,5}(?!\d)|(?<![\d.\-+])(?:1[.\-])?\d{3}([.\-])\d{3}\1\d{4}(?![.\-]?\d)")
 CARD = re.compile(r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)")
-SECRET = re.compile(r"""\b(?:token|secret|password|passwd|api[_\-]?key)\b\s{0,3}[=:]\s{0,3}["']([^"'\n]{6,200})["']""", re.IGNORECASE)
-LATIN, CYRILLIC = "A-ZÀ-ÖØ-Þ", "А-ЯЁ"
-NAME = re.compile(rf"\b(Mr|Mrs|Ms|Miss|Herr|Frau|Señor|Señora|Monsieur|Madame|Господин|Госпожа)\.? ([{LATIN}{CYRILLIC}][^\W\d_]{{1,30}})(?: ([{LATIN}{CYRILLIC}][^\W\d_]{{1,30}}))?")
-MALE = {"Mr", "Herr", "Señor", "Monsieur", "Господин"}
+SECRET = re.compile(r"""\b(?:token|secret|password|passwd|api[_\-]?key)\b\s{0,3}[=:]\s{0,3}(?:"([^"\n]{6,})"|'([^'\n]{6,})')""", re.IGNORECASE)
+MALE = ("Mr", "Mister", "Herr", "Señor", "Monsieur", "Господин", "Κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mademoiselle", "Госпожа", "Κυρία")
+EITHER = ("Dr", "Doctor", "Prof", "Professor", "My name is", "my name is", "Name:")
+NAMED = r"[^\W\d_a-z][^\W\d_]{1,30}"
+NAME = re.compile(rf"\b({'|'.join(sorted((*MALE, *FEMALE, *EITHER), key=len, reverse=True))})\.? ({NAMED})(?: ({NAMED}))?")
+SIGNS = "!#$%&*+-=?@^_~"
+#: Letters that stand for a script's letters, by its first and last code point.
+SCRIPTS = {"latin": ("A", "\u024f", "abcdefghijklmnopqrstuvwxyz"), "greek": ("\u0370", "\u03ff", "αβγδεζηθικλμνξοπρστυφχψω"), "cyrillic": ("\u0400", "\u04ff", "абвгдежзийклмнопрстуфхцчшщыэюя")}
 SYLLABLES = {
     "latin": (["bel", "cor", "dan", "fer", "gal", "har", "jon", "kel", "lor", "mar", "nor", "per", "ros", "sel", "tam", "vin"], {"m": ["o", "us", "in"], "f": ["a", "ia", "elle"], "": ["son", "er", "ford"]}),
     "cyrillic": (["бел", "вор", "гал", "дан", "жар", "зор", "кал", "лад", "мир", "нов", "рат", "сел", "тар", "фед", "хор", "яр"], {"m": ["ин", "ей", "слав"], "f": ["а", "ина", "слава"], "": ["енко", "чук", "юк"]}),
+    "greek": (["αλ", "βασ", "γερ", "δημ", "ελ", "ζαν", "καλ", "λαμ", "μαν", "νικ", "παρ", "ροδ", "σπυρ", "τασ", "φαν", "χαρ"], {"m": ["ος", "ης", "ων"], "f": ["α", "η", "ω"], "": ["ιδης", "ακης", "ου"]}),
 }
 
 
+def key_of(spark: SparkSession, key: str | None) -> str:
+    """The given key, the session's, or a new one."""
+    return key or spark.conf.get(KEY, None) or secrets.token_hex(32)
+
+
 def luhn(digits: str) -> bool:
     return sum(int(d) if k % 2 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(digits[::-1], 1)) % 10 == 0
 
 
+def script_of(letter: str) -> str:
+    return next((name for name, (a, z, _) in SCRIPTS.items() if a <= letter <= z), "latin")
+
+
+def ipv6(text: str) -> str | None:
+    """The address's normal form, if it is one that names at least two groups."""
+    if sum(map(bool, text.split(":"))) < 2:
+        return None
+    try:
+        return IPv6Address(text).exploded
+    except AddressValueError:
+        return None
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of all entities, in order, none overlapping; earlier patterns come first."""
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
         found += [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
     if '"' in text or "'" in text:
-        found += [(m.start(1), m.end(1), "secret", m[1].lower()) for m in SECRET.finditer(text)]
+        for m in SECRET.finditer(text):
+            k = 1 if m[1] is not None else 2
+            if m[k].strip():
+                found.append((m.start(k), m.end(k), "secret", m[k]))
     if re.search(r"\d", text):
         found += [(m.start(), m.end(), "phone", re.sub(r"\D", "", m[0])) for m in PHONE.finditer(text)]
         found += [(m.start(), m.end(), "ipv4", m[0]) for m in IPV4.finditer(text)]
         for m in CARD.finditer(text):
             if luhn(digits := re.sub(r"\D", "", m[0])):
                 found.append((m.start(), m.end(), "card", digits))
+    if ":" in text:
+        found += [(m.start(), m.end(), "ipv6", own) for m in IPV6.finditer(text) if (own := ipv6(m[0]))]
     for m in NAME.finditer(text):
-        gender = "m" if m[1] in MALE else "f"
-        if m[3]:
+        parts = [k for k in (2, 3) if m[k] and m[k][0].isupper()]
+        if 2 not in parts:
+            continue
+        gender = "m" if m[1] in MALE else "f" if m[1] in FEMALE else "n"
+        if 3 in parts:
             found.append((m.start(2), m.end(2), f"given_{gender}", m[2].lower()))
-        last = 3 if m[3] else 2
-        found.append((m.start(last), m.end(last), "family", m[last].lower()))
+        found.append((m.start(parts[-1]), m.end(parts[-1]), "family", m[parts[-1]].lower()))
     out: list[tuple[int, int, str, str]] = []
     for rank, e in sorted(enumerate(found), key=lambda x: (x[1][0], x[0])):
         if not out or e[0] >= out[-1][1]:
@@ -83,7 +125,9 @@ class Stream:
     """Numbers from a keyed hash."""
 
     def __init__(self, key: str, *parts: object):
-        self.key, self.parts, self.block, self.bytes = key.encode()[:64], "\0".join(map(str, parts)).encode(), 0, b""
+        raw = key.encode()
+        self.key = raw if len(raw) <= 64 else blake2b(raw).digest()
+        self.parts, self.block, self.bytes = "\0".join(map(str, parts)).encode("utf-8", "surrogatepass"), 0, b""
 
     def below(self, n: int) -> int:
         if len(self.bytes) < 4:
@@ -92,40 +136,62 @@ class Stream:
         x, self.bytes = int.from_bytes(self.bytes[:4], "big"), self.bytes[4:]
         return x % n
 
-    def like(self, text: str, letters: str = "abcdefghijklmnopqrstuvwxyz") -> str:
-        return "".join("0123456789"[self.below(10)] if c.isdigit() else letters[self.below(len(letters))] if c.isalpha() else c for c in text)
+    def any(self, letters: str) -> str:
+        return letters[self.below(len(letters))]
+
+    def digits(self, n: int) -> str:
+        return "".join(self.any("0123456789") for _ in range(n))
+
+    def like(self, text: str, letters: str | None = None, signs: str = "") -> str:
+        """Digits for digits, letters of the same script and case for letters; signs, where given, for signs."""
+        out = []
+        for c in text:
+            if c.isdigit():
+                c = self.any("0123456789")
+            elif c.isalpha():
+                new = self.any(letters or SCRIPTS[script_of(c)][2])
+                c = new.upper() if c.isupper() else new
+            elif signs and not c.isspace():
+                c = self.any(signs)
+            out.append(c)
+        return "".join(out)
 
 
-def surrogate(kind: str, norm: str, attempt: int, key: str = KEY) -> str:
+def surrogate(kind: str, norm: str, attempt: int, key: str) -> str:
     """The normal form of the surrogate that an entity draws at an attempt."""
     s = Stream(key, kind, norm, attempt)
+    more, most = max(0, attempt - WIDE + 1), max(0, attempt - 2 * WIDE + 1)
     if kind == "email":
         local, _, domain = norm.partition("@")
         *sub, _, top = domain.split(".")
-        return f"{s.like(local)}{'' if attempt < WIDE else s.below(10**6)}@{'.'.join([*map(s.like, sub), 'example', top if top in ('com', 'net', 'org') else 'org'])}"
+        return f"{s.like(local)}{s.digits(more)}@{'.'.join([*map(s.like, sub), 'example', top if top in ('com', 'net', 'org') else 'org'])}"
     if kind == "phone":
         if len(norm) >= 10:
-            head, rest = norm[:-10], s.like("0" * 10)
-            return head + rest[:3] + ("555" if attempt < WIDE else rest[3:6]) + rest[6:]
-        return s.like(norm)
+            head, rest = norm[:-10], s.digits(10)
+            return head + rest[:3] + (rest[3:6] if more else "555") + rest[6:] + s.digits(most)
+        return s.digits(len(norm) + most)
+    if kind == "ipv6" or kind == "ipv4" and most:
+        return "2001:0db8:" + ":".join("".join(s.any("0123456789abcdef") for _ in range(4)) for _ in range(6))
     if kind == "ipv4":
-        return f"{10 if attempt < WIDE else 240 + s.below(15)}.{s.below(256)}.{s.below(256)}.{s.below(256)}"
+        return f"{240 + s.below(15) if more else 10}.{s.below(256)}.{s.below(256)}.{s.below(256)}"
     if kind == "card":
-        body = norm[0] + s.like(norm[1:-1])
+        body = norm[0] + s.digits(min(17, len(norm) - 2 + most))
         return next(body + str(d) for d in range(10) if luhn(f"{body}{d}"))
     if kind == "secret":
-        return s.like(norm, "abcdef" if re.fullmatch("[0-9a-f]+", norm) else "abcdefghijklmnopqrstuvwxyz")
-    first, ends = SYLLABLES["cyrillic" if re.match("[а-яё]", norm) else "latin"]
+        return s.like(norm, "abcdef" if re.fullmatch("[0-9a-fA-F]+", norm) else None, SIGNS) + s.digits(more)
+    first, ends = SYLLABLES[script_of(norm[0])]
     gender = kind.partition("_")[2]
-    body = "".join(first[s.below(len(first))] for _ in range(2 + attempt // 4))
-    return body + ends[gender][s.below(len(ends[gender]))]
+    body = "".join(s.any(first) for _ in range(2 + attempt // 4))
+    return body + s.any([x for g in ("m", "f") for x in ends[g]] if gender == "n" else ends[gender])
 
 
 def render(original: str, kind: str, drawn: str) -> str:
     """The surrogate in the form of the mention: its separators, or its case."""
     if kind in ("phone", "card"):
         digits = iter(drawn)
-        return "".join(next(digits) if c.isdigit() else c for c in original)
+        return "".join(next(digits, "") if c.isdigit() else c for c in original) + "".join(digits)
+    if kind == "secret" or ":" in drawn:
+        return drawn
     if original.isupper():
         return drawn.upper()
     if kind.startswith("given") or kind == "family":
@@ -133,7 +199,7 @@ def render(original: str, kind: str, drawn: str) -> str:
     return drawn
 
 
-def replace(text: str, anew: dict[tuple[str, str], int], key: str = KEY) -> tuple[str, int]:
+def replace(text: str, anew: dict[tuple[str, str], int], key: str) -> tuple[str, int]:
     """The text with surrogates, and the number of mentions."""
     out, at, found = [], 0, detect(text)
     for start, end, kind, norm in found:
@@ -162,29 +228,39 @@ def draws(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     return draw(kind, norm, attempt)
 
 
-def drawn_anew(spark: SparkSession, every: DataFrame, key: str, first=None) -> DataFrame:
-    """(kind, norm, attempt) of the distinct entities that need another surrogate than their first."""
-    draw = first or draws
-    now = settle(spark, every.select("kind", "norm", F.lit(0).alias("attempt"), draw(F.col("kind"), F.col("norm"), F.lit(0), key).alias("drawn")))
+def drawn_anew(spark: SparkSession, every: DataFrame, key: str, first=None) -> tuple[DataFrame, list[DataFrame]]:
+    """(kind, norm, attempt) of the distinct entities that need another surrogate than their first, and what was settled for it."""
+    draw, own = first or draws, ["kind", "drawn"]
+    drawn = lambda df, attempt: df.select("kind", "norm", attempt.alias("attempt"), draw(F.col("kind"), F.col("norm"), attempt, key).alias("drawn"))
+    pending = settle(spark, drawn(every, F.lit(0)))
+    kept, settled = None, [pending]
     while True:
-        least = now.groupBy("kind", "drawn").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm")).alias("keeper"))
-        taken = every.select("kind", F.col("norm").alias("drawn"), F.lit(True).alias("real"))
-        bad = least.where("n > 1").select("kind", "drawn", "keeper").join(least.join(taken, ["kind", "drawn"]).select("kind", "drawn", "real"), ["kind", "drawn"], "full")
-        marked = now.join(bad, ["kind", "drawn"], "left").withColumn("again", F.coalesce("real", F.lit(False)) | F.coalesce(F.struct("attempt", "norm") != F.col("keeper"), F.lit(False)))
-        marked = settle(spark, marked.select("kind", "norm", "attempt", "drawn", "again"))
-        again = marked.where("again")
+        groups = pending.groupBy(*own).agg(F.count("*").alias("n"), F.min("norm").alias("keeper"))
+        bad = [pending.join(groups.where("n > 1"), own).where("norm <> keeper"), pending.join(every.select("kind", F.col("norm").alias("drawn")), own, "left_semi")]
+        if kept is not None:
+            bad.append(pending.join(kept.select(*own), own, "left_semi"))
+        again = bad[0].select("kind", "norm", "attempt")
+        for b in bad[1:]:
+            again = again.union(b.select("kind", "norm", "attempt"))
+        again = settle(spark, again.distinct())
+        settled.append(again)
+        rest = pending.join(again.select("kind", "norm"), ["kind", "norm"], "left_anti")
+        kept = rest if kept is None else kept.union(rest)
         if again.isEmpty():
-            return marked.where("attempt > 0").select("kind", "norm", "attempt")
-        more = again.select("kind", "norm", (F.col("attempt") + 1).alias("attempt"), draw(F.col("kind"), F.col("norm"), F.col("attempt") + 1, key).alias("drawn"))
-        now = settle(spark, marked.where("not again").select("kind", "norm", "attempt", "drawn").union(more))
+            return kept.where("attempt > 0").select("kind", "norm", "attempt"), settled
+        pending = settle(spark, drawn(again, F.col("attempt") + 1))
+        settled.append(pending)
 
 
-def pseudonymise(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY, mentions: str | None = None, first=None) -> DataFrame:
-    """df with surrogates in column text. mentions: name of a column for their number."""
+def pseudonymise(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str | None = None, mentions: str | None = None, first=None) -> DataFrame:
+    """df with surrogates in column text. key: see above; mentions: name of a column for their number."""
+    key = key_of(spark, key)
     own = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
     found = settle(spark, df.select(own.alias("key"), F.explode(entities(F.col(text))).alias("e")).select("key", "e.*"))
-    anew = drawn_anew(spark, settle(spark, found.select("kind", "norm").distinct()), key, first)
+    every = settle(spark, found.select("kind", "norm").distinct())
+    anew, settled = drawn_anew(spark, every, key, first)
     by_text = settle(spark, found.join(anew, ["kind", "norm"]).groupBy("key").agg(F.collect_set(F.struct("kind", "norm", "attempt")).alias("anew")))
+    forget(spark, found, every, *settled)
     k, other, a, r = fresh(df, "text_key", "other_key", "anew", "replaced")
     joined = df.withColumn(k, own).join(by_text.select(F.col("key").alias(other), F.col("anew").alias(a)), F.col(k) == F.col(other), "left")
 
@@ -193,8 +269,9 @@ def pseudonymise(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", tex
         rows = [(None, 0) if t is None else replace(t, {(x["kind"], x["norm"]): x["attempt"] for x in d or ()}, key) for t, d in zip(texts.to_pylist(), drawn.to_pylist(), strict=True)]
         return pa.StructArray.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int64())], ["text", "n"])
 
-    out = joined.withColumn(r, put(F.col(text), F.col(a))).withColumn(text, F.col(f"{r}.text"))
-    return out.select(*df.columns, *([F.col(f"{r}.n").alias(mentions)] if mentions else []))
+    out = joined.withColumn(r, put(F.col(text), F.col(a)))
+    held = [c for c in df.columns if c != mentions]
+    return out.select(*(F.col(f"{r}.text").alias(c) if c == text else F.col(c) for c in held), *([F.col(f"{r}.n").alias(mentions)] if mentions else []))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

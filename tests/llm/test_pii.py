@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from ordwell.llm import pii as p
@@ -13,7 +15,7 @@ def test_detect():
 
 
 def test_replace_keeps_form_and_coreference():
-    out, n = p.replace(TEXT, {})
+    out, n = p.replace(TEXT, {}, "k")
     assert n == 10
     found = p.detect(out)
     assert [e[2] for e in found] == [e[2] for e in p.detect(TEXT)]
@@ -26,7 +28,7 @@ def test_replace_keeps_form_and_coreference():
     assert not set("abcdefghijklmnopqrstuvwxyz") & set(family[2])
     for _, _, _, norm in p.detect(TEXT):
         assert norm not in out.lower()
-    assert p.replace(TEXT, {})[0] == out and p.replace(TEXT, {}, "other")[0] != out
+    assert p.replace(TEXT, {}, "k")[0] == out and p.replace(TEXT, {}, "other")[0] != out
 
 
 def test_search_is_linear():
@@ -42,7 +44,7 @@ def narrow(kind, norm, attempt, key):
 
 def test_collisions_are_drawn_anew(spark):
     every = spark.createDataFrame([("k", x) for x in "abcdef"] + [("k", "f-0")], "kind string, norm string")
-    got = {(r.norm, r.attempt) for r in p.drawn_anew(spark, every, "key", first=narrow).collect()}
+    got = {(r.norm, r.attempt) for r in p.drawn_anew(spark, every, "key", first=narrow)[0].collect()}
     assert got == {("b", 1), ("c", 1), ("d", 1), ("f", 1)}
 
 
@@ -67,3 +69,81 @@ def test_edges(spark):
     got = sorted(((r.doc_id or 0), r.text, r.n) for r in out.collect() if r.text is not None)
     assert got[0][1:] == ("", 0) and got[1] == got[2] and got[1][2] == 10 and got[3][1:] == ("plain", 0)
     assert p.pseudonymise(spark, df.limit(0)).count() == 0
+
+
+def test_more_forms():
+    kinds = lambda t: [e[2:] for e in p.detect(t)]
+    assert kinds("call 555-123-4567 or 555.123.4568, not 555-1234-567") == [("phone", "5551234567"), ("phone", "5551234568")]
+    assert kinds("jürgen.müller@bücher.example.de") == [("email", "jürgen.müller@bücher.example.de")]
+    assert kinds("at 2001:DB8::1 and fe80:0:0:0:1:2:3:4 but 12:30:45, std::vector, a :: b") == [("ipv6", "2001:0db8:0000:0000:0000:0000:0000:0001"), ("ipv6", "fe80:0000:0000:0000:0001:0002:0003:0004")]
+    assert kinds("My name is Anna Weber. Dr. Lee, Κυρία Παπαδοπούλου") == [("given_n", "anna"), ("family", "weber"), ("family", "lee"), ("family", "παπαδοπούλου")]
+    assert kinds("password = '" + "s3cret" * 5000 + "'")[0][1] == "s3cret" * 5000
+    assert kinds('password = "      "') == []
+
+
+def test_secrets_are_exact():
+    out = p.replace('token = "AbCdEf99" secret = "abcdef99" password: "******" password: "p@ss word!"', {}, "k")[0]
+    a, b, c, d = (e[3] for e in p.detect(out))
+    assert len({a, b, c, d}) == 4 and a.lower() != b
+    assert [x.isupper() for x in a[:6]] == [True, False] * 3 and a[6:].isdigit()
+    assert len(c) == 6 and set(c) <= set(p.SIGNS) and c != "******"
+    assert d[4] == " " and d[1] in p.SIGNS
+
+
+def brute(rows):
+    """Texts cut at their entities: (literal parts, [(kind, normal form)])."""
+    out = []
+    for t in rows:
+        found, at, parts = p.detect(t or ""), 0, []
+        for a, z, _, _ in found:
+            parts.append(t[at:a])
+            at = z
+        out.append(([*parts, (t or "")[at:]], [e[2:] for e in found]))
+    return out
+
+
+def test_corpus_against_brute_force(spark):
+    """Every mention replaced, the same entity alike everywhere, two never alike, and no surrogate an entity of the corpus."""
+    rnd = __import__("random").Random(5)
+    make = [
+        lambda: f'password = "{"".join(rnd.choice("*!") for _ in range(6))}"',
+        lambda: f'secret = "{rnd.choice("0123456789")}*****"',
+        lambda: f'token = "{rnd.choice(["abcdef", "ABCDEF", "aBcDeF"])}{rnd.randint(0, 9)}"',
+        lambda: f"+1 23 {rnd.randint(10, 99)}",
+        lambda: f"10.0.{rnd.randint(0, 3)}.{rnd.randint(0, 255)}",
+        lambda: f"u{rnd.randint(0, 9)}@h.example.com",
+        lambda: f"Mr {rnd.choice(['Bo', 'Al', 'Cy'])} {rnd.choice(['Belcorson', 'Dan', 'Corbelson'])}",
+    ]
+    rows = [(k, " and ".join(rnd.choice(make)() for _ in range(rnd.randint(0, 6)))) for k in range(600)]
+    got = {r.doc_id: r.text for r in p.pseudonymise(spark, spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
+    seen, real = {}, set()
+    for (doc, _), (parts, own) in zip(rows, brute([t for _, t in rows]), strict=True):
+        real |= set(own)
+        rest = got[doc]
+        for k, e in enumerate(own):
+            assert rest.startswith(parts[k])
+            rest = rest[len(parts[k]) :]
+            end = rest.index(parts[k + 1]) if parts[k + 1] else len(rest)
+            drawn = re.sub(r"\D", "", rest[:end]) if e[0] == "phone" else rest[:end].lower() if e[0] != "secret" else rest[:end]
+            assert seen.setdefault(e, drawn) == drawn
+            rest = rest[end:]
+        assert rest == parts[-1]
+    assert len(real) > 80 and len({(k, x) for (k, _), x in seen.items()}) == len(seen)
+    assert not {(k, x) for (k, _), x in seen.items()} & real
+
+
+def test_rounds_end_where_a_form_is_used_up(spark):
+    rows = [(k, f'secret = "{k % 10}{s}****"') for k, s in enumerate("*" * 10)] + [(99, "+1 23 45")] + [(100 + k, f"+{k // 100000 % 10} {k // 1000 % 100:02d} {k // 10 % 100:02d}") for k in range(0, 1000000, 1000)]
+    out = p.pseudonymise(spark, spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()
+    assert len(out) == len(rows) and len({r.text for r in out if r.doc_id < 10}) == 10
+
+
+def test_key(spark):
+    df = spark.createDataFrame([(1, TEXT)], "doc_id long, text string")
+    texts = {p.pseudonymise(spark, df).first().text for _ in range(2)}
+    assert len(texts) == 2  # a key for each run
+    spark.conf.set(p.KEY, "mine")
+    try:
+        assert p.pseudonymise(spark, df).first().text == p.replace(TEXT, {}, "mine")[0]
+    finally:
+        spark.conf.unset(p.KEY)
