@@ -7,25 +7,31 @@ that no pattern has. Where the move is zero, the block's bucket holds the patter
 that end in it; their first block is compared, then all of their words.
 
 Null texts have no words; items without words match nothing; items that share windows
-are all named; ids are compared as strings; repeated items and rows change nothing.
-Benchmarks beyond block_bytes are searched in several blocks of items, each against
-all rows, so what a worker holds stays bounded; their hits are united afterwards.
-Items whose id is null are left out, as in op7's SQL; with `nameless` their windows
-count as hits too, only their names are missing from items.
+are all named; ids are compared as strings; repeated items and rows change nothing. The
+windows of items whose id is null count as hits, only their names are missing from items.
+Very long texts are searched whole. A column named like the result is replaced by it.
+
+The benchmark is cut into pieces of bounded length that share windows' beginnings, so no
+window is lost, and the pieces are dealt into blocks of about block_bytes by a hash.
+One block at a time comes to the driver and to the workers, which search all texts for
+it; what it hits is written to the shared folder, by a digest of the text, before the
+next is fetched. The last block, mostly the only one, is searched where the result is
+made, and joined with what the others hit.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from functools import reduce
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordwell.llm.common import fresh, release, table
+from ordwell.llm.common import forget, fresh, release, settle, table
 
 WINDOW = 13
+PIECE = 4096  # windows
 BLOCK_BYTES = 16 << 20
 #: A-Z lower-cased; ASCII that is neither letter nor digit becomes a blank.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -132,25 +138,59 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), zero, step, lambda acc: acc["n"]).cast("long")
 
 
-def blocks_of_items(benchmark: DataFrame, item: str, text: str, block_bytes: int, nameless: bool = False) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of at most about block_bytes, each fetched alone."""
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.encode(F.col(text), "utf-8").alias("t")).where("t is not null" if nameless else "i is not null and t is not null").distinct()
+def pieces(benchmark: DataFrame, item: str, text: str, window: int) -> DataFrame:
+    """(i, t): the items' ids as strings and pieces of their words, each with all words of its windows."""
+
+    def cut(batches):
+        for batch in batches:
+            ids, texts = [], []
+            for i, t in zip(batch.column("i").to_pylist(), batch.column("t"), strict=True):
+                words = words_of(t.as_py())
+                for k in range(0, max(1, len(words) - window + 1), PIECE) if words else ():
+                    ids.append(i)
+                    texts.append(b" ".join(words[k : k + PIECE + window - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.binary())], ["i", "t"])
+
+    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.encode(F.col(text), "utf-8").alias("t")).where("t is not null")
+    return rows.mapInArrow(cut, "i string, t binary").distinct()
+
+
+def blocks_of(rows: DataFrame, block_bytes: int) -> Iterator[tuple[bool, list[tuple[str, bytes]]]]:
+    """(whether it is the last, its pieces) for each block, fetched when asked for."""
     size = rows.agg(F.sum(F.octet_length("t") + 32)).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    fetch = lambda df: sorted(((r.i, bytes(r.t)) for r in df.toLocalIterator()), key=lambda x: (x[0] or "", x[0] is not None, x[1]))
-    return [fetch(rows if n == 1 else rows.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k)) for k in range(n)]
+    for k in range(n):
+        own = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
+        yield k == n - 1, sorted(((r.i, bytes(r.t)) for r in own.toLocalIterator()), key=lambda x: (x[0] or "", x[0] is not None, x[1]))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", to: str = "hits", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, nameless: bool = False) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", to: str = "hits", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with a struct column to: n_words, spans (word positions that items' windows cover), n_hit and items."""
-    blocks = blocks_of_items(benchmark, item, item_text, block_bytes, nameless)
-    parts = fresh(docs, *(f"hits_{k}" for k in range(len(blocks))))
-    for name, items in zip(parts, blocks, strict=True):
-        docs = docs.withColumn(name, hits(F.col(text), items, window))
-    spans = reduce(F.concat, [F.col(f"{p}.spans") for p in parts])
-    items = F.array_sort(F.array_distinct(reduce(F.concat, [F.col(f"{p}.items") for p in parts])))
-    made = F.struct(F.col(f"{parts[0]}.n_words"), spans.alias("spans"), covered(spans).alias("n_hit"), items.alias("items"))
-    return docs.withColumn(to, made).drop(*(p for p in parts if p != to))
+    spark, digest = docs.sparkSession, F.md5(F.encode(F.col(text), "utf-8"))
+    rows = settle(spark, pieces(benchmark, item, item_text, window))
+    before: list[DataFrame] = []
+    for last, items in blocks_of(rows, block_bytes):
+        if last:
+            break
+        found = docs.where(F.col(text).isNotNull()).select(digest.alias("digest"), hits(F.col(text), items, window).alias("h"))
+        before.append(settle(spark, found.where(F.size("h.spans") > 0).dropDuplicates(["digest"])))
+    forget(spark, rows)
+    now, key, other, spans, names = fresh(docs, "hits_now", "text_digest", "other_digest", "spans_before", "items_before")
+    shown = docs.withColumn(now, hits(F.col(text), items, window))
+    if before:
+        every = before[0]
+        for b in before[1:]:
+            every = every.union(b)
+        gathered = every.groupBy("digest").agg(F.flatten(F.collect_list("h.spans")).alias("s"), F.flatten(F.collect_list("h.items")).alias("n"))
+        gathered = settle(spark, gathered)
+        forget(spark, *before)
+        shown = shown.withColumn(key, digest).join(gathered.select(F.col("digest").alias(other), F.col("s").alias(spans), F.col("n").alias(names)), F.col(key) == F.col(other), "left")
+        both = lambda mine, theirs: F.concat(F.col(f"{now}.{mine}"), F.coalesce(F.col(theirs), F.array()))
+        all_spans, all_items = both("spans", spans), F.array_sort(F.array_distinct(both("items", names)))
+    else:
+        all_spans, all_items = F.col(f"{now}.spans"), F.col(f"{now}.items")
+    made = F.struct(F.col(f"{now}.n_words"), all_spans.alias("spans"), covered(all_spans).alias("n_hit"), all_items.alias("items"))
+    return shown.select(*(c for c in docs.columns if c.lower() != to.lower()), made.alias(to))
 
 
 def contaminated(hits: Column) -> Column:
@@ -181,7 +221,7 @@ WITH d AS (
 b AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id,
          regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
-  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+  FROM benchmark WHERE text IS NOT NULL),
 p AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g
       FROM (SELECT item_id, w, least(13, len(w)) AS m, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
 m AS (SELECT DISTINCT m FROM p),
@@ -189,7 +229,7 @@ g AS (SELECT r, m, i, array_to_string(w[i:i + m - 1], ' ') AS g
       FROM (SELECT r, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM d, m WHERE len(w) >= m)),
 h AS (SELECT g.r, g.i, g.m, p.item_id FROM g JOIN p ON g.m = p.m AND g.g = p.g),
 c AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + m - 1)) AS j FROM h) GROUP BY r),
-t AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY r)
+t AS (SELECT r, count(item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(t.s, '')) AS items_sha256,
        coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated

@@ -21,7 +21,7 @@ def slow(text, items, window):
                 if w[j : j + m] == p[i : i + m]:
                     hit |= set(range(j, j + m))
                     found.add(item)
-    return len(w), len(hit), sorted(found)
+    return len(w), len(hit), sorted(found - {None})
 
 
 def cases():
@@ -56,8 +56,10 @@ def test_blocks_of_items_give_the_same(spark):
     for size in (16 << 20, 200):
         found = d.find_contamination(docs, bench, window=4, block_bytes=size)
         assert found.columns == ["doc_id", "text", "hits_0", "hits"]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("search(") == plan.count("ArrowEvalPython") == 1
         for r in found.collect():
-            assert (r.hits.n_words, r.hits.n_hit, r.hits["items"]) == slow(r.text, items, 4)
+            assert (r.hits.n_words, r.hits.n_hit, r.hits["items"]) == slow(r.text, [*items, (None, "b b")], 4)
 
 
 def test_items_without_an_id_are_hit(spark, tmp_path):
@@ -67,7 +69,7 @@ def test_items_without_an_id_are_hit(spark, tmp_path):
     assert [r.doc_id for r in corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path)).collect()] == [2]
     bench = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
     for size in (16 << 20, 40):
-        found = {r.doc_id: r.hits for r in d.find_contamination(docs, bench, block_bytes=size, nameless=True).collect()}
+        found = {r.doc_id: r.hits for r in d.find_contamination(docs, bench, block_bytes=size).collect()}
         assert {k: (h.n_hit, h["items"]) for k, h in found.items()} == {1: (14, []), 2: (0, []), 3: (1, ["7"])}
 
 
@@ -77,3 +79,29 @@ def test_empty_tables(spark):
     r = d.find_contamination(docs, bench).select("hits.*", d.contaminated(d.F.col("hits")).alias("c")).first()
     assert (r.n_words, r.n_hit, r["items"], r.c) == (2, 0, [], False)
     assert d.find_contamination(docs.limit(0), bench).count() == 0
+
+
+def test_one_block_at_a_time(spark, monkeypatch):
+    """However many blocks the benchmark has, one search at a time is planned, and each block is bounded."""
+    items, texts = cases()
+    bench = spark.createDataFrame([*items, ("long", " ".join(f"w{k}" for k in range(3000)))], "item_id string, text string")
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, " ".join(f"w{k}" for k in range(2900, 2950))])], "doc_id long, text string")
+    monkeypatch.setattr(d, "PIECE", 100)
+    sizes, real = [], d.hits
+    monkeypatch.setattr(d, "hits", lambda text, own, window: (sizes.append(sum(len(t) + 32 for _, t in own)), real(text, own, window))[1])
+    found = d.find_contamination(docs, bench, window=4, block_bytes=3000)
+    assert len(sizes) > 4 and max(sizes) < 4 * 3000
+    got = {r.doc_id: r.hits for r in found.collect()}
+    assert got[len(texts)]["items"] == ["long"] and got[len(texts)].n_hit == 50
+    for k, t in enumerate(texts):
+        assert (got[k].n_words, got[k].n_hit, got[k]["items"]) == slow(t, items, 4)
+
+
+def test_very_long_text_repeats_and_clash(spark):
+    passage = " ".join(f"p{k}" for k in range(13))
+    text = "filler " * 200_000 + passage + " filler" * 100_000
+    docs = spark.createDataFrame([(1, text, 5), (1, text, 6), (None, passage, 7)], "doc_id long, text string, Hits int")
+    bench = spark.createDataFrame([(3, passage), (3, passage), (4, passage.upper() + " more")], "item_id long, text string")
+    got = d.find_contamination(docs, bench)
+    assert got.columns == ["doc_id", "text", "hits"]
+    assert [(r.hits.n_hit, r.hits["items"]) for r in got.collect()] == [(13, ["3", "4"])] * 3
