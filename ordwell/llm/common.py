@@ -56,17 +56,16 @@ def forget(spark: SparkSession, *settled: DataFrame) -> None:
 HOT = 1000
 
 
-def join_by_weight(spark: SparkSession, rows: DataFrame, groups: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
-    """rows joined (inner or left_semi) with groups, which has each key once and in n how many rows have it.
+def join_by_weight(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left_semi) with groups (settled), which has each key once and in n how many rows have it.
 
     Rows of hot keys aren't brought together: those keys, at most HOT of them whatever
     the size of rows, are broadcast; all others meet in a shuffled join.
     """
     least = total // HOT
-    hot = settle(spark, groups.where(F.col(n) > least))
-    few = F.broadcast(hot)
+    hot = groups.where(F.col(n) > least)
     others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(few, key, how).unionByName(others.join(groups.where(F.col(n) <= least), key, how))
+    return rows.join(F.broadcast(hot), key, how).unionByName(others.join(groups.where(F.col(n) <= least), key, how))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -4,22 +4,22 @@ Lines with a word are normalised (A-Z lower-cased, white space collapsed) and ha
 At each line a window starts that takes as many lines as reach `least` words; of each
 window the smallest line hash is selected. Two texts that share a run of at least that
 many words share a whole window, and so what it selects: a guaranteed fingerprint.
-Fingerprints found at two places or more are joined by their hash. From there matches
-are extended both ways, window by window, over all windows around the place: a window
-is repeated if the same lines stand at an earlier place (by id, then text hash, then
-line). Lines under repeated windows are deleted; the first place keeps them. A group
-needs its first place only, so no pairs are made.
-
-These windows end before a repeated run does where fewer than `least` words follow its
-last window's first line. With `whole`, runs from each line to each line before the next
-window's end are compared too (as many as lines, at most, besides the windows), so all
-lines of the longest repeated runs go. Runs need no such care at their beginning, as a
-window starts at each line. The query op9, like its SQL, is defined by windows alone.
+Fingerprints found at two places or more are joined by their hash. Around each of their
+places runs grow both ways: to the left to every line from which a window reaches the
+place, to the right line by line from that window's end to where the next line's window
+ends (what is longer consists of that and of the next line's runs). So the longest
+matches are covered, and there are at most as many such runs as lines, besides the
+windows. A run's hash meets those of all places at once, so no pairs are made.
+
+A run is deleted where it stands later than its first place (by id, then text hash, then
+line): in another document, or in the same one after the first place's end. So of lines
+that overlap with their own repetition the first run stays whole.
 
 Null texts and texts without words stay as they are. Null ids come first. Rows with
 the same id and text count as one document, so neither is later than the other. Very
 long lines and texts are hashed whole. Other columns pass through; an empty table
-gives none.
+gives none. A fingerprint or run that very many places have isn't brought together in
+one task: its places are reduced before the shuffle and looked up in a bounded table.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ordwell.llm.common import fresh, release, settle, table
+from ordwell.llm.common import forget, fresh, join_by_weight, release, settle, table
 
 LEAST = 50
 LINES = "struct<at: array<int>, hash: array<long>, words: array<int>>"
@@ -88,43 +88,53 @@ def winnow(lines: Column, least: int) -> Column:
     return select(lines)
 
 
-def ends_of(windows: list[tuple[int, int, int, int]], lines: int, whole: bool) -> list[tuple[int, int, int]]:
-    """(place, first, last) of all windows; if whole, also of each longer run up to where the next window ends."""
+def runs_of(windows: list[tuple[int, int, int, int]], lines: int) -> list[tuple[int, int, int]]:
+    """(place, first, last) of the runs that grow from the windows, each up to where the next line's window ends."""
     stops = [last for *_, last in windows[1:]] + [lines]
-    return [(k, a, e) for (_, k, a, z), stop in zip(windows, stops, strict=False) for e in (range(z, max(z + 1, stop)) if whole else (z,))]
+    return [(k, a, e) for (_, k, a, z), stop in zip(windows, stops, strict=False) for e in range(z, max(z + 1, stop))]
 
 
-def extend(lines: Column, places: Column, least: int, whole: bool = False) -> Column:
-    """Column of the windows around the given places: first and last line and the hash of all their lines."""
+def extend(lines: Column, places: Column, least: int) -> Column:
+    """Column of the runs around the given places: first and last line and the hash of all their lines."""
 
     @F.arrow_udf("array<struct<first: int, last: int, run: long>>")
     def around(found: pa.Array, at: pa.Array) -> pa.Array:
         rows = []
         for x, own in zip(found.to_pylist(), at.to_pylist(), strict=True):
             hashes, own = x["hash"], set(own)
-            rows.append([{"first": a, "last": z, "run": signed(xxh64_intdigest(struct.pack(f"<{z - a + 1}q", *hashes[a : z + 1])))} for k, a, z in ends_of(windows_of(hashes, x["words"], least), len(hashes), whole) if k in own])
+            packed = struct.pack(f"<{len(hashes)}q", *hashes)
+            rows.append([{"first": a, "last": e, "run": signed(xxh64_intdigest(packed[8 * a : 8 * e + 8]))} for k, a, e in runs_of(windows_of(hashes, x["words"], least), len(hashes)) if k in own])
         return pa.array(rows, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("run", pa.int64())])))
 
     return around(lines, places)
 
 
-def repeated_lines(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, whole: bool = False) -> DataFrame:
+def first_places(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
+    """For each key with two places (column where) or more: the first, and how many rows have it; reduced before the shuffle."""
+    groups = rows.groupBy(key).agg(F.min("where").alias("low"), F.max("where").alias("high"), F.count("*").alias("n"))
+    return settle(spark, groups.where("low <> high").select(key, "low", "n"))
+
+
+def repeated_lines(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """(key, gone): the numbers of the lines to delete, for texts that have any. key: struct of id and text hash."""
     key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
     lines = settle(spark, df.select(key.alias("key"), lines_of(F.col(text)).alias("lines")).where("size(lines.at) > 0"))
     picks = settle(spark, lines.select("key", F.explode(winnow(F.col("lines"), least)).alias("p")).select("p.pick", F.struct("key", "p.place").alias("where")))
-    shared = picks.groupBy("pick").agg(F.min("where").alias("low"), F.max("where").alias("high")).where("low <> high").select("pick")
-    places = picks.join(shared, "pick", "left_semi").groupBy("where.key").agg(F.collect_set("where.place").alias("places"))
-    around = lines.dropDuplicates(["key"]).join(places, "key").select("key", F.col("lines.at").alias("at"), F.explode(extend(F.col("lines"), F.col("places"), least, whole)).alias("w"))
-    around = settle(spark, around.select("key", F.expr("slice(at, w.first + 1, w.last - w.first + 1)").alias("at"), "w.run", F.struct("key", "w.first").alias("where")))
-    first = around.groupBy("run").agg(F.min("where").alias("low"), F.max("where").alias("high")).where("low <> high").select("run", "low")
-    later = around.join(first, "run").where("where <> low")
-    return later.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))
-
-
-def drop_repeated_lines(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, removed: str | None = None, whole: bool = False) -> DataFrame:
-    """df without the lines of later repeated runs. removed: name of a column for their number; whole: also runs' ends."""
-    gone = repeated_lines(spark, df, doc_id, text, least, whole)
+    shared = first_places(spark, picks, "pick")
+    places = join_by_weight(picks, shared.select("pick", "n"), "pick", "n", picks.count(), "left_semi").groupBy("where.key").agg(F.collect_set("where.place").alias("places"))
+    around = lines.dropDuplicates(["key"]).join(places, "key").select("key", F.col("lines.at").alias("at"), F.explode(extend(F.col("lines"), F.col("places"), least)).alias("w"))
+    around = settle(spark, around.select(F.expr("slice(at, w.first + 1, w.last - w.first + 1)").alias("at"), "w.run", F.struct("key", "w.first").alias("where")))
+    first = first_places(spark, around, "run")
+    again = join_by_weight(around, first, "run", "n", around.count())
+    later = again.where("where.key <> low.key or where.first >= low.first + size(at)")
+    gone = settle(spark, later.groupBy("where.key").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone")))
+    forget(spark, lines, picks, shared, around, first)
+    return gone
+
+
+def drop_repeated_lines(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, removed: str | None = None) -> DataFrame:
+    """df without the lines of later repeated runs. removed: name of a column for their number."""
+    gone = repeated_lines(spark, df, doc_id, text, least)
     key, k, g, n = fresh(df, "line_key", "gone_key", "gone", "n_gone")
     shown = df.withColumn(key, F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash")))
     gone = gone.select(F.col("key").alias(k), F.col("gone").alias(g))
@@ -132,7 +142,8 @@ def drop_repeated_lines(spark: SparkSession, df: DataFrame, doc_id: str = "doc_i
     rest = F.expr(f"transform(array_except(sequence(0, size(split(`{text}`, '\\n')) - 1), `{g}`), i -> i)")
     both = F.transform(F.array(F.struct(F.split(F.col(text), "\n").alias("l"), rest.alias("r"))), lambda x: F.array_join(F.transform(x["r"], lambda i: F.get(x["l"], i)), "\n"))[0]
     out = joined.withColumn(n, F.coalesce(F.size(g), F.lit(0)).cast("long")).withColumn(text, F.when(F.col(g).isNull(), F.col(text)).otherwise(both))
-    return out.select(*df.columns, *([F.col(n).alias(removed)] if removed else []))
+    held = [c for c in df.columns if not removed or c.lower() != removed.lower()]
+    return out.select(*held, *([F.col(n).alias(removed)] if removed else []))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,15 +166,20 @@ w AS (
 n AS (
   SELECT doc_id, i, row_number() OVER o AS k, array_to_string(w, ' ') AS t, sum(len(w)) OVER o AS upto, len(w) AS n
   FROM w WHERE len(w) > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-e AS (
-  SELECT a.doc_id, a.k AS first, min(b.k) AS last
+z AS (
+  SELECT a.doc_id, a.k AS first, min(b.k) AS z
   FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.upto + a.n >= 50 GROUP BY ALL),
+c AS (SELECT doc_id, max(k) AS lines FROM n GROUP BY doc_id),
+e AS (
+  SELECT doc_id, first, unnest(generate_series(z, greatest(z, coalesce(stop - 1, lines)))) AS last
+  FROM (SELECT z.*, lines, lead(z) OVER (PARTITION BY doc_id ORDER BY first) AS stop FROM z JOIN c USING (doc_id))),
 r AS (
   SELECT e.doc_id, e.first, e.last, string_agg(n.t, chr(10) ORDER BY n.k) AS run
   FROM e JOIN n ON n.doc_id = e.doc_id AND n.k BETWEEN e.first AND e.last GROUP BY ALL),
-f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, first) AS place FROM r),
+f AS (SELECT *, first_value(doc_id) OVER o AS low_id, first_value(first) OVER o AS low FROM r WINDOW o AS (PARTITION BY run ORDER BY doc_id, first)),
 gone AS (
-  SELECT DISTINCT n.doc_id, n.i FROM f JOIN n ON n.doc_id = f.doc_id AND n.k BETWEEN f.first AND f.last WHERE place > 1),
+  SELECT DISTINCT n.doc_id, n.i FROM f JOIN n ON n.doc_id = f.doc_id AND n.k BETWEEN f.first AND f.last
+  WHERE f.doc_id <> f.low_id OR f.first > f.low + f.last - f.first),
 out AS (
   SELECT l.doc_id, count(gone.i) AS n_removed, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL) AS t
   FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i GROUP BY l.doc_id)

@@ -5,70 +5,51 @@ from ordwell.llm import line_dedup as d
 
 
 def slow(rows, least):
-    """Texts after deletion, by comparing all windows."""
-    lines = []
-    for doc, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
-        own = [(i, " ".join(x.lower().split())) for i, x in enumerate((text or "").split("\n")) if x.split()]
-        lines.append((doc, text, own))
-    seen, gone = set(), {}
-    for doc, text, own in lines:
-        for a in range(len(own)):
-            total, run = 0, []
-            for i, t in own[a:]:
-                run.append((i, t))
-                total += len(t.split())
-                if total >= least:
-                    break
-            if total < least:
-                break
-            key = "\n".join(t for _, t in run)
-            if key in seen:
-                gone.setdefault((doc, text), set()).update(i for i, _ in run)
-            seen.add(key)
-    return {(doc, text, None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone.get((doc, text), ()))) for doc, text in rows}
-
-
-def test_matches_brute_force(spark):
-    rnd = random.Random(6)
-    pool = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 5))) for _ in range(12)]
-    rows = [(k, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 14)))) for k in range(80)]
-    rows += [(200, None), (201, ""), (202, rows[3][1]), (203, rows[3][1].upper()), (None, rows[4][1]), (5, rows[5][1]), (204, "\n\n"), (205, "z z\n" * 40)]
-    df = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, gone int")
-    for least in (1, 7, 12):
-        got = d.drop_repeated_lines(spark, df, least=least)
-        assert got.columns == df.columns
-        out = [(r.doc_id, r.text) for r in got.collect()]
-        want = slow(rows, least)
-        assert len(out) == len(rows)
-        assert {x[0::2] for x in want} == set(out)
-
-
-def slow_whole(rows, least):
-    """Texts after deletion, by comparing all runs of lines with at least `least` words."""
+    """Texts after deletion, by comparing all runs of lines with at least `least` words; for each run its first place stays."""
     docs = []
     for doc, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
         docs.append((doc, text, [(i, " ".join(x.lower().split())) for i, x in enumerate((text or "").split("\n")) if x.split()]))
-    seen, gone = set(), {}
+    seen, gone = {}, {}
     for doc, text, own in docs:
         for a in range(len(own)):
             for z in range(a, len(own)):
                 run = own[a : z + 1]
                 if sum(len(t.split()) for _, t in run) >= least:
-                    key = tuple(t for _, t in run)
-                    if key in seen:
+                    low = seen.setdefault(tuple(t for _, t in run), (doc, text, a))
+                    if low[:2] != (doc, text) or a > low[2] + z - a:
                         gone.setdefault((doc, text), set()).update(i for i, _ in run)
-                    seen.add(key)
     return {(doc, None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone.get((doc, text), ()))) for doc, text in rows}
 
 
-def test_whole_runs_match_brute_force(spark):
+def test_matches_brute_force(spark):
     rnd = random.Random(8)
     pool = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.choice([0, 1, 2, 3, 5, 9, 14]))) for _ in range(10)]
     rows = [(k, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 14)))) for k in range(80)]
-    rows += [(200, None), (201, ""), (202, rows[3][1]), (None, rows[4][1]), (203, "z z\n" * 40), (5, rows[5][1])]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += [(200, None), (201, ""), (202, rows[3][1]), (203, rows[3][1].upper()), (None, rows[4][1]), (5, rows[5][1]), (204, "\n\n"), (205, "z z\n" * 40)]
+    df = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, gone int")
     for least in (1, 7, 12):
-        assert {(r.doc_id, r.text) for r in d.drop_repeated_lines(spark, df, least=least, whole=True).collect()} == slow_whole(rows, least)
+        got = d.drop_repeated_lines(spark, df, least=least, removed="n")
+        assert got.columns == [*df.columns, "n"]
+        out = [(r.doc_id, r.text) for r in got.collect()]
+        assert len(out) == len(rows) and set(out) == slow(rows, least)
+
+
+def test_first_run_stays_where_it_overlaps_its_repetition(spark):
+    """Of twelve equal lines of ten words the first five, a run of fifty, stay; no content is lost elsewhere either."""
+    line = " ".join(f"w{k}" for k in range(10))
+    rows = [(1, "\n".join([line] * 12)), (2, "\n".join([line] * 6))]
+    got = {r.doc_id: (r.text, r.Gone) for r in d.drop_repeated_lines(spark, spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, gone int"), removed="Gone").collect()}
+    assert got == {1: ("\n".join([line] * 5), 7), 2: ("", 6)}
+
+
+def test_hot_runs_and_very_long_texts(spark):
+    """A run that most rows have (more than a thousandth of all places), and a text of 20,000 lines."""
+    run = [f"shared line {k} with some more words in it" for k in range(8)]
+    rows = [(k, "\n".join([f"own {k} one", *run, f"own {k} two"])) for k in range(1500)]
+    rows += [(5000, "\n".join(f"line {k} of the long text" for k in range(20_000))), (5001, "\n".join(f"line {k} of the long text" for k in range(100, 19_000)))]
+    got = {r.doc_id: r.text for r in d.drop_repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1] and all(got[k] == f"own {k} one\nown {k} two" for k in range(1, 1500))
+    assert got[5000] == rows[-2][1] and got[5001] == ""
 
 
 def test_stage_deletes_ends_of_runs(spark):
