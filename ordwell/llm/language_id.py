@@ -11,14 +11,18 @@ or all there are, chosen by a hash of their id); an n-gram belongs to a language
 up at least `share` of that language's n-grams in the sample. So at most 1/share
 n-grams of a language are fetched, however large the sample's texts.
 
-Null texts and texts without a letter are `und` with score 0. Without labelled rows
-all texts are. Ties go to the first language by name. Null ids aren't held out and
-aren't learned from. Texts may have any length; work is done in pieces of bounded size
-where many texts meet. Repeated rows get a row each, other columns pass through.
+Null and empty texts and texts without a letter are `und` with score 0. Without labelled
+rows (an empty table, say) all texts are. Ties go to the first language by name. Null ids
+aren't held out and aren't learned from. There may be any number of languages; what the
+driver and a worker hold grows with them, not with the rows. Texts may have any length:
+they are worked on in pieces, which changes no n-gram, as each piece begins with the last
+characters of the one before. Repeated rows get a row each; a column named like the
+result is replaced by it, all others pass through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -34,32 +38,37 @@ N = 4
 HASHES = 2
 SHARE = 2e-5
 PER_LANGUAGE = 1500
-LANGUAGES = 64
+WORD = 64  # languages in a mask
 PIECE = 1 << 20
 #: A text is rejected where fewer of its n-grams are known in its language.
 LEAST_SCORE = 0.2
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all n-grams of texts; where each text's begin and end among them.
+def codes_of(text: str, piece: int | None = None) -> Iterator[np.ndarray]:
+    """The characters that n-grams are made of, in pieces that overlap by N - 1.
 
     Letters are lower-cased; all else counts as one blank, also before and after a text.
     """
-    if not texts:
+    low, piece = f" {text.lower()} ", piece or PIECE
+    held = np.empty(0, np.uint64)
+    for a in range(0, len(low), piece):
+        codes = np.frombuffer(low[a : a + piece].encode("utf-32-le", "replace"), np.uint32)
+        codes = np.where(kinds()[codes] == LETTER, codes, 32)
+        keep = np.empty(len(codes), bool)
+        keep[0] = codes[0] != 32 or not len(held) or held[-1] != 32
+        keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
+        codes = np.append(held, codes[keep].astype(np.uint64))
+        yield codes
+        held = codes[max(0, len(codes) - N + 1) :]
+
+
+def grams(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all n-grams of pieces laid end to end; where each piece's own begin and end among them."""
+    if not pieces:
         return np.empty(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    low = [f" {t.lower()} " for t in texts]
-    codes = np.frombuffer("".join(low).encode("utf-32-le", "replace"), np.uint32)
-    codes = np.where(kinds()[codes] == LETTER, codes, 32)
-    stops = np.cumsum([len(t) for t in low])
-    keep = np.empty(len(codes), bool)
-    keep[0] = True
-    keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
-    keep[stops[:-1]] = True
-    held = np.append(0, np.cumsum(keep))
-    codes = codes[keep].astype(np.uint64)
-    stops = held[stops]
-    starts = np.append(0, stops[:-1])
+    codes = np.concatenate(pieces)
+    stops = np.cumsum([len(p) for p in pieces])
     size = max(0, len(codes) - N + 1)
     h = np.zeros(size, np.uint64)
     for k in range(N):
@@ -67,59 +76,61 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h ^= h >> np.uint64(31)
     h *= MULTIPLIERS[1]
     h ^= h >> np.uint64(29)
-    return h, np.minimum(starts, size), np.maximum(np.minimum(starts, size), stops - N + 1)
+    starts = np.minimum(np.append(0, stops[:-1]), size)
+    return h, starts, np.maximum(starts, stops - N + 1)
 
 
 class Filters:
-    """Bit-sliced Bloom filters of up to 64 languages."""
+    """Bit-sliced Bloom filters; a mask is one word for up to 64 languages, more words for more."""
 
     def __init__(self, languages: list[str], known: list[np.ndarray]):
-        if len(languages) > LANGUAGES:
-            raise ValueError(f"more than {LANGUAGES} languages")
         self.languages = languages
         total = sum(map(len, known))
         self.bits = max(10, int(np.ceil(np.log2(max(1, total) * 8))))
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= len(languages))
-        self.slots = np.zeros(1 << self.bits, kind)
+        kind = next((t for t in (np.uint8, np.uint16, np.uint32) if np.iinfo(t).bits >= len(languages)), np.uint64)
+        self.slots = np.zeros((max(1, -(-len(languages) // WORD)), 1 << self.bits), kind)
         for i, own in enumerate(known):
             for slot in self.at(own):
-                np.bitwise_or.at(self.slots, slot, kind(1 << i))
-        fill = np.array([np.count_nonzero(self.slots & kind(1 << i)) for i in range(len(languages))]) / len(self.slots)
+                np.bitwise_or.at(self.slots[i // WORD], slot, kind(1 << i % WORD))
+        fill = np.array([np.count_nonzero(self.slots[i // WORD] & kind(1 << i % WORD)) for i in range(len(languages))]) / (1 << self.bits)
         self.false = fill**HASHES
 
     def at(self, h: np.ndarray) -> list[np.ndarray]:
         return [((h * MULTIPLIERS[k + 1]) >> np.uint64(64 - self.bits)).astype(np.int64) for k in range(HASHES)]
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        """All languages that have each n-gram, as bits."""
+        """All languages that have each n-gram, as bits of the words of its column."""
         first, *rest = self.at(h)
-        out = self.slots[first]
+        out = self.slots[:, first]
         for slot in rest:
-            out &= self.slots[slot]
+            out &= self.slots[:, slot]
         return out
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """n-grams, then hits of each language, for each text; long texts in pieces."""
         out = np.zeros((len(texts), 1 + len(self.languages)), np.int64)
-        queue: list[tuple[int, str]] = []
-        held = 0
+        queue: list[np.ndarray] = []
+        own: list[int] = []
 
         def work():
-            h, starts, ends = grams([t for _, t in queue])
-            masks = self.masks(h)
-            own = np.array([i for i, _ in queue], np.int64)
+            h, starts, ends = grams(queue)
+            masks, one = self.masks(h), self.slots.dtype.type(1)
             np.add.at(out[:, 0], own, ends - starts)
             for k in range(len(self.languages)):
-                scan = np.append(0, np.cumsum((masks >> self.slots.dtype.type(k)) & self.slots.dtype.type(1), dtype=np.int64))
+                scan = np.append(0, np.cumsum((masks[k // WORD] >> self.slots.dtype.type(k % WORD)) & one, dtype=np.int64))
                 np.add.at(out[:, k + 1], own, scan[ends] - scan[starts])
+            queue.clear()
+            own.clear()
 
+        held = 0
         for i, text in enumerate(texts):
-            for a in range(0, len(text), PIECE):
-                queue.append((i, text[a : a + PIECE]))
-                held += len(queue[-1][1])
+            for codes in codes_of(text):
+                queue.append(codes)
+                own.append(i)
+                held += len(codes)
                 if held >= PIECE:
                     work()
-                    queue, held = [], 0
+                    held = 0
         if queue:
             work()
         return out
@@ -174,14 +185,27 @@ def learn(spark: SparkSession, labelled: DataFrame, doc_id: str = "doc_id", text
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
     few = sample(rows, doc_id, lang, per_language, text).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
+    def groups(texts):
+        """Pieces of the texts, about PIECE characters together."""
+        out, held = [], 0
+        for t in texts:
+            for codes in codes_of(t):
+                out.append(codes)
+                held += len(codes)
+                if held >= PIECE:
+                    yield out
+                    out, held = [], 0
+        if out:
+            yield out
+
     def count(batches):
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
             texts = batch.column("text").to_pylist()
             for own in sorted(set(langs)):
                 chosen = [t for t, x in zip(texts, langs, strict=True) if x == own]
-                for a in range(0, len(chosen), 256):
-                    h, starts, ends = grams(chosen[a : a + 256])
+                for few in groups(chosen):
+                    h, starts, ends = grams(few)
                     inside = np.zeros(len(h) + 1, np.int32)
                     np.add.at(inside, starts, 1)
                     np.add.at(inside, ends, -1)

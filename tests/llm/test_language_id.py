@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -13,20 +15,55 @@ def texts(n, seed):
     return [(k, " ".join(rnd.choice(WORDS[x]) for _ in range(rnd.randint(3, 40))), x) for k in range(n) for x in [rnd.choice(list(WORDS))]]
 
 
-def test_grams_do_not_cross_texts():
-    h, a, b = l.grams(["Abc def", "", "x", "ABC, DEF!"])
-    parts = [h[i:j].tolist() for i, j in zip(a, b, strict=True)]
-    assert parts[0] == parts[3] and len(parts[0]) == len(" abc def ") - l.N + 1
-    assert parts[1] == [] and len(parts[2]) == 0
-    assert l.grams(["Abc def"])[0].tolist() == parts[0]
+def brute(text):
+    """n-grams of a text, character by character."""
+    flat = re.sub("[^\\W\\d_]|.", lambda m: m[0] if m[0].isalpha() else " ", f" {text.lower()} ", flags=re.S)
+    flat = re.sub(" +", " ", flat)
+    return Counter(flat[i : i + l.N] for i in range(len(flat) - l.N + 1))
+
+
+def hashed(gram):
+    return int(l.grams([np.array([ord(c) for c in gram], np.uint64)])[0][0])
+
+
+def test_grams_match_brute_force_for_any_piece():
+    rnd = random.Random(3)
+    every = ["Abc def", "", "x", "ABC, DEF!", "  a  b  ", "ΑΣ ΑΣΑ. İx", "12ab--c"] + ["".join(rnd.choice("abé Д.-\n1") for _ in range(rnd.randint(0, 60))) for _ in range(60)]
+    for piece in (1, 2, 3, 7, 1 << 20):
+        parts = [(i, c) for i, t in enumerate(every) for c in l.codes_of(t, piece)]
+        h, a, b = l.grams([c for _, c in parts])
+        got = [Counter() for _ in every]
+        for (i, _), x, y in zip(parts, a.tolist(), b.tolist(), strict=True):
+            got[i].update(h[x:y].tolist())
+        assert got == [Counter({hashed(g): n for g, n in brute(t).items()}) for t in every]
+
+
+def test_counts_match_brute_force(monkeypatch):
+    """Hits in the filters, less the false ones, are those of plain sets; whatever the pieces, and for more than 64 languages."""
+    rnd = random.Random(4)
+    words = {f"l{k:03d}": ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(12)] for k in range(90)}
+    known = {x: {g for w in own for g in brute(w)} for x, own in words.items()}
+    f = l.Filters(list(words), [np.array([hashed(g) for g in known[x]], np.uint64) for x in words])
+    every = [" ".join(rnd.choice(words[x]) for _ in range(rnd.randint(1, 30))) for x in words]
+    counts = f.counts(every)
+    for piece in (3, 50):
+        monkeypatch.setattr(l, "PIECE", piece)
+        assert np.array_equal(f.counts(every), counts)
+    for i, t in enumerate(every):
+        own = brute(t)
+        assert counts[i, 0] == own.total()
+        for k, x in enumerate(words):
+            true = sum(n for g, n in own.items() if g in known[x])
+            assert true <= counts[i, k + 1] <= true + 0.2 * own.total() + 3
+    assert f.decide(every)[0] == list(words)
 
 
 def test_filter_returns_all_languages_of_a_gram():
     known = [np.arange(0, 900, dtype=np.uint64) ** 3, np.arange(500, 1200, dtype=np.uint64) ** 3]
     f = l.Filters(["x", "y"], known)
-    assert all(f.masks(known[0]) & 1) and all(f.masks(known[1]) & 2)
+    assert all(f.masks(known[0])[0] & 1) and all(f.masks(known[1])[0] & 2)
     other = np.arange(5000, 9000, dtype=np.uint64) ** 3
-    assert abs(np.mean(f.masks(other) & 1 > 0) - f.false[0]) < 0.02
+    assert abs(np.mean(f.masks(other)[0] & 1 > 0) - f.false[0]) < 0.02
 
 
 def test_identify(spark):
@@ -80,3 +117,20 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert l.identify(spark, df).first().predicted.lang == "und"
     assert l.identify(spark, df.limit(0)).count() == 0
+
+
+def test_millions_of_rows_of_a_language(spark):
+    """Far more rows of a language than its sample times the buckets, with the usual sample size."""
+    df = spark.range(3_000_000).select("id", F.concat(F.lit("wasser und strom "), "id").alias("text"), F.lit("bb").alias("lang"))
+    assert l.sample(df, "id", "lang", l.PER_LANGUAGE).count() == l.PER_LANGUAGE
+
+
+def test_held_out_accuracy(spark):
+    got = l.op3_language_id(spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    rows = got.where("lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 150 and sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows)
+
+
+def test_result_replaces_a_column_of_its_name(spark):
+    df = spark.createDataFrame([(*r, 1) for r in texts(50, 7)], "doc_id long, text string, lang string, predicted int")
+    assert l.identify(spark, df).columns == df.columns
