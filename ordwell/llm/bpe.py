@@ -1,16 +1,19 @@
-"""Byte-level BPE as a finite-state machine, compiled from a vocabulary file as texts need it.
+"""Byte-level BPE as finite-state machines, compiled from a vocabulary file as texts need them.
 
 For every prefix of a pre-token the last token of its encoding is unique, and a
 token u may follow a token t exactly if no merge joins the end of t to the start
 of u before either is complete. So the encoding of a growing prefix is a path of
 back-pointers, and what the future can still see of it is finite: the longest
-suffix that begins some token, at each position in it the parts of the last token
-that may yet join what follows, and their counts relative to the newest. That is the state; reading a byte moves
-to another state and adds to the number of tokens (the annotation of a transition
-may be negative, where tokens join). Transitions are made when first met.
+suffix that begins some token, and at each position in it the parts of the last token
+that may yet join what follows. That is a state; reading a byte moves to another state.
+Transitions are made when first met.
 
-Texts are worked on as bytes in chunks cut at sure boundaries, where all entry
-states meet; all pre-tokens of a chunk step through the machine side by side.
+Counter's states also hold counts relative to the newest, and its transitions add to the
+number of tokens (the annotation may be negative, where tokens join). Pre-tokens of many
+texts step through it side by side. A long text is cut at any byte; what each chunk does
+to a state is a map (StateMap), and maps compose, in a tree.
+
+Transducer's transitions name the newest token, and it emits tokens once they are stable.
 """
 
 from __future__ import annotations
@@ -20,20 +23,24 @@ import gc
 import json
 import re
 import struct
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import regex
 
-#: Bytes of text worked on at a time; pre-tokens longer than LONG are streamed one by one.
+#: Bytes of text worked on at a time; a pre-token longer than LONG is walked through alone.
 CHUNK = 1 << 20
 LONG = 48
-#: States a worker keeps between chunks, and answers it keeps about edges.
-STATES = 300_000
+#: Bytes on both sides of a stretch that decide where pre-tokens start in it: four characters.
+EDGE = 16
+#: States a worker keeps, transitions and pre-tokens that it keeps for single walks, and answers about edges.
+STATES = 250_000
+WALKS = 300_000
+WORDS = 150_000
 KNOWN = 50_000
 LETTER, NUMBER, BLANK, OTHER = 1, 2, 3, 4
-#: Whatever surrounds it, every pre-tokenization has a boundary inside this match.
-SURE = re.compile(rb"[\x21-\x7e][ \n]")
 
 
 @lru_cache(maxsize=1)
@@ -89,6 +96,9 @@ class Vocabulary:
             if len(raw) == 1 or a in self.reachable and b in self.reachable and not self.crossed(a, b, self.rank[a, b]):
                 self.reachable.add(raw)
         self.longest = max(map(len, self.reachable))
+        #: How many bytes back a later token can begin: over the longest proper beginning of a token that merges arrive at.
+        #: So with so many bytes read on, nothing further back is decided anew but by what those positions' paths share.
+        self.lookahead = self.longest - 1
         self.prefixes = {p: p for raw in self.reachable for p in (raw[:k] for k in range(len(raw) + 1))}
         self.partners: dict[bytes, list[bytes]] = {}
         for a, b in self.rank:
@@ -234,8 +244,35 @@ def pretokens(data: np.ndarray, parts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark[:n])
 
 
-class Machine:
-    """Deterministic transitions over bytes, each with the change of the token count and the newest token.
+def starts_in(data: bytes, a: int, b: int) -> np.ndarray:
+    """Where the pre-tokens of a whole text start between a and b, from those bytes and a few around them."""
+    low, high = max(0, a - EDGE), min(len(data), b + EDGE)
+    while low and data[low] & 0xC0 == 0x80:
+        low -= 1
+    while high < len(data) and data[high] & 0xC0 == 0x80:
+        high += 1
+    marks = pretokens(np.frombuffer(data, np.uint8, high - low, low), np.zeros(1, np.int64)) + low
+    return marks[(marks >= a) & (marks < b)]
+
+
+@dataclass(frozen=True)
+class StateMap:
+    """What the bytes from start to stop of a text do to the machine's state.
+
+    Up to head they belong to a pre-token that began before start, so what they do depends
+    on the state they meet. If a pre-token starts among them (exit is not None), all from
+    there on is a constant: total tokens, and the state exit at stop.
+    """
+
+    start: int
+    head: int
+    stop: int
+    total: int
+    exit: bytes | None
+
+
+class Counter:
+    """Deterministic transitions over bytes, each with the change of the token count.
 
     A state is (suffix, edges, behind): the longest end of the input that begins a
     token; at each position in it from which a token could go on, the edge of the last
@@ -251,13 +288,14 @@ class Machine:
     def clear(self) -> None:
         self.states: list[bytes] = []
         self.number: dict[bytes, int] = {}
+        self.walked: dict[int, tuple[int, int]] = {}
         self.state(b"", [0], [0])
-        self.table(18, np.empty(0, np.int64), np.empty((3, 0), np.int32))
+        self.table(18, np.empty(0, np.int64), np.empty((2, 0), np.int32))
 
     def table(self, bits: int, keys: np.ndarray, values: np.ndarray) -> None:
         self.bits, self.used = bits, 0
         self.keys = np.full(1 << bits, -1, np.int64)
-        self.values = np.zeros((3, 1 << bits), np.int32)  # next state, change, token
+        self.values = np.zeros((2, 1 << bits), np.int32)  # next state, change
         self.insert(keys, values)
 
     def insert(self, keys: np.ndarray, values: np.ndarray) -> None:
@@ -281,20 +319,22 @@ class Machine:
 
     def state(self, suffix: bytes, edges: list[int], behind: list[int]) -> int:
         """The number of a state, which is kept packed."""
-        key = suffix + struct.pack(f"<{len(edges)}i{len(behind)}h", *edges, *behind)
-        found = self.number.get(key)
+        return self.numbered(suffix + struct.pack(f"<{len(edges)}i{len(behind)}h", *edges, *behind))
+
+    def numbered(self, packed: bytes) -> int:
+        found = self.number.get(packed)
         if found is None:
-            found = self.number[key] = len(self.states)
-            self.states.append(key)
+            found = self.number[packed] = len(self.states)
+            self.states.append(packed)
         return found
 
-    def step(self, key: int) -> tuple[int, int, int]:
-        """The transition of state key >> 8 on byte key & 255."""
+    def step(self, key: int) -> tuple[int, int]:
+        """The transition of state key >> 8 on byte key & 255: next state and change of the count."""
         packed = self.states[key >> 8]
         n = len(packed) // 7  # suffix of n bytes, n + 1 edges of 4, n + 1 counts of 2
         both = struct.unpack_from(f"<{n + 1}i{n + 1}h", packed, n)
-        run, edges, behind, change, token = advance(self.vocabulary, packed[:n], both[: n + 1], both[n + 1 :], key & 255)
-        return self.state(run, edges, behind), change, self.vocabulary.ids[token]
+        run, edges, behind, change, _ = advance(self.vocabulary, packed[:n], both[: n + 1], both[n + 1 :], key & 255)
+        return self.state(run, edges, behind), change
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Slots of keys; transitions met for the first time are made."""
@@ -312,8 +352,8 @@ class Machine:
             new = np.unique(keys[gone])
             self.insert(new, np.array([self.step(k) for k in new.tolist()], np.int32).T)
 
-    def run(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All pre-tokens of data side by side: the count of each; at each byte, the newest token and its place in the path."""
+    def run(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, int]:
+        """All pre-tokens of data side by side, from the first state: the count of each, and the last one's state."""
         if len(self.states) > STATES:
             self.clear()
         size = np.diff(np.append(starts, len(data)))
@@ -321,18 +361,56 @@ class Machine:
         order = order[np.searchsorted(-size[order], -LONG) :]
         begin, size_of = starts[order], size[order]
         state, count = np.zeros(len(order), np.int64), np.zeros(len(order), np.int32)
-        token = np.zeros(len(data), np.int32)
         for j in range(int(size_of[0]) if len(size_of) else 0):
             a = int(np.searchsorted(-size_of, -j))  # those longer than j
-            at = begin[:a] + j
-            slot = self.find(state[:a] << 8 | data[at])
-            following, change, newest = self.values[:, slot]
-            state[:a] = following
+            slot = self.find(state[:a] << 8 | data[begin[:a] + j])
+            state[:a], change = self.values[:, slot]
             count[:a] += change
-            token[at] = newest
-        counts = np.zeros(len(starts), np.int64)
-        counts[order] = count
-        return counts, token, np.flatnonzero(size > LONG)
+        counts, states = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        counts[order], states[order] = count, state
+        for k in np.flatnonzero(size > LONG).tolist():
+            states[k], counts[k] = self.walk(0, data[starts[k] : starts[k] + size[k]].tobytes())
+        return counts, int(states[-1]) if len(states) else 0
+
+    def walk(self, state: int, raw: bytes) -> tuple[int, int]:
+        """The state and the change of the count after raw, from any state."""
+        walked, total = self.walked, 0
+        for byte in raw:
+            key = state << 8 | byte
+            found = walked.get(key)
+            if found is None:
+                if len(self.states) > STATES:  # a walk alone may forget: it needs its own state only
+                    packed = self.states[state]
+                    self.clear()
+                    walked, key = self.walked, self.numbered(packed) << 8 | byte
+                if len(walked) > WALKS:
+                    walked.clear()
+                found = walked[key] = self.step(key)
+            state, change = found
+            total += change
+        return state, total
+
+    def map_of(self, data: bytes, a: int, b: int) -> StateMap:
+        """The map of the bytes a to b of a text; they may be cut anywhere."""
+        starts = starts_in(data, a, b)
+        if not len(starts):
+            return StateMap(a, b, b, 0, None)
+        head = int(starts[0])
+        counts, last = self.run(np.frombuffer(data, np.uint8, b - head, head), starts - head)
+        return StateMap(a, head, b, int(counts.sum()), self.states[last])
+
+    def compose(self, data: bytes, f: StateMap, g: StateMap) -> StateMap:
+        """First f, then g, which begins where f stops. Composition is associative."""
+        if f.exit is None:
+            return StateMap(f.start, g.head, g.stop, g.total, g.exit)
+        state, n = self.walk(self.numbered(f.exit), data[g.start : g.head])
+        return StateMap(f.start, f.head, g.stop, f.total + n + g.total, self.states[state] if g.exit is None else g.exit)
+
+    def scan(self, data: bytes, maps: list[StateMap]) -> StateMap:
+        """All maps of a text's chunks composed, neighbours first, as in a parallel scan."""
+        while len(maps) > 1:
+            maps = [self.compose(data, *maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
 
 
 def advance(v: Vocabulary, suffix: bytes, edges, behind, byte: int):
@@ -359,60 +437,151 @@ def advance(v: Vocabulary, suffix: bytes, edges, behind, byte: int):
     return run, edges, behind, change, token
 
 
-def stream(v: Vocabulary, raw: bytes):
-    """(end, token) of one pre-token of any length, each once no further byte can change it.
+class Transducer:
+    """Emits the tokens of pre-tokens that are read byte by byte, each once no later byte can change it.
 
-    What later bytes can still reach are the positions in the suffix that begins a
-    token, at most the longest token's length back. The part of the back-pointer path
-    that all of them share is stable: it is emitted and forgotten. Twice the longest
-    token is read between two tests, so the cost for a byte is constant, and what is
-    held is bounded by the vocabulary's lookahead, not by the length of raw.
+    A state is (suffix, edges), as Counter's without counts; a transition names the newest
+    token. What later bytes can still reach are the positions in the suffix, at most the
+    vocabulary's lookahead back. The part of the back-pointer path that all of them share is
+    stable: it is emitted and forgotten. That is tested each time twice the lookahead is
+    held, so the cost of a byte is constant, and what is held is bounded by the lookahead,
+    not by the input's length.
     """
-    ask = 2 * v.longest
-    suffix, edges, behind, base = b"", [0], [0], 0
-    tokens: list[bytes] = []  # the newest token at each position after base
-    due = ask
-    for byte in raw:
-        suffix, edges, behind, _, token = advance(v, suffix, edges, behind, byte)
-        tokens.append(token)
-        if len(tokens) >= due:
-            done = shared(tokens, len(suffix))
-            yield from path(tokens, done, base)
-            del tokens[:done]
-            base += done
-            due = len(tokens) + ask
-    yield from path(tokens, len(tokens), base)
-
-
-def shared(tokens: list[bytes], live: int) -> int:
-    """The furthest position on the back-pointer paths of all of the last live positions."""
-    ends = set(range(max(0, len(tokens) - live), len(tokens) + 1))
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.sizes = {i: len(raw) for i, raw in vocabulary.bytes_of.items()}
+        self.clear()
+
+    def clear(self) -> None:
+        self.states: list[tuple[bytes, tuple]] = [(b"", (0,))]
+        self.number: dict[tuple[bytes, tuple], int] = {self.states[0]: 0}
+        self.moves: dict[int, int] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.reset()
+
+    def reset(self) -> None:
+        self.now, self.held, self.due = 0, [], 2 * self.vocabulary.lookahead
+
+    def move(self, key: int) -> int:
+        """Next state and, in the last 24 bits, newest token of state key >> 8 on byte key & 255."""
+        suffix, edges = self.states[key >> 8]
+        run, edges, _, _, token = advance(self.vocabulary, suffix, edges, (0,) * len(edges), key & 255)
+        state = (run, tuple(edges))
+        found = self.number.get(state)
+        if found is None:
+            found = self.number[state] = len(self.states)
+            self.states.append(state)
+        self.moves[key] = found << 24 | self.vocabulary.ids[token]
+        return self.moves[key]
+
+    def feed(self, raw: bytes) -> list[int]:
+        """Read on in the open pre-token; the ids that became stable."""
+        out: list[int] = []
+        moves, now, held = self.moves, self.now, self.held
+        for byte in raw:
+            key = now << 8 | byte
+            found = moves.get(key)
+            if found is None:
+                found = self.move(key)
+            now = found >> 24
+            held.append(found & 0xFFFFFF)
+            if len(held) >= self.due:
+                done = shared([self.sizes[t] for t in held], len(self.states[now][0]))
+                out += self.path(done)
+                del held[:done]
+                self.due = len(held) + 2 * self.vocabulary.lookahead
+                if len(self.states) > STATES or len(moves) > 2 * STATES:
+                    now = self.forget(now)
+                    moves = self.moves
+        self.now = now
+        return out
+
+    def end(self) -> list[int]:
+        """Close the pre-token; the ids that were held."""
+        out = self.path(len(self.held))
+        self.reset()
+        return out
+
+    def path(self, end: int) -> list[int]:
+        """The ids of the encoding up to position end, by the back-pointers."""
+        out = []
+        while end > 0:
+            token = self.held[end - 1]
+            out.append(token)
+            end -= self.sizes[token]
+        return out[::-1]
+
+    def forget(self, now: int) -> int:
+        """Drop all states but one, and return its new number."""
+        kept, held, due = self.states[now], self.held, self.due
+        self.clear()
+        self.held, self.due = held, due
+        if kept not in self.number:
+            self.number[kept] = len(self.states)
+            self.states.append(kept)
+        return self.number[kept]
+
+    def word(self, raw: bytes) -> bytes:
+        """The packed ids of a whole pre-token; those of short ones are kept."""
+        if len(self.states) > STATES or len(self.moves) > 2 * STATES:
+            self.forget(0)
+        ids = self.feed(raw)
+        packed = struct.pack(f"<{len(ids) + len(rest)}I", *ids, *rest) if (rest := self.end()) or ids else b""
+        if len(raw) <= LONG:
+            if len(self.words) >= WORDS:
+                self.words.clear()
+            self.words[raw] = packed
+        return packed
+
+    def read(self, text: bytes, start: int = 0, stop: int | None = None) -> Iterator[bytes]:
+        """Packed ids of a stretch of text that has no special string, chunk by chunk; a pre-token may span chunks."""
+        raw = text if stop is None else text[start:stop]
+        get, is_open = self.words.get, False
+        for a in range(0, len(raw), CHUNK):
+            b = min(len(raw), a + CHUNK)
+            starts = starts_in(raw, a, b).tolist()
+            out = []
+            if is_open:
+                ids = self.feed(raw[a : starts[0] if starts else b])
+                if starts or b == len(raw):
+                    ids += self.end()
+                    is_open = False
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+            if starts:
+                stops = [*starts[1:], b]
+                if b < len(raw):  # the last pre-token may go on
+                    stops.pop()
+                for piece in [raw[x:y] for x, y in zip(starts, stops, strict=False)]:
+                    out.append(get(piece) or self.word(piece))
+                if b < len(raw):
+                    ids, is_open = self.feed(raw[starts[-1] : b]), True
+                    out.append(struct.pack(f"<{len(ids)}I", *ids))
+            yield b"".join(out)
+
+
+def shared(sizes: list[int], live: int) -> int:
+    """The furthest position on the back-pointer paths of all of the last live positions; sizes: of the newest token at each."""
+    ends = set(range(max(0, len(sizes) - live), len(sizes) + 1))
     while len(ends) > 1:
         top = max(ends)
         ends.discard(top)
-        ends.add(top - len(tokens[top - 1]))
+        ends.add(top - sizes[top - 1])
     return max(0, *ends)
 
 
-def path(tokens: list[bytes], end: int, base: int) -> list[tuple[int, bytes]]:
-    """(end, token) of the encoding up to position end, by the back-pointers."""
-    out = []
-    while end > 0:
-        out.append((base + end, tokens[end - 1]))
-        end -= len(tokens[end - 1])
-    return out[::-1]
+class Decoder:
+    """Incremental byte-to-text machine: between blocks of ids it keeps at most three bytes of an unfinished character."""
 
+    def __init__(self, vocabulary: Vocabulary):
+        self.get, self.machine = vocabulary.bytes_of.__getitem__, codecs.getincrementaldecoder("utf-8")("replace")
 
-def chunks(data: bytes) -> list[tuple[int, int]]:
-    """(start, end) of stretches of about CHUNK bytes between sure boundaries."""
-    out, start = [], 0
-    while len(data) - start > CHUNK:
-        m = SURE.search(data, start + CHUNK)
-        if not m:
-            break
-        out.append((start, m.start() + 1))
-        start = m.start() + 1
-    return [*out, (start, len(data))]
+    def feed(self, packed: bytes) -> str:
+        """The text of packed ids so far; bytes that are no UTF-8 become U+FFFD."""
+        return self.machine.decode(b"".join(map(self.get, np.frombuffer(packed, "<u4").tolist())))
+
+    def end(self) -> str:
+        return self.machine.decode(b"", True)
 
 
 class Tokenizer:
@@ -420,115 +589,74 @@ class Tokenizer:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.machine = Machine(self.vocabulary)
-        top = max(self.vocabulary.bytes_of) + 1
-        self.sizes = np.zeros(top, np.int64)
-        for i, raw in self.vocabulary.bytes_of.items():
-            self.sizes[i] = len(raw)
-
-    def rest(self) -> None:
-        """Forget the states; they are made again when texts need them."""
-        self.machine.clear()
-        for known in self.vocabulary.known:
-            known.clear()
-
-    def pieces(self, texts: list[bytes]):
-        """Groups of (text's number, stretch, special id or None), about CHUNK bytes together."""
-        group, held = [], 0
-        for i, text in enumerate(texts):
-            for start, end in chunks(text):
-                piece, at = text[start:end], 0
-                for m in self.vocabulary.special_re.finditer(piece) if self.vocabulary.special_re else ():
-                    if m.start() > at:
-                        group.append((i, piece[at : m.start()], None))
-                    group.append((i, m[0], self.vocabulary.special[m[0].decode()]))
-                    at = m.end()
-                if at < len(piece):
-                    group.append((i, piece[at:], None))
-                held += len(piece)
-                if held >= CHUNK:
-                    yield group
-                    group, held = [], 0
-        if group:
-            yield group
-
-    def work(self, texts: list[bytes]):
-        """For each group: (number, stretch, special id) of its pieces; their bytes, and per byte whether a token ends there and which.
-
-        The stretches of a group start where all entry states of the machine meet, so the
-        map of each is its count alone, and a scan by addition composes them.
-        """
-        for group in self.pieces(texts):
-            plain = [p for p in group if p[2] is None]
-            data = np.frombuffer(b"".join(p[1] for p in plain), np.uint8)
-            if not len(data):
-                yield group, None, None, None, None
-                continue
-            size = np.array([len(p[1]) for p in plain])
-            parts = np.cumsum(size) - size
-            starts = pretokens(data, parts)
-            counts, token, long = self.machine.run(data, starts)
-            yield group, parts, starts, counts, (data, token, long)
+        self.counter = Counter(self.vocabulary)
+        self.transducer = Transducer(self.vocabulary)
+
+    def stretches(self, text: bytes) -> Iterator[tuple[int, int, int | None]]:
+        """(start, stop, special id or None) of a text: special strings and what stands between them."""
+        at = 0
+        for m in self.vocabulary.special_re.finditer(text) if self.vocabulary.special_re else ():
+            if m.start() > at:
+                yield at, m.start(), None
+            yield m.start(), m.end(), self.vocabulary.special[m[0].decode()]
+            at = m.end()
+        if at < len(text):
+            yield at, len(text), None
 
     def count(self, texts: list[bytes]) -> np.ndarray:
         """Tokens of each text."""
         out = np.zeros(len(texts), np.int64)
-        for group, parts, starts, counts, rest in self.work(texts):
-            np.add.at(out, [p[0] for p in group if p[2] is not None], 1)
-            if parts is None:
-                continue
-            data, _, long = rest
-            ends = np.append(starts[1:], len(data))
-            for w in long.tolist():
-                counts[w] = sum(1 for _ in stream(self.vocabulary, data[starts[w] : ends[w]].tobytes()))
-            scan = np.append(0, np.cumsum(counts))  # the stretches' maps, composed
+        own: list[int] = []
+        group: list[bytes] = []
+        held = 0
+
+        def work():
+            size = np.array([len(x) for x in group])
+            parts = np.cumsum(size) - size
+            data = np.frombuffer(b"".join(group), np.uint8)
+            starts = pretokens(data, parts)
+            counts, _ = self.counter.run(data, starts)
+            scan = np.append(0, np.cumsum(counts))  # every stretch's map is a constant here: a scan by addition
             first = np.append(np.searchsorted(starts, parts), len(starts))
-            np.add.at(out, [p[0] for p in group if p[2] is None], np.diff(scan[first]))
+            np.add.at(out, own, np.diff(scan[first]))
+            own.clear()
+            group.clear()
+
+        for i, text in enumerate(texts):
+            for start, stop, special in self.stretches(text):
+                if special is not None:
+                    out[i] += 1
+                elif stop - start > CHUNK:
+                    raw = text[start:stop]
+                    maps = [self.counter.map_of(raw, a, min(len(raw), a + CHUNK)) for a in range(0, len(raw), CHUNK)]
+                    out[i] += self.counter.scan(raw, maps).total
+                else:
+                    own.append(i)
+                    group.append(text[start:stop])
+                    held += stop - start
+                    if held >= CHUNK:
+                        work()
+                        held = 0
+        if group:
+            work()
         return out
 
+    def ids(self, text: bytes) -> Iterator[bytes]:
+        """Packed ids (little-endian, 32 bits) of a text, as the transducer emits them."""
+        for start, stop, special in self.stretches(text):
+            if special is not None:
+                yield special.to_bytes(4, "little")
+            else:
+                yield from self.transducer.read(text, start, stop)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as packed little-endian 32-bit integers."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        for group, parts, starts, _, rest in self.work(texts):
-            packed = []
-            if parts is not None:
-                data, token, long = rest
-                ends = np.append(starts[1:], len(data))
-                stop = np.zeros(len(data), bool)
-                at, low = ends - 1, starts.copy()
-                keep = np.ones(len(at), bool)
-                keep[long] = False
-                at, low = at[keep], low[keep]
-                while len(at):  # back along the paths, all pre-tokens at once
-                    stop[at] = True
-                    at = at - self.sizes[token[at]]
-                    go = at >= low
-                    at, low = at[go], low[go]
-                for w in long.tolist():
-                    for end, raw in stream(self.vocabulary, data[starts[w] : ends[w]].tobytes()):
-                        stop[starts[w] + end - 1] = True
-                        token[starts[w] + end - 1] = self.vocabulary.ids[raw]
-                where = np.flatnonzero(stop)
-                ids = token[where].astype("<u4")
-                cut = np.searchsorted(where, np.append(parts, len(data)))
-                packed = [ids[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-            next_plain = iter(packed)
-            for i, _, special in group:
-                out[i].append(next(next_plain) if special is None else special.to_bytes(4, "little"))
-        return [b"".join(x) for x in out]
-
-    def decode(self, ids: bytes | None, block: int = 1 << 14) -> str:
-        """The text of packed ids; bytes that are no UTF-8 become U+FFFD.
-
-        A byte-to-text machine takes the ids' bytes block by block; between blocks it
-        keeps at most the three bytes of an unfinished character.
-        """
-        machine, out, get = codecs.getincrementaldecoder("utf-8")("replace"), [], self.vocabulary.bytes_of.__getitem__
-        every = np.frombuffer(ids or b"", "<u4")
-        for i in range(0, len(every), block):
-            out.append(machine.decode(b"".join(map(get, every[i : i + block].tolist()))))
-        out.append(machine.decode(b"", True))
-        return "".join(out)
+        """Packed ids of each text."""
+        return [b"".join(self.ids(t)) for t in texts]
+
+    def decode(self, ids: bytes | None, block: int = 1 << 16) -> str:
+        """The text of packed ids, decoded block by block."""
+        machine, ids = Decoder(self.vocabulary), ids or b""
+        return "".join([*(machine.feed(ids[i : i + block]) for i in range(0, len(ids), block)), machine.end()])
 
 
 @lru_cache(maxsize=2)

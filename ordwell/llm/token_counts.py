@@ -1,13 +1,15 @@
 """Operator 5: token counts by a compiled finite-state tokenizer.
 
 The vocabulary's merges and its pre-tokenizer become one deterministic machine whose
-transitions carry the change of the token count (see bpe.py). A text is cut at sure
-boundaries, where all entry states meet: each stretch's state map is then a constant
-with a count, and a prefix scan (by addition) composes the maps of a text.
+transitions carry the change of the token count (bpe.Counter). Pre-tokens of short texts
+step through it side by side. A long text is cut into chunks at any byte; a chunk's state
+map says what it does to the state it meets (up to the first pre-token that starts in it)
+and what comes out whatever it meets (the count and state from there on). Maps of chunks
+are made independently and compose associatively, neighbours first, as in a parallel scan.
 
 Nulls and empty texts have no tokens. Texts may have any length: a worker holds one
 text, and tables for about one chunk of it. Repeated rows and ties each get a row;
-the new column takes a free name chosen by the caller; an empty table gives none.
+the count replaces a column of its name, others pass through; an empty table gives none.
 """
 
 from __future__ import annotations
