@@ -1,20 +1,22 @@
 """Operator 6: BPE encoding and decoding as streaming transducers.
 
-Encoding emits a token once no later byte can change it. The lookahead that suffices
-follows from the merges: a later token reaches back at most over the suffix that
-begins some token, so a path of tokens that all positions of that suffix share is
-stable (bpe.stream); at the end of a pre-token everything is. Short pre-tokens, whose
-end lies inside that lookahead, step through the same machine side by side. Decoding
-runs the ids' bytes through an incremental byte-to-text machine.
-
-Nulls count as empty: no ids, empty text. Any length of text works in memory bounded
-by the text itself and one chunk's tables. Ids are packed as little-endian unsigned
-32-bit integers. Repeated rows and ties each get a row; an empty table gives none.
+Encoding reads bytes and emits a token once no later byte can change it. The lookahead
+that suffices is computed from the merges: how far back a later token can begin, among
+the tokens that merges arrive at. The path of tokens that all positions in reach share is
+stable (bpe.Transducer); at the end of a pre-token everything is. What is held besides
+the text is a chunk's ids and that lookahead, whatever the text's length; pre-tokens of
+any length may span chunks. Encodings of short pre-tokens, and transitions, are kept and
+looked up, a bounded number of them. Decoding runs the ids' bytes through an incremental
+byte-to-text machine. Digests are fed as tokens come.
+
+Nulls count as empty: no ids, empty text. Texts of any length are whole. Ids are packed
+as little-endian unsigned 32-bit integers. Repeated rows and ties each get a row; the
+results of encode_texts and decode_ids replace a column of their name; an empty table
+gives none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from hashlib import sha256
 
 import pyarrow as pa
@@ -57,26 +59,27 @@ def decode_ids(df: DataFrame, ids: str = "ids", to: str = "decoded", path: str |
     return df.withColumn(to, decoded(F.col(ids), path))
 
 
-def round_trip(text: Column, path: str | None = None, rows: int = 200) -> Column:
-    """Struct (n_tokens, ids_sha256, decoded_sha256) of what encoded() and decoded() give.
+def digest(machine: bpe.Tokenizer, text: bytes) -> tuple[int, str, str]:
+    """Number of ids, digest of the ids, and digest of the text decoded from them."""
+    n, ids_sha, text_sha, decoder = 0, sha256(), sha256(), bpe.Decoder(machine.vocabulary)
+    for ids in machine.ids(text):
+        n += len(ids) // 4
+        ids_sha.update(ids)
+        text_sha.update(decoder.feed(ids).encode())
+    text_sha.update(decoder.end().encode())
+    return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
-    A worker holds ids and decoded texts of a few rows at a time, and sends digests alone.
-    """
+
+def round_trip(text: Column, path: str | None = None) -> Column:
+    """Struct (n_tokens, ids_sha256, decoded_sha256) of what encoded() and decoded() give."""
 
     @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
-    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def both(texts: pa.Array) -> pa.Array:
         machine = bpe.tokenizer(path or vocabulary_path())
-        for texts in batches:
-            n, ids_sha, text_sha = [], [], []
-            for k in range(0, len(texts), rows):
-                for ids in machine.encode(raw_texts(texts.slice(k, rows))):
-                    n.append(len(ids) // 4)
-                    ids_sha.append(sha256(ids).hexdigest())
-                    text_sha.append(sha256(machine.decode(ids).encode()).hexdigest())
-            release()
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
-        machine.rest()
+        rows = [digest(machine, x.as_py() or b"") for x in texts.cast(pa.large_binary())]
         release()
+        kinds = (pa.int64(), pa.string(), pa.string())
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return both(text)
 
