@@ -138,7 +138,7 @@ def drop_repeated_lines(spark: SparkSession, df: DataFrame, doc_id: str = "doc_i
     key, k, g, n = fresh(df, "line_key", "gone_key", "gone", "n_gone")
     shown = df.withColumn(key, F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash")))
     gone = gone.select(F.col("key").alias(k), F.col("gone").alias(g))
-    joined = shown.join(gone, F.col(key) == F.col(k), "left")
+    joined = shown.join(gone.hint("merge"), F.col(key) == F.col(k), "left")  # as many rows as documents that lose lines: no bound
     rest = F.expr(f"transform(array_except(sequence(0, size(split(`{text}`, '\\n')) - 1), `{g}`), i -> i)")
     both = F.transform(F.array(F.struct(F.split(F.col(text), "\n").alias("l"), rest.alias("r"))), lambda x: F.array_join(F.transform(x["r"], lambda i: F.get(x["l"], i)), "\n"))[0]
     out = joined.withColumn(n, F.coalesce(F.size(g), F.lit(0)).cast("long")).withColumn(text, F.when(F.col(g).isNull(), F.col(text)).otherwise(both))
