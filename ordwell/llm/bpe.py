@@ -23,6 +23,7 @@ import gc
 import json
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -37,9 +38,9 @@ LONG = 48
 EDGE = 16
 #: States a worker keeps, transitions and pre-tokens that it keeps for single walks, and answers about edges.
 STATES = 250_000
-WALKS = 300_000
-WORDS = 150_000
-KNOWN = 50_000
+WALKS = 100_000
+WORDS = 200_000
+KNOWN = 150_000
 LETTER, NUMBER, BLANK, OTHER = 1, 2, 3, 4
 
 
@@ -99,13 +100,17 @@ class Vocabulary:
         #: How many bytes back a later token can begin: over the longest proper beginning of a token that merges arrive at.
         #: So with so many bytes read on, nothing further back is decided anew but by what those positions' paths share.
         self.lookahead = self.longest - 1
-        self.prefixes = {p: p for raw in self.reachable for p in (raw[:k] for k in range(len(raw) + 1))}
-        self.partners: dict[bytes, list[bytes]] = {}
+        self.prefixes: dict[bytes, int] = {}
+        for raw in self.reachable:
+            for k in range(len(raw) + 1):
+                self.prefixes.setdefault(raw[:k], len(self.prefixes))
+        self.partners: dict[bytes, set[bytes]] = {}
         for a, b in self.rank:
-            self.partners.setdefault(a, []).append(b)
+            self.partners.setdefault(a, set()).add(b)
         self.edges: list[tuple] = [()]  # edge 0: a start, or an end that nothing joins
         self.edge_of: dict[tuple, int] = {(): 0}
         self.known: tuple[dict, dict, dict] = ({}, {}, {})
+        self.begun: dict[bytes, frozenset[bytes]] = {}
         self.intern = {raw: raw for raw in self.reachable}
 
     def spine(self, raw: bytes, side: int) -> list[tuple[bytes, int]]:
@@ -155,25 +160,31 @@ class Vocabulary:
 
     def narrowed(self, edge: int, ahead: bytes) -> int:
         """The edge's parts that a token which goes on with ahead can still join: equal edges make equal states."""
-        known = self.known[1]
-        found = known.get((edge, ahead))
+        known, key = self.known[1], edge << 32 | self.prefixes[ahead]
+        found = known.get(key)
         if found is None:
-            ahead = self.prefixes[ahead]
             if len(known) > KNOWN:
                 known.clear()
-            parts = tuple(x for x in self.edges[edge] if any(y.startswith(ahead) or ahead.startswith(y) for y in self.partners[x[0]]))
-            found = known[edge, ahead] = self.edge(parts)
+            begun = [ahead[:k] for k in range(1, len(ahead) + 1)]
+            parts = tuple(x for x in self.edges[edge] if ahead in self.beginnings(x[0]) or any(y in self.partners[x[0]] for y in begun))
+            found = known[key] = self.edge(parts)
+        return found
+
+    def beginnings(self, part: bytes) -> frozenset[bytes]:
+        """All beginnings of what part can be joined with."""
+        found = self.begun.get(part)
+        if found is None:
+            found = self.begun[part] = frozenset(y[:k] for y in self.partners[part] for k in range(len(y) + 1))
         return found
 
     def adjoins(self, edge: int, token: bytes) -> bool:
         """Whether token may follow in an encoding: no merge joins a part of the edge to the token's start in time."""
-        known = self.known[2]
-        found = known.get((edge, token))
+        known, key = self.known[2], edge << 32 | self.ids[token]
+        found = known.get(key)
         if found is None:
-            token = self.intern[token]
             if len(known) > KNOWN:
                 known.clear()
-            found = known[edge, token] = not self.joined(self.edges[edge], token, 1 << 60)
+            found = known[key] = not self.joined(self.edges[edge], token, 1 << 60)
         return found
 
 
@@ -450,28 +461,37 @@ class Transducer:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.sizes = {i: len(raw) for i, raw in vocabulary.bytes_of.items()}
+        self.sizes = [len(vocabulary.bytes_of.get(i, b"")) for i in range(max(vocabulary.bytes_of) + 1)]
         self.clear()
 
+        self.words: dict[bytes, bytes] = {}
+
     def clear(self) -> None:
-        self.states: list[tuple[bytes, tuple]] = [(b"", (0,))]
-        self.number: dict[tuple[bytes, tuple], int] = {self.states[0]: 0}
+        """Drop all states and transitions, and what was read."""
+        self.states: list[bytes] = []
+        self.number: dict[bytes, int] = {}
         self.moves: dict[int, int] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.numbered(struct.pack("<i", 0))
         self.reset()
 
+    def numbered(self, packed: bytes) -> int:
+        """The number of a state, which is kept packed: its suffix, then n + 1 edges for n bytes."""
+        found = self.number.get(packed)
+        if found is None:
+            found = self.number[packed] = len(self.states)
+            self.states.append(packed)
+        return found
+
     def reset(self) -> None:
         self.now, self.held, self.due = 0, [], 2 * self.vocabulary.lookahead
 
     def move(self, key: int) -> int:
         """Next state and, in the last 24 bits, newest token of state key >> 8 on byte key & 255."""
-        suffix, edges = self.states[key >> 8]
-        run, edges, _, _, token = advance(self.vocabulary, suffix, edges, (0,) * len(edges), key & 255)
-        state = (run, tuple(edges))
-        found = self.number.get(state)
-        if found is None:
-            found = self.number[state] = len(self.states)
-            self.states.append(state)
+        packed = self.states[key >> 8]
+        n = (len(packed) - 4) // 5
+        edges = struct.unpack_from(f"<{n + 1}i", packed, n)
+        run, edges, _, _, token = advance(self.vocabulary, packed[:n], edges, (0,) * len(edges), key & 255)
+        found = self.numbered(run + struct.pack(f"<{len(edges)}i", *edges))
         self.moves[key] = found << 24 | self.vocabulary.ids[token]
         return self.moves[key]
 
@@ -487,8 +507,8 @@ class Transducer:
             now = found >> 24
             held.append(found & 0xFFFFFF)
             if len(held) >= self.due:
-                done = shared([self.sizes[t] for t in held], len(self.states[now][0]))
-                out += self.path(done)
+                done = shared([self.sizes[t] for t in held], (len(self.states[now]) - 4) // 5)
+                out += self.path(held[:done])
                 del held[:done]
                 self.due = len(held) + 2 * self.vocabulary.lookahead
                 if len(self.states) > STATES or len(moves) > 2 * STATES:
@@ -499,39 +519,43 @@ class Transducer:
 
     def end(self) -> list[int]:
         """Close the pre-token; the ids that were held."""
-        out = self.path(len(self.held))
+        out = self.path(self.held)
         self.reset()
         return out
 
-    def path(self, end: int) -> list[int]:
-        """The ids of the encoding up to position end, by the back-pointers."""
-        out = []
+    def path(self, held: list[int]) -> list[int]:
+        """The ids of the encoding of what held's tokens end at, by the back-pointers."""
+        out, end, sizes = [], len(held), self.sizes
         while end > 0:
-            token = self.held[end - 1]
+            token = held[end - 1]
             out.append(token)
-            end -= self.sizes[token]
-        return out[::-1]
+            end -= sizes[token]
+        out.reverse()
+        return out
 
     def forget(self, now: int) -> int:
         """Drop all states but one, and return its new number."""
         kept, held, due = self.states[now], self.held, self.due
         self.clear()
         self.held, self.due = held, due
-        if kept not in self.number:
-            self.number[kept] = len(self.states)
-            self.states.append(kept)
-        return self.number[kept]
+        return self.numbered(kept)
 
     def word(self, raw: bytes) -> bytes:
         """The packed ids of a whole pre-token; those of short ones are kept."""
         if len(self.states) > STATES or len(self.moves) > 2 * STATES:
             self.forget(0)
-        ids = self.feed(raw)
-        packed = struct.pack(f"<{len(ids) + len(rest)}I", *ids, *rest) if (rest := self.end()) or ids else b""
-        if len(raw) <= LONG:
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            self.words[raw] = packed
+        if len(raw) > LONG:
+            return array("I", self.feed(raw) + self.end()).tobytes()
+        moves, now, held = self.moves, 0, []
+        for byte in raw:  # as feed, for less than a lookahead
+            found = moves.get(now << 8 | byte)
+            if found is None:
+                found = self.move(now << 8 | byte)
+            now = found >> 24
+            held.append(found & 0xFFFFFF)
+        if len(self.words) >= WORDS:
+            self.words.clear()
+        packed = self.words[raw] = array("I", self.path(held)).tobytes()
         return packed
 
     def read(self, text: bytes, start: int = 0, stop: int | None = None) -> Iterator[bytes]:
@@ -547,7 +571,7 @@ class Transducer:
                 if starts or b == len(raw):
                     ids += self.end()
                     is_open = False
-                out.append(struct.pack(f"<{len(ids)}I", *ids))
+                out.append(array("I", ids).tobytes())
             if starts:
                 stops = [*starts[1:], b]
                 if b < len(raw):  # the last pre-token may go on
@@ -556,7 +580,7 @@ class Transducer:
                     out.append(get(piece) or self.word(piece))
                 if b < len(raw):
                     ids, is_open = self.feed(raw[starts[-1] : b]), True
-                    out.append(struct.pack(f"<{len(ids)}I", *ids))
+                    out.append(array("I", ids).tobytes())
             yield b"".join(out)
 
 
@@ -592,6 +616,14 @@ class Tokenizer:
         self.counter = Counter(self.vocabulary)
         self.transducer = Transducer(self.vocabulary)
 
+    def rest(self) -> None:
+        """Forget what was made as texts needed it; it is made again when they need it."""
+        self.counter.clear()
+        self.transducer.clear()
+        self.transducer.words.clear()
+        for known in self.vocabulary.known:
+            known.clear()
+
     def stretches(self, text: bytes) -> Iterator[tuple[int, int, int | None]]:
         """(start, stop, special id or None) of a text: special strings and what stands between them."""
         at = 0

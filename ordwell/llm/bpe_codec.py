@@ -17,6 +17,7 @@ gives none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from hashlib import sha256
 
 import pyarrow as pa
@@ -70,23 +71,30 @@ def digest(machine: bpe.Tokenizer, text: bytes) -> tuple[int, str, str]:
     return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
 
-def round_trip(text: Column, path: str | None = None) -> Column:
-    """Struct (n_tokens, ids_sha256, decoded_sha256) of what encoded() and decoded() give."""
+def round_trip(text: Column, path: str | None = None, keep: bool = True) -> Column:
+    """Struct (n_tokens, ids_sha256, decoded_sha256) of what encoded() and decoded() give.
+
+    keep: workers keep transitions for their next tasks, instead of forgetting them after each.
+    """
 
     @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
-    def both(texts: pa.Array) -> pa.Array:
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = bpe.tokenizer(path or vocabulary_path())
-        rows = [digest(machine, x.as_py() or b"") for x in texts.cast(pa.large_binary())]
-        release()
-        kinds = (pa.int64(), pa.string(), pa.string())
-        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["n_tokens", "ids_sha256", "decoded_sha256"])
+        for texts in batches:
+            rows = [digest(machine, x.as_py() or b"") for x in texts.cast(pa.large_binary())]
+            release()
+            kinds = (pa.int64(), pa.string(), pa.string())
+            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["n_tokens", "ids_sha256", "decoded_sha256"])
+        if not keep:
+            machine.rest()
+            release()
 
     return both(text)
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, keep: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents."""
-    return docs.select("doc_id", round_trip(F.col("text")).alias("both")).select("doc_id", "both.*")
+    return docs.select("doc_id", round_trip(F.col("text"), keep=keep).alias("both")).select("doc_id", "both.*")
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

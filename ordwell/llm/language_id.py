@@ -39,7 +39,7 @@ HASHES = 2
 SHARE = 2e-5
 PER_LANGUAGE = 1500
 WORD = 64  # languages in a mask
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: A text is rejected where fewer of its n-grams are known in its language.
 LEAST_SCORE = 0.2
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
