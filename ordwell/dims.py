@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-#: Heroes by their internal names.
-HEROES = (
-    "ana", "bastion", "brigitte", "doomfist", "dva", "genji", "hanzo", "junkrat", "lucio", "mccree", "mei", "mercy", "moira", "orisa", "pharah",
-    "reaper", "reinhardt", "roadhog", "soldier76", "sombra", "symmetra", "torbjon", "tracer", "widowmaker", "winston", "zarya", "zenyatta",
-)
 #: Objects that can be destroyed, and the hero each belongs to.
 OBJECT_HERO = {"meka": "dva", "riptire": "junkrat", "shield": "symmetra", "supercharger": "orisa", "teleporter": "symmetra", "turret": "torbjon"}
 #: Names whose display form isn't the capitalised one.
@@ -22,3 +17,5 @@ FIGHT_GAP = 14.0
 FIGHT_TAIL = 7.0
 RESPAWN = 10.0
 SWITCH_DELAY = 1.5
+#: Colours (BGR) of the kill feed's boxes for team 0 and team 1.
+TEAM_COLOURS = ((40, 40, 220), (220, 220, 40))

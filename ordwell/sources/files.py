@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,12 +46,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(path, document, json) of the documents in zip archives."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
 
-    @F.udf("map<string,string>")
-    def unzip(content):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            return {n.rsplit("/", 1)[-1].removesuffix(".json"): z.read(n).decode("utf-8-sig") for n in z.namelist() if n.endswith(".json")}
+    def unzip(batches):
+        for batch in batches:
+            paths, names, bodies = [], [], []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    for n in z.namelist():
+                        if n.endswith(".json"):
+                            paths.append(path)
+                            names.append(n.rsplit("/", 1)[-1].removesuffix(".json"))
+                            bodies.append(z.read(n).decode("utf-8-sig"))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (paths, names, bodies)], ["path", "document", "json"])
 
-    return files.select("path", F.explode(unzip("content")).alias("document", "json"))
+    return files.select("path", "content").mapInArrow(unzip, "path string, document string, json string")
 
 
 def write_documents(documents: dict[str, DataFrame], path: str) -> None:
@@ -76,17 +85,22 @@ def write_tables(tables: dict[str, DataFrame], path: str, kind: str = "parquet")
 
 
 def append_new(spark: SparkSession, found: DataFrame, path: str, key: str) -> DataFrame:
-    """Append to the CSV catalogue at path what it doesn't have; returns what was new."""
+    """Append to the CSV catalogue at path what it doesn't have; returns what was new.
+
+    What is new is written to a folder of its own beside the catalogue first, as the
+    catalogue can't change while it is read; nothing comes to the driver.
+    """
     try:
         known = spark.read.option("header", True).schema(found.schema).csv(path).select(key)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         known = found.select(key).limit(0)
-    new = found.dropDuplicates([key]).join(known, key, "left_anti").select(*found.columns)
-    kept = spark.createDataFrame(new.toArrow())  # a page of a catalogue, read before its own file changes
-    kept.write.mode("append").option("header", True).csv(path)
-    return kept
+    fresh = f"{path.rstrip('/')}_new/{uuid.uuid4().hex}"
+    found.dropDuplicates([key]).join(known, key, "left_anti").select(*found.columns).write.parquet(fresh)
+    new = spark.read.schema(found.schema).parquet(fresh)
+    new.write.mode("append").option("header", True).csv(path)
+    return new
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -96,3 +110,15 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = last_stem(F.regexp_extract("path", r"([^/]+)$", 1))
     return files.select("path", icon_parts(name).alias("p"), "content").select("path", "p.*", "content")
+
+
+#: What every hero has besides the abilities in its folder.
+SHARED = ("ability", "Melee", "v")
+
+
+def read_heroes(spark: SparkSession, path: str) -> DataFrame:
+    """(hero, abilities) of folders <path>/<hero>/<name>@<category>@<bind>.png, the shared ability last."""
+    own = read_images(spark, path).withColumn("hero", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
+    each = F.sort_array(F.collect_list(F.struct("category", "name", "bind")))
+    shared = F.struct(*(F.lit(v).alias(k) for k, v in zip(("category", "name", "bind"), SHARED, strict=True)))
+    return own.groupBy("hero").agg(F.array_append(each, shared).alias("abilities"))

@@ -7,15 +7,18 @@ partition for each range, the region cut before anything leaves the reader.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "frame int, height int, width int, channels int, data binary"
+CLIP = pa.schema([("clip", pa.string()), *((c, pa.int32()) for c in ("frame", "height", "width", "channels")), ("data", pa.binary())])
 
 
 @dataclass(frozen=True)
@@ -57,11 +60,15 @@ class RangePartition(InputPartition):
 
 
 class FrameReader(DataSourceReader):
+    """Each frame that some job needs is read once; each job's region is cut from it before anything leaves the reader."""
+
     def __init__(self, options):
         import numpy as np
 
-        self.path, self.step = options["path"], int(options.get("step", 1))
-        self.region = tuple(float(x) for x in options.get("region", "0,0,1,1").split(","))
+        self.path = options["path"]
+        alone = {"name": "", "step": options.get("step", 1), "region": [float(x) for x in options.get("region", "0,0,1,1").split(",")]}
+        self.jobs = json.loads(options["jobs"]) if "jobs" in options else [alone]
+        self.named = "jobs" in options
         self.end = min(int(options.get("end", 1 << 40)), len(np.load(self.path, mmap_mode="r")))
         self.start, self.workers = int(options.get("start", 0)), int(options.get("workers", 2))
 
@@ -73,13 +80,18 @@ class FrameReader(DataSourceReader):
 
         video = np.load(self.path, mmap_mode="r")
         h, w = video.shape[1:3]
-        x1, y1, x2, y2 = (round(v * s) for v, s in zip(self.region, (w, h, w, h), strict=True))
-        frames = [f for f in range(partition.first, partition.after) if f % self.step == 0]
+        boxes = [(j["name"], int(j["step"]), [round(v * s) for v, s in zip(j["region"], (w, h, w, h), strict=True)]) for j in self.jobs]
+        frames = [f for f in range(partition.first, partition.after) if any(f % step == 0 for _, step, _ in boxes)]
         for few in chunks(frames, 8):
-            cut = [np.ascontiguousarray(video[f, y1:y2, x1:x2]) for f in few]
+            due = [(name, f, (x1, y1, x2, y2)) for f in few for name, step, (x1, y1, x2, y2) in boxes if f % step == 0]
+            cut = [np.ascontiguousarray(video[f, y1:y2, x1:x2]) for _, f, (x1, y1, x2, y2) in due]
             shape = [(c.shape[0], c.shape[1], c.shape[2] if c.ndim > 2 else 1) for c in cut]
-            columns = [few, *([s[k] for s in shape] for k in range(3))]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array([c.tobytes() for c in cut], pa.binary())], ["frame", "height", "width", "channels", "data"])
+            columns = [pa.array(c, pa.int32()) for c in ([f for _, f, _ in due], *([s[k] for s in shape] for k in range(3)))]
+            columns.append(pa.array([c.tobytes() for c in cut], pa.binary()))
+            names = ["frame", "height", "width", "channels", "data"]
+            if self.named:
+                columns, names = [pa.array([n for n, *_ in due], pa.string()), *columns], ["job", *names]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
 
 class FrameSource(DataSource):
@@ -88,14 +100,37 @@ class FrameSource(DataSource):
         return "ordwell_frames"
 
     def schema(self) -> str:
-        return SCHEMA
+        return f"job string, {SCHEMA}" if "jobs" in self.options else SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
         return FrameReader(self.options)
 
 
+def clips(spark: SparkSession, path: str) -> DataFrame:
+    """(clip, frame, height, width, channels, data) of .npy files of frames (n x height x width x channels), read through Spark.
+
+    A clip's name ends in the number of its first frame: <name>_<first>.npy.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
+    named = files.select(F.regexp_extract("path", r"([^/]+)_\d+\.npy$", 1).alias("clip"), F.regexp_extract("path", r"_(\d+)\.npy$", 1).cast("int").alias("first"), "content")
+
+    def read(batches):
+        import io
+
+        import numpy as np
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                video = np.load(io.BytesIO(row["content"]))
+                for k, f in enumerate(video):
+                    c = f.shape[2] if f.ndim > 2 else 1
+                    yield pa.RecordBatch.from_pylist([{"clip": row["clip"], "frame": row["first"] + k, "height": f.shape[0], "width": f.shape[1], "channels": c, "data": f.tobytes()}], CLIP)
+
+    return named.mapInArrow(read, f"clip string, {SCHEMA}")
+
+
 class Dispatcher:
-    """Jobs over a video's frames; run() gives a DataFrame for each job."""
+    """Jobs over a video's frames, one scan for all of them; run() gives a DataFrame for each job."""
 
     def __init__(self, spark: SparkSession, path: str, start: int = 0, end: int | None = None, workers: int = 2):
         self.spark, self.path, self.start, self.end, self.workers, self.jobs = spark, path, start, end, workers, []
@@ -110,18 +145,24 @@ class Dispatcher:
         self.jobs.append(job)
         return self
 
+    def frames(self) -> DataFrame:
+        """(job, frame, height, width, channels, data): each frame is read once for all jobs."""
+        jobs = [{"name": j.name, "region": j.region, "step": j.step} for j in self.jobs]
+        options = {"path": self.path, "jobs": json.dumps(jobs), "start": str(self.start), "workers": str(self.workers)}
+        if self.end is not None:
+            options["end"] = str(self.end)
+        return self.spark.read.format("ordwell_frames").options(**options).load()
+
     def run(self, schema: str = "frame int, value double") -> dict[str, DataFrame]:
-        out = {}
-        for job in self.jobs:
-            options = {"path": self.path, "step": str(job.step), "region": ",".join(map(str, job.region)), "start": str(self.start), "workers": str(self.workers)}
-            if self.end is not None:
-                options["end"] = str(self.end)
-            frames = self.spark.read.format("ordwell_frames").options(**options).load()
-            out[job.name] = frames.mapInPandas(_runner(job.process), schema)
-        return out
+        """A job's rows by its name; all come from one pass, whose rows are kept while they are used."""
+        if not self.jobs:
+            return {}
+        fields = T.StructType.fromDDL(schema)
+        rows = self.frames().mapInPandas(_runner({j.name: j.process for j in self.jobs}, fields.names), f"job string, {schema}").persist()
+        return {j.name: rows.where(F.col("job") == j.name).drop("job") for j in self.jobs}
 
 
-def _runner(process):
+def _runner(processes, names):
     def run(batches):
         import numpy as np
         import pandas as pd
@@ -130,7 +171,7 @@ def _runner(process):
             rows = []
             for r in batch.itertuples():
                 image = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
-                rows += process(image, r.frame)
-            yield pd.DataFrame(rows, columns=["frame", "value"])
+                rows += [(r.job, *row) for row in processes[r.job](image, r.frame)]
+            yield pd.DataFrame(rows, columns=["job", *names])
 
     return run

@@ -5,6 +5,8 @@ import time
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ordwell.functions import kernels as k
@@ -17,13 +19,18 @@ from ordwell.streaming import sessions
 brightness = k.brightness
 
 
-def test_chunks_and_plan():
-    assert frames.chunks([1, 2, 3, 4], 2) == [[1, 2], [3, 4]]
-    assert frames.chunks(list(range(1, 8)), 3) == [[1, 2, 3], [4, 5, 6], [7]]
-    assert frames.chunks([1, 2], 8) == [[1, 2]] and frames.chunks([], 4) == [] and frames.chunks([1, 2, 3], 1) == [[1], [2], [3]]
-    for start, end, workers in ((0, 100, 3), (5, 9, 2), (0, 0, 1)):
-        ranges = frames.plan_ranges(start, end, workers)
-        assert [f for a, b in ranges for f in range(a, b)] == list(range(start, end))
+@given(st.lists(st.integers(), max_size=40), st.integers(1, 12))
+def test_chunks_hold_all_items_in_order(items, n):
+    parts = frames.chunks(items, n)
+    assert [x for p in parts for x in p] == items
+    assert all(len(p) == n for p in parts[:-1]) and all(1 <= len(p) <= n for p in parts)
+
+
+@given(st.integers(0, 500), st.integers(0, 3000), st.integers(1, 9), st.integers(1, 6))
+def test_ranges_hold_all_frames_once(start, size, workers, each):
+    ranges = frames.plan_ranges(start, start + size, workers, each)
+    assert [f for a, b in ranges for f in range(a, b)] == list(range(start, start + size))
+    assert len(ranges) <= workers * each + 1
 
 
 def test_dispatch_does_not_depend_on_workers(spark, tmp_path):
@@ -84,8 +91,9 @@ def test_kernels():
     assert k.iou(np.array([0, 200, 200]), np.array([200, 200, 0])) == pytest.approx(1 / 3, abs=1e-5)
     assert k.ssim(image, image) == pytest.approx(1) and k.ssim(image, 255 - image) < 0
     square = np.zeros((30, 30))
-    square[5:15, 5:12] = 1
-    assert k.hu_distance(square, np.roll(square, 6, 1)) < 1e-6 < k.hu_distance(square, np.eye(30))
+    square[5:15, 5:12] = 255
+    assert k.hu_distance(square, np.roll(square, 6, 1)) < 1e-6 < k.hu_distance(square, np.eye(30) * 255)
+    assert k.hu_distance(square, square * 0.6) < 1e-9  # shapes alone count, above 127
     assert k.nms([(0, 0, 10, 10), (1, 1, 11, 11), (20, 20, 30, 30), (2, 2, 4, 4)], [0.9, 0.95, 0.5, 0.1]) == [1, 2]
     mask = np.zeros((8, 9), bool)
     mask[1:4, 1:4] = mask[4, 4] = mask[6, 7] = True
@@ -97,13 +105,76 @@ def test_kernels():
     assert k.fill_holes(ring).sum() == 25
     assert k.anchored_groups([0, 5, 9, 11, 30], 10) == [0, 0, 0, 1, 2]
     assert k.first_fit_rows([0, 4, 20, 6, 22], 5) == [0, 0, 1, 0, 1]
+    assert k.first_fit_rows([0, 5, 7.4], 5) == [0, 0, 1] and k.first_fit_rows([0, 5, 7], 5) == [0, 0, 0]  # the mean 2.5 is cut to 2
     assert k.linspace(1, 2, 1) == [1] and k.linspace(0, 1, 3) == [0, 0.5, 1]
-    assert k.strip_team(np.full((4, 12, 3), 10, np.uint8), [(0, 0, 0), (200, 0, 0)]) == 0 and k.strip_team(np.zeros((4, 12, 3)), [(5, 0, 0), (0, 5, 0)]) == 1
-    line = np.zeros((30, 40, 3), np.uint8)
-    line[15:, :] = 255
-    assert any(b[2] >= 30 for b in k.horizontal_lines(line)) and k.white_text(line).sum() == 15 * 40 and k.text_density(np.ones((30, 40)), (0, 20, 10, 2)) == 1
-    assert k.ability_mask(np.pad(np.full((6, 6), 250.0), 20)).any() and k.saliency(line, np.array([255, 255, 255])).shape == (30, 40)
-    assert k.row_regions([(5, 50), (5, 80)], 100, 100)[0][1] > 50
+    assert k.nearest_colour(np.array([10, 10, 10]), [(0, 0, 0), (200, 0, 0)]) == 0 and k.nearest_colour(np.zeros(3), [(5, 0, 0), (0, 5, 0)]) == 1
+    assert k.ability_mask(np.pad(np.full((6, 6), 250.0), 20)).any()
+
+
+def naive_scores(image, template, mask, centred):
+    """Template scores place by place."""
+    image, template = np.atleast_3d(image), np.atleast_3d(template)
+    h, w, c = template.shape
+    out = np.zeros((image.shape[0] - h + 1, image.shape[1] - w + 1))
+    for y in range(out.shape[0]):
+        for x in range(out.shape[1]):
+            top = left = right = 0.0
+            for j in range(c):
+                a, b = image[y : y + h, x : x + w, j][mask], template[..., j][mask]
+                a, b = (a - a.mean(), b - b.mean()) if centred else (a, b)
+                top, left, right = top + (a * b).sum(), left + (a * a).sum(), right + (b * b).sum()
+            out[y, x] = top / np.sqrt(left * right) if left * right > 0 else 0
+    return out
+
+
+def test_match_scores_against_plain_loops():
+    rnd = np.random.default_rng(3)
+    for shape, small in (((14, 17), (4, 5)), ((12, 15, 3), (5, 4, 3))):
+        image, template = rnd.integers(0, 255, shape).astype(float), rnd.integers(0, 255, small).astype(float)
+        for mask in (np.ones(small[:2], bool), rnd.random(small[:2]) < 0.7):
+            for centred in (True, False):
+                assert np.allclose(k.match_scores(image, template, mask, centred), naive_scores(image, template, mask, centred), atol=1e-6)
+
+
+def test_ssim_against_plain_loops():
+    rnd = np.random.default_rng(4)
+    a, b = rnd.integers(0, 255, (2, 12, 13)).astype(float)
+    c1, c2, out = (0.01 * 255) ** 2, (0.03 * 255) ** 2, []
+    for y in range(6):
+        for x in range(7):
+            p, q = a[y : y + 7, x : x + 7].ravel(), b[y : y + 7, x : x + 7].ravel()
+            cov = np.cov(p, q)
+            out.append((2 * p.mean() * q.mean() + c1) * (2 * cov[0, 1] + c2) / ((p.mean() ** 2 + q.mean() ** 2 + c1) * (cov[0, 0] + cov[1, 1] + c2)))
+    assert k.ssim(a, b) == pytest.approx(np.mean(out))
+
+
+def test_morphology_resizing_and_edges():
+    rnd = np.random.default_rng(5)
+    mask = rnd.random((15, 18)) < 0.6
+    for h, w in ((1, 4), (2, 2), (3, 3), (2, 5)):
+        fits = np.zeros_like(mask)
+        for y in range(15 - h + 1):
+            for x in range(18 - w + 1):
+                if mask[y : y + h, x : x + w].all():
+                    fits[y : y + h, x : x + w] = True
+        inner = k.opened(np.pad(mask, 6), h, w)[6:-6, 6:-6]
+        assert np.array_equal(inner, fits)
+    image = rnd.random((12, 20))
+    assert np.allclose(k.resize(image, 6, 5), image.reshape(6, 2, 5, 4).mean((1, 3)))
+    assert k.resize(image, 24, 40).shape == (24, 40) and np.allclose(k.resize(np.full((5, 5, 3), 7.0), 9, 3), 7)
+    step = np.zeros((20, 20))
+    step[:, 10:] = 255
+    assert k.canny(step, 100, 200).sum(0).argmax() in (9, 10) and not k.canny(np.full((9, 9), 3.0), 100, 200).any()
+    assert np.allclose(k.lab(np.array([[[255, 255, 255], [0, 0, 0]]])), [[[255, 128, 128], [0, 128, 128]]], atol=0.6)
+    box = np.zeros((40, 100, 3), np.uint8)
+    box[12:28, 20:80] = (40, 40, 220)
+    lines = k.lines_of(k.horizontal_edges(box, 90))
+    assert lines and all(abs(y - 12) <= 2 or abs(y - 28) <= 2 for *_, y in lines)
+    assert k.text_density(np.ones((30, 40), bool), (5, 10, 20)) == 1
+    blob = np.zeros((20, 20), bool)
+    blob[2:6, 2:18] = blob[10, 10] = True
+    assert k.blobs(blob, 0.01, 0.5, fill=0.9) == [(2, 2, 16, 4, 64)] and k.blob_mask(blob, 0.01, 0.5, large=1, wide=3).sum() == 0
+    assert k.blob_mask(blob, 0.001, 0.5).sum() == 65
 
 
 def test_suppression_by_image(spark):
@@ -155,3 +226,26 @@ def test_no_fights_have_no_mean(spark):
     df = spark.createDataFrame([(1, 1, 5.0, "Suicide", 0, 1)], "match_id long, event_id long, time_s double, action string, subject int, object int")
     s = stats.MatchStats(df)
     assert s.mean_fight().count() == 0 and s.fights().count() == 0 and s.separations().count() == 1 and s.eliminations().count() == 0
+
+
+def test_runs_are_not_split_by_later_batches(spark, tmp_path):
+    """Frames 0 and 5 of a key, each in a batch of its own with another key's between: one run, as in a batch."""
+    def put(rows):
+        spark.createDataFrame(rows, "key string, frame long").withColumn("ts", F.timestamp_seconds(F.col("frame") + 1000)).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+        time.sleep(1.1)  # files are taken in the order of their times
+
+    for rows in ([("a", 0)], [("b", 3)], [("a", 5), ("b", 30)], [("c", 9000)], [("d", 20000)], [("e", 40000)]):
+        put(rows)
+    stream = sessions.stream_table(spark, str(tmp_path / "s"), "key string, frame long, ts timestamp")
+    q = sessions.dedup_stream(stream, 10, watermark="1 hour").writeStream.format("memory").queryName("dd2").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    got = sorted(tuple(r) for r in wait(q, 4, "dd2", spark) if r.key < "c")
+    assert got == [("a", 0, 5, 2), ("b", 3, 3, 1), ("b", 30, 30, 1)]
+
+
+def test_freeze_stream(spark, tmp_path):
+    rows = [("a", 0, "x", True), ("a", 1, "y", False), ("a", 2, "z", True), ("b", 0, "u", False), ("a", 3, "w", False)]
+    spark.createDataFrame(rows, "key string, frame long, hero string, is_dead boolean").withColumn("ts", F.timestamp_seconds("frame")).coalesce(1).write.parquet(str(tmp_path / "s"))
+    stream = sessions.stream_table(spark, str(tmp_path / "s"), "key string, frame long, hero string, is_dead boolean, ts timestamp")
+    q = sessions.freeze_stream(stream).writeStream.format("memory").queryName("ff").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    got = sorted(tuple(r) for r in wait(q, 5, "ff", spark))
+    assert got == [("a", 0, "x"), ("a", 1, "y"), ("a", 2, "y"), ("a", 3, "w"), ("b", 0, "u")]
