@@ -25,7 +25,10 @@ one task: its places are reduced before the shuffle and looked up in a bounded t
 from __future__ import annotations
 
 import struct
+from array import array
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,22 +49,31 @@ def lines_of(text: Column) -> Column:
 
     @F.arrow_udf(LINES)
     def split(texts: pa.Array) -> pa.Array:
-        rows = []
+        at, hashes, words, ends = array("i"), array("q"), array("i"), array("i", [0])
         for one in (x.as_py() for x in texts.cast(pa.large_binary())):
-            at, hashes, words = [], [], []
             for i, line in enumerate((one or b"").lower().split(b"\n")):
                 if parts := line.split():
                     at.append(i)
                     hashes.append(signed(xxh64_intdigest(b" ".join(parts))))
                     words.append(len(parts))
-            rows.append((at, hashes, words))
+            ends.append(len(at))
         release()
-        kinds = (pa.int32(), pa.int64(), pa.int32())
-        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.list_(t)) for k, t in enumerate(kinds)], ["at", "hash", "words"])
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(flat(ends), flat(v)) for v in (at, hashes, words)], ["at", "hash", "words"])
 
     return split(text)
 
 
+def flat(values: array) -> pa.Array:
+    """An array's memory as an Arrow array."""
+    return pa.array(np.frombuffer(values, values.typecode) if len(values) else np.empty(0, values.typecode))
+
+
+def each(lists: pa.ListArray) -> Iterator[list]:
+    """The lists, one after the other; few Python objects at a time."""
+    bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return (values[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+
+
 def windows_of(hashes: list[int], words: list[int], least: int) -> list[tuple[int, int, int, int]]:
     """(selected hash, its place, first, last) of the window at each line, where least words follow."""
     out, last, total = [], -1, 0
@@ -82,8 +94,15 @@ def winnow(lines: Column, least: int) -> Column:
 
     @F.arrow_udf("array<struct<pick: long, place: int>>")
     def select(found: pa.Array) -> pa.Array:
-        rows = [sorted({w[:2] for w in windows_of(x["hash"], x["words"], least)}) for x in found.to_pylist()]
-        return pa.array([[{"pick": p, "place": k} for p, k in r] for r in rows], pa.list_(pa.struct([("pick", pa.int64()), ("place", pa.int32())])))
+        _, hashes, words = found.flatten()
+        picks, places, ends = array("q"), array("i"), array("i", [0])
+        for h, w in zip(each(hashes), each(words), strict=True):
+            for pick, place in sorted({x[:2] for x in windows_of(h, w, least)}):
+                picks.append(pick)
+                places.append(place)
+            ends.append(len(picks))
+        release()
+        return pa.ListArray.from_arrays(flat(ends), pa.StructArray.from_arrays([flat(picks), flat(places)], ["pick", "place"]))
 
     return select(lines)
 
@@ -99,12 +118,18 @@ def extend(lines: Column, places: Column, least: int) -> Column:
 
     @F.arrow_udf("array<struct<first: int, last: int, run: long>>")
     def around(found: pa.Array, at: pa.Array) -> pa.Array:
-        rows = []
-        for x, own in zip(found.to_pylist(), at.to_pylist(), strict=True):
-            hashes, own = x["hash"], set(own)
-            packed = struct.pack(f"<{len(hashes)}q", *hashes)
-            rows.append([{"first": a, "last": e, "run": signed(xxh64_intdigest(packed[8 * a : 8 * e + 8]))} for k, a, e in runs_of(windows_of(hashes, x["words"], least), len(hashes)) if k in own])
-        return pa.array(rows, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("run", pa.int64())])))
+        _, hashes, words = found.flatten()
+        first, last, run, ends = array("i"), array("i"), array("q"), array("i", [0])
+        for h, w, own in zip(each(hashes), each(words), each(at), strict=True):
+            packed, own = struct.pack(f"<{len(h)}q", *h), set(own)
+            for k, a, e in runs_of(windows_of(h, w, least), len(h)):
+                if k in own:
+                    first.append(a)
+                    last.append(e)
+                    run.append(signed(xxh64_intdigest(packed[8 * a : 8 * e + 8])))
+            ends.append(len(run))
+        release()
+        return pa.ListArray.from_arrays(flat(ends), pa.StructArray.from_arrays([flat(first), flat(last), flat(run)], ["first", "last", "run"]))
 
     return around(lines, places)
 
