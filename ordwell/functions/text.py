@@ -32,8 +32,9 @@ def hms_to_seconds(text: Column) -> Column:
 
 
 def display_name(name: Column) -> Column:
-    """Exceptions, else the first letter upper-cased and the rest lower-cased."""
-    plain = F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substring(name, 2, 1 << 20)))
+    """Exceptions, else the first letter upper-cased and the rest lower-cased; of a letter whose upper case is two (ß) the first is upper."""
+    first = F.upper(F.substring(name, 1, 1))
+    plain = F.concat(F.substring(first, 1, 1), F.lower(F.substring(first, 2, 8)), F.lower(F.substring(name, 2, 1 << 20)))
     return F.coalesce(F.try_element_at(mapping(DISPLAY), name), plain)
 
 
@@ -127,3 +128,8 @@ def binary_iou(a: Column, b: Column, threshold: float = 127.0) -> Column:
 
 def any_of(flags: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, flags)
+
+
+def created_at() -> Column:
+    """The present time in UTC, as match documents write it."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss")

@@ -88,22 +88,19 @@ def split_clusters(df: DataFrame) -> DataFrame:
     Only clusters that have a frame twice leave the JVM.
     """
     keys = [*KEY, "cluster"]
-    w = Window.partitionBy(*keys)
-    counted = df.withColumn("twice", F.count("*").over(w) > F.size(F.collect_set("frame").over(w)))
+    again = F.coalesce(F.lag("frame").over(Window.partitionBy(*keys).orderBy("frame", "row")) == F.col("frame"), F.lit(False))
+    counted = df.withColumn("again", again).withColumn("twice", F.max("again").over(Window.partitionBy(*keys))).drop("again")
     whole = counted.where("not twice").drop("twice").withColumn("piece", F.lit(0))
-    some = counted.where("twice").drop("twice").withColumn("at", F.struct("frame", "row"))
-    listed = some.groupBy(*keys).agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    others = [c for c in df.columns if c not in keys and c not in ("frame", "row")]
+    listed = counted.where("twice").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("frame", "row", *others))).alias("members"))
 
     @F.pandas_udf("array<int>")
-    def split(ats: pd.Series) -> pd.Series:
-        return ats.map(lambda x: pieces([p["frame"] for p in x], [p["row"] for p in x]))
-
-    placed = listed.withColumn("p", split("ats")).select(*keys, F.explode(F.arrays_zip("ats", "p")).alias("z")).select(*(F.col(k).alias(f"k_{k}") for k in keys), F.col("z.ats").alias("k_at"), F.col("z.p").alias("piece"))
-    same = F.lit(True)
-    for k in keys:
-        same &= some[k].eqNullSafe(placed[f"k_{k}"])
-    kept = some.join(placed, same & (some["at"] == placed["k_at"])).where("piece >= 0")
-    return whole.unionByName(kept.select(*whole.columns))
+    def split(members: pd.Series) -> pd.Series:
+        return members.map(lambda x: pieces([p["frame"] for p in x], [p["row"] for p in x]))
+
+    at = F.transform("members", lambda m: F.struct(m["frame"].alias("frame"), m["row"].alias("row")))
+    placed = listed.withColumn("p", split(at)).select(*keys, F.explode(F.arrays_zip("members", "p")).alias("z")).select(*keys, "z.members.*", F.col("z.p").alias("piece"))
+    return whole.unionByName(placed.where("piece >= 0").select(*whole.columns))
 
 
 def plurality(values: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ordwell.operators import states as s
 from ordwell.operators.matching import asof
+from ordwell.session import cut
 
 
 @dataclass(frozen=True)
@@ -50,20 +51,19 @@ def clear_frames(frames: DataFrame, rules: Rules) -> DataFrame:
     return marked.withColumn("keep", F.col("is_valid") & ~inside & ~replayed).where("keep").select("match_id", "frame")
 
 
-def replaced(df: DataFrame, found: DataFrame, **columns: str) -> DataFrame:
-    """df with columns taken from found (by match, slot and frame)."""
-    named = found.select(*s.SERIES, "frame", *(F.col(c).alias(f"new_{k}") for k, c in columns.items()))
-    joined = df.join(named, [*s.SERIES, "frame"])
-    return joined.select(*(F.col(f"new_{c}").alias(c) if c in columns else F.col(c) for c in df.columns), *(F.col(f"new_{c}").alias(c) for c in columns if c not in df.columns))
+def renamed(df: DataFrame, before: list[str], **columns: str) -> DataFrame:
+    """df with columns taken from others of its own, in the order before, new ones last."""
+    return df.select(*(F.col(columns.get(c, c)).alias(c) for c in before), *(F.col(v).alias(c) for c, v in columns.items() if c not in before))
 
 
 def smoothed(states: DataFrame) -> DataFrame:
-    return replaced(states, s.smooth(states), hero="hero_clean")
+    others = tuple(c for c in states.columns if c not in (*s.SERIES, "frame", "hero"))
+    return renamed(s.smooth(states, carry=others), states.columns, hero="hero_clean")
 
 
 def frozen(states: DataFrame) -> DataFrame:
     kept = ("hero", "ult_charge", "is_ult_ready")
-    return replaced(states, s.freeze_while_dead(states, *kept), **{c: f"{c}_clean" for c in kept})
+    return renamed(s.freeze_while_dead(states, *kept), states.columns, **{c: f"{c}_clean" for c in kept})
 
 
 def rematched(kills: DataFrame, states: DataFrame, alive: bool) -> DataFrame:
@@ -81,18 +81,21 @@ def with_deaths(states: DataFrame, kills: DataFrame, rules: Rules) -> DataFrame:
     """states with is_dead worked out from the kills of each slot."""
     own = kills.where("victim_slot >= 0").groupBy("match_id", F.col("victim_slot").alias("slot"), "frame").agg(F.sort_array(F.collect_list(F.struct("row", F.when(F.col("is_res"), "res").otherwise("kill").alias("kind")))).alias("own"))
     told = states.join(own, [*s.SERIES, "frame"], "left").withColumn("kills", F.coalesce(F.transform("own", lambda x: x["kind"]), F.array().cast("array<string>")))
-    return replaced(states, s.death_series(told, rules.step), is_dead="is_dead_clean")
+    others = tuple(c for c in states.columns if c not in (*s.SERIES, "frame", "is_dead"))
+    return renamed(s.death_series(told, rules.step, others), states.columns, is_dead="is_dead_clean")
 
 
 def with_mech(states: DataFrame, kills: DataFrame, rules: Rules) -> DataFrame:
     """states with mech_status and both ready flags; a mech goes down when its pilot is seen killed and lives on."""
     down = kills.where("victim_slot >= 0 and not is_res").select("match_id", F.col("victim_slot").alias("slot"), "frame", F.lit(True).alias("is_down")).distinct()
     told = states.join(down, [*s.SERIES, "frame"], "left").withColumn("is_down", F.coalesce("is_down", F.lit(False)))
-    return replaced(states, s.mech_statuses(told, rules.span, rules.mech_hero), mech_status="mech_status", is_ult_ready="is_ult_ready_clean", is_secondary_ult_ready="is_secondary_ult_ready")
+    others = tuple(c for c in states.columns if c not in (*s.SERIES, "frame"))
+    return renamed(s.mech_statuses(told, rules.span, rules.mech_hero, others), states.columns, mech_status="mech_status", is_ult_ready="is_ult_ready_clean", is_secondary_ult_ready="is_secondary_ult_ready")
 
 
 def with_charges(states: DataFrame, rules: Rules) -> DataFrame:
-    return replaced(states, s.repaired_charges(states, rules.span, rules.mech_hero), ult_charge="ult_charge_clean", is_ult_ready="is_ult_ready_clean")
+    others = tuple(c for c in states.columns if c not in (*s.SERIES, "frame"))
+    return renamed(s.repaired_charges(states, rules.span, rules.mech_hero, others), states.columns, ult_charge="ult_charge_clean", is_ult_ready="is_ult_ready_clean")
 
 
 def clear_kills(kills: DataFrame, states: DataFrame, rules: Rules) -> DataFrame:
@@ -113,14 +116,15 @@ def postprocess(states: DataFrame, frames: DataFrame, kills: DataFrame, rules: R
     rules = rules or Rules()
     kept = clear_frames(frames, rules)
     states, kills = states.join(kept, ["match_id", "frame"]).select(*states.columns), kills.join(kept, ["match_id", "frame"]).select(*kills.columns)
-    states = smoothed(states)
-    kills = rematched(kills, states, alive=False)
-    states = frozen(with_deaths(states, kills, rules))
-    kills = rematched(kills, states, alive=True)
+    # tables that several later passes use are written once; without that each use would repeat all passes before it
+    states = cut(smoothed(states))
+    kills = cut(rematched(kills, states, alive=False))
+    states = cut(frozen(with_deaths(states, kills, rules)))
+    kills = cut(rematched(kills, states, alive=True))
     states = frozen(smoothed(states))
     states = with_charges(with_mech(states, kills, rules), rules)
-    states = smoothed(states)
-    return states, clear_kills(kills, states, rules)
+    states = cut(smoothed(states))
+    return states, cut(clear_kills(kills, states, rules))
 
 
 def action(is_res: Column, killer: Column) -> Column:

@@ -6,6 +6,7 @@ order is always by frame in (match_id, slot), which is one player's series in a
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,23 +34,19 @@ def freeze_while_dead(df: DataFrame, *columns: str) -> DataFrame:
     return out.drop("frozen")
 
 
-def smooth_list(values: Column) -> Column:
+def smooth_list(values: list) -> list:
     """A value unlike both neighbours that are equal becomes theirs; earlier corrections count."""
-    n = F.size(values)
+    out = list(values)
+    for i in range(1, len(out) - 1):
+        if out[i - 1] == values[i + 1] != out[i]:
+            out[i] = out[i - 1]
+    return out
 
-    def step(out: Column, i: Column) -> Column:
-        before, here, after = F.get(out, i - 1), F.get(values, i), F.get(values, i + 1)
-        lone = (i > 0) & (i < n - 1) & (before == after) & (here != before)
-        return F.array_append(out, F.when(F.coalesce(lone, F.lit(False)), before).otherwise(here))
 
-    return F.when(n == 0, values).otherwise(F.aggregate(F.sequence(F.lit(0), n - 1), F.slice(values, 1, 0), step))
-
-
-def smooth(df: DataFrame, column: str = "hero") -> DataFrame:
-    """(match_id, slot, frame, column_clean): three-point smoothing in sequence over a player's series in a match."""
-    rows = df.groupBy(*SERIES).agg(F.sort_array(F.collect_list(F.struct("frame", column))).alias("s"))
-    done = rows.select(*SERIES, "s", smooth_list(F.transform("s", lambda x: x[column])).alias("c"))
-    return done.select(*SERIES, F.explode(F.zip_with("s", "c", lambda a, b: F.struct(a["frame"].alias("frame"), b.alias(f"{column}_clean")))).alias("z")).select(*SERIES, "z.*")
+def smooth(df: DataFrame, column: str = "hero", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(match_id, slot, frame, carry, column_clean): three-point smoothing in sequence over a player's series in a match."""
+    kind = df.schema[column].dataType.simpleString()
+    return by_series(df, [column], lambda values: [smooth_list(values)], f"{column}_clean {kind}", carry)
 
 
 def lookback(flag: Column, frames: int, ahead: int = 0) -> Column:
@@ -76,11 +73,41 @@ def ult_transitions(df: DataFrame) -> DataFrame:
 # series is folded in Python. A series is one player in one match, bounded by the match.
 
 
-def by_series(df: DataFrame, fold, schema: str) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fold(pdf.sort_values("frame", ignore_index=True))
+def by_series(df: DataFrame, columns: list[str], fold, results: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(match_id, slot, frame, carry, results): fold maps lists of columns, a series in order of frames, to lists of results.
+
+    A task takes its series one after the other from sorted rows, so it holds a batch and
+    one series, and needs no group of its own for each.
+    """
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (*SERIES, "frame", *carry)}
+    names = [r.split()[0] for r in results.split(", ")]
+
+    def work(p: pd.DataFrame) -> pd.DataFrame:
+        match, slot = p[SERIES[0]].to_numpy(), p[SERIES[1]].to_numpy()
+        cuts = [0, *(np.flatnonzero((match[1:] != match[:-1]) | (slot[1:] != slot[:-1])) + 1).tolist(), len(p)]
+        given = [p[c].tolist() for c in columns]
+        out: list[list] = [[] for _ in names]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            for own, new in zip(out, fold(*(g[a:z] for g in given)), strict=True):
+                own += new
+        return p[[*SERIES, "frame", *carry]].assign(**dict(zip(names, out, strict=True)))
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            last = b[list(SERIES)].iloc[-1].tolist()
+            tail = len(b) - int(((b[SERIES[0]] == last[0]) & (b[SERIES[1]] == last[1])).sum())
+            if tail or held and held[-1][list(SERIES)].iloc[-1].tolist() != last:
+                yield work(pd.concat([*held, b.iloc[:tail]], ignore_index=True))
+                held = []
+            held.append(b.iloc[tail:])
+        if held:
+            yield work(pd.concat(held, ignore_index=True))
 
-    return df.groupBy(*SERIES).applyInPandas(run, schema)
+    rows = df.select(*dict.fromkeys([*SERIES, "frame", *carry, *columns])).repartition(*SERIES).sortWithinPartitions(*SERIES, "frame")
+    return rows.mapInPandas(run, ", ".join([*(f"{c} {t}" for c, t in kinds.items()), results]))
 
 
 def death_states(times: list[float], kills: list[list[str]], step: float, respawn: float = 10.0) -> list[bool]:
@@ -153,34 +180,30 @@ def mech_states(hero: list[str], ready: list[bool], charge: list[int], down: lis
     return status, ready, second
 
 
-def repaired_charges(df: DataFrame, span: int = 2, mech_hero: str = "dva") -> DataFrame:
+def repaired_charges(df: DataFrame, span: int = 2, mech_hero: str = "dva", carry: tuple[str, ...] = ()) -> DataFrame:
     """match_id, slot, frame, ult_charge_clean, is_ult_ready_clean; mech_status is a column or unknown."""
     if "mech_status" not in df.columns:
         df = df.withColumn("mech_status", F.lit(NO_MECH))
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        charge, ready = repair_charge(*(p[c].tolist() for c in ("ult_charge", "is_ult_ready", "hero", "mech_status")), span, mech_hero)
-        return p[["match_id", "slot", "frame"]].assign(ult_charge_clean=charge, is_ult_ready_clean=ready)
+    def fold(*given: list) -> tuple[list, list]:
+        return repair_charge(*given, span, mech_hero)
 
-    columns = df.select(*SERIES, "frame", "ult_charge", "is_ult_ready", "hero", "mech_status")
-    return by_series(columns, fold, "match_id long, slot int, frame int, ult_charge_clean int, is_ult_ready_clean boolean")
+    return by_series(df, ["ult_charge", "is_ult_ready", "hero", "mech_status"], fold, "ult_charge_clean int, is_ult_ready_clean boolean", carry)
 
 
-def mech_statuses(df: DataFrame, span: int = 2, mech_hero: str = "dva") -> DataFrame:
+def mech_statuses(df: DataFrame, span: int = 2, mech_hero: str = "dva", carry: tuple[str, ...] = ()) -> DataFrame:
     """match_id, slot, frame, mech_status and ready flags; is_down marks frames where the mech was destroyed."""
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        status, ready, second = mech_states(*(p[c].tolist() for c in ("hero", "is_ult_ready", "ult_charge", "is_down")), span, mech_hero)
-        return p[["match_id", "slot", "frame"]].assign(mech_status=status, is_ult_ready_clean=ready, is_secondary_ult_ready=second)
+    def fold(*given: list) -> tuple[list, list, list]:
+        return mech_states(*given, span, mech_hero)
 
-    columns = df.select(*SERIES, "frame", "hero", "is_ult_ready", "ult_charge", "is_down")
-    return by_series(columns, fold, "match_id long, slot int, frame int, mech_status int, is_ult_ready_clean boolean, is_secondary_ult_ready boolean")
+    return by_series(df, ["hero", "is_ult_ready", "ult_charge", "is_down"], fold, "mech_status int, is_ult_ready_clean boolean, is_secondary_ult_ready boolean", carry)
 
 
-def death_series(df: DataFrame, step: float = 0.5) -> DataFrame:
+def death_series(df: DataFrame, step: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
     """match_id, slot, frame, is_dead_clean; kills is an array of 'kill' and 'res' in each frame."""
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        return p[["match_id", "slot", "frame"]].assign(is_dead_clean=death_states(p["time"].tolist(), [list(k) for k in p["kills"]], step))
+    def fold(times: list, kills: list) -> tuple[list]:
+        return (death_states(times, [list(k) for k in kills], step),)
 
-    return by_series(df.select(*SERIES, "frame", "time", "kills"), fold, "match_id long, slot int, frame int, is_dead_clean boolean")
+    return by_series(df, ["time", "kills"], fold, "is_dead_clean boolean", carry)

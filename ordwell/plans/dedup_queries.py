@@ -131,7 +131,20 @@ def e24(spark, sf_dir):
     return clustered(spark, sf_dir).select("event_id", F.count("*").over(Window.partitionBy(*d.KEY, "cluster")).alias("n"))
 
 
-@query("f3_row_split")
+SPLIT = f"""WITH RECURSIVE {CLUSTER},
+rec AS (
+  SELECT 0 AS it, {BY}, event_id, frame, row, CAST(NULL AS BIGINT) AS piece FROM cl
+  UNION ALL
+  SELECT it + 1, {BY}, event_id, frame, row, CASE WHEN frame >= twice AND row <= low THEN CASE WHEN row = low THEN it + 1 ELSE -1 END END
+  FROM (SELECT *, min(CASE WHEN frame = twice THEN row END) OVER (PARTITION BY {BY}) AS low
+    FROM (SELECT *, min(CASE WHEN often > 1 THEN frame END) OVER (PARTITION BY {BY}) AS twice
+      FROM (SELECT *, count(*) OVER (PARTITION BY {BY}, frame) AS often FROM rec WHERE piece IS NULL)))
+  WHERE twice IS NOT NULL),
+last AS (SELECT *, max(it) OVER (PARTITION BY {BY}) AS stop FROM rec)
+SELECT event_id, CAST(coalesce(piece, 0) AS INTEGER) AS piece FROM last WHERE piece >= 0 OR piece IS NULL AND it = stop"""
+
+
+@query("f3_row_split", SPLIT)
 def f3(spark, sf_dir):
     return d.split_clusters(clustered(spark, sf_dir)).select("event_id", "piece")
 

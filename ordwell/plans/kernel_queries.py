@@ -18,7 +18,20 @@ def boxes(spark, sf_dir):
     return b.select(F.col("vec_id").alias("pos"), "image", "x1", "y1", (F.col("x1") + F.col("w")).alias("x2"), (F.col("y1") + F.col("h")).alias("y2"), "score")
 
 
-@query("k7_nms")
+SIDES = "b2 AS (SELECT image, pos, x1, y1, x1 + w AS x2, y1 + h AS y2, score FROM bx)"
+RANKED = "ok AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY y1, pos) AS k FROM bx)"
+
+
+@query("k7_nms", f"""WITH RECURSIVE {BOX}, {SIDES},
+o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, pos) AS k FROM b2),
+r AS (
+  SELECT image, k, [pos] AS kept, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS boxes FROM o WHERE k = 1
+  UNION ALL
+  SELECT image, k, CASE WHEN gone THEN kept ELSE list_append(kept, pos) END, CASE WHEN gone THEN boxes ELSE list_append(boxes, own) END
+  FROM (SELECT o.image, o.k, o.pos, r.kept, r.boxes, {{'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}} AS own,
+      list_bool_or(list_transform(r.boxes, lambda b: greatest(0, least(b.x2, o.x2) - greatest(b.x1, o.x1)) * greatest(0, least(b.y2, o.y2) - greatest(b.y1, o.y1)) / ((o.x2 - o.x1) * (o.y2 - o.y1)) > 0.3)) AS gone
+    FROM r JOIN o ON o.image = r.image AND o.k = r.k + 1))
+SELECT image, unnest(kept) AS pos FROM (SELECT image, arg_max(kept, k) AS kept FROM r GROUP BY image)""")
 def k7(spark, sf_dir):
     return spatial.suppress(boxes(spark, sf_dir), ["image"])
 
@@ -48,12 +61,26 @@ def g4(spark, sf_dir):
     return g.select("image", F.array_join(F.transform("l", lambda x: x["pos"].cast("string")), ",").alias("boxes"))
 
 
-@query("f20_anchor_rows")
+@query("f20_anchor_rows", f"""WITH RECURSIVE {BOX}, {RANKED},
+r AS (
+  SELECT image, k, pos, y1 AS first, 0 AS group_no FROM ok WHERE k = 1
+  UNION ALL
+  SELECT o.image, o.k, o.pos, CASE WHEN o.y1 - r.first > 25 THEN o.y1 ELSE r.first END, r.group_no + CASE WHEN o.y1 - r.first > 25 THEN 1 ELSE 0 END
+  FROM r JOIN ok o ON o.image = r.image AND o.k = r.k + 1)
+SELECT image, pos, CAST(group_no AS INTEGER) AS group_no FROM r""")
 def f20(spark, sf_dir):
     return spatial.group_rows(boxes(spark, sf_dir), ["image"], "y1", kernels.anchored_groups, 25.0)
 
 
-@query("f22_first_fit_rows")
+@query("f22_first_fit_rows", f"""WITH RECURSIVE {BOX}, {RANKED},
+r AS (
+  SELECT image, k, pos, 1 AS own, [{{'c': y1::DOUBLE, 's': y1::DOUBLE, 'n': 1}}] AS rows FROM ok WHERE k = 1
+  UNION ALL
+  SELECT image, k, pos, CASE WHEN at > 0 THEN at ELSE len(rows) + 1 END,
+    CASE WHEN at > 0 THEN list_transform(rows, lambda x, i: CASE WHEN i = at THEN {{'c': trunc((x.s + y1) / (x.n + 1)), 's': x.s + y1, 'n': x.n + 1}} ELSE x END)
+      ELSE list_append(rows, {{'c': y1::DOUBLE, 's': y1::DOUBLE, 'n': 1}}) END
+  FROM (SELECT o.image, o.k, o.pos, o.y1, r.rows, coalesce(list_position(list_transform(r.rows, lambda x: abs(o.y1 - x.c) <= 25), true), 0) AS at FROM r JOIN ok o ON o.image = r.image AND o.k = r.k + 1))
+SELECT image, pos, CAST(own - 1 AS INTEGER) AS group_no FROM r""")
 def f22(spark, sf_dir):
     return spatial.group_rows(boxes(spark, sf_dir), ["image"], "y1", kernels.first_fit_rows, 25.0)
 
@@ -75,15 +102,15 @@ def a2(spark, sf_dir):
     return spark.range(0, 6000, step).select(F.col("id").alias("frame"), (F.col("id") / step / 5).alias("time"))
 
 
-JOBS = [Job("killfeed", (0.73, 0.0, 1.0, 0.25), 15), Job("players", (0.0, 0.0, 1.0, 0.2), 20)]
+JOBS = [Job("corner", (0.6, 0.0, 1.0, 0.3), 12), Job("bar", (0.0, 0.0, 1.0, 0.15), 18)]
 
 
-@query("a3_aligned_union", "SELECT f::INTEGER AS frame, j AS job FROM (SELECT unnest(range(7, 3000)) AS f), (VALUES ('killfeed', 15), ('players', 20)) t(j, s) WHERE f % s = 0")
+@query("a3_aligned_union", "SELECT f::INTEGER AS frame, j AS job FROM (SELECT unnest(range(7, 3000)) AS f), (VALUES ('corner', 12), ('bar', 18)) t(j, s) WHERE f % s = 0")
 def a3(spark, sf_dir):
     return sampled(spark, JOBS, 7, 3000)
 
 
-@query("e23_distinct_frames", "SELECT DISTINCT f::INTEGER AS frame FROM (SELECT unnest(range(7, 3000)) AS f) WHERE f % 15 = 0 OR f % 20 = 0")
+@query("e23_distinct_frames", "SELECT DISTINCT f::INTEGER AS frame FROM (SELECT unnest(range(7, 3000)) AS f) WHERE f % 12 = 0 OR f % 18 = 0")
 def e23(spark, sf_dir):
     return sampled(spark, JOBS, 7, 3000).select("frame").distinct()
 
@@ -93,9 +120,9 @@ def mu4(spark, sf_dir):
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(plan_ranges(100, 977, 4))], "chunk long, first long, after long")
 
 
-@query("mu5_chunks", "SELECT event_id // 7 AS chunk, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM events WHERE event_id < 100 GROUP BY 1")
+@query("mu5_chunks", "SELECT event_id // 7 AS chunk, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM events GROUP BY 1")
 def mu5(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 100").select(F.expr("event_id div 7").alias("chunk"), "event_id")
+    e = table(spark, sf_dir, "events").select(F.expr("event_id div 7").alias("chunk"), "event_id")
     return e.groupBy("chunk").agg(F.array_join(F.sort_array(F.collect_list("event_id")).cast("array<string>"), ",").alias("ids"))
 
 
@@ -108,3 +135,46 @@ def mu1(spark, sf_dir):
             yield pd.DataFrame([(v, k) for v in b["vec_id"].tolist() for k in range(v % 3)], columns=["vec_id", "row"])
 
     return table(spark, sf_dir, "embeddings").select("vec_id").mapInPandas(detect, "vec_id long, row long")
+
+
+HEROES = 4
+DRAWN = """SELECT n_nationkey AS frame, CAST(0 AS INTEGER) AS row, 'h' || (n_nationkey % 4) AS killer, CAST(n_regionkey % 2 AS INTEGER) AS killer_team,
+  'h' || ((n_nationkey + 1 + n_regionkey % 3) % 4) AS victim, CAST((n_nationkey // 2) % 2 AS INTEGER) AS victim_team, CASE WHEN n_nationkey % 3 = 1 THEN 'a' || (n_nationkey % 4) END AS ability FROM nation"""
+
+
+def drawn_regions(spark, sf_dir):
+    """A kill-feed region for each nation, drawn in workers: who killed whom follows from the nation's keys."""
+
+    def draw(batches):
+        import pyarrow as pa
+
+        from ordwell.sources import drawn
+
+        for b in batches:
+            out = []
+            for n, g in zip(b.column("n_nationkey").to_pylist(), b.column("n_regionkey").to_pylist(), strict=True):
+                row = {"killer": (n % HEROES, g % 2), "victim": ((n + 1 + g % 3) % HEROES, n // 2 % 2), "assist": None, "sign": n % HEROES if n % 3 == 1 else None}
+                image = drawn.region([row], n)
+                out.append({"match_id": 0, "frame": n, "height": image.shape[0], "width": image.shape[1], "channels": 3, "data": image.tobytes()})
+            ints = [(c, pa.int32()) for c in ("frame", "height", "width", "channels")]
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("match_id", pa.int64()), *ints, ("data", pa.binary())]))
+
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    return nations.mapInArrow(draw, "match_id long, frame int, height int, width int, channels int, data binary")
+
+
+@query("k23_detection", DRAWN)
+def k23(spark, sf_dir):
+    from ordwell.operators import detection
+    from ordwell.sources import drawn
+
+    found = detection.detect_rows(drawn_regions(spark, sf_dir), drawn.references(HEROES), strict=True)
+    return found.select(F.col("frame").cast("long").alias("frame"), "row", F.col("player1.hero").alias("killer"), F.col("player1.team").alias("killer_team"), F.col("player2.hero").alias("victim"), F.col("player2.team").alias("victim_team"), F.col("ability.name").alias("ability"))
+
+
+@query("a10_paged_scan", "SELECT printf('Picture_%06d.png', i) AS name, 'https://example.org/' || i AS url FROM (SELECT unnest(range(1234)) AS i)")
+def a10(spark, sf_dir):
+    from ordwell.sources import paged
+
+    spark.dataSource.register(paged.PagedSource)
+    return spark.read.format("ordwell_paged").option("fetch", "ordwell.sources.paged:made_up").option("fetch.rows", "1234").load()

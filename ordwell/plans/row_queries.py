@@ -43,16 +43,17 @@ def c19(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", part[0].alias("a"), part[1].alias("b"))
 
 
-@query("e19_column_sums", "SELECT label, i AS col, round(sum(v), 4) AS total FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(list_transform(embedding, lambda x: x::DOUBLE)) AS v FROM embeddings) WHERE i < 8 GROUP BY label, i")
+@query("e19_column_sums", "SELECT label, i AS col, round(sum(v), 4) AS total FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(list_transform(embedding, lambda x: x::DOUBLE)) AS v FROM embeddings) GROUP BY label, i")
 def e19(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.slice(F.col("embedding").cast("array<double>"), 1, 8)).alias("col", "v"))
+    v = table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("col", "v"))
     return v.groupBy("label", F.col("col").cast("long").alias("col")).agg(F.round(F.sum("v"), 4).alias("total"))
 
 
-@query("e22_concat_results", "SELECT event_id, event_id // 250 AS chunk FROM events WHERE event_id < 1000")
+@query("e22_concat_results", "WITH r AS (SELECT min(event_id) AS a, (max(event_id) + 1 - min(event_id)) // 4 AS size FROM events) SELECT event_id, least((event_id - a) // size, 3) AS chunk FROM events, r")
 def e22(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id")
-    parts = [e.where((F.col("event_id") >= a) & (F.col("event_id") < b)).withColumn("chunk", F.lit(k).cast("long")) for k, (a, b) in enumerate(plan_ranges(0, 1000, 1))]
+    first, last = e.agg(F.min("event_id"), F.max("event_id")).first()
+    parts = [e.where((F.col("event_id") >= a) & (F.col("event_id") < b)).withColumn("chunk", F.lit(k).cast("long")) for k, (a, b) in enumerate(plan_ranges(first, last + 1, 1))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

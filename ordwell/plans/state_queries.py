@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ordwell.operators import states as s
 from ordwell.plans.registry import query
+from ordwell.operators import game
 from ordwell.sources.adapters import PF, player_frames
 
 W = "WINDOW w AS (PARTITION BY match_id, slot ORDER BY frame)"
@@ -221,9 +222,9 @@ def dj13(spark, sf_dir):
     return a.join(b, list(s.SERIES)).select(*s.SERIES, (F.col("later") - F.col("ult_charge")).alias("delta"))
 
 
-@query("dj10_frame_slots", f"WITH {PF}, f AS (SELECT DISTINCT match_id, frame FROM pf WHERE frame < 5) SELECT match_id, CAST(frame AS INTEGER) AS frame, CAST(slot AS INTEGER) AS slot FROM f, (SELECT unnest(range(12)) AS slot)")
+@query("dj10_frame_slots", f"WITH {PF}, f AS (SELECT DISTINCT match_id, frame FROM pf) SELECT match_id, CAST(frame AS INTEGER) AS frame, CAST(slot AS INTEGER) AS slot FROM f, (SELECT unnest(range(12)) AS slot)")
 def dj10(spark, sf_dir):
-    f = pf(spark, sf_dir).where("frame < 5").select("match_id", "frame").distinct()
+    f = pf(spark, sf_dir).select("match_id", "frame").distinct()
     return f.select("*", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("slot"))
 
 
@@ -343,3 +344,35 @@ def f30(spark, sf_dir):
 @query("k32_first_valid_version", f"WITH {PF} SELECT match_id, CAST(min(slot) FILTER (ult_charge > 50) AS INTEGER) AS version FROM pf WHERE frame = 0 GROUP BY match_id")
 def k32(spark, sf_dir):
     return pf(spark, sf_dir).where("frame = 0").groupBy("match_id").agg(F.min(F.when(F.col("ult_charge") > 50, F.col("slot"))).alias("version"))
+
+
+def played(spark, sf_dir):
+    """A match's three input tables: states and frames from lineitem, kills from events."""
+    from ordwell.session import table
+
+    e = table(spark, sf_dir, "events")
+    team = (F.col("user_id") % 2).cast("int")
+    k = e.select(
+        F.expr("user_id div 30 + 1").alias("match_id"), F.expr("cast(event_id % 40 as int)").alias("frame"), F.col("event_id").cast("int").alias("row"), (1 - team).alias("killer_team"),
+        F.when(F.col("event_type") != "error", F.concat(F.lit("h"), (F.col("event_id") % 3).cast("string"))).alias("killer"), team.alias("victim_team"),
+        F.concat(F.lit("h"), (F.col("event_id") % 2).cast("string")).alias("victim"), (F.col("event_type") == "signup").alias("is_res"),
+    )
+    return game.Game(pf(spark, sf_dir), frames(spark, sf_dir), k, game.Rules(mech_hero="h0"))
+
+
+@query("mu7_pipeline")
+def mu7(spark, sf_dir):
+    return played(spark, sf_dir).analyse()["timeline"]
+
+
+@query("mu7_states")
+def mu7_states(spark, sf_dir):
+    return played(spark, sf_dir).analyse()["player_frames"]
+
+
+@query("j17_created_at", "SELECT n_nationkey, true AS well_formed FROM nation")
+def j17(spark, sf_dir):
+    from ordwell.functions import text
+    from ordwell.session import table
+
+    return table(spark, sf_dir, "nation").select("n_nationkey", text.created_at().rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$").alias("well_formed"))

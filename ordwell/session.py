@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,6 +23,19 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "4g
     )
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the cluster's shared folder and read again, so that plans built on it stay small.
+
+    The folder is spark.checkpoint.dir; only in a single JVM a temporary one stands in.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ordwell-"))
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

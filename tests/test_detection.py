@@ -217,7 +217,7 @@ def test_older_abilities_assists_and_headshots():
     helpers = {n: picture(80 + k, 18, 12) for k, n in enumerate(["lucio", "mercy"])}
     killer_x, size = 20, 31
     for sign, names in (("e", []), ("shift", ["mercy"]), (None, ["lucio"]), (None, [])):
-        gap = 30 + 18 * len(names) + (26 if sign else 0)
+        gap = 30 + 18 * len(names) + (26 if sign else 4 if names else 0)
         victim_x = killer_x + size + gap
         row = np.full((27, 320, 3), 30, np.uint8)
         if sign:
