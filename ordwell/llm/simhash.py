@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_digest
+from xxhash import xxh64_digest, xxh64_intdigest
 
-from ordwell.llm.common import fresh, release, settle, table
+from ordwell.llm.common import forget, fresh, join_by_weight, release, settle, table
 from ordwell.llm.components import components
 
 BITS = 64
@@ -229,6 +229,109 @@ def keep_one(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: s
     return kept.dropDuplicates([f"{root}_"]).select(*df.columns)
 
 
+#: Signatures of similar texts: BANDS keys, each of ROWS least hashes. At a similarity of 0.8 a pair shares a key with
+#: probability 1 - (1 - 0.8^ROWS)^BANDS = 0.99, texts without a common shingle never do.
+BANDS, ROWS = 16, 6
+MULTIPLIERS = np.array([int.from_bytes(xxh64_digest(f"row {i}".encode(), SEED), "big") | 1 for i in range(BANDS * ROWS)], np.uint64)
+
+
+def shingles_of(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending; none without words."""
+    words = text.lower().split()
+    n = max(1, len(words) - shingle + 1) if words else 0
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n))
+
+
+def bands_of(hashes: np.ndarray, block: int = 1 << 12) -> list[int]:
+    """The text's keys; texts without words share their own."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(hashes), block):
+        least = np.minimum(least, (hashes[a : a + block, None] * MULTIPLIERS).min(axis=0))
+    rows = least.astype("<u8").reshape(BANDS, ROWS)
+    return [signed(xxh64_intdigest(rows[b].tobytes(), b)) for b in range(BANDS)]
+
+
+def signature(text: Column, shingle: int) -> Column:
+    """Struct (key, bands): a hash of the text's words in order, and its band keys."""
+
+    @F.arrow_udf("struct<key: long, bands: array<long>>")
+    def sign(texts: pa.Array) -> pa.Array:
+        keys, bands = [], []
+        for x in texts.cast(pa.large_binary()):
+            raw = x.as_py() or b""
+            keys.append(signed(xxh64_intdigest(b" ".join(raw.lower().split()), SEED)))
+            bands += bands_of(shingles_of(raw, shingle))
+        release()
+        ends = np.arange(0, len(bands) + 1, BANDS, dtype=np.int32)
+        return pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands, pa.int64()))], ["key", "bands"])
+
+    return sign(text)
+
+
+def jaccard(a: Column, b: Column, shingle: int) -> Column:
+    """Common share of the distinct shingles of two texts; 1 where neither has any."""
+
+    @F.arrow_udf("double")
+    def compare(left: pa.Array, right: pa.Array) -> pa.Array:
+        out, last = [], (None, np.empty(0, np.uint64))
+        for x, y in zip(left.cast(pa.large_binary()), right.cast(pa.large_binary()), strict=True):
+            x, y = x.as_py() or b"", y.as_py() or b""
+            if last[0] != y:  # rows of one representative come together
+                last = y, shingles_of(y, shingle)
+            own = shingles_of(x, shingle)
+            common = len(np.intersect1d(own, last[1], assume_unique=True))
+            out.append(common / max(1, len(own) + len(last[1]) - common) if len(own) or len(last[1]) else 1.0)
+        release()
+        return pa.array(out, pa.float64())
+
+    return compare(a, b)
+
+
+def drop_similar(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """df without the rows of texts that are similar to a text with a smaller id, which may itself go for a third.
+
+    SimHash can't find pairs at a similarity of 0.8 (some 9 of 64 bits differ), so texts meet
+    by keys of least hashes. In each group of a key all others are held against its first
+    (by id) and compared exactly, shingle by shingle: similar ones go, the first is done,
+    and the rest, among themselves, are a group again, until no group has two. No pairs but
+    those with a first are made; a first that very many share is joined by adaptive
+    execution's split. Texts with the same words are one. Null ids come last.
+    """
+    k, sig = fresh(df, "similar_key", "similar_signature")
+    signed_rows = settle(spark, df.withColumn(sig, signature(F.col(text), shingle)).withColumn(k, F.col(f"{sig}.key")))
+    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(k).alias("key"))
+    nodes = signed_rows.groupBy(F.col(k).alias("key")).agg(F.min(order).alias("first"), F.first(f"{sig}.bands").alias("bands"))
+    members = settle(spark, nodes.select("key", "first", F.explode("bands").alias("band")))
+    texts, gone, old = None, None, [members]
+    while True:
+        groups = settle(spark, members.groupBy("band").agg(F.min("first").alias("rep"), F.count("*").alias("n")).where("n > 1"))
+        old.append(groups)
+        if groups.isEmpty():
+            break
+        inside = join_by_weight(members, groups, "band", "n", members.count()).select("key", "first", "band", "rep")
+        if texts is None:  # those that meet any other; the bulk of near copies is held against one first each
+            texts = settle(spark, signed_rows.select(F.col(k).alias("key"), F.col(text).alias("text")).join(inside.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
+            old.append(texts)
+            pairs = inside.where("key <> rep.key").groupBy("key").agg(F.min("rep").alias("rep"))
+            tested = False
+        else:
+            pairs = inside.where("key <> rep.key").select("key", "rep").distinct()
+            tested = True
+        pairs = pairs.select("key", F.col("rep.key").alias("other"))
+        both = pairs.join(texts, "key").join(texts.select(F.col("key").alias("other"), F.col("text").alias("other_text")), "other")
+        alike = settle(spark, both.where(jaccard(F.col("text"), F.col("other_text"), shingle) >= similarity).select("key").distinct())
+        gone = alike if gone is None else settle(spark, gone.union(alike))
+        left = inside.join(alike, "key", "left_anti")
+        members = settle(spark, (left.where("key <> rep.key") if tested else left).select("key", "first", "band"))
+        old += [alike, members]
+    if gone is None:
+        forget(spark, *old)
+        kept = signed_rows
+    else:
+        kept = signed_rows.join(gone.withColumnRenamed("key", k), k, "left_anti")
+    return kept.select(*df.columns)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(spark, table(spark, sf_dir, "documents"))

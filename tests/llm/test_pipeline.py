@@ -79,6 +79,9 @@ def test_run_against_brute_force(spark):
                 if (prints[a] ^ prints[b]).bit_count() <= 2 and root[b] > root[a]:
                     root[b], changed = root[a], True
     state = {k: t for k, t in state.items() if root[k] == k}
+    shingles = {k: set(simhash.shingles_of(t.encode(), 5).tolist()) for k, t in state.items()}
+    like = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+    state = {k: t for k, t in state.items() if not any(a < k and like(a, k) for a in state)}
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     machines = decontaminate.machines([(i, t.encode()) for i, t in items], 13)
     for k, t in list(state.items()):

@@ -95,3 +95,66 @@ def test_empty_table(spark):
 
 def test_hex(spark):
     assert spark.range(1).select(simhash.as_hex(F.lit(-1)), simhash.as_hex(F.lit(26))).first()[:] == ("f" * 16, "000000000000001a")
+
+
+def similar(a, b, shingle=5):
+    x, y = (set(simhash.shingles_of((t or "").encode(), shingle).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_similarity_against_plain_sets(spark):
+    rnd = random.Random(12)
+    texts = [" ".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 14))) for _ in range(60)] + [None, "", "A b  C d\ne f", "a b c d e f", "x " * 50_000]
+    pairs = [(rnd.choice(texts), rnd.choice(texts)) for _ in range(300)]
+
+    def plain(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", simhash.jaccard(F.col("a"), F.col("b"), 5).alias("j")).collect()
+    for r in rows:
+        x, y = plain(r.a), plain(r.b)
+        assert abs(r.j - (len(x & y) / len(x | y) if x | y else 1.0)) < 1e-12
+
+
+def test_similar_texts_go_and_others_stay(spark):
+    """Each text that goes is similar to a smaller one; of planted copies at 0.8 and more nearly all go; all kept ones differ."""
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    rows, planted = [], []
+    for k in range(60):
+        base = [word() for _ in range(rnd.randint(60, 200))]
+        rows.append((1000 * k, " ".join(base)))
+        for j in range(1, rnd.randint(2, 12)):
+            copy = list(base)
+            for _ in range(rnd.randint(1, max(1, len(base) // 60))):
+                copy[rnd.randrange(len(copy))] = word()
+            rows.append((1000 * k + j, " ".join(copy)))
+            planted.append(rows[-1][0])
+    rows += [(None, rows[0][1]), (5, rows[3][1].upper()), (90001, None), (90002, ""), (90003, "one two"), (90004, "one two"), (90005, "one three")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, key int, similar_key int").repartition(5)
+    out = simhash.drop_similar(spark, df)
+    assert out.columns == df.columns
+    kept = {(r.doc_id, r.text) for r in out.collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    near = lambda r: [q for q in ordered[: ordered.index(r)] if similar(q[1], r[1]) >= 0.8]
+    should = [r for r in rows if near(r)]
+    went = [r for r in rows if r not in kept]
+    same_words = lambda r: any(q != r and (q[1] or "").lower().split() == (r[1] or "").lower().split() for q in rows)
+    assert all(near(r) for r in went)
+    missed = [r for r in should if r in kept and not same_words(r)]
+    assert len(missed) <= 0.02 * len(should) and len(should) > 200
+    assert (90003, "one two") in kept and (90005, "one three") in kept
+
+
+def test_groups_of_unlike_texts_end(spark, monkeypatch):
+    """All texts share all keys, but few are similar: every pair is still tried against a first."""
+    monkeypatch.setattr(simhash, "signature", lambda text, shingle: F.struct(F.xxhash64(text).alias("key"), F.array(F.lit(1).cast("long")).alias("bands")))
+    rows = [(k, f"{'abcd'[k % 4]} " * 3 + "x y z") for k in range(24)]
+    rows = [(k, " ".join(f"{t}{i}" for i, t in enumerate([str(k % 4)] * 40))) for k, _ in rows]
+    got = simhash.drop_similar(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.text for r in got.collect()} == {t for _, t in rows}
+    changed = [(k, t + (" end" if k > 11 else "")) for k, t in rows]
+    got = simhash.drop_similar(spark, spark.createDataFrame(changed, "doc_id long, text string"))
+    assert {r.text for r in got.collect()} == {t for k, t in changed if k < 12}
+    assert simhash.drop_similar(spark, got.limit(0)).count() == 0
