@@ -28,12 +28,18 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder is spark.checkpoint.dir; only in a single JVM a temporary one stands in.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; checkpoints go there too."""
     if not spark.sparkContext.getCheckpointDir():
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ordwell-"))
-    return df.checkpoint()
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="ordwell-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,12 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ordwell.session import shared_folder
+
 
 def stream_table(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     """A folder of Parquet files as a stream, a bounded number of files for each batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def drained(stream: DataFrame) -> DataFrame:
+    """What a stream appends until its source has no more, as a table in the shared folder.
+
+    Event time ends at the source's last watermark: what waits for later rows isn't in it.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def session_counts(events: DataFrame, key: str, ts: str, gap: str, watermark: str) -> DataFrame:
     """Sessions by gap: key, first, last bound and events. An event exactly gap later stays in the session."""
     return events.withWatermark(ts, watermark).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("first"), "n")
@@ -60,7 +75,7 @@ def dedup_stream(detections: DataFrame, window: int, key: str = "key", frame: st
             state.remove()
         yield pd.DataFrame([(k[0], *r[:3]) for r in done], columns=["key", "first", "last", "n"])
 
-    keyed = detections.withWatermark(ts, watermark).groupBy(F.col(key).cast("string").alias("key"))
+    keyed = detections.withColumn("key", F.col(key).cast("string")).withWatermark(ts, watermark).groupBy("key")
     return keyed.applyInPandasWithState(fold, schema, RUNS, "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -83,5 +98,5 @@ def freeze_stream(states: DataFrame, key: str = "key", frame: str = "frame", ts:
             state.update((held,))
         yield pd.DataFrame(out, columns=["key", "frame", "hero"])
 
-    keyed = states.withWatermark(ts, watermark).groupBy(F.col(key).cast("string").alias("key"))
+    keyed = states.withColumn("key", F.col(key).cast("string")).withWatermark(ts, watermark).groupBy("key")
     return keyed.applyInPandasWithState(fold, "key string, frame long, hero string", "held string", "append", GroupStateTimeout.NoTimeout)
