@@ -74,7 +74,7 @@ def digest(machine: bpe.Tokenizer, text: bytes) -> tuple[int, str, str]:
 def round_trip(text: Column, path: str | None = None, keep: bool = True) -> Column:
     """Struct (n_tokens, ids_sha256, decoded_sha256) of what encoded() and decoded() give.
 
-    keep: workers keep transitions for their next tasks, instead of forgetting them after each.
+    keep: workers keep vocabulary and transitions for their next tasks, instead of forgetting them after each.
     """
 
     @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
@@ -87,6 +87,8 @@ def round_trip(text: Column, path: str | None = None, keep: bool = True) -> Colu
             yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["n_tokens", "ids_sha256", "decoded_sha256"])
         if not keep:
             machine.rest()
+            del machine
+            bpe.tokenizer.cache_clear()
             release()
 
     return both(text)
