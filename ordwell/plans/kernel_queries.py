@@ -76,10 +76,10 @@ def f20(spark, sf_dir):
 r AS (
   SELECT image, k, pos, 1 AS own, [{{'c': y1::DOUBLE, 's': y1::DOUBLE, 'n': 1}}] AS rows FROM ok WHERE k = 1
   UNION ALL
-  SELECT image, k, pos, CASE WHEN at > 0 THEN at ELSE len(rows) + 1 END,
-    CASE WHEN at > 0 THEN list_transform(rows, lambda x, i: CASE WHEN i = at THEN {{'c': trunc((x.s + y1) / (x.n + 1)), 's': x.s + y1, 'n': x.n + 1}} ELSE x END)
+  SELECT image, k, pos, CASE WHEN hit > 0 THEN hit ELSE len(rows) + 1 END,
+    CASE WHEN hit > 0 THEN list_transform(rows, lambda x, i: CASE WHEN i = hit THEN {{'c': trunc((x.s + y1) / (x.n + 1)), 's': x.s + y1, 'n': x.n + 1}} ELSE x END)
       ELSE list_append(rows, {{'c': y1::DOUBLE, 's': y1::DOUBLE, 'n': 1}}) END
-  FROM (SELECT o.image, o.k, o.pos, o.y1, r.rows, coalesce(list_position(list_transform(r.rows, lambda x: abs(o.y1 - x.c) <= 25), true), 0) AS at FROM r JOIN ok o ON o.image = r.image AND o.k = r.k + 1))
+  FROM (SELECT o.image, o.k, o.pos, o.y1, r.rows, coalesce(list_position(list_transform(r.rows, lambda x: abs(o.y1 - x.c) <= 25), true), 0) AS hit FROM r JOIN ok o ON o.image = r.image AND o.k = r.k + 1))
 SELECT image, pos, CAST(own - 1 AS INTEGER) AS group_no FROM r""")
 def f22(spark, sf_dir):
     return spatial.group_rows(boxes(spark, sf_dir), ["image"], "y1", kernels.first_fit_rows, 25.0)
