@@ -291,45 +291,41 @@ def drop_similar(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", tex
     """df without the rows of texts that are similar to a text with a smaller id, which may itself go for a third.
 
     SimHash can't find pairs at a similarity of 0.8 (some 9 of 64 bits differ), so texts meet
-    by keys of least hashes. In each group of a key all others are held against its first
-    (by id) and compared exactly, shingle by shingle: similar ones go, the first is done,
-    and the rest, among themselves, are a group again, until no group has two. No pairs but
-    those with a first are made; a first that very many share is joined by adaptive
-    execution's split. Texts with the same words are one. Null ids come last.
+    by keys of least hashes, BANDS for each. A text is held against the first (by id) of one
+    group, that with the least first, and compared exactly, shingle by shingle. Similar ones
+    go, which is the bulk of near copies. The others are held against the firsts of all their
+    groups, and what is left, once more, against the firsts among it. So a text is compared
+    at most 2 * BANDS + 1 times, however large its groups, and no pairs but those with a
+    first are made; two texts whose firsts are all unlike them both stay, though they may be
+    alike. Texts with the same words are one. Null ids come last. A first that very many
+    share is joined by adaptive execution's split.
     """
     k, sig = fresh(df, "similar_key", "similar_signature")
     signed_rows = settle(spark, df.withColumn(sig, signature(F.col(text), shingle)).withColumn(k, F.col(f"{sig}.key")))
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(k).alias("key"))
     nodes = signed_rows.groupBy(F.col(k).alias("key")).agg(F.min(order).alias("first"), F.first(f"{sig}.bands").alias("bands"))
     members = settle(spark, nodes.select("key", "first", F.explode("bands").alias("band")))
-    texts, gone, old = None, None, [members]
-    while True:
+
+    def in_groups(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The groups of two or more, and their members with each group's first."""
         groups = settle(spark, members.groupBy("band").agg(F.min("first").alias("rep"), F.count("*").alias("n")).where("n > 1"))
-        old.append(groups)
-        if groups.isEmpty():
-            break
-        inside = join_by_weight(members, groups, "band", "n", members.count()).select("key", "first", "band", "rep")
-        if texts is None:  # those that meet any other; the bulk of near copies is held against one first each
-            texts = settle(spark, signed_rows.select(F.col(k).alias("key"), F.col(text).alias("text")).join(inside.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
-            old.append(texts)
-            pairs = inside.where("key <> rep.key").groupBy("key").agg(F.min("rep").alias("rep"))
-            tested = False
-        else:
-            pairs = inside.where("key <> rep.key").select("key", "rep").distinct()
-            tested = True
-        pairs = pairs.select("key", F.col("rep.key").alias("other"))
-        both = pairs.join(texts, "key").join(texts.select(F.col("key").alias("other"), F.col("text").alias("other_text")), "other")
-        alike = settle(spark, both.where(jaccard(F.col("text"), F.col("other_text"), shingle) >= similarity).select("key").distinct())
-        gone = alike if gone is None else settle(spark, gone.union(alike))
-        left = inside.join(alike, "key", "left_anti")
-        members = settle(spark, (left.where("key <> rep.key") if tested else left).select("key", "first", "band"))
-        old += [alike, members]
-    if gone is None:
-        forget(spark, *old)
-        kept = signed_rows
-    else:
-        kept = signed_rows.join(gone.withColumnRenamed("key", k), k, "left_anti")
-    return kept.select(*df.columns)
+        return groups, settle(spark, join_by_weight(members, groups, "band", "n", members.count()).select("key", "first", "band", "rep"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The keys of pairs (key, rep) whose texts are similar."""
+        both = pairs.select("key", F.col("rep.key").alias("other")).join(texts, "key").join(texts.select(F.col("key").alias("other"), F.col("text").alias("other_text")), "other")
+        return settle(spark, both.where(jaccard(F.col("text"), F.col("other_text"), shingle) >= similarity).select("key").distinct())
+
+    groups, inside = in_groups(members)
+    texts = settle(spark, signed_rows.select(F.col(k).alias("key"), F.col(text).alias("text")).join(inside.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
+    most = similar(inside.where("key <> rep.key").groupBy("key").agg(F.min("rep").alias("rep")))
+    after = settle(spark, inside.where("key <> rep.key").join(most, "key", "left_anti"))
+    more = similar(after.select("key", "rep").distinct())
+    others, among = in_groups(after.join(more, "key", "left_anti").select("key", "first", "band"))
+    rest = similar(among.where("key <> rep.key").select("key", "rep").distinct())
+    gone = settle(spark, most.union(more).union(rest))
+    forget(spark, members, groups, inside, texts, most, after, more, others, among, rest)
+    return signed_rows.join(gone.withColumnRenamed("key", k), k, "left_anti").select(*df.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
