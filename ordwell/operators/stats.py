@@ -95,6 +95,42 @@ class MatchStats:
     def top_ratio(self) -> DataFrame:
         return top(kill_death(self.events), ["match_id"], "ratio", "seen", ["slot", "ratio"])
 
+    def more_eliminations(self, before: DataFrame, start: float, end: float) -> DataFrame:
+        """An earlier result with the kills of another range behind it."""
+        return before.unionByName(self.eliminations(start, end))
+
+    def fight_index(self) -> DataFrame:
+        return fight_index(self.events, self.gap)
+
+    def all_fights(self) -> DataFrame:
+        """(match_id, fight, kills): each fight's kills in order."""
+        own = F.sort_array(F.collect_list(F.struct("time_s", "event_id", "subject", "object")))
+        return fights(self.events, self.gap).groupBy("match_id", "fight").agg(own.alias("kills"))
+
+    def fight_count(self) -> DataFrame:
+        return self.fights().groupBy("match_id").agg(F.count("*").alias("fights"))
+
+    def elimination_count(self, start: float = 0, end: float = 0) -> DataFrame:
+        return self.eliminations(start, end).groupBy("match_id").agg(F.count("*").alias("kills"))
+
+    def death_count(self) -> DataFrame:
+        """Kills and suicides less resurrections."""
+        return self.events.groupBy("match_id").agg(net_deaths(F.col("action")).alias("deaths"))
+
+    def duration(self) -> DataFrame:
+        return self.states.groupBy("match_id").agg(F.max_by("time", "frame").alias("duration"))
+
+    def state_range(self, start: float, end: float) -> DataFrame:
+        """State rows between two times, both included."""
+        return self.states.where(F.col("time").between(start, end))
+
+    def charge_delta_sum(self, ranges: list[tuple[int, int]]) -> DataFrame:
+        """The charge gained from first to last frame of each range, summed."""
+        out = self.charge_delta(*ranges[0])
+        for r in ranges[1:]:
+            out = out.unionByName(self.charge_delta(*r))
+        return out.groupBy("match_id", "slot").agg(F.sum("delta").alias("delta"))
+
     def charge_delta(self, start: int, end: int) -> DataFrame:
         s = self.states.where(F.col("frame").isin(start, end)).groupBy("match_id", "slot")
         return s.agg((F.max_by("ult_charge", "frame") - F.min_by("ult_charge", "frame")).alias("delta"))

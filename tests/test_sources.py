@@ -249,3 +249,21 @@ def test_freeze_stream(spark, tmp_path):
     q = sessions.freeze_stream(stream).writeStream.format("memory").queryName("ff").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
     got = sorted(tuple(r) for r in wait(q, 5, "ff", spark))
     assert got == [("a", 0, "x"), ("a", 1, "y"), ("a", 2, "y"), ("a", 3, "w"), ("b", 0, "u")]
+
+
+def test_match_statistics(spark):
+    """Two fights of a match, by hand: every method of MatchStats."""
+    rows = [(1, 1, 5.0, "Eliminate", 0, 7), (1, 2, 8.0, "Eliminate", 0, 8), (1, 3, 9.0, "Resurrect", 10, 8), (1, 4, 40.0, "Eliminate", 7, 0), (1, 5, 41.0, "Suicide", 2, 2)]
+    events = spark.createDataFrame(rows, "match_id long, event_id long, time_s double, action string, subject int, object int")
+    states = spark.createDataFrame([(1, slot, f, f * 0.5, 10 * f + slot) for slot in (0, 7) for f in range(10)], "match_id long, slot int, frame int, time double, ult_charge int")
+    m = stats.MatchStats(events, states)
+    assert m.elimination_count().first().kills == 3 and m.elimination_count(6, 50).first().kills == 2
+    assert m.more_eliminations(m.eliminations(0, 6), 30, 50).count() == 2
+    assert m.death_count().first().deaths == 3 and m.duration().first().duration == 4.5
+    assert m.fight_count().first().fights == 2 and m.mean_fight().first().duration == (3 + 7 + 0 + 7) / 2
+    assert {(r.fight, tuple(k.event_id for k in r.kills)) for r in m.all_fights().collect()} == {(1, (1, 2)), (2, (4,))}
+    assert {r.event_id: r.fight for r in m.fight_index().collect()} == {1: 1, 2: 1, 3: 1, 4: 2, 5: 2}
+    assert sorted(r.separation for r in m.separations().collect()) == [0.0, 24.0]
+    assert m.top_killer().first()[1:] == (0, 2) and tuple(m.top_ratio().first())[1:] == (0, 2.0)
+    assert m.state_range(1, 2).count() == 6
+    assert {(r.slot, r.delta) for r in m.charge_delta_sum([(0, 3), (5, 9)]).collect()} == {(0, 70), (7, 70)}
