@@ -66,7 +66,8 @@ def byte_names() -> dict[str, int]:
 class Vocabulary:
     """Tokens, merges and special strings of a byte-level BPE file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: int | None = None):
+        self.most_known = known or KNOWN
         with open(path, encoding="utf-8") as f:
             doc = json.load(f)
         model, names = doc["model"], byte_names()
@@ -163,7 +164,7 @@ class Vocabulary:
         known, key = self.known[1], edge << 32 | self.prefixes[ahead]
         found = known.get(key)
         if found is None:
-            if len(known) > KNOWN:
+            if len(known) > self.most_known:
                 known.clear()
             begun = [ahead[:k] for k in range(1, len(ahead) + 1)]
             parts = tuple(x for x in self.edges[edge] if ahead in self.beginnings(x[0]) or any(y in self.partners[x[0]] for y in begun))
@@ -182,7 +183,7 @@ class Vocabulary:
         known, key = self.known[2], edge << 32 | self.ids[token]
         found = known.get(key)
         if found is None:
-            if len(known) > KNOWN:
+            if len(known) > self.most_known:
                 known.clear()
             found = known[key] = not self.joined(self.edges[edge], token, 1 << 60)
         return found
@@ -459,8 +460,8 @@ class Transducer:
     not by the input's length.
     """
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Vocabulary, states: int | None = None, words: int | None = None):
+        self.vocabulary, self.most_states, self.most_words = vocabulary, states or STATES, words or WORDS
         self.sizes = [len(vocabulary.bytes_of.get(i, b"")) for i in range(max(vocabulary.bytes_of) + 1)]
         self.clear()
 
@@ -511,7 +512,7 @@ class Transducer:
                 out += self.path(held[:done])
                 del held[:done]
                 self.due = len(held) + 2 * self.vocabulary.lookahead
-                if len(self.states) > STATES or len(moves) > 2 * STATES:
+                if len(self.states) > self.most_states or len(moves) > 2 * self.most_states:
                     now = self.forget(now)
                     moves = self.moves
         self.now = now
@@ -542,7 +543,7 @@ class Transducer:
 
     def word(self, raw: bytes) -> bytes:
         """The packed ids of a whole pre-token; those of short ones are kept."""
-        if len(self.states) > STATES or len(self.moves) > 2 * STATES:
+        if len(self.states) > self.most_states or len(self.moves) > 2 * self.most_states:
             self.forget(0)
         if len(raw) > LONG:
             return array("I", self.feed(raw) + self.end()).tobytes()
@@ -553,7 +554,7 @@ class Transducer:
                 found = self.move(now << 8 | byte)
             now = found >> 24
             held.append(found & 0xFFFFFF)
-        if len(self.words) >= WORDS:
+        if len(self.words) >= self.most_words:
             self.words.clear()
         packed = self.words[raw] = array("I", self.path(held)).tobytes()
         return packed
@@ -609,12 +610,13 @@ class Decoder:
 
 
 class Tokenizer:
-    """Token counts, ids and texts for one vocabulary."""
+    """Token counts, ids and texts for one vocabulary. share: the part of the usual memory for what is kept."""
 
-    def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, path: str, share: float = 1.0):
+        own = lambda most: max(1, int(most * share))
+        self.vocabulary = Vocabulary(path, own(KNOWN))
         self.counter = Counter(self.vocabulary)
-        self.transducer = Transducer(self.vocabulary)
+        self.transducer = Transducer(self.vocabulary, own(STATES), own(WORDS))
 
     def rest(self) -> None:
         """Forget what was made as texts needed it; it is made again when they need it."""
@@ -692,8 +694,8 @@ class Tokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> Tokenizer:
+def tokenizer(path: str, share: float = 1.0) -> Tokenizer:
     """One for each worker process and vocabulary."""
-    made = Tokenizer(path)
+    made = Tokenizer(path, share)
     gc.freeze()  # what stays needn't be traversed again
     return made
