@@ -74,14 +74,14 @@ def digest(machine: bpe.Tokenizer, text: bytes) -> tuple[int, str, str]:
 def round_trip(text: Column, path: str | None = None, keep: bool = True) -> Column:
     """Struct (n_tokens, ids_sha256, decoded_sha256) of what encoded() and decoded() give.
 
-    keep: workers keep vocabulary and transitions for their next tasks; without it they keep three tenths as many,
+    keep: workers keep vocabulary and transitions for their next tasks; without it they keep half as many,
     and forget them after each task.
     """
 
     @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         release()  # what stages before left in this worker
-        machine = bpe.tokenizer(path or vocabulary_path(), 1.0 if keep else 0.3)
+        machine = bpe.tokenizer(path or vocabulary_path(), 1.0 if keep else 0.5)
         for texts in batches:
             rows = [digest(machine, x.as_py() or b"") for x in texts.cast(pa.large_binary())]
             release()

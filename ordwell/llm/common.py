@@ -68,6 +68,17 @@ def join_by_weight(rows: DataFrame, groups: DataFrame, key: str, n: str, total:
     return rows.join(F.broadcast(hot), key, how).unionByName(others.join(groups.where(F.col(n) <= least), key, how))
 
 
+#: Rows of text sent to a worker at once, where the session leaves Spark's default: a batch of long texts then is some MB.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Send texts to workers in smaller batches than Spark's default; a session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else as it was."""
     return F.translate(text, UPPER, LOWER)
