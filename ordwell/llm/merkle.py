@@ -201,7 +201,7 @@ def manifest(spark: SparkSession, leaves: DataFrame, part: int = PART) -> DataFr
     spans = settle(spark, spans.withColumn("new", (F.col("before") == 0).cast("long")))
     begun = spans.groupBy("part").agg(F.sum("new").alias("new"))
     begun = settle(spark, begun.select("part", F.coalesce(F.sum("new").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("groups")))
-    groups = spans.agg(F.coalesce(F.sum("new"), F.lit(0))).first()[0]
+    groups, parts = spans.agg(F.coalesce(F.sum("new"), F.lit(0)), F.coalesce(F.max("part") + 1, F.lit(1))).first()
     # a group that goes on from an earlier part is the last that began before
     number = F.col("groups") + F.sum("new").over(own.orderBy("first").rowsBetween(Window.unboundedPreceding, 0)) - 1
     spans = settle(spark, spans.join(begun, "part").withColumn("tree", number).select("part", "first", "before", "leaves", "tree"))
