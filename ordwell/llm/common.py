@@ -32,13 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def settle(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again.
+def settle(spark: SparkSession, df: DataFrame, **options: str) -> DataFrame:
+    """Write df as Parquet (with the writer's options) to the shared folder and read it again.
 
     Cuts lineage: lost executors cost a reread, never the work before it.
     """
     path = f"{shared_dir(spark)}/ordwell/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._ordwell_path = path
     return back

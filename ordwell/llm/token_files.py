@@ -43,20 +43,22 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ordwell.llm.common import release, shared_dir, table
+from ordwell.llm.common import forget, release, settle, shared_dir, table
 from ordwell.llm.token_counts import vocabulary_path
 
 END = 2
 MAGIC = b"ORDTOK01"
 #: Ids in a block, in a file (a text may exceed it), and in a part of the sort.
 BLOCK, FILE, PART = 1 << 19, 1 << 23, 1 << 23
-#: Pieces of text whose ids a worker keeps, and the longest of them.
-KEPT, LONGEST = 200_000, 48
+#: Characters of a text that the library takes at once.
+LONG = 1 << 18
+#: How rows are ordered, and what ids of so many bytes are.
+ORDER, WIDTHS = ("doc_id", "tie", "row"), {2: "<u2", 4: "<u4"}
 #: Ids of a batch that the reader hands over.
 BATCH = 1 << 20
 
 # A blank before a character that is surely no white space always begins a pre-token of the byte-level
-# pre-tokenizer, so texts may be encoded between such blanks, each piece once.
+# pre-tokenizer, so a text's ids are those of its pieces between such blanks.
 CUT = re.compile(" (?=[!-~¡-ᙿ])")
 
 #: For each control byte the lengths of its four ranks.
@@ -80,33 +82,23 @@ class Encoder:
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.size = max(self.library.get_vocab_size(), END + 1)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, known: dict[str, bytes], pieces: list[str], before: str) -> list[str]:
-        """Put the pieces' ids into known; returns those too long to be kept."""
-        if len(known) > KEPT:
-            known.clear()
-        new = list(set(pieces).difference(known))
-        if new:
-            known.update(zip(new, self.whole([before + p for p in new]), strict=True))
-        return [p for p in new if len(p) > LONGEST]
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.by_piece or any(a in text for a in self.added):
-            return self.whole([text])[0]
-        first, *pieces = CUT.split(text)
-        long_first, long = self.learn(self.firsts, [first], ""), self.learn(self.known, pieces, " ")
-        out = self.firsts[first] + b"".join(map(self.known.__getitem__, pieces))
-        for known, gone in ((self.firsts, long_first), (self.known, long)):
-            for p in gone:
-                del known[p]
-        return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text; a text is handed to the library whole, or, if long, in pieces that give the same ids."""
+        pieces, ends = [], []
+        for text in texts:
+            pieces += self.pieces(text or "")
+            ends.append(len(pieces))
+        ids = [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [b"".join(ids[a:z]) for a, z in zip([0, *ends], ends, strict=False)]
+
+    def pieces(self, text: str) -> list[str]:
+        out, at = [], 0
+        if self.by_piece and len(text) > LONG and not any(a in text for a in self.added):
+            while len(text) - at > LONG and (cut := CUT.search(text, at + LONG)):
+                out.append(text[at : cut.start()])
+                at = cut.start()
+        return [*out, text[at:]]
 
 
 @lru_cache(maxsize=2)
@@ -210,25 +202,21 @@ class OneFile:
 
 
 class TokenWriter(DataSourceArrowWriter):
-    """Writes rows (part, doc_id, ids), sorted by part and place, ids packed as the encoder does."""
+    """Writes rows (part, doc_id, n, control, data), sorted by part and place."""
 
     def __init__(self, path: str, schema: T.StructType):
         self.path, self.schema = path, schema
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        by_rank = np.frombuffer(get(self.path, "ids.bin"), "<u4")
-        ranks = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
-        ranks[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
         kind, done, now = to_arrow_type(self.schema["doc_id"].dataType), [], None
         for batch in iterator:
-            width = {2: "<u2", 4: "<u4"}
-            for part, doc_id, size, ids in zip(*(batch.column(c) for c in ("part", "doc_id", "width", "ids")), strict=True):
+            for part, doc_id, n, control, data in zip(*(batch.column(c) for c in ("part", "doc_id", "n", "control", "data")), strict=True):
                 part = part.as_py()
                 if now and (now.part != part or now.total >= FILE):
                     done.append(now.close())
                     now = OneFile(self.path, part, now.number + 1 if now.part == part else 0, kind)
                 now = now or OneFile(self.path, part, 0, kind)
-                now.add(doc_id.as_py(), ranks[np.frombuffer(ids.as_buffer(), width[size.as_py()])])
+                now.add(doc_id.as_py(), unpack(control.as_buffer(), data.as_buffer(), n.as_py()))
         if now:
             done.append(now.close())
         release()
@@ -320,57 +308,76 @@ class TokenFiles(DataSource):
         return TokenWriter(self.options["path"], schema)
 
 
-def id_counts(texts: DataFrame, path: str | None, end: int) -> DataFrame:
-    """(id, n) over all texts (a column `text`) with their end ids; each task adds its own up before the shuffle."""
+def encoded(df: DataFrame, doc_id: str, text: str, vocabulary: str | None, end: int) -> DataFrame:
+    """(doc_id, tie, row, width, ids) of df: the texts' ids with the end id behind, width bytes each."""
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = encoder(path or vocabulary_path())
-        n = np.zeros(machine.size, np.int64)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = encoder(vocabulary or vocabulary_path())
+        tail = np.array([end], machine.kind).tobytes()
         for batch in batches:
-            for text in batch.column(0):
-                n += np.bincount(np.frombuffer(machine.encode(text.as_py()), machine.kind), minlength=machine.size)
-            n[end] += len(batch)
+            for few in (batch.slice(a, 500) for a in range(0, len(batch), 500)):
+                ids = pa.array([x + tail for x in machine.encode(few.column("text").to_pylist())], pa.binary())
+                width = pa.array(np.full(len(few), machine.kind.itemsize, np.int8), pa.int8())
+                yield pa.RecordBatch.from_arrays([*(few.column(c) for c in ORDER), width, ids], [*ORDER, "width", "ids"])
             release()
+
+    return docs.mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie long, row long, width byte, ids binary")
+
+
+def id_counts(ids: DataFrame) -> DataFrame:
+    """(id, n) over all rows of ids; each task adds its own up before the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(0, np.int64)
+        for batch in batches:
+            for width, own in zip(batch.column("width"), batch.column("ids"), strict=True):
+                more = np.bincount(np.frombuffer(own.as_buffer(), WIDTHS[width.as_py()]))
+                if len(more) > len(n):
+                    n = np.pad(n, (0, len(more) - len(n)))
+                n[: len(more)] += more
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n[some], pa.int64())], ["id", "n"])
 
-    return texts.select("text").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.select("width", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(spark: SparkSession, df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end: int = END, part: int = PART) -> None:
     """Write the ids of df's texts, each with the end id behind it, to a new folder.
 
-    Two encodings of the texts: one counts ids (a row for each id and task), one writes.
-    Between them rows go to parts of about `part` ids in order of doc_id; the parts' bounds,
-    one for each, are all that the driver holds besides a row for each id of the vocabulary.
+    Texts are encoded once, their ids settled; then ids are counted (a row for each id and
+    task), and rows go to parts of about `part` ids in order of doc_id. The parts' bounds, one
+    for each, are all that the driver holds besides a row for each id of the vocabulary.
     """
     spark.dataSource.register(TokenFiles)
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"))
-    order = ["doc_id", "tie", "row"]
-    counts = sorted(((r.n, -r.id) for r in id_counts(docs, vocabulary, end).collect()), reverse=True)
-    put(path, "ids.bin", np.array([-i for _, i in counts], "<u4").tobytes())
+    ids = settle(spark, encoded(df, doc_id, text, vocabulary, end), compression="zstd")
+    counts = sorted(((r.n, -r.id) for r in id_counts(ids).collect()), reverse=True)
+    by_rank = np.array([-i for _, i in counts], "<u4")
+    put(path, "ids.bin", by_rank.tobytes())
+    ranks = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
+    ranks[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     parts = max(1, ceil(sum(n for n, _ in counts) / part))
     bounds: list[tuple] = []
     if parts > 1:
-        spread = docs.select(*order).repartitionByRange(parts, *order).groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct(*order)).alias("least"))
+        spread = ids.select(*ORDER).repartitionByRange(parts, *ORDER).groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct(*ORDER)).alias("least"))
         bounds = sorted((r.least.doc_id is not None, r.least.doc_id if r.least.doc_id is not None else 0, r.least.tie, r.least.row) for r in spread.collect())[1:]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = encoder(vocabulary or vocabulary_path())
-        tail = np.array([end], machine.kind).tobytes()
         for batch in batches:
             for few in (batch.slice(a, 500) for a in range(0, len(batch), 500)):
-                ids = pa.array([machine.encode(x.as_py()) + tail for x in few.column("text")], pa.binary())
-                keys = zip(*(few.column(c).to_pylist() for c in order), strict=True)
+                keys = zip(*(few.column(c).to_pylist() for c in ORDER), strict=True)
                 own = [bisect_right(bounds, (i is not None, i if i is not None else 0, tie, row)) for i, tie, row in keys]
-                width = pa.array(np.full(len(few), machine.kind.itemsize, np.int8), pa.int8())
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(few.column(c) for c in order), width, ids], ["part", *order, "width", "ids"])
+                coded = [np.frombuffer(x.as_buffer(), WIDTHS[w.as_py()]) for w, x in zip(few.column("width"), few.column("ids"), strict=True)]
+                n = pa.array([len(x) for x in coded], pa.int64())
+                control, data = (pa.array(x, pa.binary()) for x in zip(*(pack(ranks[x]) for x in coded), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(few.column(c) for c in ORDER), n, control, data], ["part", *ORDER, "n", "control", "data"])
             release()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    placed = docs.mapInArrow(place, f"part int, doc_id {kind}, tie long, row long, width byte, ids binary")
-    rows = placed.repartitionById(parts, F.col("part")).sortWithinPartitions("part", *order)
-    rows.select("part", "doc_id", "width", "ids").write.format("ordwell_tokens").mode("append").save(path)
+    kind = ids.schema["doc_id"].dataType.simpleString()
+    placed = ids.mapInArrow(place, f"part int, doc_id {kind}, tie long, row long, n long, control binary, data binary")
+    rows = placed.repartitionById(max(parts, len(bounds) + 1), F.col("part")).sortWithinPartitions("part", *ORDER)
+    rows.select("part", "doc_id", "n", "control", "data").write.format("ordwell_tokens").mode("append").save(path)
+    forget(spark, ids)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

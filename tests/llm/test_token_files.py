@@ -30,17 +30,23 @@ def expected(text):
 
 
 @pytest.mark.parametrize("text", ODD)
-def test_pieces_are_the_library(text):
+def test_pieces_are_the_library(text, monkeypatch):
+    """However short the pieces of a long text."""
     e = t.encoder(vocabulary_path())
-    for _ in range(2):
-        assert np.frombuffer(e.encode(text), e.kind).tolist() == expected(text)
+    for long in (1, 3, t.LONG):
+        monkeypatch.setattr(t, "LONG", long)
+        assert np.frombuffer(e.encode([text])[0], e.kind).tolist() == expected(text)
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab'sé \n\t  　.,1漢<|"), max_size=40))
-def test_any_text(text):
+@given(st.text(alphabet=st.sampled_from("ab'sé \n\t\xa0\u2003　.,1漢<|"), max_size=40), st.integers(1, 9))
+def test_any_text(text, long):
     e = t.encoder(vocabulary_path())
-    assert np.frombuffer(e.encode(text), e.kind).tolist() == expected(text)
+    before, t.LONG = t.LONG, long
+    try:
+        assert np.frombuffer(e.encode([text])[0], e.kind).tolist() == expected(text)
+    finally:
+        t.LONG = before
 
 
 @settings(max_examples=100, deadline=None)
@@ -97,10 +103,10 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     """No manifest, no files: half a folder can't be taken for a whole one."""
     df = spark.createDataFrame([(k, f"w {k}") for k in range(40)], "doc_id long, text string")
     t.write_tokens(spark, df, f"{tmp_path}/x")
-    bad = spark.createDataFrame([(0, 1, 2, b"\x01\x00"), (1, 1, 2, b"\x01")], "part int, doc_id long, width byte, ids binary").repartition(2, "part")
+    bad = spark.createDataFrame([(0, 1, 2, b"\x00", b"ab"), (1, 1, 5, b"\x00", b"ab")], "part int, doc_id long, n long, control binary, data binary").repartition(2, "part")
     os.makedirs(tmp_path / "bad")
     t.put(f"{tmp_path}/bad", "ids.bin", np.arange(5, dtype="<u4").tobytes())
-    with pytest.raises(Exception, match="(?i)buffer size"):
+    with pytest.raises(Exception, match="out of bounds"):
         bad.write.format("ordwell_tokens").mode("append").save(f"{tmp_path}/bad")
     assert os.listdir(tmp_path / "bad") == ["ids.bin"]
 
