@@ -43,12 +43,12 @@ def resurrection_ranges(df: DataFrame, window: int) -> DataFrame:
 def barriers(df: DataFrame, ranges: DataFrame) -> DataFrame:
     """df (with prev, frame) plus blocked: some range of the victim lies strictly between prev and frame.
 
-    The earliest end among the ranges that start after prev decides; a window over both
-    finds it in one sort, without pairing rows with ranges.
+    The earliest end among the ranges that start after prev decides. A window over both, from
+    the latest down, finds it in one sort: its frame only grows, so a key takes linear time.
     """
     rows = df.withColumn("at", F.coalesce("prev", "frame")).withColumn("end", F.lit(None).cast("int")).withColumn("is_range", F.lit(False))
     marks = ranges.select("match_id", "player2", F.col("first").alias("at"), F.col("last").alias("end"), F.lit(True).alias("is_range"))
-    w = Window.partitionBy("match_id", "player2").orderBy("at").rangeBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy("match_id", "player2").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1)
     both = rows.unionByName(marks, allowMissingColumns=True).withColumn("next_end", F.min("end").over(w))
     blocked = F.col("prev").isNotNull() & F.coalesce(F.col("next_end") < F.col("frame"), F.lit(False))
     return both.where("not is_range").withColumn("blocked", blocked).drop("at", "end", "is_range", "next_end")

@@ -14,6 +14,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ordwell.dims import OBJECT_HERO
+from ordwell.functions.text import owner
 from ordwell.operators import states as s
 from ordwell.operators.matching import asof
 from ordwell.session import cut
@@ -21,11 +23,12 @@ from ordwell.session import cut
 
 @dataclass(frozen=True)
 class Rules:
-    """Frames a second, seconds a replay's effect lasts, the hero with a mech, and the longest step to a death seen again."""
+    """Frames a second, seconds a replay's effect lasts, the hero with a mech and the mech's name, and the longest step to a death seen again."""
 
     fps: float = 2.0
     effect: float = 2.0
     mech_hero: str = "dva"
+    mech: str = "meka"
     again: float = 1.2
 
     @property
@@ -66,28 +69,37 @@ def frozen(states: DataFrame) -> DataFrame:
     return renamed(s.freeze_while_dead(states, *kept), states.columns, **{c: f"{c}_clean" for c in kept})
 
 
-def rematched(kills: DataFrame, states: DataFrame, alive: bool) -> DataFrame:
-    """kills with killer_slot and victim_slot: who last had that hero on that side, up to the frame; -1 if nobody had."""
+def is_object(name: Column, rules: Rules) -> Column:
+    """The name is of something that belongs to a hero, not of a hero."""
+    return F.coalesce(name.isin(rules.mech, *OBJECT_HERO), F.lit(False))
+
+
+def owned_by(name: Column, rules: Rules) -> Column:
+    return F.when(name == rules.mech, rules.mech_hero).otherwise(owner(name))
+
+
+def rematched(kills: DataFrame, states: DataFrame, alive: bool, rules: Rules) -> DataFrame:
+    """kills with killer_slot and victim_slot: who last had that hero (or an object's owner) on that side, up to the frame; -1 if nobody had."""
     had = states.where("not is_dead") if alive else states
     had = had.groupBy("match_id", F.when(F.col("slot") < 6, 0).otherwise(1).alias("team"), "hero", "frame").agg(F.min("slot").alias("slot"))
     out = kills.drop("killer_slot", "victim_slot")
     for role in ("killer", "victim"):
-        side = had.select("match_id", F.col("team").alias(f"{role}_team"), F.col("hero").alias(role), "frame", F.col("slot").alias(f"{role}_slot"))
-        out = asof(out, side, ["match_id", f"{role}_team", role], "frame", [f"{role}_slot"])
+        side = had.select("match_id", F.col("team").alias(f"{role}_team"), F.col("hero").alias("had_by"), "frame", F.col("slot").alias(f"{role}_slot"))
+        out = asof(out.withColumn("had_by", owned_by(F.col(role), rules)), side, ["match_id", f"{role}_team", "had_by"], "frame", [f"{role}_slot"]).drop("had_by")
     return out.withColumns({f"{r}_slot": F.coalesce(f"{r}_slot", F.lit(-1)) for r in ("killer", "victim")})
 
 
 def with_deaths(states: DataFrame, kills: DataFrame, rules: Rules) -> DataFrame:
-    """states with is_dead worked out from the kills of each slot."""
-    own = kills.where("victim_slot >= 0").groupBy("match_id", F.col("victim_slot").alias("slot"), "frame").agg(F.sort_array(F.collect_list(F.struct("row", F.when(F.col("is_res"), "res").otherwise("kill").alias("kind")))).alias("own"))
+    """states with is_dead worked out from the kills of each slot; who loses an object lives on."""
+    own = kills.where((F.col("victim_slot") >= 0) & ~is_object(F.col("victim"), rules)).groupBy("match_id", F.col("victim_slot").alias("slot"), "frame").agg(F.sort_array(F.collect_list(F.struct("row", F.when(F.col("is_res"), "res").otherwise("kill").alias("kind")))).alias("own"))
     told = states.join(own, [*s.SERIES, "frame"], "left").withColumn("kills", F.coalesce(F.transform("own", lambda x: x["kind"]), F.array().cast("array<string>")))
     others = tuple(c for c in states.columns if c not in (*s.SERIES, "frame", "is_dead"))
     return renamed(s.death_series(told, rules.step, others), states.columns, is_dead="is_dead_clean")
 
 
 def with_mech(states: DataFrame, kills: DataFrame, rules: Rules) -> DataFrame:
-    """states with mech_status and both ready flags; a mech goes down when its pilot is seen killed and lives on."""
-    down = kills.where("victim_slot >= 0 and not is_res").select("match_id", F.col("victim_slot").alias("slot"), "frame", F.lit(True).alias("is_down")).distinct()
+    """states with mech_status and both ready flags; a mech is down when it is itself a row's victim."""
+    down = kills.where((F.col("victim_slot") >= 0) & (F.col("victim") == rules.mech)).select("match_id", F.col("victim_slot").alias("slot"), "frame", F.lit(True).alias("is_down")).distinct()
     told = states.join(down, [*s.SERIES, "frame"], "left").withColumn("is_down", F.coalesce("is_down", F.lit(False)))
     others = tuple(c for c in states.columns if c not in (*s.SERIES, "frame"))
     return renamed(s.mech_statuses(told, rules.span, rules.mech_hero, others), states.columns, mech_status="mech_status", is_ult_ready="is_ult_ready_clean", is_secondary_ult_ready="is_secondary_ult_ready")
@@ -103,7 +115,7 @@ def clear_kills(kills: DataFrame, states: DataFrame, rules: Rules) -> DataFrame:
     w = s.series()
     before = states.select("match_id", F.col("slot").alias("victim_slot"), "frame", F.lag("is_dead", 2).over(w).alias("was_dead"), (F.col("time") - F.lag("time", 2).over(w)).alias("since"))
     told = kills.join(before, ["match_id", "victim_slot", "frame"], "left")
-    known = F.coalesce(F.col("was_dead") & (F.col("since") <= rules.again) & ~F.col("is_res"), F.lit(False))
+    known = F.coalesce(F.col("was_dead") & (F.col("since") <= rules.again) & ~F.col("is_res") & ~is_object(F.col("victim"), rules), F.lit(False))
     order = Window.partitionBy("match_id").orderBy("frame", "row")
     pair, last = F.struct("killer_team", "killer", "victim_team", "victim"), F.lag(F.struct("frame", F.struct("killer_team", "killer", "victim_team", "victim").alias("pair"))).over(order)
     marked = told.withColumn("last", last)
@@ -118,25 +130,26 @@ def postprocess(states: DataFrame, frames: DataFrame, kills: DataFrame, rules: R
     states, kills = states.join(kept, ["match_id", "frame"]).select(*states.columns), kills.join(kept, ["match_id", "frame"]).select(*kills.columns)
     # tables that several later passes use are written once; without that each use would repeat all passes before it
     states = cut(smoothed(states))
-    kills = cut(rematched(kills, states, alive=False))
+    kills = cut(rematched(kills, states, False, rules))
     states = cut(frozen(with_deaths(states, kills, rules)))
-    kills = cut(rematched(kills, states, alive=True))
+    kills = cut(rematched(kills, states, True, rules))
     states = frozen(smoothed(states))
     states = with_charges(with_mech(states, kills, rules), rules)
     states = cut(smoothed(states))
     return states, cut(clear_kills(kills, states, rules))
 
 
-def action(is_res: Column, killer: Column) -> Column:
-    return F.when(is_res, "Resurrect").when(killer.isNull(), "Suicide").otherwise("Eliminate")
+def action(is_res: Column, killer: Column, victim: Column, rules: Rules) -> Column:
+    return F.when(is_res, "Resurrect").when(victim == rules.mech, "Demech").when(killer.isNull(), "Suicide").otherwise("Eliminate")
 
 
-def timeline(states: DataFrame, kills: DataFrame) -> DataFrame:
+def timeline(states: DataFrame, kills: DataFrame, rules: Rules | None = None) -> DataFrame:
     """(match_id, time, frame, phase, ordinal, action, subject, object) of switches, kills and ultimates, to be ordered by the first five."""
+    rules = rules or Rules()
     times = states.groupBy("match_id", "frame").agg(F.min("time").alias("time"))
-    kill = kills.join(times, ["match_id", "frame"]).select("match_id", "time", "frame", F.lit(1).alias("phase"), F.col("row").alias("ordinal"), action(F.col("is_res"), F.col("killer")).alias("action"), F.col("killer_slot").alias("subject"), F.col("victim_slot").alias("object"))
+    kill = kills.join(times, ["match_id", "frame"]).select("match_id", "time", "frame", F.lit(1).alias("phase"), F.col("row").alias("ordinal"), action(F.col("is_res"), F.col("killer"), F.col("victim"), rules).alias("action"), F.col("killer_slot").alias("subject"), F.col("victim_slot").alias("object"))
     switch = s.hero_switches(states).select("match_id", F.col("event_time").alias("time"), "frame", F.lit(0).alias("phase"), F.col("slot").alias("ordinal"), F.concat(F.lit("Switch from "), "from_hero", F.lit(" to "), "to_hero").alias("action"), F.col("slot").alias("subject"), F.lit(None).cast("int").alias("object"))
-    ults = s.ult_transitions(states).join(times, ["match_id", "frame"]).select("match_id", "time", "frame", F.lit(2).alias("phase"), F.col("slot").alias("ordinal"), F.concat(F.lit("Ultimate "), "event").alias("action"), F.col("slot").alias("subject"), F.lit(None).cast("int").alias("object"))
+    ults = s.ult_transitions(states, rules.mech_hero).join(times, ["match_id", "frame"]).select("match_id", "time", "frame", F.lit(2).alias("phase"), F.col("slot").alias("ordinal"), F.when(F.col("event") == s.MECH_UP, s.MECH_UP).otherwise(F.concat(F.lit("Ultimate "), "event")).alias("action"), F.col("slot").alias("subject"), F.lit(None).cast("int").alias("object"))
     return switch.unionByName(kill).unionByName(ults)
 
 
@@ -163,4 +176,4 @@ class Game:
     def analyse(self) -> dict[str, DataFrame]:
         """The three result tables and the cleaned rows behind them."""
         states, kills = postprocess(self.states, self.frames, self.kills, self.rules)
-        return {"timeline": timeline(states, kills), "lineups": lineups(states), "states": state_table(states), "player_frames": states, "kills": kills}
+        return {"timeline": timeline(states, kills, self.rules), "lineups": lineups(states), "states": state_table(states), "player_frames": states, "kills": kills}

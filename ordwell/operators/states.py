@@ -62,10 +62,15 @@ def hero_switches(df: DataFrame) -> DataFrame:
     return marked.where("from_hero <> hero and hero = next_hero").select(*SERIES, "frame", (F.col("time") - SWITCH_DELAY).alias("event_time"), "from_hero", F.col("hero").alias("to_hero"))
 
 
-def ult_transitions(df: DataFrame) -> DataFrame:
-    """Ultimates that become ready or are used; a first frame that is ready counts."""
+#: Fixed value: what the timeline calls the return of a mech.
+MECH_UP = "Meka up"
+
+
+def ult_transitions(df: DataFrame, mech_hero: str = "dva") -> DataFrame:
+    """Ultimates that become ready or are used; a first frame that is ready counts. Used without a mech (where mech_status is known), it brings the mech back."""
     before = F.coalesce(F.lag("is_ult_ready").over(series()), F.lit(False))
-    event = F.when(~before & F.col("is_ult_ready"), "ready").when(before & ~F.col("is_ult_ready"), "used")
+    up = (F.col("hero") == mech_hero) & (F.col("mech_status") == WITHOUT_MECH) if "mech_status" in df.columns else F.lit(False)
+    event = F.when(~before & F.col("is_ult_ready"), "ready").when(before & ~F.col("is_ult_ready"), F.when(up, MECH_UP).otherwise("used"))
     return df.withColumn("event", event).where("event is not null").select(*SERIES, "frame", "event")
 
 

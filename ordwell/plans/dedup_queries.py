@@ -46,16 +46,34 @@ def f1(spark, sf_dir):
 
 
 VOTES = """
-vote AS (SELECT {by}, kt, kh, count(*) AS n, min(frame * 1000 + row) AS pos FROM cl WHERE kh IS NOT NULL GROUP BY ALL),
+vote AS (SELECT {by}, kt, kh, count(*) AS n, min(frame * 1000 + row) AS pos FROM {rows} WHERE kh IS NOT NULL GROUP BY ALL),
 best AS (SELECT {by}, kt, kh, n FROM vote QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY n DESC, pos) = 1),
-avote AS (SELECT {by}, ability, count(*) AS n, min(frame * 1000 + row) AS pos FROM cl WHERE ability IS NOT NULL GROUP BY ALL),
+avote AS (SELECT {by}, ability, count(*) AS n, min(frame * 1000 + row) AS pos FROM {rows} WHERE ability IS NOT NULL GROUP BY ALL),
 abest AS (SELECT {by}, ability, n FROM avote QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY n DESC, pos) = 1),
 size AS (
-  SELECT {by}, count(*) AS n, min(frame * 1000 + row) AS anchor, sum(is_critical::INT) AS crit, sum(is_environmental::INT) AS env FROM cl GROUP BY ALL),
-ahero AS (SELECT {by}, ah, count(*) AS n, min(frame * 1000 + row) AS pos FROM cl GROUP BY ALL),
-ateam AS (SELECT {by}, ah, asst, count(*) AS n, min(frame * 1000 + row) AS pos FROM cl GROUP BY ALL),
-atop AS (SELECT {by}, ah, asst FROM ateam QUALIFY row_number() OVER (PARTITION BY {by}, ah ORDER BY n DESC, pos) = 1)""".format(by=BY)
-SAME = "{a}.match_id = s.match_id AND {a}.vt = s.vt AND {a}.vh = s.vh AND {a}.is_res = s.is_res AND {a}.rescuer IS NOT DISTINCT FROM s.rescuer AND {a}.cluster = s.cluster"
+  SELECT {by}, count(*) AS n, min(frame * 1000 + row) AS anchor, sum(is_critical::INT) AS crit, sum(is_environmental::INT) AS env FROM {rows} GROUP BY ALL),
+ahero AS (SELECT {by}, ah, count(*) AS n, min(frame * 1000 + row) AS pos FROM {rows} GROUP BY ALL),
+ateam AS (SELECT {by}, ah, asst, count(*) AS n, min(frame * 1000 + row) AS pos FROM {rows} GROUP BY ALL),
+atop AS (SELECT {by}, ah, asst FROM ateam QUALIFY row_number() OVER (PARTITION BY {by}, ah ORDER BY n DESC, pos) = 1)"""
+EVENTS = """SELECT {out}, CAST(s.anchor // 1000 AS INTEGER) AS frame, CAST(s.anchor % 1000 AS INTEGER) AS row, CAST(s.n AS INTEGER) AS n,
+  CAST(b.kt AS INTEGER) AS killer_team, b.kh AS killer_hero, CASE WHEN 2 * a.n > s.n THEN a.ability END AS ability,
+  2 * s.crit > s.n AS is_critical, 2 * s.env > s.n AS is_environmental,
+  coalesce((SELECT string_agg(h.ah || ':' || t.asst, ',' ORDER BY h.pos) FROM ahero h JOIN atop t ON {ht} AND h.ah = t.ah WHERE {hs} AND 2 * h.n > s.n), '') AS assists
+FROM size s LEFT JOIN best b ON {bs} LEFT JOIN abest a ON {as_}"""
+
+
+def same(a: str, b: str, by: str = BY) -> str:
+    """SQL: rows a and b are of one group."""
+    return " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in by.split(", "))
+
+
+def events_sql(rows: str, by: str, out: str) -> str:
+    """SQL that merges the rows of each group into an event, after its common tables."""
+    return f"{VOTES.format(by=by, rows=rows)} {EVENTS.format(out=out, ht=same('h', 't', by), hs=same('h', 's', by), bs=same('b', 's', by), as_=same('a', 's', by))}"
+
+
+OF_CLUSTERS = VOTES.format(by=BY, rows="cl")
+SAME_ = {a: same(a, "s") for a in "bath"}
 
 
 def merged(spark, sf_dir):
@@ -69,47 +87,44 @@ def shown(df, *more):
 OUT = "s.match_id, CAST(s.vt AS INTEGER) AS vt, s.vh, s.is_res, s.rescuer, CAST(s.cluster AS BIGINT) AS cluster"
 
 
-@query(
-    "e1_cluster_merge",
-    f"""WITH {CLUSTER}, {VOTES}
-SELECT {OUT}, CAST(s.anchor // 1000 AS INTEGER) AS frame, CAST(s.anchor % 1000 AS INTEGER) AS row, CAST(s.n AS INTEGER) AS n,
-  CAST(b.kt AS INTEGER) AS killer_team, b.kh AS killer_hero, CASE WHEN 2 * a.n > s.n THEN a.ability END AS ability,
-  2 * s.crit > s.n AS is_critical, 2 * s.env > s.n AS is_environmental,
-  coalesce((SELECT string_agg(h.ah || ':' || t.asst, ',' ORDER BY h.pos) FROM ahero h JOIN atop t ON h.match_id = t.match_id AND h.vt = t.vt AND h.vh = t.vh AND h.is_res = t.is_res AND h.rescuer IS NOT DISTINCT FROM t.rescuer AND h.cluster = t.cluster AND h.ah = t.ah
-    WHERE {SAME.format(a="h")} AND 2 * h.n > s.n), '') AS assists
-FROM size s LEFT JOIN best b ON {SAME.format(a="b")} LEFT JOIN abest a ON {SAME.format(a="a")}""",
-)
-def e1(spark, sf_dir):
+def events(df):
+    """What merge() gives, flat; the group's other columns follow."""
     assists = F.array_join(F.transform("assists", lambda a: F.concat_ws(":", a["hero"], a["team"].cast("string"))), ",")
     return shown(
-        merged(spark, sf_dir), "frame", "row", "n", F.col("player1.team").alias("killer_team"), F.col("player1.hero").alias("killer_hero"),
+        df, "frame", "row", "n", F.col("player1.team").alias("killer_team"), F.col("player1.hero").alias("killer_hero"),
         F.col("ability.name").alias("ability"), "is_critical", "is_environmental", assists.alias("assists"),
+        *(["piece"] if "piece" in df.columns else []),
     )
 
 
-@query("e2_anchor", f"WITH {CLUSTER}, {VOTES} SELECT {OUT}, CAST(s.anchor // 1000 AS INTEGER) AS frame, CAST(s.anchor % 1000 AS INTEGER) AS row FROM size s")
+@query("e1_cluster_merge", f"WITH {CLUSTER}, {events_sql('cl', BY, OUT)}")
+def e1(spark, sf_dir):
+    return events(merged(spark, sf_dir))
+
+
+@query("e2_anchor", f"WITH {CLUSTER}, {OF_CLUSTERS} SELECT {OUT}, CAST(s.anchor // 1000 AS INTEGER) AS frame, CAST(s.anchor % 1000 AS INTEGER) AS row FROM size s")
 def e2(spark, sf_dir):
     c = clustered(spark, sf_dir).groupBy(*d.KEY, "cluster").agg(F.min(F.struct("frame", "row")).alias("a"))
     return shown(c, "a.frame", "a.row")
 
 
-@query("e3_plurality", f"WITH {CLUSTER}, {VOTES} SELECT {OUT}, CAST(b.kt AS INTEGER) AS killer_team, b.kh AS killer_hero FROM size s LEFT JOIN best b ON {SAME.format(a='b')}")
+@query("e3_plurality", f"WITH {CLUSTER}, {OF_CLUSTERS} SELECT {OUT}, CAST(b.kt AS INTEGER) AS killer_team, b.kh AS killer_hero FROM size s LEFT JOIN best b ON {SAME_['b']}")
 def e3(spark, sf_dir):
     return shown(merged(spark, sf_dir), F.col("player1.team").alias("killer_team"), F.col("player1.hero").alias("killer_hero"))
 
 
-@query("e4_majority", f"WITH {CLUSTER}, {VOTES} SELECT {OUT}, CASE WHEN 2 * a.n > s.n THEN a.ability END AS ability FROM size s LEFT JOIN abest a ON {SAME.format(a='a')}")
+@query("e4_majority", f"WITH {CLUSTER}, {OF_CLUSTERS} SELECT {OUT}, CASE WHEN 2 * a.n > s.n THEN a.ability END AS ability FROM size s LEFT JOIN abest a ON {SAME_['a']}")
 def e4(spark, sf_dir):
     return shown(merged(spark, sf_dir), F.col("ability.name").alias("ability"))
 
 
-@query("e5_bool_majority", f"WITH {CLUSTER}, {VOTES} SELECT {OUT}, 2 * s.crit > s.n AS is_critical, 2 * s.env > s.n AS is_environmental FROM size s")
+@query("e5_bool_majority", f"WITH {CLUSTER}, {OF_CLUSTERS} SELECT {OUT}, 2 * s.crit > s.n AS is_critical, 2 * s.env > s.n AS is_environmental FROM size s")
 def e5(spark, sf_dir):
     half = lambda c: (F.sum(F.col(c).cast("int")) * 2 > F.count("*")).alias(c)
     return shown(clustered(spark, sf_dir).groupBy(*d.KEY, "cluster").agg(half("is_critical"), half("is_environmental")), "is_critical", "is_environmental")
 
 
-@query("e6_assists", f"WITH {CLUSTER}, {VOTES} SELECT {OUT}, h.ah AS hero, CAST(t.asst AS INTEGER) AS team FROM size s JOIN ahero h ON {SAME.format(a='h')} AND 2 * h.n > s.n JOIN atop t ON {SAME.format(a='t')} AND t.ah = h.ah")
+@query("e6_assists", f"WITH {CLUSTER}, {OF_CLUSTERS} SELECT {OUT}, h.ah AS hero, CAST(t.asst AS INTEGER) AS team FROM size s JOIN ahero h ON {SAME_['h']} AND 2 * h.n > s.n JOIN atop t ON {SAME_['t']} AND t.ah = h.ah")
 def e6(spark, sf_dir):
     return shown(merged(spark, sf_dir).withColumn("a", F.explode("assists")), "a.hero", "a.team")
 
@@ -140,15 +155,20 @@ rec AS (
     FROM (SELECT *, min(CASE WHEN often > 1 THEN frame END) OVER (PARTITION BY {BY}) AS twice
       FROM (SELECT *, count(*) OVER (PARTITION BY {BY}, frame) AS often FROM rec WHERE piece IS NULL)))
   WHERE twice IS NOT NULL),
-last AS (SELECT *, max(it) OVER (PARTITION BY {BY}) AS stop FROM rec)
-SELECT event_id, CAST(coalesce(piece, 0) AS INTEGER) AS piece FROM last WHERE piece >= 0 OR piece IS NULL AND it = stop"""
+last AS (SELECT *, max(it) OVER (PARTITION BY {BY}) AS stop FROM rec),
+pieces AS (SELECT event_id, CAST(coalesce(piece, 0) AS INTEGER) AS piece FROM last WHERE piece >= 0 OR piece IS NULL AND it = stop)"""
 
 
-@query("f3_row_split", SPLIT)
+@query("f3_row_split", f"{SPLIT} SELECT event_id, piece FROM pieces")
 def f3(spark, sf_dir):
     return d.split_clusters(clustered(spark, sf_dir)).select("event_id", "piece")
 
 
+@query("mu6_deduplicate", f"{SPLIT}, pc AS (SELECT cl.*, p.piece FROM cl JOIN pieces p USING (event_id)), {events_sql('pc', f'{BY}, piece', f'{OUT}, s.piece')}")
+def mu6(spark, sf_dir):
+    return events(d.Detections(detections(spark, sf_dir), WINDOW).deduplicate())
+
+
 @query("f19_res_bursts", f"WITH {CLUSTER} SELECT match_id, vh, count(*) AS bursts FROM rr GROUP BY match_id, vh")
 def f19(spark, sf_dir):
     return d.resurrection_ranges(detections(spark, sf_dir), WINDOW).groupBy("match_id", F.col("player2.hero").alias("vh")).agg(F.count("*").alias("bursts"))

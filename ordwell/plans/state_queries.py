@@ -40,9 +40,9 @@ def f10(spark, sf_dir):
 
 
 @query("f11_ult_transitions", f"""WITH {PF}, x AS (SELECT *, coalesce(lag(is_ult_ready) OVER w, false) AS p FROM pf {W})
-SELECT {KEY}, CASE WHEN is_ult_ready THEN 'ready' ELSE 'used' END AS event FROM x WHERE p <> is_ult_ready""")
+SELECT {KEY}, CASE WHEN is_ult_ready THEN 'ready' WHEN hero = 'h0' AND ult_charge % 3 = 1 THEN 'Meka up' ELSE 'used' END AS event FROM x WHERE p <> is_ult_ready""")
 def f11(spark, sf_dir):
-    return s.ult_transitions(pf(spark, sf_dir))
+    return s.ult_transitions(pf(spark, sf_dir).withColumn("mech_status", F.when(F.col("ult_charge") % 3 == 1, 1).otherwise(0)), "h0")
 
 
 @query("f12_lineup", f"WITH {PF} SELECT match_id, CAST(slot AS INTEGER) AS slot, arg_min(hero, frame) AS starting, arg_max(hero, frame) AS final, arg_max(ult_charge, frame) || '%' AS charge FROM pf GROUP BY match_id, slot")
@@ -355,7 +355,7 @@ def played(spark, sf_dir):
     k = e.select(
         F.expr("user_id div 30 + 1").alias("match_id"), F.expr("cast(event_id % 40 as int)").alias("frame"), F.col("event_id").cast("int").alias("row"), (1 - team).alias("killer_team"),
         F.when(F.col("event_type") != "error", F.concat(F.lit("h"), (F.col("event_id") % 3).cast("string"))).alias("killer"), team.alias("victim_team"),
-        F.concat(F.lit("h"), (F.col("event_id") % 2).cast("string")).alias("victim"), (F.col("event_type") == "signup").alias("is_res"),
+        F.when(F.col("event_id") % 11 == 0, "meka").otherwise(F.concat(F.lit("h"), (F.col("event_id") % 2).cast("string"))).alias("victim"), (F.col("event_type") == "signup").alias("is_res"),
     )
     return game.Game(pf(spark, sf_dir), frames(spark, sf_dir), k, game.Rules(mech_hero="h0"))
 

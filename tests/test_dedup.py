@@ -168,3 +168,20 @@ def test_order_of_input_changes_nothing(spark):
     rows = [det(f, victim=v) for f in range(6) for v in (W1,)]
     assert [r.n for r in run(spark, rows[::-1])] == [6]
     assert spark.createDataFrame(rows, SCHEMA).where(d.is_resurrection(F.col("player1"), F.col("player2"))).count() == 0
+
+
+def test_one_key_takes_linear_time(spark):
+    """Barriers and gaps in one key: eight times the rows take no more than so many times as long."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    def seconds(n):
+        p = lambda team, hero: F.struct(F.lit(team).alias("team"), F.lit(hero).alias("hero"))
+        df = spark.range(n).select(F.lit(1).alias("match_id"), F.col("id").cast("int").alias("frame"), F.lit(0).alias("row"), F.when(F.col("id") % 50 == 0, p(1, "mercy")).otherwise(p(0, "reaper")).alias("player1"), p(1, "ana").alias("player2"))
+        began = time.perf_counter()
+        d.clusters(df, 3).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(160_000) < 8 * seconds(20_000) + 3

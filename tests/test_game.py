@@ -22,7 +22,8 @@ def made(seed, matches=2, frames=36):
             for row in range(rnd.choice([0, 0, 1, 2])):
                 res, side = rnd.random() < 0.2, rnd.randint(0, 1)
                 killer = None if rnd.random() < 0.1 else f"h{rnd.randint(0, 6)}"
-                kills.append((m, f, row, side if res else 1 - side, killer, side, f"h{rnd.randint(0, 6)}", res and killer is not None))
+                victim = "meka" if not res and rnd.random() < 0.3 else f"h{rnd.randint(0, 6)}"
+                kills.append((m, f, row, side if res else 1 - side, killer, side, victim, res and killer is not None))
     return states, flags, kills
 
 
@@ -65,21 +66,21 @@ def plain(states, flags, kills):
     def rematch(alive):
         for k in ks:
             for role, side in (("killer", "kt"), ("victim", "vt")):
-                seen = [r for r in st if r["m"] == k["m"] and r["f"] <= k["f"] and (r["slot"] >= 6) == (k[side] == 1) and r["hero"] == k[role] and not (alive and r["dead"])]
+                seen = [r for r in st if r["m"] == k["m"] and r["f"] <= k["f"] and (r["slot"] >= 6) == (k[side] == 1) and r["hero"] == ("h0" if k[role] == "meka" else k[role]) and not (alive and r["dead"])]
                 last = max((r["f"] for r in seen), default=None)
                 k[role + "_slot"] = min((r["slot"] for r in seen if r["f"] == last), default=-1)
 
     smooth()
     rematch(False)
     for (m, slot), own in series(st).items():
-        each = [[("res" if k["res"] else "kill") for k in sorted(ks, key=lambda k: k["row"]) if (k["m"], k["victim_slot"], k["f"]) == (m, slot, r["f"])] for r in own]
+        each = [[("res" if k["res"] else "kill") for k in sorted(ks, key=lambda k: k["row"]) if (k["m"], k["victim_slot"], k["f"]) == (m, slot, r["f"]) and k["victim"] != "meka"] for r in own]
         for r, d in zip(own, s.death_states([r["t"] for r in own], each, 0.5), strict=True):
             r["dead"] = d
     freeze()
     rematch(True)
     smooth()
     freeze()
-    down = {(k["m"], k["victim_slot"], k["f"]) for k in ks if not k["res"]}
+    down = {(k["m"], k["victim_slot"], k["f"]) for k in ks if k["victim"] == "meka"}
     for key, own in series(st).items():
         status, ready, second = s.mech_states([r["hero"] for r in own], [r["ready"] for r in own], [r["charge"] for r in own], [(*key, r["f"]) in down for r in own], 2, "h0")
         charge, ready = s.repair_charge([r["charge"] for r in own], ready, [r["hero"] for r in own], status, 2, "h0")
@@ -98,7 +99,7 @@ def plain(states, flags, kills):
         i = frames.index(k["f"]) if k["f"] in frames else -1
         if i >= 2:
             two = by[k["m"], k["victim_slot"], frames[i - 2]]
-            if two["dead"] and not k["res"] and by[k["m"], k["victim_slot"], k["f"]]["t"] - two["t"] <= 1.2:
+            if two["dead"] and not k["res"] and k["victim"] != "meka" and by[k["m"], k["victim_slot"], k["f"]]["t"] - two["t"] <= 1.2:
                 continue
         left.append(k)
     return st, left
@@ -120,10 +121,28 @@ def test_passes_match_a_plain_restatement(spark, seed):
     found = {(r.match_id, r.frame, r.row): (r.killer_slot, r.victim_slot) for r in out["kills"].collect()}
     assert found == {(k["m"], k["f"], k["row"]): (k["killer_slot"], k["victim_slot"]) for k in ks}
     events = out["timeline"].collect()
-    assert sum(e.phase == 1 for e in events) == len(ks) and {e.action for e in events if e.phase == 1} <= {"Resurrect", "Suicide", "Eliminate"}
+    assert sum(e.phase == 1 for e in events) == len(ks) and {e.action for e in events if e.phase == 1} <= {"Resurrect", "Demech", "Suicide", "Eliminate"}
+    assert sum(e.action == "Demech" for e in events) == sum(k["victim"] == "meka" for k in ks) > 0
+    by = {(r["m"], r["slot"], r["f"]): r for r in st}
+    ups = [by[e.match_id, e.subject, e.frame] for e in events if e.action == s.MECH_UP]
+    assert all(r["hero"] == "h0" and r["mech"] == 1 and not r["ready"] for r in ups)
     assert out["lineups"].count() == 24 and all(len(r.players) == 12 for r in out["states"].collect())
 
 
+def test_a_mech_goes_down_and_its_pilot_lives(spark):
+    """One pilot, one row with the mech as victim: no death, no mech from there on, Demech in the timeline."""
+    states = [(1, slot, f, f * 0.5, "dva" if slot == 7 else f"x{slot}", False, False, 10) for slot in range(12) for f in range(10)]
+    g = game.Game(
+        spark.createDataFrame(states, "match_id long, slot int, frame int, time double, hero string, is_dead boolean, is_ult_ready boolean, ult_charge int"),
+        spark.createDataFrame([(1, f, f * 0.5, True, False) for f in range(10)], "match_id long, frame int, time double, is_valid boolean, is_replay boolean"),
+        spark.createDataFrame([(1, 4, 0, 0, "x2", 1, "meka", False), (1, 6, 0, 0, "x3", 1, "turret", False)], "match_id long, frame int, row int, killer_team int, killer string, victim_team int, victim string, is_res boolean"),
+    )
+    out = g.analyse()
+    own = sorted((r.frame, r.mech_status, r.is_dead) for r in out["player_frames"].where("slot = 7").collect())
+    assert own == [(f, int(f >= 4), False) for f in range(10)]
+    assert sorted((e.action, e.subject, e.object) for e in out["timeline"].collect()) == [("Demech", 2, 7), ("Eliminate", 3, -1)]
+
+
 def test_parameters():
     killrows.sampling_parameters(0, 0, 2, 0)
     killrows.sampling_parameters(1.5, 20, 0.5, 1)
