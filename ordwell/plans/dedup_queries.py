@@ -164,7 +164,12 @@ def f3(spark, sf_dir):
     return d.split_clusters(clustered(spark, sf_dir)).select("event_id", "piece")
 
 
-@query("mu6_deduplicate", f"{SPLIT}, pc AS (SELECT cl.*, p.piece FROM cl JOIN pieces p USING (event_id)), {events_sql('pc', f'{BY}, piece', f'{OUT}, s.piece')}")
+def whole_sql(det: str = DET) -> str:
+    """SQL of the distinct events behind the detections that the tables det end in."""
+    return f"{SPLIT.replace(DET, det)}, pc AS (SELECT cl.*, p.piece FROM cl JOIN pieces p USING (event_id)), {events_sql('pc', f'{BY}, piece', f'{OUT}, s.piece')}"
+
+
+@query("mu6_deduplicate", whole_sql())
 def mu6(spark, sf_dir):
     return events(d.Detections(detections(spark, sf_dir), WINDOW).deduplicate())
 

@@ -1,20 +1,31 @@
 """Streams over the events table, drained into tables, with their oracles."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ordwell.plans.dedup_queries import events as shown_events
+from ordwell.plans.dedup_queries import whole_sql
 from ordwell.plans.registry import query
-from ordwell.session import table
-from ordwell.streaming import sessions
+from ordwell.session import shared_folder, table
+from ordwell.sources.adapters import DET, WINDOW, as_detections
+from ordwell.streaming import batches, sessions
+from ordwell.streaming.events import deduplicated
 
 MINUTE = 60
 GAP = 120
 DELAY = 3600
 
 
-def events(spark, sf_dir):
-    """The events as a stream, a bounded number of files for each batch; a frame is a minute."""
+def raw_events(spark, sf_dir):
+    """The events as a stream, a bounded number of files for each batch."""
     shape = table(spark, sf_dir, "events").schema
-    stream = sessions.stream_table(spark, f"{sf_dir}/event[s].parquet", shape)  # a pattern, as a path must be a folder
+    return sessions.stream_table(spark, f"{sf_dir}/event[s].parquet", shape)  # a pattern, as a path must be a folder
+
+
+def events(spark, sf_dir):
+    """The events as a stream; a frame is a minute."""
+    stream = raw_events(spark, sf_dir)
     return stream.select("event_id", F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
 
 
@@ -38,3 +49,30 @@ SELECT h * 3600 AS start, count(*) AS n FROM e, m WHERE (h + 1) * 3600000000 <=
 def l5(spark, sf_dir):
     out = sessions.drained(sessions.windowed_counts(events(spark, sf_dir), "ts", "1 hour", None, f"{DELAY} seconds"))
     return out.select(F.unix_seconds("start").alias("start"), "n")
+
+
+# detections in chains that the last watermark closed; a row's place in its frame is its event's number
+HOUR_MS = 3600000
+CLOSED = f"""{DET.replace("det AS (", "det1 AS (")},
+det2 AS (SELECT d.* REPLACE (d.event_id AS row), epoch_us(e.ts) // 1000 AS ms FROM det1 d JOIN events e USING (event_id)),
+ch AS (SELECT *, sum(begins) OVER (PARTITION BY match_id, vt, vh ORDER BY frame, row) AS chain FROM (
+  SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY match_id, vt, vh ORDER BY frame, row) <= {WINDOW} THEN 0 ELSE 1 END AS begins FROM det2)),
+det AS (SELECT * EXCLUDE (begins, chain, ms) FROM ch QUALIFY max(ms) OVER (PARTITION BY match_id, vt, vh, chain) + {(WINDOW + 1) * HOUR_MS} < (SELECT max(ms) FROM det2) - {DELAY}000)"""
+
+
+@query("l2_deduplicate_stream", f"SELECT * EXCLUDE cluster FROM ({whole_sql(CLOSED)})".replace("* 1000 +", "* 100000000 +").replace("// 1000 AS INTEGER", "// 100000000 AS INTEGER").replace("% 1000 AS INTEGER", "% 100000000 AS INTEGER"))
+def l2_deduplicate(spark, sf_dir):
+    d = as_detections(raw_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("row", F.col("event_id").cast("int"))
+    found = deduplicated(d.drop("event_id"), WINDOW, watermark=f"{DELAY} seconds", frame_ms=HOUR_MS)
+    return shown_events(found.withColumn("cluster", F.lit(0))).drop("cluster")
+
+
+# a catalogue of hosts, grown from a stream of pages
+@query("b13_catalogue_once", "SELECT DISTINCT lower(regexp_extract(url, '://([^/?#]+)', 1)) AS host FROM pages WHERE url IS NOT NULL")
+def b13(spark, sf_dir):
+    shape = table(spark, sf_dir, "pages").schema
+    pages = sessions.stream_table(spark, f"{sf_dir}/page[s].parquet", shape)
+    hosts = pages.select(F.lower(F.regexp_extract("url", "://([^/?#]+)", 1)).alias("host"))
+    path = f"{shared_folder(spark)}/catalogue-{uuid.uuid4().hex}"
+    batches.run(batches.append_new_stream(hosts, path, "host"), spark)
+    return batches.written(spark, path, hosts.schema)

@@ -24,12 +24,18 @@ def name(prefix: str, number):
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kill-feed detections from events: match_id, frame, row, player1, player2, assists, ability, is_critical, is_environmental."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    w = Window.partitionBy("match_id", "frame").orderBy("ts", "event_id")
+    return as_detections(table(spark, sf_dir, "events")).withColumn("row", (F.row_number().over(w) - 1).cast("int")).drop("ts")
+
+
+def as_detections(events: DataFrame) -> DataFrame:
+    """events, a table or a stream, as detections with ts and without row."""
+    e = events.select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
     team = F.expr("cast(pmod(user_id div 15, 2) as int)")
     resurrects = F.col("event_type") == "signup"
     mate = F.when(resurrects, team).otherwise(1 - team)
     killer = F.when(F.col("event_type") != "error", player(mate, name("h", F.col("event_id") % 4)))
-    d = e.select(
+    return e.select(
         F.expr("user_id div 30").alias("match_id"),
         F.expr(f"cast((unix_seconds(cast(ts as timestamp)) - {START}) div 3600 as int)").alias("frame"),
         "ts",
@@ -41,8 +47,6 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("value") > 100).alias("is_critical"),
         (F.col("event_id") % 7 == 0).alias("is_environmental"),
     )
-    w = Window.partitionBy("match_id", "frame").orderBy("ts", "event_id")
-    return d.withColumn("row", (F.row_number().over(w) - 1).cast("int")).drop("ts")
 
 
 DET = f"""det0 AS (
