@@ -173,11 +173,11 @@ def test_recall_on_groups_at_the_limit(spark, groups, size, most):
             for _ in range(rnd.randint(0, most)):
                 copy[rnd.randrange(150)] = word()
             rows.append((g * size + j, " ".join(copy)))
+    rows = list({t: (i, t) for i, t in reversed(rows)}.values())[::-1]  # texts with the same words are one
     kept = {r.doc_id for r in simhash.drop_similar(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
-    sets = [set(simhash.shingles_of(t.encode(), 5).tolist()) for _, t in rows]
-    own = lambda i: range(i // size * size, i)
-    should = {i for i in range(len(rows)) if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in own(i))}
+    sets = {i: set(simhash.shingles_of(t.encode(), 5).tolist()) for i, t in rows}
+    own = lambda i: [j for j in range(i // size * size, i) if j in sets]
+    should = {i for i in sets if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in own(i))}
     went = {i for i, _ in rows} - kept
-    assert went <= should and len(should) > 150
-    print(len(went), len(should))
-    assert len(went) >= 0.9 * len(should)
+    assert went <= should and len(should) > 130
+    assert len(went) >= 0.9 * len(should), (len(went), len(should))
