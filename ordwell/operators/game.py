@@ -9,6 +9,7 @@ team 0. Nothing is overwritten: each pass gives new tables.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,7 @@ from ordwell.functions.text import owner
 from ordwell.operators import states as s
 from ordwell.operators.matching import asof
 from ordwell.session import cut
+from ordwell.sources.archives import rows_of, write_archives
 
 
 @dataclass(frozen=True)
@@ -177,3 +179,15 @@ class Game:
         """The three result tables and the cleaned rows behind them."""
         states, kills = postprocess(self.states, self.frames, self.kills, self.rules)
         return {"timeline": timeline(states, kills, self.rules), "lineups": lineups(states), "states": state_table(states), "player_frames": states, "kills": kills}
+
+    def output(self, path: str) -> dict[str, DataFrame]:
+        """analyse(), and an archive for each match at <path>/<match_id>.zip."""
+        found = self.analyse()
+        parts = [
+            rows_of(found["player_frames"], "frames", "frame", "slot"),
+            rows_of(found["timeline"], "data_sheet1", "time", "frame", "phase", "ordinal"),
+            rows_of(found["lineups"], "data_sheet2", "slot"),
+            rows_of(found["states"], "data_sheet3", "frame"),
+        ]
+        write_archives(reduce(DataFrame.unionByName, parts), path)
+        return found

@@ -360,6 +360,21 @@ def played(spark, sf_dir):
     return game.Game(pf(spark, sf_dir), frames(spark, sf_dir), k, game.Rules(mech_hero="h0"))
 
 
+@query("b2_archives", f"WITH {PF} SELECT match_id, CAST(slot AS INTEGER) AS slot, arg_min(hero, frame) AS starting, arg_max(hero, frame) AS final, arg_max(ult_charge, frame) || '%' AS charge FROM pf GROUP BY match_id, slot")
+def b2(spark, sf_dir):
+    """Line-ups written as an archive for each match and read back."""
+    import uuid
+
+    from ordwell.session import shared_folder
+    from ordwell.sources import archives, files
+
+    path = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    archives.write_archives(archives.rows_of(game.lineups(pf(spark, sf_dir)), "data_sheet2", "slot"), path)
+    rows = F.explode(F.from_json("json", "array<struct<slot: int, starting: string, final: string, charge: string>>")).alias("r")
+    match = F.regexp_extract("path", r"([^/]+)\.zip$", 1).cast("long")
+    return files.read_archives(spark, path).where("document = 'data_sheet2'").select(match.alias("match_id"), rows).select("match_id", "r.*")
+
+
 @query("mu7_pipeline")
 def mu7(spark, sf_dir):
     return played(spark, sf_dir).analyse()["timeline"]
