@@ -9,7 +9,7 @@ from ordwell.plans.dedup_queries import whole_sql
 from ordwell.plans.registry import query
 from ordwell.session import shared_folder, table
 from ordwell.sources.adapters import DET, WINDOW, as_detections
-from ordwell.streaming import batches, sessions
+from ordwell.streaming import batches, folds, sessions
 from ordwell.streaming.events import deduplicated
 
 MINUTE = 60
@@ -76,3 +76,21 @@ def b13(spark, sf_dir):
     path = f"{shared_folder(spark)}/catalogue-{uuid.uuid4().hex}"
     batches.run(batches.append_new_stream(hosts, path, "host"), spark)
     return batches.written(spark, path, hosts.schema)
+
+
+# an event's type, smoothed over each user's events in order, as far as the last watermark lets rows out; a series' last such row waits for the next
+@query("l7_smooth_stream", f"""WITH RECURSIVE e AS (SELECT user_id AS match_id, epoch_us(ts) AS frame, event_type AS hero FROM events),
+c AS (SELECT * FROM e WHERE frame // 1000 < (SELECT max(frame) // 1000 FROM e) - {DELAY}000),
+n AS (SELECT *, row_number() OVER w AS i, lead(hero) OVER w AS nx FROM c WINDOW w AS (PARTITION BY match_id ORDER BY frame)),
+r AS (
+  SELECT match_id, frame, i, nx, hero AS hero_clean FROM n WHERE i = 1
+  UNION ALL
+  SELECT n.match_id, n.frame, n.i, n.nx, CASE WHEN r.hero_clean = n.nx AND n.hero <> r.hero_clean THEN r.hero_clean ELSE n.hero END FROM r JOIN n ON n.match_id = r.match_id AND n.i = r.i + 1)
+SELECT match_id, frame, hero_clean FROM r WHERE nx IS NOT NULL""")
+def l7(spark, sf_dir):
+    e = raw_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    states = e.select(F.col("user_id").alias("match_id"), F.lit(0).alias("slot"), F.unix_micros("ts").alias("frame"), F.col("event_type").alias("hero"), "ts")
+    out = folds.fold_stream(states, folds.smoothing("hero"), "hero_clean string", ["hero"], watermark=f"{DELAY} seconds")
+    path = f"{shared_folder(spark)}/folds-{uuid.uuid4().hex}"
+    batches.run(batches.each_batch(out, path, lambda rows, _: rows), spark)
+    return batches.written(spark, path, out.schema).drop("slot")

@@ -63,7 +63,7 @@ class Chains(StatefulProcessor):
             self.handle.registerTimer(min(t for t in closes if t >= mark) + 1)
         else:
             self.held.clear()
-        return pd.DataFrame({"body": [r[2] for c, t in zip(chains, closes, strict=True) if t < mark for r in c]}, dtype="str")
+        return pd.DataFrame({"body": [r[2] for c, t in zip(chains, closes, strict=True) if t < mark for r in c]}, dtype=object)
 
     def close(self) -> None:
         pass
