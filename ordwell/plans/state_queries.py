@@ -4,8 +4,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ordwell.operators import states as s
-from ordwell.plans.registry import query
-from ordwell.operators import game
+from ordwell.plans.registry import ORACLES, query
+from ordwell.operators import game, scans
 from ordwell.sources.adapters import PF, player_frames
 
 W = "WINDOW w AS (PARTITION BY match_id, slot ORDER BY frame)"
@@ -195,6 +195,26 @@ def dj8(spark, sf_dir):
     return covered(pf(spark, sf_dir), k, list(s.SERIES), "frame", "is_dead_filled").select(*s.SERIES, "frame", "is_dead_filled")
 
 
+# the same by scans in two levels, for keys that may hold any share of all rows
+@query("dj1_asof_spread", ORACLES["dj1_asof_rematch"])
+def dj1_spread(spark, sf_dir):
+    b = pf(spark, sf_dir).where("not is_dead and slot < 6").groupBy("match_id", "hero", "frame").agg(F.min("slot").alias("found"))
+    out = scans.asof_spread(kills(spark, sf_dir), b, ["match_id", "hero"], "frame", ["found"])
+    return out.select("event_id", F.coalesce("found", F.lit(-1)).alias("slot"))
+
+
+@query("dj8_fill_spread", ORACLES["dj8_interval_fill"])
+def dj8_spread(spark, sf_dir):
+    k = kills(spark, sf_dir).where("not is_res").select(*s.SERIES, (F.col("frame") - 1).alias("first"), (F.col("frame") + 20).alias("last"))
+    return scans.covered_spread(pf(spark, sf_dir), k, list(s.SERIES), "frame", "is_dead_filled").select(*s.SERIES, "frame", "is_dead_filled")
+
+
+@query("f5_freeze_spread", ORACLES["f5_freeze_ffill"])
+def f5_spread(spark, sf_dir):
+    out = scans.freeze_spread(pf(spark, sf_dir), list(s.SERIES), "frame", "is_dead", ["hero", "ult_charge"])
+    return out.select(*s.SERIES, "frame", "hero_clean", "ult_charge_clean")
+
+
 @query("dj9_fill_to_end", f"""WITH {PF}, {KILLS}, e AS (SELECT match_id, slot, min(frame) AS f FROM k WHERE is_res GROUP BY ALL), n AS (SELECT match_id, slot, max(frame) AS z FROM pf GROUP BY ALL)
 SELECT pf.match_id, CAST(pf.slot AS INTEGER) AS slot, CAST(pf.frame AS INTEGER) AS frame, coalesce(pf.frame >= e.f AND pf.frame < n.z, false) AS alive_after FROM pf JOIN n USING (match_id, slot) LEFT JOIN e USING (match_id, slot)""")
 def dj9(spark, sf_dir):
@@ -215,7 +235,7 @@ def dj12(spark, sf_dir):
     return both.where("not is_res").select("event_id", (F.col("p").isNotNull() & F.coalesce(F.col("r") > F.col("p"), F.lit(False))).alias("revived"))
 
 
-@query("dj13_two_point", f"WITH {PF} SELECT a.match_id, CAST(a.slot AS INTEGER) AS slot, b.ult_charge - a.ult_charge AS delta FROM pf a JOIN pf b ON a.match_id = b.match_id AND a.slot = b.slot AND a.frame = 5 AND b.frame = 20")
+@query("dj13_two_point", f"WITH {PF.replace('pf AS (', 'pf AS MATERIALIZED (')} SELECT a.match_id, CAST(a.slot AS INTEGER) AS slot, b.ult_charge - a.ult_charge AS delta FROM pf a JOIN pf b ON a.match_id = b.match_id AND a.slot = b.slot AND a.frame = 5 AND b.frame = 20")
 def dj13(spark, sf_dir):
     p = pf(spark, sf_dir).where("frame in (5, 20)").select(*s.SERIES, "frame", "ult_charge")
     a, b = p.where("frame = 5"), p.where("frame = 20").withColumnRenamed("ult_charge", "later")
