@@ -126,6 +126,32 @@ def mu5(spark, sf_dir):
     return e.groupBy("chunk").agg(F.array_join(F.sort_array(F.collect_list("event_id")).cast("array<string>"), ",").alias("ids"))
 
 
+def peaks(values):
+    """(pos, value) of values above both neighbours and 0.2."""
+    if values is not None:
+        yield from ((i, float(b)) for i, (a, b, c) in enumerate(zip(values, values[1:], values[2:], strict=False), 1) if b > 0.2 and a < b > c)
+
+
+def bounds(values):
+    """(low, high), if there are any values."""
+    if values:
+        yield float(min(values)), float(max(values))
+
+
+# two jobs with schemas of their own over one scan
+@query("mu1_table_function", """WITH p AS (SELECT vec_id, label, unnest(range(2, len(embedding))) AS i, embedding AS e FROM embeddings)
+SELECT vec_id, label, 'peaks' AS job, CAST(i - 1 AS DOUBLE) AS a, round(CAST(e[i] AS DOUBLE), 6) AS b FROM p WHERE e[i] > 0.2 AND e[i - 1] < e[i] AND e[i] > e[i + 1]
+UNION ALL SELECT vec_id, label, 'bounds', round(CAST(list_min(embedding) AS DOUBLE), 6), round(CAST(list_max(embedding) AS DOUBLE), 6) FROM embeddings""")
+def mu1_table_function(spark, sf_dir):
+    from ordwell.operators import jobs
+
+    jobs.register(spark, "ordwell_job", jobs.RowJob("peaks", "pos int, value double", peaks), jobs.RowJob("bounds", "low double, high double", bounds))
+    given = {"v": table(spark, sf_dir, "embeddings")}
+    top = spark.sql("SELECT v.vec_id, v.label, 'peaks' AS job, CAST(j.pos AS DOUBLE) AS a, round(j.value, 6) AS b FROM {v} v, LATERAL ordwell_job('peaks', v.embedding) j", **given)
+    ends = spark.sql("SELECT v.vec_id, v.label, 'bounds' AS job, round(j.low, 6) AS a, round(j.high, 6) AS b FROM {v} v, LATERAL ordwell_job('bounds', v.embedding) j", **given)
+    return top.unionByName(ends)
+
+
 @query("mu1_udtf", "SELECT vec_id, unnest(range(CAST(vec_id % 3 AS BIGINT))) AS row FROM embeddings")
 def mu1(spark, sf_dir):
     def detect(batches):
