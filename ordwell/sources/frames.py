@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 SCHEMA = "frame int, height int, width int, channels int, data binary"
 CLIP = pa.schema([("clip", pa.string()), *((c, pa.int32()) for c in ("frame", "height", "width", "channels")), ("data", pa.binary())])
@@ -94,7 +94,35 @@ class FrameReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
+class PushedFrameReader(FrameReader):
+    """A reader that takes filters on frames and jobs: ranges outside aren't planned, other jobs' regions aren't cut."""
+
+    def pushFilters(self, filters: list[Filter]):
+        for f in filters:
+            value = getattr(f, "value", None)
+            if value is None or not self.taken(f, f.attribute, value):
+                yield f
+
+    def taken(self, f: Filter, attribute: tuple[str, ...], value) -> bool:
+        if attribute == ("frame",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+            if isinstance(f, (EqualTo, GreaterThanOrEqual, GreaterThan)):
+                self.start = max(self.start, value + isinstance(f, GreaterThan))
+            if isinstance(f, (EqualTo, LessThanOrEqual, LessThan)):
+                self.end = min(self.end, value + (not isinstance(f, LessThan)))
+            return True
+        if attribute == ("job",) and self.named and isinstance(f, (EqualTo, In)):
+            names = value if isinstance(f, In) else (value,)
+            self.jobs = [j for j in self.jobs if j["name"] in names]
+            return True
+        return False
+
+    def partitions(self):
+        return (super().partitions() if self.jobs else []) or [RangePartition(0, 0)]
+
+
 class FrameSource(DataSource):
+    """Options: path, start, end, workers; region and step, or jobs; pushdown=true to take filters, which needs spark.sql.python.filterPushdown.enabled."""
+
     @classmethod
     def name(cls) -> str:
         return "ordwell_frames"
@@ -103,7 +131,7 @@ class FrameSource(DataSource):
         return f"job string, {SCHEMA}" if "jobs" in self.options else SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return FrameReader(self.options)
+        return (PushedFrameReader if self.options.get("pushdown", "false") == "true" else FrameReader)(self.options)
 
 
 def clips(spark: SparkSession, path: str) -> DataFrame:
