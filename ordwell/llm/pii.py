@@ -1,17 +1,21 @@
 """Operator 10: personal data replaced by keyed surrogates.
 
 Detected are e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, payment cards
-(whose check digit is right), quoted secrets, and names after a title or a phrase that
-introduces one, in Latin, Cyrillic and Greek script. Each entity has a normal form; its
+(whose check digit is right), social security numbers, quoted secrets, and names after a
+title or a phrase that introduces one, in Latin, Cyrillic and Greek script, with hyphens
+and apostrophes before a capital; a full name so found is found without a title too
+anywhere in its text. Each entity has a normal form; its
 surrogate is drawn from a keyed hash of kind and normal form, so all mentions in all
 texts get the same one, also with other separators or, but for secrets, other case; given
 and family names are drawn each for itself. Surrogates keep the kind's format: digits
 stay digits, letters letters of the same script and case, a secret's signs signs, names
-the title's gender and the script; addresses lie in reserved ranges, cards pass the check.
+the script, their hyphens and their gender; addresses lie in reserved ranges, cards pass
+the check. A given name's gender is that of its titles in the whole corpus, none where
+they differ or tell none, so a person has one surrogate under any title.
 
 All distinct entities then meet in aggregations and joins: a surrogate that two entities
-drew, or that is itself an entity of the corpus, is drawn anew for all but the least of
-them, until none is left. From attempt WIDE on the range of draws grows by a character
+drew (given and family names together), or that is itself an entity of the corpus, is
+drawn anew for all but the least of them, until none is left. From attempt WIDE on the range of draws grows by a character
 with each attempt, so it outgrows any corpus and the rounds end. A round reads and writes
 only what was drawn anew, and looks it up among the rest; only what was drawn anew is
 joined back to its texts; all other surrogates are worked out where the text is.
@@ -40,21 +44,23 @@ from ordwell.llm.common import forget, fresh, settle, table
 
 KEY = "spark.ordwell.pii.key"
 ENTITY = "struct<kind: string, norm: string>"
-DRAWN = "array<struct<kind: string, norm: string, attempt: int>>"
 WIDE = 8  # from this attempt on surrogates grow, from twice as many on fixed formats do too
 
 EMAIL = re.compile(r"[\w%+\-][\w.%+\-]{0,63}@[^\W_](?:[^\W_]|-){0,62}(?:\.(?:[^\W_]|-){1,63}){0,4}\.[^\W\d_]{2,24}")
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = re.compile(rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)")
 IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")
-PHONE = re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .\-]\d{2,4}){2,5}(?!\d)|(?<![\d.\-+])(?:1[.\-])?\d{3}([.\-])\d{3}\1\d{4}(?![.\-]?\d)")
+PHONE = re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .\-]\d{2,8}){2,5}(?!\d)|(?<![\d.\-+])(?:1[.\-])?\d{3}([.\-])\d{3}\1\d{4}(?![.\-]?\d)|(?<![\w.\-+])[2-9]\d{9}(?![.\-]?\d|\w)")
+SSN = re.compile(r"(?<![\w.\-+])\d{3}-\d{2}-\d{4}(?![.\-]?\d|\w)")
 CARD = re.compile(r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)")
 SECRET = re.compile(r"""\b(?:token|secret|password|passwd|api[_\-]?key)\b\s{0,3}[=:]\s{0,3}(?:"([^"\n]{6,})"|'([^'\n]{6,})')""", re.IGNORECASE)
 MALE = ("Mr", "Mister", "Herr", "Señor", "Monsieur", "Господин", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mademoiselle", "Госпожа", "Κυρία")
 EITHER = ("Dr", "Doctor", "Prof", "Professor", "My name is", "my name is", "Name:")
-NAMED = r"[^\W\d_a-z][^\W\d_]{1,30}"
+NAMED = r"[^\W\d_a-z](?:[^\W\d_]|['’\-](?=[^\W\d_a-z])){1,40}"
 NAME = re.compile(rf"\b({'|'.join(sorted((*MALE, *FEMALE, *EITHER), key=len, reverse=True))})\.? ({NAMED})(?: ({NAMED}))?")
+PAIR = re.compile(rf"(?<![\w'’\-])(?=({NAMED}) ({NAMED})(?![^\W\d_]))")
+JOINS = re.compile("(['’-])")
 SIGNS = "!#$%&*+-=?@^_~"
 #: Letters that stand for a script's letters, by its first and last code point.
 SCRIPTS = {"latin": ("A", "\u024f", "abcdefghijklmnopqrstuvwxyz"), "greek": ("\u0370", "\u03ff", "αβγδεζηθικλμνξοπρστυφχψω"), "cyrillic": ("\u0400", "\u04ff", "абвгдежзийклмнопрстуфхцчшщыэюя")}
@@ -106,6 +112,9 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((m.start(), m.end(), "card", digits))
     if ":" in text:
         found += [(m.start(), m.end(), "ipv6", own) for m in IPV6.finditer(text) if (own := ipv6(m[0]))]
+    if "-" in text:
+        found += [(m.start(), m.end(), "ssn", re.sub(r"\D", "", m[0])) for m in SSN.finditer(text)]
+    full: set[tuple[str, str]] = set()
     for m in NAME.finditer(text):
         parts = [k for k in (2, 3) if m[k] and m[k][0].isupper()]
         if 2 not in parts:
@@ -113,7 +122,11 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         gender = "m" if m[1] in MALE else "f" if m[1] in FEMALE else "n"
         if 3 in parts:
             found.append((m.start(2), m.end(2), f"given_{gender}", m[2].lower()))
+            full.add((m[2].lower(), m[3].lower()))
         found.append((m.start(parts[-1]), m.end(parts[-1]), "family", m[parts[-1]].lower()))
+    for m in PAIR.finditer(text) if full else ():  # mentions without a title; those with one come first
+        if (m[1].lower(), m[2].lower()) in full:
+            found += [(m.start(1), m.end(1), "given_n", m[1].lower()), (m.start(2), m.end(2), "family", m[2].lower())]
     out: list[tuple[int, int, str, str]] = []
     for rank, e in sorted(enumerate(found), key=lambda x: (x[1][0], x[0])):
         if not out or e[0] >= out[-1][1]:
@@ -121,6 +134,25 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def kind_class(kind: str) -> str:
+    """Kinds whose surrogates must differ from each other's: all names are one class."""
+    return "name" if kind == "family" or kind.startswith("given") else kind
+
+
+def agreed(kinds: set[str]) -> str:
+    """The kind of a given name from its mentions' kinds: a gender where all titles that tell one tell the same."""
+    told = kinds - {"given_n"}
+    return told.pop() if len(told) == 1 else "given_n"
+
+
+def mentioned(found: list[tuple[int, int, str, str]]) -> dict[tuple[str, str], str]:
+    """The kind of each entity of a text, by (kind without gender, normal form)."""
+    kinds: dict[tuple[str, str], set[str]] = {}
+    for _, _, kind, norm in found:
+        kinds.setdefault((kind.partition("_")[0], norm), set()).add(kind)
+    return {own: agreed(k) if own[0] == "given" else own[0] for own, k in kinds.items()}
+
+
 class Stream:
     """Numbers from a keyed hash."""
 
@@ -167,9 +199,11 @@ def surrogate(kind: str, norm: str, attempt: int, key: str) -> str:
         return f"{s.like(local)}{s.digits(more)}@{'.'.join([*map(s.like, sub), 'example', top if top in ('com', 'net', 'org') else 'org'])}"
     if kind == "phone":
         if len(norm) >= 10:
-            head, rest = norm[:-10], s.digits(10)
+            head, rest = norm[:-10], s.any("23456789") + s.digits(9)
             return head + rest[:3] + (rest[3:6] if more else "555") + rest[6:] + s.digits(most)
         return s.digits(len(norm) + most)
+    if kind == "ssn":
+        return "9" + s.digits(8 + most)  # numbers that begin so aren't given out
     if kind == "ipv6" or kind == "ipv4" and most:
         return "2001:0db8:" + ":".join("".join(s.any("0123456789abcdef") for _ in range(4)) for _ in range(6))
     if kind == "ipv4":
@@ -181,40 +215,44 @@ def surrogate(kind: str, norm: str, attempt: int, key: str) -> str:
         return s.like(norm, "abcdef" if re.fullmatch("[0-9a-fA-F]+", norm) else None, SIGNS) + s.digits(more)
     first, ends = SYLLABLES[script_of(norm[0])]
     gender = kind.partition("_")[2]
-    body = "".join(s.any(first) for _ in range(2 + attempt // 4))
-    return body + s.any([x for g in ("m", "f") for x in ends[g]] if gender == "n" else ends[gender])
+    letters, last = SCRIPTS[script_of(norm[0])][2], [x for g in ("m", "f") for x in ends[g]] if gender == "n" else ends[gender]
+    part = lambda x: s.any(letters) if len(x) == 1 else "".join(s.any(first) for _ in range(2 + attempt // 4)) + s.any(last)
+    return "".join(x if JOINS.fullmatch(x) else part(x) for x in JOINS.split(norm))
 
 
 def render(original: str, kind: str, drawn: str) -> str:
     """The surrogate in the form of the mention: its separators, or its case."""
-    if kind in ("phone", "card"):
+    if kind in ("phone", "card", "ssn"):
         digits = iter(drawn)
         return "".join(next(digits, "") if c.isdigit() else c for c in original) + "".join(digits)
     if kind == "secret" or ":" in drawn:
         return drawn
     if original.isupper():
         return drawn.upper()
-    if kind.startswith("given") or kind == "family":
-        return drawn.capitalize()
+    if kind_class(kind) == "name":
+        return "".join(x.capitalize() for x in JOINS.split(drawn))
     return drawn
 
 
-def replace(text: str, anew: dict[tuple[str, str], int], key: str) -> tuple[str, int]:
-    """The text with surrogates, and the number of mentions."""
+def replace(text: str, anew: dict[tuple[str, str], tuple[str, int]], key: str) -> tuple[str, int]:
+    """The text with surrogates, and the number of mentions. anew: kind and attempt by (kind without gender, normal form), where the text alone tells others."""
     out, at, found = [], 0, detect(text)
+    kinds = mentioned(found)
     for start, end, kind, norm in found:
-        drawn = surrogate(kind, norm, anew.get((kind, norm), 0), key)
+        own = (kind.partition("_")[0], norm)
+        kind, attempt = anew.get(own) or (kinds[own], 0)
+        drawn = surrogate(kind, norm, attempt, key)
         out += [text[at:start], render(text[start:end], kind, drawn)]
         at = end
     return "".join([*out, text[at:]]), len(found)
 
 
 def entities(text: Column) -> Column:
-    """The distinct (kind, norm) of a text."""
+    """The distinct (kind, norm) of a text; a given name has the gender that the text tells."""
 
     @F.arrow_udf(f"array<{ENTITY}>")
     def find(texts: pa.Array) -> pa.Array:
-        rows = [[{"kind": k, "norm": n} for k, n in sorted({e[2:] for e in detect(t)})] if t else [] for t in texts.to_pylist()]
+        rows = [[{"kind": k, "norm": n} for (_, n), k in sorted(mentioned(detect(t)).items())] if t else [] for t in texts.to_pylist()]
         return pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("norm", pa.string())])))
 
     return find(text)
@@ -228,15 +266,24 @@ def draws(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     return draw(kind, norm, attempt)
 
 
+def class_of(kind: Column) -> Column:
+    """kind_class of a column."""
+    return F.when((kind == "family") | kind.startswith("given"), "name").otherwise(kind)
+
+
 def drawn_anew(spark: SparkSession, every: DataFrame, key: str, first=None) -> tuple[DataFrame, list[DataFrame]]:
     """(kind, norm, attempt) of the distinct entities that need another surrogate than their first, and what was settled for it."""
-    draw, own = first or draws, ["kind", "drawn"]
-    drawn = lambda df, attempt: df.select("kind", "norm", attempt.alias("attempt"), draw(F.col("kind"), F.col("norm"), attempt, key).alias("drawn"))
+    draw, own = first or draws, ["class", "drawn"]
+    kind, norm = F.col("kind"), F.col("norm")
+    drawn = lambda df, attempt: df.select("kind", "norm", class_of(kind).alias("class"), attempt.alias("attempt"), draw(kind, norm, attempt, key).alias("drawn"))
     pending = settle(spark, drawn(every, F.lit(0)))
     kept, settled = None, [pending]
     while True:
-        groups = pending.groupBy(*own).agg(F.count("*").alias("n"), F.min("norm").alias("keeper"))
-        bad = [pending.join(groups.where("n > 1"), own).where("norm <> keeper"), pending.join(every.select("kind", F.col("norm").alias("drawn")), own, "left_semi")]
+        groups = pending.groupBy(*own).agg(F.count("*").alias("n"), F.min(F.struct("norm", "kind")).alias("keeper"))
+        bad = [
+            pending.join(groups.where("n > 1"), own).where(F.struct("norm", "kind") != F.col("keeper")),
+            pending.join(every.select(class_of(kind).alias("class"), norm.alias("drawn")), own, "left_semi"),
+        ]
         if kept is not None:
             bad.append(pending.join(kept.select(*own), own, "left_semi"))
         again = bad[0].select("kind", "norm", "attempt")
@@ -257,20 +304,26 @@ def pseudonymise(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", tex
     key = key_of(spark, key)
     own = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
     found = settle(spark, df.select(own.alias("key"), F.explode(entities(F.col(text))).alias("e")).select("key", "e.*"))
-    every = settle(spark, found.select("kind", "norm").distinct())
-    anew, settled = drawn_anew(spark, every, key, first)
-    by_text = settle(spark, found.join(anew, ["kind", "norm"]).groupBy("key").agg(F.collect_set(F.struct("kind", "norm", "attempt")).alias("anew")))
-    forget(spark, found, every, *settled)
+    base = F.split_part("kind", F.lit("_"), F.lit(1))
+    told = F.array_remove(F.collect_set("kind"), "given_n")  # of a name, at most two are left
+    seen = settle(spark, found.groupBy(base.alias("base"), "norm").agg(told.alias("told"), F.count_distinct("kind").alias("n")))
+    kind = F.when((F.col("base") == "given") & (F.size("told") != 1), "given_n").otherwise(F.col("told")[0])
+    every = settle(spark, seen.select(kind.alias("kind"), "norm", "base", "n"))
+    anew, settled = drawn_anew(spark, every.select("kind", "norm"), key, first)
+    other_than_told = every.join(anew, ["kind", "norm"], "left").where("n > 1 or attempt is not null")
+    other_than_told = other_than_told.select("base", "norm", "kind", F.coalesce("attempt", F.lit(0)).alias("attempt"))
+    by_text = settle(spark, found.select("key", base.alias("base"), "norm").join(other_than_told, ["base", "norm"]).groupBy("key").agg(F.collect_set(F.struct("kind", "norm", "attempt")).alias("anew")))
+    forget(spark, found, seen, every, *settled)
     k, other, a, r = fresh(df, "text_key", "other_key", "anew", "replaced")
     joined = df.withColumn(k, own).join(by_text.select(F.col("key").alias(other), F.col("anew").alias(a)), F.col(k) == F.col(other), "left")
 
     @F.arrow_udf("struct<text: string, n: long>")
     def put(texts: pa.Array, drawn: pa.Array) -> pa.Array:
-        rows = [(None, 0) if t is None else replace(t, {(x["kind"], x["norm"]): x["attempt"] for x in d or ()}, key) for t, d in zip(texts.to_pylist(), drawn.to_pylist(), strict=True)]
+        rows = [(None, 0) if t is None else replace(t, {(x["kind"].partition("_")[0], x["norm"]): (x["kind"], x["attempt"]) for x in d or ()}, key) for t, d in zip(texts.to_pylist(), drawn.to_pylist(), strict=True)]
         return pa.StructArray.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int64())], ["text", "n"])
 
     out = joined.withColumn(r, put(F.col(text), F.col(a)))
-    held = [c for c in df.columns if c != mentions]
+    held = [c for c in df.columns if mentions is None or c.lower() != mentions.lower()]
     return out.select(*(F.col(f"{r}.text").alias(c) if c == text else F.col(c) for c in held), *([F.col(f"{r}.n").alias(mentions)] if mentions else []))
 
 

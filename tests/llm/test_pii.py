@@ -147,3 +147,55 @@ def test_key(spark):
         assert p.pseudonymise(spark, df).first().text == p.replace(TEXT, {}, "mine")[0]
     finally:
         spark.conf.unset(p.KEY)
+
+
+def test_one_surrogate_a_person_under_any_title(spark):
+    """The same name under titles of different gender, in one text and over texts; mentions without a title."""
+    rows = [
+        (0, "Mr John Smith met Dr John Smith. My name is John Smith."),
+        (1, "Herr Peter Braun, Prof Peter Braun"),
+        (2, "John Smith said hello; Mr John Smith left. A John Smithson stayed."),
+        (3, "Mrs Kim Lang wrote"),
+        (4, "Mr Kim Lang wrote; KIM LANG signed"),
+        (5, "Dr Peter Braun alone"),
+    ]
+    got = {r.doc_id: (r.text, r.n) for r in p.pseudonymise(spark, spark.createDataFrame(rows, "doc_id long, text string"), key="k", mentions="n").collect()}
+    names = lambda doc, pattern: re.fullmatch(pattern, got[doc][0])
+    a = names(0, r"Mr (\w+ \w+) met Dr (\w+ \w+)\. My name is (\w+ \w+)\.")
+    b = names(1, r"Herr (\w+ \w+), Prof (\w+ \w+)")
+    c = names(2, r"(\w+ \w+) said hello; Mr (\w+ \w+) left\. A John Smithson stayed\.")
+    d, e = names(3, r"Mrs (\w+ \w+) wrote"), names(4, r"Mr (\w+ \w+) wrote; (\w+ \w+) signed")
+    assert {*a.groups(), *c.groups()} == {a[1]} and a[1] != "John Smith"
+    assert b[1] == b[2] == names(5, r"Dr (\w+ \w+) alone")[1]
+    assert d[1] == e[1] and e[2] == d[1].upper()
+    assert a[1].split()[0].endswith(("o", "us", "in")) and [got[k][1] for k in range(6)] == [6, 4, 4, 2, 4, 2]
+
+
+def test_names_of_all_kinds_stay_distinct(spark):
+    """No two names, given (with or without a gender) or family, share a surrogate; none is a name of the corpus."""
+    short = [a + b + c for a in "BDGHKLMN" for b in "aeiou" for c in "rlmn"]
+    rows = [(k, f"{t} {x} {y} came") for k, (t, x, y) in enumerate((("Mr", "Mrs", "Dr")[k % 3], x, short[(7 * k + 3) % len(short)]) for k, x in enumerate(short))]
+    rows += [(1000 + k, f"Prof Xy {chr(65 + k)}{'belcor'[k % 6]}son") for k in range(26)]
+    got = {r.doc_id: r.text for r in p.pseudonymise(spark, spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
+    seen = {}
+    for doc, before in rows:
+        for kind, x, y in zip(("given", "family"), before.split()[1:3], got[doc].split()[1:3], strict=True):
+            assert seen.setdefault((kind, x), y) == y
+    assert len(set(seen.values())) == len(seen) > 300
+    assert not {y.lower() for y in seen.values()} & {x.lower() for _, x in seen}
+
+
+def test_compound_names_and_plain_numbers():
+    kinds = lambda t: [e[2:] for e in p.detect(t)]
+    assert kinds("Ms. Anne-Marie Dupont") == [("given_f", "anne-marie"), ("family", "dupont")]
+    assert kinds("Mr. O'Brien's hat, Mr Smith's, Mr Smith-led") == [("family", "o'brien"), ("family", "smith"), ("family", "smith")]
+    assert kinds("+49 30 1234567, 5551234567") == [("phone", "49301234567"), ("phone", "5551234567")]
+    assert kinds("123-45-6789 but not 2024-01-15, 1700000000, x5551234567 or 1123-45-6789") == [("ssn", "123456789")]
+    out = p.replace("Ms. Anne-Marie O'Brien, 123-45-6789, +49 30 1234567, 5552234567", {}, "k")[0]
+    assert re.fullmatch(r"Ms\. [A-Z][a-z]+-[A-Z][a-z]+ [A-Z]'[A-Z][a-z]+, 9\d\d-\d\d-\d{4}, \+\d\d \d\d \d{7}, \d{10}", out)
+    assert [e[2] for e in p.detect(out)] == ["given_f", "family", "ssn", "phone", "phone"]
+
+
+def test_mentions_replace_a_column_of_any_case(spark):
+    out = p.pseudonymise(spark, spark.createDataFrame([(1, TEXT, 0)], "doc_id long, text string, N int"), mentions="n")
+    assert out.columns == ["doc_id", "text", "n"] and out.first().n == 10
