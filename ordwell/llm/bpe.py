@@ -34,6 +34,8 @@ import regex
 #: Bytes of text worked on at a time; a pre-token longer than LONG is walked through alone.
 CHUNK = 1 << 20
 LONG = 48
+#: Bytes of a chunk whose state map is made for counts.
+MAPPED = 1 << 12
 #: Bytes on both sides of a stretch that decide where pre-tokens start in it: four characters.
 EDGE = 16
 #: States a worker keeps, transitions and pre-tokens that it keeps for single walks, and answers about edges.
@@ -364,11 +366,16 @@ class Counter:
             new = np.unique(keys[gone])
             self.insert(new, np.array([self.step(k) for k in new.tolist()], np.int32).T)
 
-    def run(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, int]:
-        """All pre-tokens of data side by side, from the first state: the count of each, and the last one's state."""
+    def run(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All stretches of data side by side, from the first state: the count and the last state of each."""
         if len(self.states) > STATES:
             self.clear()
-        size = np.diff(np.append(starts, len(data)))
+        size = stops - starts
+        counts, states = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        alone: dict[int, bytes] = {}  # packed, as a walk may forget states' numbers
+        for k in np.flatnonzero(size > LONG).tolist():
+            last, counts[k] = self.walk(0, data[starts[k] : stops[k]].tobytes())
+            alone[k] = self.states[last]
         order = np.argsort(-size, kind="stable")
         order = order[np.searchsorted(-size[order], -LONG) :]
         begin, size_of = starts[order], size[order]
@@ -378,11 +385,10 @@ class Counter:
             slot = self.find(state[:a] << 8 | data[begin[:a] + j])
             state[:a], change = self.values[:, slot]
             count[:a] += change
-        counts, states = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         counts[order], states[order] = count, state
-        for k in np.flatnonzero(size > LONG).tolist():
-            states[k], counts[k] = self.walk(0, data[starts[k] : starts[k] + size[k]].tobytes())
-        return counts, int(states[-1]) if len(states) else 0
+        for k, packed in alone.items():
+            states[k] = self.numbered(packed)
+        return counts, states
 
     def walk(self, state: int, raw: bytes) -> tuple[int, int]:
         """The state and the change of the count after raw, from any state."""
@@ -402,14 +408,28 @@ class Counter:
             total += change
         return state, total
 
+    def maps_of(self, data: bytes, cuts: np.ndarray, starts: np.ndarray) -> list[StateMap]:
+        """The maps of the chunks between neighbouring cuts, made side by side; each rests on its own bytes alone.
+
+        starts: where pre-tokens start from the first cut on. The pre-token that a cut goes through
+        belongs to its chunk up to the cut; what comes after is for compose.
+        """
+        if len(cuts) < 2:
+            return []
+        starts = starts[(starts >= cuts[0]) & (starts < cuts[-1])]
+        first = np.searchsorted(starts, cuts)  # of the chunks' pre-tokens
+        stops = np.minimum(np.append(starts[1:], cuts[-1]), cuts[np.searchsorted(cuts, starts, "right")]) if len(starts) else starts
+        counts, states = self.run(np.frombuffer(data, np.uint8), starts, stops)
+        total, heads = np.diff(np.append(0, np.cumsum(counts))[first]).tolist(), np.append(starts, 0)[first[:-1]].tolist()
+        exits, edges, bounds = states.tolist(), cuts.tolist(), first.tolist()
+        return [
+            StateMap(a, heads[k], b, total[k], self.states[exits[bounds[k + 1] - 1]]) if bounds[k] < bounds[k + 1] else StateMap(a, b, b, 0, None)
+            for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))
+        ]
+
     def map_of(self, data: bytes, a: int, b: int) -> StateMap:
         """The map of the bytes a to b of a text; they may be cut anywhere."""
-        starts = starts_in(data, a, b)
-        if not len(starts):
-            return StateMap(a, b, b, 0, None)
-        head = int(starts[0])
-        counts, last = self.run(np.frombuffer(data, np.uint8, b - head, head), starts - head)
-        return StateMap(a, head, b, int(counts.sum()), self.states[last])
+        return self.maps_of(data, np.array([a, b]), starts_in(data, a, b))[0]
 
     def compose(self, data: bytes, f: StateMap, g: StateMap) -> StateMap:
         """First f, then g, which begins where f stops. Composition is associative."""
@@ -645,14 +665,14 @@ class Tokenizer:
         held = 0
 
         def work():
+            """Stretches end to end, cut wherever MAPPED bytes are full, and at their ends; a stretch's maps are composed in a tree."""
             size = np.array([len(x) for x in group])
-            parts = np.cumsum(size) - size
-            data = np.frombuffer(b"".join(group), np.uint8)
-            starts = pretokens(data, parts)
-            counts, _ = self.counter.run(data, starts)
-            scan = np.append(0, np.cumsum(counts))  # every stretch's map is a constant here: a scan by addition
-            first = np.append(np.searchsorted(starts, parts), len(starts))
-            np.add.at(out, own, np.diff(scan[first]))
+            parts, data = np.cumsum(size) - size, b"".join(group)
+            cuts = np.union1d(np.append(parts, len(data)), np.arange(0, len(data), MAPPED))
+            maps = self.counter.maps_of(data, cuts, pretokens(np.frombuffer(data, np.uint8), parts))
+            bounds = np.searchsorted(cuts, np.append(parts, len(data))).tolist()
+            for i, a, b in zip(own, bounds, bounds[1:], strict=False):
+                out[i] += self.counter.scan(data, maps[a:b]).total
             own.clear()
             group.clear()
 
@@ -660,9 +680,12 @@ class Tokenizer:
             for start, stop, special in self.stretches(text):
                 if special is not None:
                     out[i] += 1
-                elif stop - start > CHUNK:
-                    raw = text[start:stop]
-                    maps = [self.counter.map_of(raw, a, min(len(raw), a + CHUNK)) for a in range(0, len(raw), CHUNK)]
+                elif stop - start > CHUNK:  # maps of a long stretch are made a chunk at a time, as that bounds memory
+                    raw, maps = text[start:stop], []
+                    for a in range(0, len(raw), CHUNK):
+                        b = min(len(raw), a + CHUNK)
+                        few = self.counter.maps_of(raw, np.append(np.arange(a, b, MAPPED), b), starts_in(raw, a, b))
+                        maps.append(self.counter.scan(raw, few))
                     out[i] += self.counter.scan(raw, maps).total
                 else:
                     own.append(i)

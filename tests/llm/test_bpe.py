@@ -139,3 +139,33 @@ def test_columns(spark, library):
     assert [tuple(r) for r in once] == [(len(r.ids) // 4, sha(r.ids), sha(r.decoded.encode())) for r in both]
     assert bpe_codec.digests(df).where(F.col("n_tokens") < 0).count() == 0
     assert token_counts.count_tokens(df.limit(0)).count() == 0
+
+
+def test_all_texts_are_counted_by_chunk_maps(monkeypatch):
+    """Texts of any length are cut at any byte and their maps composed; counts are the library's, whatever the chunk."""
+    import pyarrow.parquet as pq
+
+    texts = [t.encode() for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() if t is not None]
+    library = tokenizers.Tokenizer.from_file(token_counts.vocabulary_path())
+    want = [len(library.encode(t.decode(), add_special_tokens=False).ids) for t in texts]
+    calls = {"maps": 0, "compose": 0}
+    maps_of, compose = bpe.Counter.maps_of, bpe.Counter.compose
+
+    def counted_maps(self, data, cuts, starts):
+        calls["maps"] += len(cuts) - 1
+        return maps_of(self, data, cuts, starts)
+
+    def counted_compose(self, data, f, g):
+        calls["compose"] += 1
+        return compose(self, data, f, g)
+
+    monkeypatch.setattr(bpe.Counter, "maps_of", counted_maps)
+    monkeypatch.setattr(bpe.Counter, "compose", counted_compose)
+    machine = bpe.Tokenizer(token_counts.vocabulary_path())
+    for size in (bpe.MAPPED, 61, 3):
+        monkeypatch.setattr(bpe, "MAPPED", size)
+        few = texts if size > 3 else texts[:40]
+        before = dict(calls)
+        assert machine.count(few).tolist() == want[: len(few)]
+        total = sum(map(len, few))
+        assert calls["maps"] - before["maps"] >= total // size and calls["compose"] - before["compose"] >= total // size - len(few)
