@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import all modules that register queries."""
-    from ordwell.plans import dedup_queries, kernel_queries, row_queries, stat_queries, state_queries, stream_queries  # noqa: F401
+    from ordwell.plans import dedup_queries, kernel_queries, pixel_queries, row_queries, stat_queries, state_queries, stream_queries  # noqa: F401
 
 
 load()
