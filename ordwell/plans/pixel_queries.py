@@ -1,10 +1,13 @@
 """Queries over frames as bytes, with their oracles: each vector of embeddings is a picture, five by four pixels of three channels."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ordwell.operators import validity
 from ordwell.plans.registry import query
-from ordwell.session import table
+from ordwell.session import shared_folder, table
+from ordwell.sources import clip_stream
 
 WIDTH, CHANNELS = 5, 3
 VERSIONS = [validity.Version(0, (3, 0, 2, 2), 26.0, 132.0), validity.Version(1, (0, 0, 2, 2), 30.0, 126.0), validity.Version(2, (1, 1, 4, 3), 34.0, 120.0)]
@@ -43,3 +46,21 @@ def c4(spark, sf_dir):
 @query("k32_version_pixels", f"WITH {JUDGED} SELECT match_id, since, version::INTEGER AS version FROM m")
 def k32(spark, sf_dir):
     return validity.versions_of(validity.judged(pictures(spark, sf_dir), VERSIONS, CHANNELS))
+
+
+@query("l3_frame_stream", """SELECT array_to_string(list_transform(embedding[1:60], lambda v: printf('%02X', greatest(0, least(255, floor(v::DOUBLE * 255 + 128)))::BIGINT)), '') AS picture, 4 AS height, 5 AS width
+FROM embeddings WHERE embedding IS NOT NULL""")
+def l3(spark, sf_dir):
+    """The pictures written as clips by tasks, read back as a stream of at most 4,096 frames a batch."""
+    folder = f"{shared_folder(spark)}/clips-{uuid.uuid4().hex}"
+    shown = pictures(spark, sf_dir).select(F.lit(4).alias("height"), "width", F.lit(CHANNELS).alias("channels"), "data")
+    clip_stream.write_clips(shown, f"{folder}/in")
+    spark.dataSource.register(clip_stream.ClipStream)
+    frames = spark.readStream.format("ordwell_clip_stream").options(path=f"{folder}/in", position=f"{folder}/at", frames="4096", per_task="512").load()
+    out = frames.select(F.hex("data").alias("picture"), "height", "width")
+    q = out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/log").option("path", f"{folder}/out").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")

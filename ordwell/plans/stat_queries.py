@@ -172,7 +172,7 @@ def j18(spark, sf_dir):
 @query("j19_colour_distance", "SELECT a.vec_id, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))), 4) AS dist FROM embeddings a JOIN embeddings b ON b.vec_id = 0")
 def j19(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    one = v.where("vec_id = 0").select(F.col("e").alias("o"))
+    one = v.where("vec_id = 0").select(F.col("e").alias("o")).limit(1)
     return v.join(F.broadcast(one)).select("vec_id", F.round(t.distance(F.col("e"), F.col("o")), 4).alias("dist"))  # one row
 
 
@@ -180,7 +180,7 @@ def j19(spark, sf_dir):
 u AS (SELECT vec_id, unnest(a) AS x, unnest(b) AS y FROM p) SELECT vec_id, round(corr(x, y), 4) AS ncc FROM u GROUP BY vec_id""")
 def k2(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    one = v.where("vec_id = 1").select(F.col("e").alias("o"))
+    one = v.where("vec_id = 1").select(F.col("e").alias("o")).limit(1)
     return v.join(F.broadcast(one)).select("vec_id", F.round(t.correlation(F.col("e"), F.col("o")), 4).alias("ncc"))  # one row
 
 
@@ -188,7 +188,7 @@ def k2(spark, sf_dir):
 u AS (SELECT vec_id, unnest(a) > 0 AS x, unnest(b) > 0 AS y FROM p) SELECT vec_id, round(sum((x AND y)::INT) / (sum((x OR y)::INT) + 1e-6), 6) AS iou FROM u GROUP BY vec_id""")
 def k1(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    one = v.where("vec_id = 2").select(F.col("e").alias("o"))
+    one = v.where("vec_id = 2").select(F.col("e").alias("o")).limit(1)
     return v.join(F.broadcast(one)).select("vec_id", F.round(t.binary_iou(F.col("e"), F.col("o"), 0.0), 6).alias("iou"))  # one row
 
 

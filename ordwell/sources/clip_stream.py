@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ordwell.sources.frames import CLIP, SCHEMA
@@ -137,3 +138,43 @@ class ClipStream(DataSource):
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return ClipStreamReader(self.options)
+
+
+def write_clips(frames: DataFrame, path: str, most: int = 256) -> None:
+    """Pictures of one size (columns height, width, channels, data) as clips of at most `most` frames, written by tasks into a folder.
+
+    A clip's name is that of its partition, its number that of its first frame there, so a task that runs
+    again writes the same clips; each is moved to its name when it is whole. Rows without data are left out.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+
+        import numpy as np
+        from pyspark import TaskContext
+
+        store, folder = store_of(path)
+        store.create_dir(folder, recursive=True)
+        context, n = TaskContext.get(), 0
+        held: list[np.ndarray] = []
+
+        def put() -> None:
+            out, name = io.BytesIO(), f"{folder}/part{context.partitionId()}_{n - len(held)}.npy"
+            np.save(out, np.stack(held))
+            with store.open_output_stream(f"{name}.{context.taskAttemptId()}") as file:
+                file.write(out.getbuffer())
+            store.move(f"{name}.{context.taskAttemptId()}", name)
+            held.clear()
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["data"] is not None:
+                    held.append(np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["channels"]))
+                    n += 1
+                    if len(held) == most:
+                        put()
+        if held:
+            put()
+        yield pa.RecordBatch.from_pylist([{"n": n}], pa.schema([("n", pa.int64())]))
+
+    frames.select("height", "width", "channels", "data").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()

@@ -69,3 +69,15 @@ def test_each_frame_once_over_stops(spark, tmp_path):
     columns = ["clip", "frame", "height", "width", "channels", "data"]
     got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select(*columns).collect())
     assert len(got) == 35 and got == sorted(tuple(r) for r in clips(spark, str(tmp_path / "in")).select(*columns).collect())
+
+
+def test_clips_written_by_tasks(spark, tmp_path):
+    rows = [(3, 4, 2, bytes([k % 256]) * 24) for k in range(25)] + [(3, 4, 2, None)]
+    df = spark.createDataFrame(rows, "height int, width int, channels int, data binary").repartition(2)
+    c.write_clips(df, f"file://{tmp_path}/in", most=4)
+    c.write_clips(df, f"file://{tmp_path}/in", most=4)  # as a task that runs again
+    back = clips(spark, str(tmp_path / "in"))
+    assert sorted(bytes(r.data) for r in back.collect()) == sorted(r[3] for r in rows if r[3])
+    assert {r.n for r in back.groupBy("clip").agg((F.max("frame") + 1 - F.count("*")).alias("n")).collect()} == {0}
+    c.write_clips(df.limit(0), f"{tmp_path}/none")
+    assert c.ClipStreamReader({"path": f"{tmp_path}/none", "position": f"{tmp_path}/p"}).latestOffset() == {}
