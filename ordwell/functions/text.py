@@ -25,6 +25,11 @@ def time_format(seconds: Column, compat: bool = False) -> Column:
     return F.format_string("%02d:%02d:%02d.%d", F.expr("0") + F.floor(whole / 3600), F.pmod(F.floor(whole / 60), F.lit(60)), F.pmod(whole, F.lit(60)), part)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded half away from zero as a double, as in C and DuckDB: 1.005 is below the half, so 1.0; Spark's round() takes its decimal digits, so 1.01."""
+    return F.round(x * float(10**digits), 0) / float(10**digits)
+
+
 def hms_to_seconds(text: Column) -> Column:
     """Seconds of HH:MM:SS.f; null where it isn't that."""
     part = lambda k: F.try_element_at(F.split(text, ":"), F.lit(k)).try_cast("double")

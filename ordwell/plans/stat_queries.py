@@ -62,7 +62,7 @@ def f17(spark, sf_dir):
 
 @query("e14_avg_fight", f"WITH {FIGHTS}, f AS (SELECT match_id, fight, max(time_s) - min(time_s) + 7 AS d FROM fi GROUP BY ALL) SELECT match_id, round(avg(d), 4) AS duration FROM f GROUP BY match_id")
 def e14(spark, sf_dir):
-    return st.MatchStats(tl(spark, sf_dir), gap=GAP).mean_fight().withColumn("duration", F.round("duration", 4))
+    return st.MatchStats(tl(spark, sf_dir), gap=GAP).mean_fight().withColumn("duration", t.rounded(F.col("duration"), 4))
 
 
 @query("e15_fight_count", f"WITH {FIGHTS} SELECT match_id, count(DISTINCT fight) AS fights FROM fi GROUP BY match_id")
@@ -75,7 +75,7 @@ TIME = "format('{:02d}:{:02d}:{:02d}.{:d}', CAST(floor(s / 3600) AS BIGINT), CAS
 
 @query("j1_time_format", f"WITH {TL}, x AS (SELECT event_id, round(time_s / 40, 2) AS s FROM tl) SELECT event_id, {TIME} AS text FROM x")
 def j1(spark, sf_dir):
-    return tl(spark, sf_dir).select("event_id", t.time_format(F.round(F.col("time_s") / 40, 2)).alias("text"))
+    return tl(spark, sf_dir).select("event_id", t.time_format(t.rounded(F.col("time_s") / 40, 2)).alias("text"))
 
 
 @query("j2_hms", "SELECT event_id, (event_id % 24) * 3600 + (event_id % 60) * 60 + (event_id % 7) + CAST(0.5 AS DOUBLE) AS seconds FROM events")

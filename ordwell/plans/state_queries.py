@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ordwell.operators import states as s
 from ordwell.plans.registry import ORACLES, query
+from ordwell.functions.text import rounded
 from ordwell.operators import game, scans
 from ordwell.sources.adapters import PF, player_frames
 
@@ -281,7 +282,7 @@ def e13(spark, sf_dir):
 @query("e18_reductions", f"WITH {PF} SELECT match_id, min(ult_charge) AS low, max(ult_charge) AS high, round(avg(ult_charge), 6) AS mean, round(stddev_pop(ult_charge), 6) AS std, quantile_cont(ult_charge, 0.9) AS p90 FROM pf GROUP BY match_id")
 def e18(spark, sf_dir):
     c = F.col("ult_charge")
-    return pf(spark, sf_dir).groupBy("match_id").agg(F.min(c).alias("low"), F.max(c).alias("high"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_pop(c), 6).alias("std"), F.percentile(c, F.lit(0.9)).alias("p90"))
+    return pf(spark, sf_dir).groupBy("match_id").agg(F.min(c).alias("low"), F.max(c).alias("high"), rounded(F.avg(c), 6).alias("mean"), rounded(F.stddev_pop(c), 6).alias("std"), F.percentile(c, F.lit(0.9)).alias("p90"))
 
 
 WIDE = ", ".join(f"max(ult_charge) FILTER (slot = {i}) AS ults_{i}" for i in range(12))
