@@ -293,8 +293,63 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return common / (len(a) + len(b) - common) >= similarity
 
 
-#: Texts of a group that each of its others is held against, and rows of a group that one task takes with them.
-PIVOTS, TOGETHER = 48, 2000
+class Index:
+    """Sets of hashes with their places in a group; finds whether one with a smaller place is similar to a set."""
+
+    def __init__(self, sets: list[np.ndarray], places: list[int]):
+        self.sizes, self.places = np.array([len(x) for x in sets]), np.array(places)
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(tokens)
+        self.tokens, self.owner = tokens[order], owner[order]
+
+    def has_before(self, mine: np.ndarray, place: int, similarity: float) -> bool:
+        lo, hi = np.searchsorted(self.tokens, mine), np.searchsorted(self.tokens, mine, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(self.owner[at], minlength=len(self.sizes))
+        all_ = np.maximum(self.sizes + len(mine) - common, 1)
+        return bool(((self.places < place) & (common / all_ >= similarity)).any())
+
+
+#: Texts of a group that each of its others is held against first, rows of a group that one task takes with them,
+#: and rows of a group's rest that one task holds while the rest that is still there passes by.
+PIVOTS, TOGETHER, BLOCK = 48, 2000, 500
+
+
+def met_in_rest(spark: SparkSession, rest: DataFrame, gone: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Keys of rest (key, grp, place) not in gone (key) that are similar to one of their group in rest at a smaller place; settled.
+
+    A task indexes the sets of a block of a group, then those not gone pass by one after the other.
+    """
+    marked = settle(spark, rest.join(gone.withColumn("went", F.lit(True)), "key", "left").select("key", "grp", "place", F.col("went").isNull().alias("here")))
+    sizes = settle(spark, marked.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.col("here").cast("int")).alias("open")).where("n > 1 and open > 0").select("grp", "n"))
+    dealt = join_by_weight(marked, sizes, "grp", "n", marked.count()).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    held = dealt.select("key", "grp", "place", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("is_held"))
+    passing = dealt.where("here").select("key", "grp", "place", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("is_held"))
+    both = held.unionByName(passing).join(sets.hint("merge"), "key").repartition("grp", "block").sortWithinPartitions("grp", "block", F.desc("is_held"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, places, index = None, [], [], None
+        for batch in batches:
+            found = []
+            for key, grp, place, block, is_held, own_set in zip(*(batch.column(c) for c in ("key", "grp", "place", "block", "is_held", "set")), strict=True):
+                at, mine = (grp.as_py(), block.as_py()), np.frombuffer(own_set.as_buffer(), np.uint64)
+                if at != now:
+                    now, own, places, index = at, [], [], None
+                if is_held.as_py():
+                    own.append(mine.copy())
+                    places.append(place.as_py())
+                    continue
+                if index is None and own:
+                    index, own = Index(own, places), []
+                if index is not None and index.has_before(mine, place.as_py(), similarity):
+                    found.append(key.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["key"])
+        release()
+
+    found = settle(spark, both.select("key", "grp", "place", "block", "is_held", "set").mapInArrow(compare, "key long").distinct())
+    forget(spark, marked, sizes)
+    return found
 
 
 def drop_similar(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, pivots: int = PIVOTS) -> DataFrame:
@@ -303,12 +358,12 @@ def drop_similar(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", tex
     SimHash can't find pairs at a similarity of 0.8 (some 9 of 64 bits differ), so texts meet
     by keys of least hashes, BANDS for each. First a text is held against the first (by id) of
     one group, that with the least first; similar ones go, which is the bulk of near copies.
-    The others are held against the first `pivots` texts of each of their groups. All comparisons
-    are exact, of sets of shingles' hashes. A group's rows are dealt to blocks of about TOGETHER,
-    each with the group's pivots, so no task sees a large group whole and pairs are never rows.
-    Two texts that share no key, or of which neither is among the pivots of a common group and
-    no pivot is similar, both stay: the tests measure a recall above 0.9 on groups whose pairs
-    lie on either side of the limit. Texts with the same words are one. Null ids come last.
+    The others are held against the first `pivots` texts of each of their groups, then what is
+    still there against all others of each group. So all pairs that share a key are compared, unless
+    one has gone already. Comparisons are exact, of sets of shingles' hashes. A group's rows are dealt
+    to blocks, of about TOGETHER with the pivots, of BLOCK afterwards, so no task sees a large group
+    whole and pairs are never rows; groups of many unlike texts take quadratic time in the last step.
+    Two texts that share no key both stay. Texts with the same words are one. Null ids come last.
     """
     k, sig = fresh(df, "similar_key", "similar_signature")
     signed_rows = settle(spark, df.withColumn(sig, signature(F.col(text), shingle)).withColumn(k, F.col(f"{sig}.key")))
@@ -358,10 +413,13 @@ def drop_similar(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", tex
     left = settle(spark, after.groupBy("grp").agg(F.count("*").alias("n")))
     open_groups = inside.select("key", "first", F.col("band").alias("grp")).join(left.hint("merge"), "grp")
     place = F.row_number().over(Window.partitionBy("grp").orderBy("first"))
-    firsts = settle(spark, open_groups.withColumn("place", place).where(F.col("place") <= pivots).select("key", "first", "grp", "n"))
+    placed = settle(spark, open_groups.withColumn("place", place))
+    firsts = placed.where(F.col("place") <= pivots).select("key", "first", "grp", "n")
     rest = met(join_by_weight(after, left, "grp", "n", after.count()).select("key", "first", "grp", "n"), firsts)
-    gone = settle(spark, one.union(rest).distinct())
-    forget(spark, members, groups, inside, sets, least, sizes, one, after, left, firsts, rest)
+    met_so_far = settle(spark, one.union(rest).distinct())
+    among = met_in_rest(spark, placed.where(F.col("place") > pivots).select("key", "grp", "place"), met_so_far, sets, similarity)
+    gone = settle(spark, met_so_far.union(among).distinct())
+    forget(spark, members, groups, inside, sets, least, sizes, one, after, left, placed, rest, met_so_far, among)
     return signed_rows.join(gone.withColumnRenamed("key", k).hint("merge"), k, "left_anti").select(*df.columns)  # nothing bounds what goes
 
 
