@@ -32,7 +32,11 @@ def each_batch(stream: DataFrame, path: str, result: Callable[[DataFrame, int],
     """A writer that puts result(rows of the batch, its number) under path, each batch once."""
 
     def put(rows: DataFrame, number: int) -> None:
-        result(rows, number).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows.persist()  # a result may read the batch several times; each read would run the stream's plan again
+        try:
+            result(rows, number).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            rows.unpersist()
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}_state")
 
