@@ -32,10 +32,12 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as stores
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ordwell.llm.bpe import pretokens
 from ordwell.llm.common import forget, release, settle, shared_dir, table
 from ordwell.llm.token_counts import vocabulary_path
 
@@ -50,8 +53,10 @@ END = 2
 MAGIC = b"ORDTOK01"
 #: Ids in a block, in a file (a text may exceed it), and in a part of the sort.
 BLOCK, FILE, PART = 1 << 19, 1 << 23, 1 << 23
-#: Characters of a text that the library takes at once.
-LONG = 1 << 18
+#: Characters of a text that are encoded at once, and bytes of texts that are worked on together.
+LONG, TOGETHER = 1 << 18, 1 << 22
+#: Words whose ids a worker keeps, and the bytes of the longest of them.
+WORDS, WORD = 1_000_000, 64
 #: How rows are ordered, and what ids of so many bytes are.
 ORDER, WIDTHS = ("doc_id", "tie", "row"), {2: "<u2", 4: "<u4"}
 #: Ids of a batch that the reader hands over.
@@ -66,7 +71,11 @@ LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, packed in two or four bytes an id."""
+    """Ids of texts by the tokenizers library, packed in two or four bytes an id.
+
+    A byte-level text's ids are those of its pre-tokens one after the other. So the library is
+    given each distinct pre-token once in a worker (while it keeps it), not all texts.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
@@ -82,16 +91,72 @@ class Encoder:
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.size = max(self.library.get_vocab_size(), END + 1)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.words: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of each text; a text is handed to the library whole, or, if long, in pieces that give the same ids."""
+        """Packed ids of each text; a long text is taken in pieces that give the same ids."""
         pieces, ends = [], []
         for text in texts:
             pieces += self.pieces(text or "")
             ends.append(len(pieces))
-        ids = [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        ids: list[bytes] = [b""] * len(pieces)
+        plain, whole, held = [], [], 0
+        for k, piece in enumerate(pieces):
+            if not self.by_piece or len(piece) > 4 * LONG or any(a in piece for a in self.added):
+                whole.append(k)
+                continue
+            plain.append(k)
+            held += len(piece)
+            if held >= TOGETHER:
+                self.fill(ids, plain, self.by_words([pieces[i] for i in plain]))
+                plain, held = [], 0
+        self.fill(ids, plain, self.by_words([pieces[i] for i in plain]))
+        self.fill(ids, whole, self.by_library([pieces[i] for i in whole]))
         return [b"".join(ids[a:z]) for a, z in zip([0, *ends], ends, strict=False)]
 
+    @staticmethod
+    def fill(ids: list[bytes], at: list[int], own: list[bytes]) -> None:
+        for k, x in zip(at, own, strict=True):
+            ids[k] = x
+
+    def by_library(self, texts: list[str]) -> list[bytes]:
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        together = np.fromiter(chain.from_iterable(found), self.kind).tobytes()
+        cuts = [0, *accumulate(len(ids) * self.kind.itemsize for ids in found)]
+        return [together[a:z] for a, z in pairwise(cuts)]
+
+    def by_words(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts without added strings: each pre-token's ids, put one after the other."""
+        column = pa.array(texts, pa.large_string())
+        bounds = np.frombuffer(column.buffers()[1], np.int64)[: len(texts) + 1]
+        if not bounds[-1]:
+            return [b""] * len(texts)
+        data = np.frombuffer(column.buffers()[2], np.uint8)[: bounds[-1]]
+        at = pretokens(data, np.unique(bounds[:-1][bounds[:-1] < len(data)]))
+        words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        packed = self.of_words(values(words.dictionary))
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.kind.itemsize
+        known = np.frombuffer(b"".join(packed), self.kind)
+        code = words.indices.to_numpy()
+        n = sizes[code]
+        ends = np.cumsum(n)
+        begins = (np.cumsum(sizes) - sizes)[code]
+        out = known[np.repeat(begins - (ends - n), n) + np.arange(ends[-1])].tobytes()
+        cuts = (np.append(0, ends)[np.searchsorted(at, bounds)] * self.kind.itemsize).tolist()
+        return [out[a:z] for a, z in pairwise(cuts)]
+
+    def of_words(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct pre-tokens: those kept, and for the others the library's."""
+        found = [self.words.get(w) for w in words]
+        new = [k for k, x in enumerate(found) if x is None]
+        for a in range(0, len(new), 10_000):
+            few = new[a : a + 10_000]
+            self.fill(found, few, self.by_library([words[k].decode() for k in few]))
+        if len(self.words) + len(new) > WORDS:
+            self.words.clear()
+        self.words.update((words[k], found[k]) for k in new if len(words[k]) <= WORD)
+        return found
+
     def pieces(self, text: str) -> list[str]:
         out, at = [], 0
         if self.by_piece and len(text) > LONG and not any(a in text for a in self.added):
@@ -101,13 +166,19 @@ class Encoder:
         return [*out, text[at:]]
 
 
+def values(column: pa.LargeBinaryArray) -> list[bytes]:
+    """The values of a column without nulls that isn't sliced."""
+    raw, cuts = column.buffers()[2].to_pybytes(), np.frombuffer(column.buffers()[1], np.int64)[: len(column) + 1].tolist()
+    return [raw[a:z] for a, z in pairwise(cuts)]
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of ranks."""
+def data_bytes(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many bytes each rank takes besides one, where each begins (and the last ends), and the bytes."""
     more = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     at = np.zeros(len(ranks) + 1, np.int64)
     np.cumsum(more + np.uint8(1), out=at[1:])
@@ -117,9 +188,39 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
         if not len(has):
             break
         data[at[has] + k] = ranks[has] >> 8 * k & 0xFF
-    control = np.zeros(ceil(len(ranks) / 4) * 4, np.uint8)
-    control[: len(ranks)] = more
-    return (control.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes(), data.tobytes()
+    return more, at, data
+
+
+def control_bytes(more: np.ndarray) -> np.ndarray:
+    return (more.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
+
+
+def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """Control bytes and data bytes of ranks."""
+    more, _, data = data_bytes(ranks)
+    return control_bytes(np.pad(more, (0, -len(more) % 4))).tobytes(), data.tobytes()
+
+
+def pack_rows(ranks: np.ndarray, sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Control bytes and data bytes of rows whose ranks, so many each, stand one after the other."""
+    more, at, data = data_bytes(ranks)
+    own = -(-sizes // 4)
+    ends, control_ends = np.cumsum(sizes), np.cumsum(own)
+    padded = np.zeros(4 * int(own.sum()), np.uint8)
+    padded[np.arange(len(ranks)) + np.repeat(4 * (control_ends - own) - (ends - sizes), sizes)] = more
+    return rows_of(control_bytes(padded), control_ends), rows_of(data, at[ends])
+
+
+def rows_of(content: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """content as rows that end at ends."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(content)]).cast(pa.binary())
+
+
+def flat(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows of a column one after the other, and how many each row has. Its rows aren't null."""
+    column = column.cast(pa.large_binary())
+    cuts = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], WIDTHS[width], (cuts[-1] - cuts[0]) // width, cuts[0]), np.diff(cuts) // width
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -308,6 +409,13 @@ class TokenFiles(DataSource):
         return TokenWriter(self.options["path"], schema)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in slices of about TOGETHER bytes of text, or a row."""
+    so_far = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(so_far // TOGETHER)) + 1).tolist(), len(batch)]
+    return (batch.slice(a, z - a) for a, z in pairwise(cuts) if z > a)
+
+
 def encoded(df: DataFrame, doc_id: str, text: str, vocabulary: str | None, end: int) -> DataFrame:
     """(doc_id, tie, row, width, ids) of df: the texts' ids with the end id behind, width bytes each."""
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"))
@@ -316,7 +424,7 @@ def encoded(df: DataFrame, doc_id: str, text: str, vocabulary: str | None, end:
         machine = encoder(vocabulary or vocabulary_path())
         tail = np.array([end], machine.kind).tobytes()
         for batch in batches:
-            for few in (batch.slice(a, 500) for a in range(0, len(batch), 500)):
+            for few in slices(batch):
                 ids = pa.array([x + tail for x in machine.encode(few.column("text").to_pylist())], pa.binary())
                 width = pa.array(np.full(len(few), machine.kind.itemsize, np.int8), pa.int8())
                 yield pa.RecordBatch.from_arrays([*(few.column(c) for c in ORDER), width, ids], [*ORDER, "width", "ids"])
@@ -331,8 +439,8 @@ def id_counts(ids: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(0, np.int64)
         for batch in batches:
-            for width, own in zip(batch.column("width"), batch.column("ids"), strict=True):
-                more = np.bincount(np.frombuffer(own.as_buffer(), WIDTHS[width.as_py()]))
+            if len(batch):
+                more = np.bincount(flat(batch.column("ids"), batch.column("width")[0].as_py())[0])
                 if len(more) > len(n):
                     n = np.pad(n, (0, len(more) - len(n)))
                 n[: len(more)] += more
@@ -367,10 +475,9 @@ def write_tokens(spark: SparkSession, df: DataFrame, path: str, doc_id: str = "d
             for few in (batch.slice(a, 500) for a in range(0, len(batch), 500)):
                 keys = zip(*(few.column(c).to_pylist() for c in ORDER), strict=True)
                 own = [bisect_right(bounds, (i is not None, i if i is not None else 0, tie, row)) for i, tie, row in keys]
-                coded = [np.frombuffer(x.as_buffer(), WIDTHS[w.as_py()]) for w, x in zip(few.column("width"), few.column("ids"), strict=True)]
-                n = pa.array([len(x) for x in coded], pa.int64())
-                control, data = (pa.array(x, pa.binary()) for x in zip(*(pack(ranks[x]) for x in coded), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(few.column(c) for c in ORDER), n, control, data], ["part", *ORDER, "n", "control", "data"])
+                coded, n = flat(few.column("ids"), few.column("width")[0].as_py())
+                control, data = pack_rows(ranks[coded], n)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(few.column(c) for c in ORDER), pa.array(n, pa.int64()), control, data], ["part", *ORDER, "n", "control", "data"])
             release()
 
     kind = ids.schema["doc_id"].dataType.simpleString()

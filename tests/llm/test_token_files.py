@@ -49,6 +49,27 @@ def test_any_text(text, long):
         t.LONG = before
 
 
+def test_a_pretoken_is_encoded_once(monkeypatch):
+    """The library gets each distinct pre-token once, however often texts have it; forgetting changes no ids."""
+    e = t.Encoder(vocabulary_path())
+    texts = [f"some words and {k % 7} more, don't" * 40 for k in range(50)] + ODD + ["".join(map(chr, range(32, 0x3100)))]
+    want, given_words, by_library = e.by_library(texts), [], e.by_library
+    monkeypatch.setattr(e, "by_library", lambda few: given_words.extend(few) or by_library(few))
+    monkeypatch.setattr(t, "TOGETHER", 5000)
+    assert e.encode(texts) == want
+    assert len(given_words) == len(set(given_words)) and given_words.count(" words") == 1
+    monkeypatch.setattr(t, "WORDS", 3)
+    assert e.encode(texts) == want and len(e.words) < 5000
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=9), max_size=9))
+def test_rows_are_coded_as_each_alone(rows):
+    ranks = np.array([x for r in rows for x in r], np.uint32)
+    control, data = t.pack_rows(ranks, np.array([len(r) for r in rows], np.int64))
+    assert list(zip(control.to_pylist(), data.to_pylist(), strict=True)) == [t.pack(np.array(r, np.uint32)) for r in rows]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=60))
 def test_coding(values):
