@@ -19,7 +19,8 @@ from ordwell.dims import OBJECT_HERO
 from ordwell.functions.text import owner
 from ordwell.operators import states as s
 from ordwell.operators.matching import asof
-from ordwell.session import cut
+from ordwell.session import cut_as_dealt as cut
+from ordwell.session import parts_for
 from ordwell.sources.archives import rows_of, write_archives
 
 
@@ -58,12 +59,13 @@ def clear_frames(frames: DataFrame, rules: Rules) -> DataFrame:
 
 def renamed(df: DataFrame, before: list[str], **columns: str) -> DataFrame:
     """df with columns taken from others of its own, in the order before, new ones last."""
-    return df.select(*(F.col(columns.get(c, c)).alias(c) for c in before), *(F.col(v).alias(c) for c, v in columns.items() if c not in before))
+    # a column that keeps its name isn't aliased: behind cut_as_dealt Spark wouldn't know it as the one rows are dealt by
+    return df.select(*(F.col(columns[c]).alias(c) if c in columns else c for c in before), *(F.col(v).alias(c) for c, v in columns.items() if c not in before))
 
 
-def smoothed(states: DataFrame) -> DataFrame:
+def smoothed(states: DataFrame, parts: int) -> DataFrame:
     others = tuple(c for c in states.columns if c not in (*s.SERIES, "frame", "hero"))
-    return renamed(s.smooth(states, carry=others), states.columns, hero="hero_clean")
+    return renamed(s.smooth(states, carry=others, parts=parts), states.columns, hero="hero_clean")
 
 
 def frozen(states: DataFrame) -> DataFrame:
@@ -91,25 +93,21 @@ def rematched(kills: DataFrame, states: DataFrame, alive: bool, rules: Rules) ->
     return out.withColumns({f"{r}_slot": F.coalesce(f"{r}_slot", F.lit(-1)) for r in ("killer", "victim")})
 
 
-def with_deaths(states: DataFrame, kills: DataFrame, rules: Rules) -> DataFrame:
+def with_deaths(states: DataFrame, kills: DataFrame, rules: Rules, parts: int) -> DataFrame:
     """states with is_dead worked out from the kills of each slot; who loses an object lives on."""
     own = kills.where((F.col("victim_slot") >= 0) & ~is_object(F.col("victim"), rules)).groupBy("match_id", F.col("victim_slot").alias("slot"), "frame").agg(F.sort_array(F.collect_list(F.struct("row", F.when(F.col("is_res"), "res").otherwise("kill").alias("kind")))).alias("own"))
     told = states.join(own, [*s.SERIES, "frame"], "left").withColumn("kills", F.coalesce(F.transform("own", lambda x: x["kind"]), F.array().cast("array<string>")))
     others = tuple(c for c in states.columns if c not in (*s.SERIES, "frame", "is_dead"))
-    return renamed(s.death_series(told, rules.step, others), states.columns, is_dead="is_dead_clean")
+    return renamed(s.death_series(told, rules.step, others, parts), states.columns, is_dead="is_dead_clean")
 
 
-def with_mech(states: DataFrame, kills: DataFrame, rules: Rules) -> DataFrame:
-    """states with mech_status and both ready flags; a mech is down when it is itself a row's victim."""
+def repaired(states: DataFrame, kills: DataFrame, rules: Rules, parts: int) -> DataFrame:
+    """states smoothed, frozen, with mech_status and both ready flags, charges repaired and smoothed again; a mech is down when it is itself a row's victim."""
     down = kills.where((F.col("victim_slot") >= 0) & (F.col("victim") == rules.mech)).select("match_id", F.col("victim_slot").alias("slot"), "frame", F.lit(True).alias("is_down")).distinct()
     told = states.join(down, [*s.SERIES, "frame"], "left").withColumn("is_down", F.coalesce("is_down", F.lit(False)))
-    others = tuple(c for c in states.columns if c not in (*s.SERIES, "frame"))
-    return renamed(s.mech_statuses(told, rules.span, rules.mech_hero, others), states.columns, mech_status="mech_status", is_ult_ready="is_ult_ready_clean", is_secondary_ult_ready="is_secondary_ult_ready")
-
-
-def with_charges(states: DataFrame, rules: Rules) -> DataFrame:
-    others = tuple(c for c in states.columns if c not in (*s.SERIES, "frame"))
-    return renamed(s.repaired_charges(states, rules.span, rules.mech_hero, others), states.columns, ult_charge="ult_charge_clean", is_ult_ready="is_ult_ready_clean")
+    others = tuple(c for c in states.columns if c not in (*s.SERIES, "frame", "hero", "ult_charge", "is_ult_ready"))
+    clean = {c: f"{c}_clean" for c in ("hero", "ult_charge", "is_ult_ready")}
+    return renamed(s.last_repairs(told, rules.span, rules.mech_hero, others, parts), states.columns, **clean, mech_status="mech_status", is_secondary_ult_ready="is_secondary_ult_ready")
 
 
 def clear_kills(kills: DataFrame, states: DataFrame, rules: Rules) -> DataFrame:
@@ -125,19 +123,23 @@ def clear_kills(kills: DataFrame, states: DataFrame, rules: Rules) -> DataFrame:
     return marked.where(~again & ~known).select(*kills.columns)
 
 
-def postprocess(states: DataFrame, frames: DataFrame, kills: DataFrame, rules: Rules | None = None) -> tuple[DataFrame, DataFrame]:
-    """(states, kills) after all passes, in this order."""
+def postprocess(states: DataFrame, frames: DataFrame, kills: DataFrame, rules: Rules | None = None, rows: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(states, kills) after all passes, in this order.
+
+    All passes work inside a match: the tables are dealt by match, in parts that follow the number
+    of rows of states, and shuffled again only behind the three folds. Tables that came dealt so stay as they are.
+    """
     rules = rules or Rules()
+    parts = parts_for(states.sparkSession, rows)
+    states, frames, kills = (x.repartition(parts, "match_id") for x in (states, frames, kills))
     kept = clear_frames(frames, rules)
     states, kills = states.join(kept, ["match_id", "frame"]).select(*states.columns), kills.join(kept, ["match_id", "frame"]).select(*kills.columns)
     # tables that several later passes use are written once; without that each use would repeat all passes before it
-    states = cut(smoothed(states))
+    states = cut(smoothed(states, parts))
     kills = cut(rematched(kills, states, False, rules))
-    states = cut(frozen(with_deaths(states, kills, rules)))
+    states = cut(frozen(with_deaths(states, kills, rules, parts)))
     kills = cut(rematched(kills, states, True, rules))
-    states = frozen(smoothed(states))
-    states = with_charges(with_mech(states, kills, rules), rules)
-    states = cut(smoothed(states))
+    states = cut(repaired(states, kills, rules, parts))
     return states, cut(clear_kills(kills, states, rules))
 
 
@@ -174,10 +176,12 @@ class Game:
     frames: DataFrame
     kills: DataFrame
     rules: Rules = Rules()
+    #: Rows of states, if known.
+    rows: int = 0
 
     def analyse(self) -> dict[str, DataFrame]:
         """The three result tables and the cleaned rows behind them."""
-        states, kills = postprocess(self.states, self.frames, self.kills, self.rules)
+        states, kills = postprocess(self.states, self.frames, self.kills, self.rules, self.rows)
         return {"timeline": timeline(states, kills, self.rules), "lineups": lineups(states), "states": state_table(states), "player_frames": states, "kills": kills}
 
     def output(self, path: str) -> dict[str, DataFrame]:

@@ -378,7 +378,7 @@ def played(spark, sf_dir):
         F.when(F.col("event_type") != "error", F.concat(F.lit("h"), (F.col("event_id") % 3).cast("string"))).alias("killer"), team.alias("victim_team"),
         F.when(F.col("event_id") % 11 == 0, "meka").otherwise(F.concat(F.lit("h"), (F.col("event_id") % 2).cast("string"))).alias("victim"), (F.col("event_type") == "signup").alias("is_res"),
     )
-    return game.Game(pf(spark, sf_dir), frames(spark, sf_dir), k, game.Rules(mech_hero="h0"))
+    return game.Game(pf(spark, sf_dir), frames(spark, sf_dir), k, game.Rules(mech_hero="h0"), table(spark, sf_dir, "lineitem").count())
 
 
 @query("b2_archives", f"WITH {PF} SELECT match_id, CAST(slot AS INTEGER) AS slot, arg_min(hero, frame) AS starting, arg_max(hero, frame) AS final, arg_max(ult_charge, frame) || '%' AS charge FROM pf GROUP BY match_id, slot")
