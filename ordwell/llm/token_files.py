@@ -32,7 +32,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import accumulate, chain, pairwise
+from itertools import accumulate, chain, pairwise, repeat
 from math import ceil
 
 import numpy as np
@@ -55,10 +55,10 @@ MAGIC = b"ORDTOK01"
 BLOCK, FILE, PART = 1 << 19, 1 << 23, 1 << 23
 #: Characters of a text that are encoded at once, and bytes of texts that are worked on together.
 LONG, TOGETHER = 1 << 18, 1 << 22
-#: Words whose ids a worker keeps, and the bytes of the longest of them.
-WORDS, WORD = 1_000_000, 64
+#: Words whose ids a worker keeps, the length of the longest of them, and how many the library is given as one text.
+WORDS, WORD, JOINED = 1_000_000, 64, 1000
 #: How rows are ordered, and what ids of so many bytes are.
-ORDER, WIDTHS = ("doc_id", "tie", "row"), {2: "<u2", 4: "<u4"}
+ORDER, WIDTHS = ("doc_id", "tie", "row"), {1: "u1", 2: "<u2", 4: "<u4"}
 #: Ids of a batch that the reader hands over.
 BATCH = 1 << 20
 
@@ -66,20 +66,26 @@ BATCH = 1 << 20
 # pre-tokenizer, so a text's ids are those of its pieces between such blanks.
 CUT = re.compile(" (?=[!-~¡-ᙿ])")
 
+# Texts that begin with such a blank and end in no white space have the same ids one after the other in one text.
+APART = re.compile(" (?=[!-~¡-ᙿ぀-퟿]).*[!-~¡-ᙿ぀-퟿]", re.DOTALL)
+
 #: For each control byte the lengths of its four ranks.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
+MORE = (LENGTHS - np.uint8(1)).view("<u4").reshape(-1)
 
 
 class Encoder:
     """Ids of texts by the tokenizers library, packed in two or four bytes an id.
 
     A byte-level text's ids are those of its pre-tokens one after the other. So the library is
-    given each distinct pre-token once in a worker (while it keeps it), not all texts.
+    given each distinct pre-token once in a worker (while it keeps it), not all texts, and many
+    of them as one text: their ids are told apart by how many bytes each id stands for.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -91,7 +97,15 @@ class Encoder:
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.size = max(self.library.get_vocab_size(), END + 1)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.words: dict[bytes, bytes] = {}
+        #: Numbers of the words kept; word i has the ids known[at[i] : at[i + 1]].
+        self.words: dict[bytes, int] = {}
+        self.known, self.at = np.zeros(0, self.kind), np.zeros(1, np.int64)
+        vocabulary, model = self.library.get_vocab(), spec["model"]
+        self.joins = self.by_piece and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        self.joins = self.joins and all(c in vocabulary for c in ByteLevel.alphabet()) and not any(" " in a for a in self.added)
+        #: How many bytes an id stands for.
+        self.stands = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.stands[list(vocabulary.values())] = list(map(len, vocabulary))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text; a long text is taken in pieces that give the same ids."""
@@ -120,10 +134,39 @@ class Encoder:
             ids[k] = x
 
     def by_library(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text. Short ones are encoded as one text where that changes no ids."""
+        short = [k for k, x in enumerate(texts) if len(x) <= WORD and APART.fullmatch(x)] if self.joins and len(texts) > 1 else []
+        few = [texts[k] for k in short]
+        if not short or (own := self.together(few)) is None:
+            return self.one_by_one(texts)
+        ids: list[bytes] = [b""] * len(texts)
+        self.fill(ids, short, own)
+        others = [k for k in range(len(texts)) if not ids[k]]
+        self.fill(ids, others, self.one_by_one([texts[k] for k in others]))
+        return ids
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        """The library's ids of texts one after the other, and how many each has."""
         found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        together = np.fromiter(chain.from_iterable(found), self.kind).tobytes()
-        cuts = [0, *accumulate(len(ids) * self.kind.itemsize for ids in found)]
-        return [together[a:z] for a, z in pairwise(cuts)]
+        sizes = list(map(len, found))
+        return np.fromiter(chain.from_iterable(found), self.kind, sum(sizes)), sizes
+
+    def one_by_one(self, texts: list[str]) -> list[bytes]:
+        ids, sizes = self.encode_all(texts)
+        return cut(ids.tobytes(), [0, *accumulate(n * self.kind.itemsize for n in sizes)])
+
+    def together(self, texts: list[str]) -> list[bytes] | None:
+        """Packed ids of texts that fit APART, many encoded as one; None if ids don't end where texts do."""
+        joined = ["".join(texts[a : a + JOINED]) for a in range(0, len(texts), JOINED)]
+        if any(a in x for x in joined for a in self.added):
+            return None
+        ids, _ = self.encode_all(joined)
+        ends = np.cumsum(self.stands[ids])
+        own = np.cumsum(pc.binary_length(pa.array(texts, pa.large_string())).to_numpy())
+        last = np.searchsorted(ends, own)
+        if not len(ends) or ends[-1] != own[-1] or (ends[last] != own).any():
+            return None
+        return cut(ids.tobytes(), np.append(0, (last + 1) * self.kind.itemsize).tolist())
 
     def by_words(self, texts: list[str]) -> list[bytes]:
         """Packed ids of texts without added strings: each pre-token's ids, put one after the other."""
@@ -134,28 +177,42 @@ class Encoder:
         data = np.frombuffer(column.buffers()[2], np.uint8)[: bounds[-1]]
         at = pretokens(data, np.unique(bounds[:-1][bounds[:-1] < len(data)]))
         words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-        packed = self.of_words(values(words.dictionary))
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.kind.itemsize
-        known = np.frombuffer(b"".join(packed), self.kind)
+        number, known, begins = self.of_words(values(words.dictionary))
+        sizes, begins = begins[number + 1] - begins[number], begins[number]
         code = words.indices.to_numpy()
-        n = sizes[code]
-        ends = np.cumsum(n)
-        begins = (np.cumsum(sizes) - sizes)[code]
-        out = known[np.repeat(begins - (ends - n), n) + np.arange(ends[-1])].tobytes()
-        cuts = (np.append(0, ends)[np.searchsorted(at, bounds)] * self.kind.itemsize).tolist()
-        return [out[a:z] for a, z in pairwise(cuts)]
-
-    def of_words(self, words: list[bytes]) -> list[bytes]:
-        """Packed ids of distinct pre-tokens: those kept, and for the others the library's."""
-        found = [self.words.get(w) for w in words]
-        new = [k for k, x in enumerate(found) if x is None]
-        for a in range(0, len(new), 10_000):
-            few = new[a : a + 10_000]
-            self.fill(found, few, self.by_library([words[k].decode() for k in few]))
+        out, ends = spread(known, begins[code], sizes[code])
+        return cut(out.tobytes(), (np.append(0, ends)[np.searchsorted(at, bounds)] * self.kind.itemsize).tolist())
+
+    def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of distinct pre-tokens, ids of those kept and of the others from the library, and where each number's begin."""
+        number = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(number < 0).tolist()
         if len(self.words) + len(new) > WORDS:
-            self.words.clear()
-        self.words.update((words[k], found[k]) for k in new if len(words[k]) <= WORD)
-        return found
+            self.keep(words, number)
+        short, long = [], []
+        for k in new:
+            (short if len(words[k]) <= WORD else long).append(k)
+        new = short + long
+        packed: list[bytes] = []
+        for a in range(0, len(new), 10_000):
+            packed += self.by_library([words[k].decode() for k in new[a : a + 10_000]])
+        number[new] = np.arange(len(new)) + len(self.words)
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.kind.itemsize
+        known = np.concatenate([self.known, np.frombuffer(b"".join(packed), self.kind)])
+        at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        self.words.update(zip((words[k] for k in short), range(len(self.words), len(self.words) + len(short)), strict=True))
+        self.at = at[: len(self.words) + 1]
+        self.known = known[: self.at[-1]]
+        return number, known, at
+
+    def keep(self, words: list[bytes], number: np.ndarray) -> None:
+        """Keep no words but these, as far as they have numbers, and number them anew."""
+        have = np.flatnonzero(number >= 0)
+        begins = self.at[number[have]]
+        self.known, ends = spread(self.known, begins, self.at[number[have] + 1] - begins)
+        self.at = np.append(0, ends)
+        self.words = {words[k]: i for i, k in enumerate(have.tolist())}
+        number[have] = np.arange(len(have))
 
     def pieces(self, text: str) -> list[str]:
         out, at = [], 0
@@ -168,10 +225,19 @@ class Encoder:
 
 def values(column: pa.LargeBinaryArray) -> list[bytes]:
     """The values of a column without nulls that isn't sliced."""
-    raw, cuts = column.buffers()[2].to_pybytes(), np.frombuffer(column.buffers()[1], np.int64)[: len(column) + 1].tolist()
+    return cut(column.buffers()[2].to_pybytes(), np.frombuffer(column.buffers()[1], np.int64)[: len(column) + 1].tolist())
+
+
+def cut(raw: bytes, cuts: list[int]) -> list[bytes]:
     return [raw[a:z] for a, z in pairwise(cuts)]
 
 
+def spread(known: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of known one after the other, and where each ends there."""
+    ends = np.cumsum(sizes)
+    return known[np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -183,32 +249,62 @@ def data_bytes(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.zeros(len(ranks) + 1, np.int64)
     np.cumsum(more + np.uint8(1), out=at[1:])
     data = np.empty(at[-1], np.uint8)
-    for k in range(4):
+    data[at[:-1]] = ranks.astype(np.uint8)
+    for k in range(1, int(more.max(initial=0)) + 1):
         has = np.flatnonzero(more >= k)
-        if not len(has):
-            break
-        data[at[has] + k] = ranks[has] >> 8 * k & 0xFF
+        data[at[has] + k] = (ranks[has] >> 8 * k).astype(np.uint8)
     return more, at, data
 
 
 def control_bytes(more: np.ndarray) -> np.ndarray:
-    return (more.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
+    a, b, c, d = more.reshape(-1, 4).T
+    return a | b << 2 | c << 4 | d << 6
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of ranks."""
     more, _, data = data_bytes(ranks)
-    return control_bytes(np.pad(more, (0, -len(more) % 4))).tobytes(), data.tobytes()
+    return controls(more), data.tobytes()
+
+
+def controls(more: np.ndarray) -> bytes:
+    return control_bytes(np.pad(more, (0, -len(more) % 4))).tobytes()
 
 
 def pack_rows(ranks: np.ndarray, sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """Control bytes and data bytes of rows whose ranks, so many each, stand one after the other."""
     more, at, data = data_bytes(ranks)
+    own, has = places(sizes)
+    padded = np.zeros(len(has), np.uint8)
+    padded[has] = more
+    return rows_of(control_bytes(padded), np.cumsum(own)), rows_of(data, at[np.cumsum(sizes)])
+
+
+def places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many control bytes rows of so many ranks have, and which of their quarters stand for a rank."""
     own = -(-sizes // 4)
-    ends, control_ends = np.cumsum(sizes), np.cumsum(own)
-    padded = np.zeros(4 * int(own.sum()), np.uint8)
-    padded[np.arange(len(ranks)) + np.repeat(4 * (control_ends - own) - (ends - sizes), sizes)] = more
-    return rows_of(control_bytes(padded), control_ends), rows_of(data, at[ends])
+    ends = 4 * np.cumsum(own)
+    has = np.ones(ends[-1] if len(ends) else 0, bool)
+    for k in (1, 2, 3):
+        has[ends[4 * own - sizes >= k] - k] = False
+    return own, has
+
+
+def unpack_rows(sizes: np.ndarray, control: pa.Array, data: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many bytes the ranks of all rows take besides one, the rows' bytes, and where each row's begin (and the last end)."""
+    codes, n_control = flat(control, 1)
+    raw, n_data = flat(data, 1)
+    own, has = places(sizes)
+    if (own != n_control).any():
+        raise ValueError("ranks of a row are out of bounds of its control bytes")
+    more = MORE[codes].view(np.uint8)[has]
+    so_far = np.zeros(len(more) + 1, np.int64)
+    np.cumsum(more, out=so_far[1:])
+    ends = np.append(0, np.cumsum(sizes))
+    at = so_far[ends] + ends
+    if (np.diff(at) != n_data).any():
+        raise ValueError("ranks of a row are out of bounds of its data bytes")
+    return more, raw, at
 
 
 def rows_of(content: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -270,24 +366,28 @@ class OneFile:
         self.out = fs.open_output_stream(f"{root}/{self.name}")
         self.ids: list = []
         self.lengths: list[int] = []
-        self.held: list[np.ndarray] = []
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting = self.total = 0
 
-    def add(self, doc_id, ranks: np.ndarray) -> None:
+    def add(self, doc_id, more: np.ndarray, data: np.ndarray) -> None:
+        """A document's ranks, by how many bytes each takes besides one, and their bytes."""
         self.ids.append(doc_id)
-        self.lengths.append(len(ranks))
-        self.held.append(ranks)
-        self.waiting += len(ranks)
-        self.total += len(ranks)
+        self.lengths.append(len(more))
+        self.held.append((more, data))
+        self.waiting += len(more)
+        self.total += len(more)
         if self.waiting >= BLOCK:
             self.flush()
 
     def flush(self) -> None:
         if self.waiting:
-            ranks = np.concatenate(self.held)
-            for a in range(0, len(ranks), BLOCK):
-                control, data = pack(ranks[a : a + BLOCK])
-                self.out.write(np.array([len(ranks[a : a + BLOCK]), len(data)], "<u4").tobytes() + control + data)
+            more, data = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            at = 0
+            for a in range(0, len(more), BLOCK):
+                own = more[a : a + BLOCK]
+                n_data = len(own) + int(own.sum())
+                self.out.write(np.array([len(own), n_data], "<u4").tobytes() + controls(own) + data[at : at + n_data].tobytes())
+                at += n_data
         self.held, self.waiting = [], 0
 
     def close(self) -> tuple[int, int, str, int, int]:
@@ -310,14 +410,16 @@ class TokenWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         kind, done, now = to_arrow_type(self.schema["doc_id"].dataType), [], None
-        for batch in iterator:
-            for part, doc_id, n, control, data in zip(*(batch.column(c) for c in ("part", "doc_id", "n", "control", "data")), strict=True):
-                part = part.as_py()
+        for few in (x for batch in iterator for x in slices(batch, "data")):
+            parts, ids, sizes = few.column("part").to_pylist(), few.column("doc_id").to_pylist(), few.column("n").to_numpy()
+            more, data, at = unpack_rows(sizes, few.column("control"), few.column("data"))
+            ends = np.cumsum(sizes)
+            for part, doc_id, own, raw in zip(parts, ids, np.split(more, ends[:-1]), np.split(data, at[1:-1]), strict=True):
                 if now and (now.part != part or now.total >= FILE):
                     done.append(now.close())
                     now = OneFile(self.path, part, now.number + 1 if now.part == part else 0, kind)
                 now = now or OneFile(self.path, part, 0, kind)
-                now.add(doc_id.as_py(), unpack(control.as_buffer(), data.as_buffer(), n.as_py()))
+                now.add(doc_id, own, raw)
         if now:
             done.append(now.close())
         release()
@@ -409,9 +511,9 @@ class TokenFiles(DataSource):
         return TokenWriter(self.options["path"], schema)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """batch in slices of about TOGETHER bytes of text, or a row."""
-    so_far = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """batch in slices of about TOGETHER bytes of a column, or a row."""
+    so_far = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
     cuts = [0, *(np.flatnonzero(np.diff(so_far // TOGETHER)) + 1).tolist(), len(batch)]
     return (batch.slice(a, z - a) for a, z in pairwise(cuts) if z > a)
 

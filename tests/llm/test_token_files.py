@@ -62,6 +62,58 @@ def test_a_pretoken_is_encoded_once(monkeypatch):
     assert e.encode(texts) == want and len(e.words) < 5000
 
 
+class Given:
+    """The library, with the texts that it was given."""
+
+    def __init__(self, library):
+        self.library, self.texts = library, []
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += texts
+        return self.library.encode_batch_fast(texts, **more)
+
+
+def test_new_words_are_encoded_together(monkeypatch):
+    """The library gets few texts for many new words, and each word has the ids it has alone."""
+    e = t.Encoder(vocabulary_path())
+    words = [f" {chr(97 + k % 26)}é{k:x}漢"[: 2 + k % 7] for k in range(5000)] + [" 's", " '", " <|endoftext|", " d"]
+    want = [np.array(expected(w), e.kind).tobytes() for w in words]
+    e.library = Given(e.library)
+    assert e.by_library(words) == want and len(e.library.texts) < 20
+    mixed = [w for few in zip(words, ODD * 251, strict=False) for w in few] + ["", " ", " a <|endoftext|> b"]
+    assert e.by_library(mixed) == [np.array(expected(w), e.kind).tobytes() for w in mixed]
+    assert e.by_library([" a", " <|endoftext|>", " b"]) == [np.array(expected(w), e.kind).tobytes() for w in (" a", " <|endoftext|>", " b")]
+    monkeypatch.setattr(e, "stands", e.stands + 1)  # ids that don't end where words do are taken one by one
+    assert e.by_library(words) == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab'sé \n\t\xa0\u2003　.,1漢<|"), max_size=9), st.text(alphabet=st.sampled_from("ab'sé \n\t\xa0\u2003　.,1漢<|"), max_size=9))
+def test_any_two_together(a, b):
+    e = t.encoder(vocabulary_path())
+    texts = [f" {a}", f" {b}", a, b, " x"]
+    assert e.by_library(texts) == e.one_by_one(texts)
+
+
+def test_no_white_space_is_taken_for_a_sign():
+    """Characters that APART allows at the ends of a text are none of white space to the library's pattern."""
+    allowed = [c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff" and t.APART.fullmatch(f" {c}")]
+    pre = LIBRARY.pre_tokenizer
+    text = "".join(f" {c}" for c in allowed)
+    assert len(pre.pre_tokenize_str(text)) == len(allowed) > 40_000
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=9), max_size=9))
+def test_rows_are_read_together(rows):
+    sizes = np.array([len(r) for r in rows], np.int64)
+    more, data, at = t.unpack_rows(sizes, *t.pack_rows(np.array([x for r in rows for x in r], np.uint32), sizes))
+    ends = np.append(0, np.cumsum(sizes))
+    for k, r in enumerate(rows):
+        own, raw = more[ends[k] : ends[k + 1]], data[at[k] : at[k + 1]]
+        assert (t.controls(own), raw.tobytes()) == t.pack(np.array(r, np.uint32)) and len(own) == len(r)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=9), max_size=9))
 def test_rows_are_coded_as_each_alone(rows):
